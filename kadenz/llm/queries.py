@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kadenz.llm import exact_dedup as op6
+from kadenz.llm import substring_dedup as op4
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,14 +19,35 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6.exact_dedup(docs, columns=["doc_id", "text_sha256"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op4.substring_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
 }
 
 #: A-Z only are lowered; DuckDB's lower() would lower other letters too.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Words as the contracts define them.
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
 ORACLE_SQL = {
+    "op4_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+        p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d WHERE len(ws) >= 20),
+        k AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS k FROM p),
+        l AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS rn FROM k),
+        g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM l WHERE rn > 1),
+        w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM d),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS t FROM w ANTI JOIN g USING (doc_id, j) GROUP BY doc_id),
+        n AS (SELECT doc_id, count(*) AS n_removed FROM g GROUP BY doc_id)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+    """,
     "op6_exact_dedup": f"""
         WITH n AS (SELECT doc_id, {_LOWER} AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
