@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kadenz.llm import bpe as op8
 from kadenz.llm import exact_dedup as op6
+from kadenz.llm import packing as op3
 from kadenz.llm import substring_dedup as op4
 
 
@@ -24,7 +27,23 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = op3.pieces(_table(spark, sf_dir, "documents"), vocabularies.path("byte_bpe_50k.json"), vocabularies.PATTERN)
+    return op3.pack(cut)
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = vocabularies.path("byte_bpe_multi_50k.tiktoken")
+    ids = op8.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, vocabularies.PATTERN).drop("text")
+    return op8.decode(ids, ranks).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op8_byte_bpe": op8_byte_bpe,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
 }
