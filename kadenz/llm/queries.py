@@ -10,6 +10,7 @@ from kadenz.llm import bpe as op8
 from kadenz.llm import exact_dedup as op6
 from kadenz.llm import packing as op3
 from kadenz.llm import substring_dedup as op4
+from kadenz.llm import toxicity as op1
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,17 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def _crc(id_col: str = "doc_id"):
+    return F.crc32(F.col(id_col).cast("string")) % 5
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = op1.learn(docs, _table(spark, sf_dir, "labels").where(_crc() != 0))
+    digest = op1.score(docs, model).select("doc_id", F.coalesce(_crc() == 0, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"))
+    return digest.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = op3.pieces(_table(spark, sf_dir, "documents"), vocabularies.path("byte_bpe_50k.json"), vocabularies.PATTERN)
     return op3.pack(cut)
@@ -42,6 +54,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op8_byte_bpe": op8_byte_bpe,
     "op4_substring_dedup": op4_substring_dedup,
