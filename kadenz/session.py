@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +29,20 @@ def local_session(name: str = "kadenz", cpus: str | None = None) -> SparkSession
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables; sf_dir may be any path that Spark's readers open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per context, for operators that run Python in tasks.
+
+    A cluster that has the package installed, or was started with --py-files, needs no such call.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_kadenz_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="spark-kadenz-")) / "kadenz_package.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(str(path))
+    context._kadenz_shipped = True
