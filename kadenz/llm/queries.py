@@ -11,10 +11,12 @@ from kadenz.llm import exact_dedup as op6
 from kadenz.llm import packing as op3
 from kadenz.llm import substring_dedup as op4
 from kadenz.llm import toxicity as op1
+from kadenz.session import ship, table
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    ship(spark)
+    return table(spark, sf_dir, name)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton on folded text.
 
-Folding lowers, drops accents, maps look-alike letters to Latin ones and digits or signs to the letters they
-stand for, and turns the rest into single spaces. Lexicon entries are whole words (" idiot ") or word beginnings
+Folding lowers, maps look-alike letters to Latin ones and digits or signs to the letters they stand for, drops
+marks that stand alone, and turns the rest into single spaces. Accented letters stay: they tell words apart. Lexicon entries are whole words (" idiot ") or word beginnings
 (" idio"), each with its log-odds in labelled rows; exception phrases take the weight of their entry back.
 A text's weight is put in relation to its length, and a logistic curve turns it into a score.
 """
@@ -39,7 +39,7 @@ class Fold(dict):
 
     def __missing__(self, code: int) -> str:
         c = chr(code)
-        low = unicodedata.normalize("NFKD", c.lower())
+        low = unicodedata.normalize("NFKC", c.lower())
         out = "".join(HOMOGLYPHS.get(x, DIGITS.get(x, x)) for x in low if not unicodedata.combining(x))
         if not out:  # a mark of its own vanishes
             out = ""
