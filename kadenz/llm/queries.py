@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kadenz.llm import bpe as op8
 from kadenz.llm import exact_dedup as op6
+from kadenz.llm import near_dedup as op2
 from kadenz.llm import packing as op3
 from kadenz.llm import substring_dedup as op4
 from kadenz.llm import toxicity as op1
@@ -41,6 +42,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, percent=80)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = op3.pieces(_table(spark, sf_dir, "documents"), vocabularies.path("byte_bpe_50k.json"), vocabularies.PATTERN)
     return op3.pack(cut)
@@ -56,6 +61,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op1_toxicity": op1_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op8_byte_bpe": op8_byte_bpe,
