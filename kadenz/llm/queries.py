@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from kadenz.llm import bpe as op8
 from kadenz.llm import exact_dedup as op6
+from kadenz.llm import html_extract as op7
 from kadenz.llm import near_dedup as op2
 from kadenz.llm import packing as op3
 from kadenz.llm import substring_dedup as op4
 from kadenz.llm import toxicity as op1
+from kadenz.llm import url_filter as op10
 from kadenz.session import ship, table
 
 
@@ -60,7 +62,18 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op7.extract(_table(spark, sf_dir, "pages"), columns=["page_id", "url"])
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10.url_filter(_table(spark, sf_dir, "pages"), columns=["page_id"])
+
+
 QUERIES = {
+    "op7_html_extraction": op7_html_extraction,
+    "op10_url_filter": op10_url_filter,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op1_toxicity": op1_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
@@ -76,6 +89,7 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL = {
+    "op10_url_filter": op10.oracle(),
     "op4_substring_dedup": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
         p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d WHERE len(ws) >= 20),
