@@ -40,10 +40,13 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared one, the job would stop with an error instead of giving a wrong result.
     """
     text = normalised(F.col(text_col))
+    # blocks first, then the explode: what stands beside a generator is worked out for each of its rows
     cut = docs.select(
         F.col(id_col).alias("__id"), F.xxhash64(text).alias("__tag"), F.length(text).alias("__len"),
-        F.posexplode_outer(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), 0)).alias("__pos", "__block"),
-    ).withColumns({"__pos": F.coalesce("__pos", F.lit(0)), "__block": F.coalesce("__block", F.lit(""))})
+        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), 0).alias("__blocks"),
+    )
+    cut = cut.select("__id", "__tag", "__len", F.posexplode_outer("__blocks").alias("__pos", "__block"))
+    cut = cut.withColumns({"__pos": F.coalesce("__pos", F.lit(0)), "__block": F.coalesce("__block", F.lit(""))})
     hashed = {"__h1": F.xxhash64("__block"), "__h2": F.xxhash64(F.lit(1), "__block")}
     names = _named(cut.select("__block").distinct().withColumns(hashed), ["__block"], "block-names")
     found = cut.withColumns(hashed).drop("__block").join(names, ["__h1", "__h2"])
