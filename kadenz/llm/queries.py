@@ -6,6 +6,7 @@ import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kadenz.llm import ann as op5
 from kadenz.llm import bpe as op8
 from kadenz.llm import exact_dedup as op6
 from kadenz.llm import html_extract as op7
@@ -62,6 +63,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5.nearest(_table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = op7.extract(_table(spark, sf_dir, "pages"), columns=["page_id", "url"])
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -72,6 +77,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op7_html_extraction": op7_html_extraction,
     "op10_url_filter": op10_url_filter,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
