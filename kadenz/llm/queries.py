@@ -10,6 +10,7 @@ from kadenz.llm import ann as op5
 from kadenz.llm import bpe as op8
 from kadenz.llm import exact_dedup as op6
 from kadenz.llm import html_extract as op7
+from kadenz.llm import lm_score as op9
 from kadenz.llm import near_dedup as op2
 from kadenz.llm import packing as op3
 from kadenz.llm import substring_dedup as op4
@@ -72,11 +73,18 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = op9.held_out(F.col("doc_id"))
+    out = op9.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), ~held, columns=["doc_id"])
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.url_filter(_table(spark, sf_dir, "pages"), columns=["page_id"])
 
 
 QUERIES = {
+    "op9_lm_scoring": op9_lm_scoring,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op7_html_extraction": op7_html_extraction,
     "op10_url_filter": op10_url_filter,
