@@ -90,3 +90,7 @@ def test_lower_bound_counts_large_sizes():
     counts = np.zeros(11, np.int64)
     counts[4] = 6
     assert packing.lower_bound(counts, 10) == 3
+
+
+def test_ranks_are_those_of_the_rank_file():
+    assert packing.ranks_of(P.path("byte_bpe_50k.json")) == bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
