@@ -30,7 +30,7 @@ ANCHOR = 8
 #: Rows with a null id sort before all others.
 NULL_ID = -(1 << 63)
 PACKED = "bucket int, ids binary, tags binary, sizes binary, pos binary, h1 binary, h2 binary"
-FLAGS = "__id long, __tag long, pos binary"
+FLAGS = "__id long, __tag int, found binary"
 
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
@@ -44,7 +44,7 @@ class Batch:
 
     def __init__(self, batch, cache: W.WordHashes):
         self.ids = np.array(W.column(batch, "__id"), np.int64)
-        self.tags = np.array(W.column(batch, "__tag"), np.int64)
+        self.tags = np.array(W.column(batch, "__tag"), np.int32)
         parts = [W.hashes(W.split(t), cache) for t in W.column(batch, "__text")]
         self.sizes = np.array([len(p) for p in parts], np.int64)
         self.words = np.concatenate(parts) if parts else np.empty(0, np.uint64)
@@ -128,29 +128,50 @@ def _unpack(table: pa.Table, kind) -> dict[str, np.ndarray]:
         return np.frombuffer(b"".join(table.column(name).to_pylist()), dtype)
 
     sizes = joined("sizes", np.int32)
-    return {"ids": np.repeat(joined("ids", np.int64), sizes), "tags": np.repeat(joined("tags", np.int64), sizes), "pos": joined("pos", np.int32), "h1": joined("h1", kind), "h2": joined("h2", np.uint64)}
-
-
-def _flagged(ids: np.ndarray, tags: np.ndarray, pos: np.ndarray) -> pa.Table:
-    """One row per document with its positions."""
-    order = np.lexsort((pos, tags, ids))
-    ids, tags, pos = ids[order], tags[order], pos[order].astype(np.int32)
+    return {"ids": np.repeat(joined("ids", np.int64), sizes), "tags": np.repeat(joined("tags", np.int32), sizes), "pos": joined("pos", np.int32), "h1": joined("h1", kind), "h2": joined("h2", np.uint64)}
+
+
+def _flagged(ids: np.ndarray, tags: np.ndarray, pos: np.ndarray, buckets: int) -> pa.Table:
+    """Positions packed again, this time by the documents' buckets. They are fewer bytes, so a quarter of the buckets do."""
+    buckets = -(-buckets // 4)
+    dealt = (W.mix(ids.view(np.uint64) ^ tags.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((pos, tags, ids, dealt))
+    dealt, ids, tags, pos = dealt[order], ids[order], tags[order], pos[order].astype(np.int32)
+    rows = []
+    for part in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(dealt)) + 1):
+        if len(part):
+            i, t = ids[part], tags[part]
+            first = np.concatenate([[0], np.flatnonzero((np.diff(i) != 0) | (np.diff(t) != 0)) + 1])
+            sizes = np.diff(np.append(first, len(part))).astype(np.int32)
+            rows.append({"bucket": int(dealt[part[0]]), "ids": i[first].tobytes(), "tags": t[first].tobytes(), "sizes": sizes.tobytes(), "pos": pos[part].tobytes(), "h1": b"", "h2": b""})
+    return pa.Table.from_batches([_rows(rows)])
+
+
+def by_document(table: pa.Table) -> pa.Table:
+    """One row per document of a bucket, with its positions in order."""
+    e = _unpack(table, np.uint32)
+    order = np.lexsort((e["pos"], e["tags"], e["ids"]))
+    ids, tags, pos = e["ids"][order], e["tags"][order], e["pos"][order]
     cuts = np.flatnonzero((np.diff(ids) != 0) | (np.diff(tags) != 0)) + 1
-    heads = np.concatenate([[0], cuts]).astype(np.int64) if len(ids) else np.empty(0, np.int64)
-    return pa.table({"__id": pa.array(ids[heads], pa.int64()), "__tag": pa.array(tags[heads], pa.int64()), "pos": W.binary(np.split(pos, cuts) if len(ids) else [])})
+    heads = np.concatenate([[0], cuts]).astype(np.int64)
+    return pa.table({"__id": pa.array(ids[heads], pa.int64()), "__tag": pa.array(tags[heads], pa.int32()), "found": W.binary(np.split(pos, cuts))})
 
 
-def repeated_anchors(table: pa.Table) -> pa.Table:
+def repeated_anchors(buckets: int):
     """Positions of the anchors of a bucket that occur twice or more. A chance hit of the short hash only costs work."""
-    e = _unpack(table, np.uint32)
-    if table.column("bucket")[0].as_py() < 0:
-        return _flagged(e["ids"], e["tags"], e["pos"])
-    key = e["h1"] >> np.uint32(1)
-    _, group, size = np.unique(key, return_inverse=True, return_counts=True)
-    known = np.zeros(len(size), bool)
-    known[group[(e["h1"] & np.uint32(1)) > 0]] = True
-    hit = (size[group] > 1) | known[group]
-    return _flagged(e["ids"][hit], e["tags"][hit], e["pos"][hit])
+
+    def run(table: pa.Table) -> pa.Table:
+        e = _unpack(table, np.uint32)
+        if table.column("bucket")[0].as_py() < 0:
+            return _flagged(e["ids"], e["tags"], e["pos"], buckets)
+        key = e["h1"] >> np.uint32(1)
+        _, group, size = np.unique(key, return_inverse=True, return_counts=True)
+        known = np.zeros(len(size), bool)
+        known[group[(e["h1"] & np.uint32(1)) > 0]] = True
+        hit = (size[group] > 1) | known[group]
+        return _flagged(e["ids"][hit], e["tags"][hit], e["pos"][hit], buckets)
+
+    return run
 
 
 def windows(window: int, buckets: int):
@@ -163,10 +184,9 @@ def windows(window: int, buckets: int):
             b = Batch(batch, cache)
             mark = np.zeros(len(b.words) + 1, np.int64)
             for d, found in enumerate(W.column(batch, "found")):
-                for x in found:
-                    p = np.frombuffer(x, np.int32).astype(np.int64)
-                    np.add.at(mark, b.starts[d] + np.maximum(0, p - period + 1), 1)
-                    np.add.at(mark, b.starts[d] + np.minimum(b.sizes[d], p + 1), -1)
+                p = np.frombuffer(found, np.int32).astype(np.int64)
+                np.add.at(mark, b.starts[d] + np.maximum(0, p - period + 1), 1)
+                np.add.at(mark, b.starts[d] + np.minimum(b.sizes[d], p + 1), -1)
             at = b.inside(window)
             at = at[np.cumsum(mark)[at] > 0]
             if not len(at):
@@ -185,22 +205,24 @@ def windows(window: int, buckets: int):
     return run
 
 
-def later_windows(table: pa.Table) -> pa.Table:
+def later_windows(buckets: int):
     """Of the equal windows of a bucket, all that do not start first."""
-    e = _unpack(table, np.uint64)
-    if table.column("bucket")[0].as_py() < 0:
-        return _flagged(e["ids"], e["tags"], e["pos"])
-    order = np.lexsort((e["pos"], e["ids"], e["h2"], e["h1"]))
-    h1, h2, ids, pos = (e[c][order] for c in ("h1", "h2", "ids", "pos"))
-    if not len(ids):
-        return _flagged(ids, e["tags"][order], pos)
-    group, _ = _groups(order, (np.diff(h1) != 0) | (np.diff(h2) != 0))
-    head = np.searchsorted(group, group)
-    later = (ids != ids[head]) | (pos != pos[head])
-    return _flagged(ids[later], e["tags"][order][later], pos[later])
-
-
-def removed(window: int, names: list[str], schema: pa.Schema):
+
+    def run(table: pa.Table) -> pa.Table:
+        e = _unpack(table, np.uint64)
+        if table.column("bucket")[0].as_py() < 0:
+            return _flagged(e["ids"], e["tags"], e["pos"], buckets)
+        order = np.lexsort((e["pos"], e["ids"], e["h2"], e["h1"]))
+        h1, h2, ids, tags, pos = (e[c][order] for c in ("h1", "h2", "ids", "tags", "pos"))
+        group, _ = _groups(order, (np.diff(h1) != 0) | (np.diff(h2) != 0))
+        head = np.searchsorted(group, group)
+        later = (ids != ids[head]) | (pos != pos[head])
+        return _flagged(ids[later], tags[later], pos[later], buckets)
+
+    return run
+
+
+def removed(window: int, names: list[str], tidy: bool):
     """Replaces the text by its kept words, and adds the counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,14 +231,13 @@ def removed(window: int, names: list[str], schema: pa.Schema):
             for text, found in zip(W.column(batch, "__text"), W.column(batch, "found"), strict=True):
                 ws = W.split(text)
                 cover = np.zeros(len(ws) + 1, np.int64)
-                for x in found or ():
-                    p = np.frombuffer(x, np.int32).astype(np.int64)
-                    np.add.at(cover, p, 1)
-                    np.add.at(cover, np.minimum(len(ws), p + window), -1)
+                p = np.frombuffer(found or b"", np.int32).astype(np.int64)
+                np.add.at(cover, p, 1)
+                np.add.at(cover, np.minimum(len(ws), p + window), -1)
                 out = np.cumsum(cover[:-1]) > 0
                 n = int(out.sum())
                 kept = [w for w, x in zip(ws, out.tolist(), strict=True) if not x] if n else ws
-                texts.append(b" ".join(kept).decode())
+                texts.append(b" ".join(kept).decode() if tidy or n else text or "")
                 total.append(len(ws))
                 gone.append(n)
             made = {"__kept": pa.array(texts, pa.string()), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64())}
@@ -225,10 +246,11 @@ def removed(window: int, names: list[str], schema: pa.Schema):
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, tidy: bool = True) -> DataFrame:
     """Removes each word that lies in a window whose words also start earlier; adds n_words and n_removed.
 
-    The text becomes its kept words, joined by one space. Earlier means a smaller id, or the same id and an
+    The text becomes its kept words, joined by one space; unless tidy, a text that loses nothing stays as it is.
+    Earlier means a smaller id, or the same id and an
     earlier start; windows are judged on the input. Other columns stay; input columns named n_words or
     n_removed are replaced.
 
@@ -237,24 +259,24 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     an equal window at the same start of both is not earlier in either. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rest = [c for c in docs.columns if c not in (id_col, text_col, "n_words", "n_removed")]
     held = {f"__c{i}": c for i, c in enumerate(rest)}
     base = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__id"), F.xxhash64(text_col).alias("__tag"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__id"), F.hash(text_col).alias("__tag"),
         F.col(text_col).alias("__text"), *[F.col(f"`{c}`").alias(h) for h, c in held.items()],
     )
     slim = base.select("__id", "__tag", "__text")
-    first = slim.mapInArrow(anchors(window, buckets), PACKED).groupBy("bucket").applyInArrow(repeated_anchors, FLAGS)
+    first = slim.mapInArrow(anchors(window, buckets), PACKED).groupBy("bucket").applyInArrow(repeated_anchors(buckets), PACKED)
     spread = base.repartition("__id", "__tag")  # one shuffle of the texts serves both joins
-    found = first.groupBy("__id", "__tag").agg(F.collect_list("pos").alias("found"))
+    found = first.groupBy("bucket").applyInArrow(by_document, FLAGS)
     second = spread.join(found, ["__id", "__tag"]).select("__id", "__tag", "__text", "found")
-    second = second.mapInArrow(windows(window, buckets), PACKED).groupBy("bucket").applyInArrow(later_windows, FLAGS)
-    out = second.groupBy("__id", "__tag").agg(F.collect_list("pos").alias("found"))
+    second = second.mapInArrow(windows(window, buckets), PACKED).groupBy("bucket").applyInArrow(later_windows(buckets), PACKED)
+    out = second.groupBy("bucket").applyInArrow(by_document, FLAGS)
     ready = spread.join(out, ["__id", "__tag"], "left")
     names = ["__id", "__kept", *held, "n_words", "n_removed"]
     kinds = dict(base.dtypes) | {"__kept": "string", "n_words": "long", "n_removed": "long"}
-    done = ready.mapInArrow(removed(window, names, None), ", ".join(f"`{n}` {kinds[n]}" for n in names))
+    done = ready.mapInArrow(removed(window, names, tidy), ", ".join(f"`{n}` {kinds[n]}" for n in names))
     kind = dict(docs.dtypes)[id_col]
     made = {
         id_col: F.when(F.col("__id") != NULL_ID, F.col("__id")).cast(kind).alias(id_col), text_col: F.col("__kept").alias(text_col),
