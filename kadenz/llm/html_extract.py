@@ -38,9 +38,12 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner sidebar sidenav comment comments commentlist reply replies respond disqus "
     "menu submenu nav navbar navigation navi breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe "
-    "subscription signup login register social share sharing sharebar related recommended recommendations widget widgets toolbar pagination pager hidden skip contentinfo complementary search".split()
+    "subscription signup login register social share sharing sharebar related recommended recommendations widget widgets toolbar pagination pager hidden skip contentinfo complementary search "
+    "responses feedback discussion disclaimer legal copyright".split()
 )
 ARTICLE = frozenset({"article", "main"})
+#: Words that make a header part of the article.
+OWN_HEADER = frozenset("entry post article content story".split())
 
 TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
@@ -121,7 +124,7 @@ class Page:
         off = self.off[self.stack[-1]] or name in DROPPED or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
         if not off and name not in ("html", "body", *ARTICLE):
             parts = {p.lower() for p in PARTS.findall(marks)} if marks.strip() else set()
-            off = bool(parts & MARKS) or not inside and (name == "header" or "header" in parts)
+            off = bool(parts & MARKS) or not inside and not parts & OWN_HEADER and (name == "header" or "header" in parts)
         first = (found.get("class") or "").split()[:1] or [f"#{i}" for i in (found.get("id") or "").split()[:1]]
         self.parent.append(self.stack[-1])
         self.tag.append(name)
