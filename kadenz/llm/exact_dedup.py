@@ -91,8 +91,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     new = ["keep_id", "group_size", "kept"]
     known = stage(identities(docs, id_col, text_col, block), "identities")
-    groups = known.groupBy("__len", "__name").agg(F.max("__id").alias("keep_id"), F.sum("__rows").alias("group_size"))
+    # written, so that the join reads two plain tables and the rows of a hot group can be split over tasks
+    groups = stage(known.groupBy("__len", "__name").agg(F.max("__id").alias("keep_id"), F.sum("__rows").alias("group_size")), "groups")
     verdict = known.join(groups, ["__len", "__name"]).select("__id", F.col("__tag").alias("__vtag"), "keep_id", "group_size")
-    rows = docs.select(*[c for c in columns or docs.columns if c not in new], F.col(id_col).alias("__rid"), F.xxhash64(normalised(F.col(text_col))).alias("__rtag"))
+    keep = [c for c in columns or docs.columns if c not in new]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)], F.col(id_col).alias("__rid"), F.xxhash64(normalised(F.col(text_col))).alias("__rtag"))
     out = rows.join(verdict, F.col("__rid").eqNullSafe(F.col("__id")) & (F.col("__rtag") == F.col("__vtag")))
-    return out.withColumn("kept", F.col("__rid").eqNullSafe(F.col("keep_id"))).drop("__rid", "__rtag", "__id", "__vtag")
+    stays = F.col("__rid").eqNullSafe(F.col("keep_id")).alias("kept")
+    return out.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], "keep_id", "group_size", stays)
