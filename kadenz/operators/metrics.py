@@ -159,3 +159,37 @@ def losses(y: str = "y", h: str = "h") -> dict[str, Column]:
 def over_clusters(per: DataFrame, names: list[str], n: str = "n") -> DataFrame:
     """Null-skipping mean of per-cluster metrics, plain and by the clusters' shares."""
     return per.agg(*[F.avg(m).alias(m) for m in names], *[weighted_mean(F.col(m), F.col(n)).alias(f"{m}_proportional") for m in names])
+
+
+def pearson_p(r: float, n: int) -> float:
+    """Two-sided p of a correlation, for a result of one row: 1 for null r or fewer than three rows."""
+    if r is None or n < 3:
+        return 1.0
+    if abs(r) >= 1:
+        return 0.0
+    return _beta((n - 2) / 2, 0.5, 1 - r * r)
+
+
+def _beta(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function by its continued fraction (Lentz's method)."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) / a
+    f = c = 1.0
+    d = 0.0
+    for i in range(300):
+        m = i // 2
+        if i == 0:
+            term = 1.0
+        elif i % 2 == 0:
+            term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        else:
+            term = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1 / (1 + term * d) if abs(1 + term * d) > 1e-300 else 1e300
+        c = 1 + term / c if abs(c) > 1e-300 else 1e300
+        f *= c * d
+        if i and abs(c * d - 1) < 1e-12:
+            break
+    return front * (f - 1)

@@ -89,3 +89,32 @@ def frechet(a_mean: np.ndarray, a_cov: np.ndarray, b_mean: np.ndarray, b_cov: np
     root = u @ np.diag(np.sqrt(np.maximum(v, 0))) @ u.T
     middle = np.sqrt(np.maximum(np.linalg.eigvalsh(root @ b_cov @ root), 0)).sum()
     return float(((a_mean - b_mean) ** 2).sum() + np.trace(a_cov) + np.trace(b_cov) - 2 * middle)
+
+
+def selected_univariate(df: DataFrame, features: list[str], y: str, percent: float, classes: bool = False) -> list[str]:
+    """The features with the highest F statistics, `percent` of them."""
+    from pyspark.ml.feature import UnivariateFeatureSelector
+
+    s = UnivariateFeatureSelector(featuresCol="features", labelCol=y, selectionMode="percentile")
+    s = s.setFeatureType("continuous").setLabelType("categorical" if classes else "continuous").setSelectionThreshold(percent)
+    return [features[i] for i in s.fit(assembled(df, features)).selectedFeatures]
+
+
+def selected_by_model(df: DataFrame, features: list[str], y: str, penalties: list[float], threshold: float = 1e-5, folds: int = 3, seed: int = 1) -> list[str]:
+    """The features that a linear model keeps, its lasso penalty chosen by cross-validation."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.regression import LinearRegression
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    model = LinearRegression(featuresCol="features", labelCol=y, elasticNetParam=1.0, standardization=True)
+    grid = ParamGridBuilder().addGrid(model.regParam, penalties).build()
+    cv = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=y), numFolds=folds, seed=seed)
+    kept = cv.fit(assembled(df, features)).bestModel.coefficients
+    return [f for f, c in zip(features, kept, strict=True) if abs(c) >= threshold]
+
+
+def synthetic(spark, rows: int, additive: bool = True, seed: int = 0) -> DataFrame:
+    """A table with a known target of standard-normal sources: their sum, or a product and a square."""
+    draws = spark.range(rows).select("id", *[F.randn(seed * 10 + k).alias(f"vision_s{k}") for k in range(4)])
+    a, b, c, d = (F.col(f"vision_s{k}") for k in range(4))
+    return draws.withColumn("y", a + b + c + d if additive else a * b + c * c)

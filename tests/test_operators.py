@@ -211,3 +211,17 @@ def test_streams_give_the_batch_result(spark, tmp_path, form):
     got = {r for r in map(tuple, spark.table(name).collect())}
     strip = lambda s: {tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in s}
     assert strip(got) == strip(want)
+
+
+def test_p_of_a_correlation():
+    assert M.pearson_p(0.5, 10) == pytest.approx(0.141111, abs=1e-5)
+    assert M.pearson_p(0.0, 30) == pytest.approx(1.0, abs=1e-9) and M.pearson_p(None, 9) == 1.0 and M.pearson_p(1.0, 9) == 0.0
+
+
+def test_selection_and_synthetic_tables(spark):
+    df = L.synthetic(spark, 400).withColumn("vision_noise", F.randn(99))
+    cols = ["vision_s0", "vision_s1", "vision_noise"]
+    assert set(L.selected_univariate(df, cols, "y", 0.67)) == {"vision_s0", "vision_s1"}
+    assert set(L.selected_by_model(df, cols, "y", [0.3, 0.2])) == {"vision_s0", "vision_s1"}
+    other = L.synthetic(spark, 50, additive=False).first()
+    assert other.y == pytest.approx(other.vision_s0 * other.vision_s1 + other.vision_s2**2)
