@@ -32,6 +32,10 @@ K, SHARE = 48, 0.45
 SLACK = 4.0
 #: Members up to which a list is paired by a join, and rows of a block of a longer list.
 SHORT, BLOCK = 32, 1024
+#: Ids that may be broadcast, once they are counted.
+BROADCAST = 20_000
+#: Fills short sketches; no value reaches it but by a chance of one in 2^64.
+PAD = np.iinfo(np.int64).max
 SKETCH = "__id long, n long, s1 long, s2 long, sketch array<long>"
 
 
@@ -81,42 +85,68 @@ def _exact(size: int, percent: int):
     return run
 
 
-def _estimate(a: np.ndarray, b: np.ndarray, k: int) -> float:
-    """Similarity by the k smallest values of the union."""
-    both = np.concatenate([a, b])
-    both.sort()
-    union = both[np.concatenate([[True], np.diff(both) != 0])]
-    part = union[: min(k, max(len(a), len(b)) if max(len(a), len(b)) == k else len(union))]
-    common = both[:-1][both[1:] == both[:-1]]
-    return np.searchsorted(common, part[-1], side="right") / len(part)
+def _estimates(a: np.ndarray, others: np.ndarray, k: int, complete: np.ndarray) -> np.ndarray:
+    """Similarity of sketch a to each row of others, by the k smallest values of the union; rows are padded with PAD.
 
+    complete: where neither sketch leaves values out, the whole union counts."""
+    both = np.sort(np.concatenate([np.broadcast_to(a, (len(others), len(a))), others], axis=1), axis=1)
+    twice = np.zeros(both.shape, bool)
+    twice[:, 1:] = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != PAD)
+    rank = np.cumsum(~twice & (both != PAD), axis=1)
+    part = np.where(complete, rank[:, -1], np.minimum(rank[:, -1], k))
+    return (twice & (rank <= part[:, None])).sum(1) / np.maximum(part, 1)
 
-def _blocks(k: int, percent: int, least: float):
-    """Within two blocks of a list: pairs of different components that pass the estimate."""
+
+def _hits(flat: np.ndarray, owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """How many of the values each owner has; flat is sorted."""
+    lo, hi = np.searchsorted(flat, values), np.searchsorted(flat, values, side="right")
+    size = hi - lo
+    at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    return np.bincount(owner[at], minlength=n)
+
+
+def _flat(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    values, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    order = np.argsort(values, kind="stable")
+    return values[order], owner[order]
+
+
+def _blocks(size: int, k: int, percent: int, least: float):
+    """Links between members of two blocks of a list that are in different components, one for each member and component.
+
+    A pair is looked at only in the list of its first common value, from rare to frequent. The estimate from the
+    union's sketch filters, and the full sets verify, both for a member against its whole block at once.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        side = np.array(table.column("side").to_pylist())
-        ids, n, comp = (np.array(table.column(c).to_pylist(), np.int64) for c in ("__id", "n", "comp"))
-        sk = table.column("sketch").to_pylist()
+        v = table.column("v")[0].as_py()
         same = table.column("bi")[0].as_py() == table.column("bj")[0].as_py()
-        right = np.flatnonzero(side == (0 if same else 1))
-        left = np.flatnonzero(side == 0)
+        side = np.array(table.column("side").to_pylist())
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if same else 1))
         out: list[tuple[int, int]] = []
         if len(left) and len(right):
-            values = np.concatenate([np.array(sk[r], np.int64) for r in right])
-            owner = np.repeat(np.arange(len(right)), [len(sk[r]) for r in right])
-            order = np.argsort(values, kind="stable")
-            values, owner = values[order], owner[order]
+            ids, n, comp = (np.array(table.column(c).to_pylist(), np.int64) for c in ("__id", "n", "comp"))
+            cache = W.WordHashes()
+            sets = [shingles(t, size, cache) for t in table.column("__text").to_pylist()]
+            entries = [np.array(x, np.int64) for x in table.column("entries").to_pylist()]
+            sketch = np.full((len(sets), k), PAD)
+            for i, s in enumerate(sets):
+                sketch[i, : min(k, len(s))] = s[:k]
+            flat, owner = _flat([sets[r] for r in right])
+            where = [np.flatnonzero(np.isin(e, v))[0] for e in entries]
+            listed, lister = _flat([entries[r] for r in right])
             for x in left:
-                mine = np.array(sk[x], np.int64)
-                lo, hi = np.searchsorted(values, mine), np.searchsorted(values, mine, side="right")
-                hits = np.concatenate([owner[a:b] for a, b in zip(lo, hi, strict=True)])
-                shared = np.bincount(hits, minlength=len(right))
-                y = right[(shared >= max(1, int(SHARE * len(mine) / 2)))]
-                y = y[(comp[y] != comp[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
-                if same:
-                    y = y[ids[y] > ids[x]]
-                out += [(int(ids[x]), int(ids[z])) for z in y if _estimate(mine, np.array(sk[z], np.int64), k) >= least]
+                # rarer values of x's entries that y has as well mean that another list sees the pair
+                before = _hits(listed, lister, entries[x][: where[x]], len(right))
+                fit = (before == 0) & (comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))
+                y = np.flatnonzero(fit & (ids[right] > ids[x])) if same else np.flatnonzero(fit)
+                if len(y):
+                    y = y[_estimates(sketch[x], sketch[right[y]], k, np.maximum(n[right[y]], n[x]) < k) >= least]
+                if len(y):
+                    common = _hits(flat, owner, sets[x], len(right))[y]
+                    y = right[y[100 * common >= percent * (n[x] + n[right[y]] - common)]]
+                    y = y[np.unique(comp[y], return_index=True)[1]]
+                    out += [(int(ids[x]), int(ids[z])) for z in y]
         return pa.table({"a": pa.array([max(o) for o in out], pa.int64()), "b": pa.array([min(o) for o in out], pa.int64())})
 
     return run
@@ -136,7 +166,7 @@ class NearDuplicates:
         self.reps = stage(known.join(reps, ["__id", "s1", "s2", "n"], "left_semi").dropDuplicates(["__id", "s1", "s2", "n"]).select("__id", "n", "sketch"), "representatives")
 
     def lists(self) -> DataFrame:
-        """(v, __id, n, m): entries of the inverted lists; m: retained values that others retain too."""
+        """(v, __id, n, m, f): entries of the inverted lists; m: retained values that others retain too, f: how many retain v."""
         k = F.least(F.col("n"), F.lit(self.k))
         each = self.reps.select("__id", "n", F.explode("sketch").alias("v"))
         often = each.groupBy("v").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
@@ -144,7 +174,7 @@ class NearDuplicates:
         # the values no one else has come first in the order from rare to frequent
         take = k - F.ceil(k * SHARE) + 1 - (k - F.size("l"))
         entries = shared.where(take > 0).select("__id", "n", F.size("l").alias("m"), F.explode(F.slice("l", F.lit(1), take.cast("int"))).alias("e"))
-        return stage(entries.select(F.col("e.v").alias("v"), "__id", "n", "m"), "lists")
+        return stage(entries.select(F.col("e.v").alias("v"), "__id", "n", "m", F.col("e.f").alias("f")), "lists")
 
     def similar_sizes(self, a: str, b: str):
         return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
@@ -177,9 +207,9 @@ class NearDuplicates:
         both = found.join(a, "a").join(b, "b").select("a", "b", "ta", "tb")
         return stage(both.mapInArrow(_exact(self.size, self.percent), "a long, b long").distinct(), "links")
 
-    def pairs_across(self, lists: DataFrame, comps: DataFrame) -> DataFrame:
-        """Candidates between members of a list that are in different components."""
-        named = lists.join(comps.withColumnRenamed("node", "__id"), "__id", "left").withColumn("comp", F.coalesce("component", "__id")).select("v", "__id", "n", "comp")
+    def links_across(self, lists: DataFrame, comps: DataFrame) -> DataFrame:
+        """Links between members of a list that are in different components."""
+        named = lists.join(comps.withColumnRenamed("node", "__id"), "__id", "left").withColumn("comp", F.coalesce("component", "__id")).select("v", "__id", "n", "f", "comp")
         named = stage(named, "named-lists")
         mixed = stage(named.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("g")).where("lo < hi AND g > 2").select("v", "g"), "mixed-lists")  # a list of two is its centre's pair
         open_ = named.join(mixed, "v")
@@ -187,13 +217,16 @@ class NearDuplicates:
         other = short.select("v", F.col("__id").alias("oid"), F.col("n").alias("on"), F.col("comp").alias("ocomp"))
         met = short.join(other, "v").where((F.col("__id") > F.col("oid")) & (F.col("comp") != F.col("ocomp")) & self.similar_sizes("n", "on"))
         near = self.passing(met.select(F.col("__id").alias("a"), F.col("oid").alias("b")).distinct().join(self.tested, ["a", "b"], "left_anti"))
-        long = open_.where(F.col("g") > SHORT).withColumn("nb", F.ceil(F.col("g") / BLOCK)).withColumn("blk", F.pmod(F.xxhash64("__id"), "nb"))
+        long = stage(open_.where(F.col("g") > SHORT), "long-lists").withColumn("nb", F.ceil(F.col("g") / BLOCK)).withColumn("blk", F.pmod(F.xxhash64("__id"), "nb"))
         # each block meets every other block of its list once, as the left or the right side
         long = long.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
         long = long.select("v", "__id", "n", "comp", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), (F.col("blk") > F.col("o")).cast("int").alias("side"))
-        long = long.join(self.reps.select("__id", "sketch"), "__id")
-        far = long.groupBy("v", "bi", "bj").applyInArrow(_blocks(self.k, self.percent, self.least), "a long, b long")
-        return near.unionByName(far.distinct().join(self.tested, ["a", "b"], "left_anti")).distinct()
+        members = long.select("__id").distinct()
+        entries = named.join(members, "__id", "left_semi").groupBy("__id").agg(F.transform(F.sort_array(F.collect_list(F.struct("f", "v"))), lambda e: e.v).alias("entries"))
+        texts = self.texts.join(F.broadcast(members) if members.count() <= BROADCAST else members, "__id", "left_semi").groupBy("__id").agg(F.first("__text").alias("__text"))
+        long = long.join(entries.join(texts, "__id"), "__id")
+        far = long.groupBy("v", "bi", "bj").applyInArrow(_blocks(self.size, self.k, self.percent, self.least), "a long, b long")
+        return self.links(near).unionByName(far)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, k: int = K) -> DataFrame:
@@ -210,7 +243,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     job = NearDuplicates(docs, id_col, text_col, size, percent, k)
     lists = job.lists()
     first = job.links(job.passing(job.pairs_with_centres(lists)))
-    second = job.links(job.pairs_across(lists, components(first)))
+    second = job.links_across(lists, components(first))
     # a repeated id with several texts ties its classes together
     same = job.all.where("n > 0").join(job.classes, ["s1", "s2", "n"]).where("__id <> rep").select(F.col("__id").alias("a"), F.col("rep").alias("b"))
     dup = job.all.where("__id IS NOT NULL").groupBy("__id").agg(F.count_distinct("s1", "s2", "n").alias("c")).where("c > 1").select(F.col("__id").alias("a"))
