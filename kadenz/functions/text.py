@@ -8,9 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The cleaning chain, in order. Letters, digits and some marks stay, contractions are split, marks spaced.
+#: The last pattern takes the character before a comma; at that point it is a space.
 CLEANING = (
     (r"[^A-Za-z0-9(),!?'`]", " "), (r"'s", " 's"), (r"'ve", " 've"), (r"n't", " n't"), (r"'re", " 're"), (r"'d", " 'd"), (r"'ll", " 'll"),
-    (r",", " , "), (r"!", " ! "), (r"\(", " ( "), (r"\)", " ) "), (r"\?", " ? "), (r"\s{2,}", " "),
+    (r",", " , "), (r"!", " ! "), (r"\(", " ( "), (r"\)", " ) "), (r"\?", " ? "), (r"\s{2,}", " "), (r"., ", " , "),
 )
 
 

@@ -167,9 +167,9 @@ def test_arrays(spark):
 def test_files(spark, tmp_path):
     df = spark.createDataFrame([(1, 0.5), (2, 1.5)], "id int, y double")
     for fold in (0, 1):
-        df.coalesce(1).toPandas().to_csv(tmp_path / f"mosi_sent_{fold}_test.csv", index=False)
-    got = files.read_csv_family(spark, [str(tmp_path / f"mosi_sent_{f}_test.csv") for f in (0, 1)], "id int, y double")
-    assert rows(got.select("id", "dataset", "fold", "split")) == [(1, "mosi", 0, "test"), (1, "mosi", 1, "test"), (2, "mosi", 0, "test"), (2, "mosi", 1, "test")]
+        df.coalesce(1).toPandas().to_csv(tmp_path / f"ds_sent_{fold}_test.csv", index=False)
+    got = files.read_csv_family(spark, [str(tmp_path / f"ds_sent_{f}_test.csv") for f in (0, 1)], "id int, y double")
+    assert rows(got.select("id", "dataset", "fold", "split")) == [(1, "ds", 0, "test"), (1, "ds", 1, "test"), (2, "ds", 0, "test"), (2, "ds", 1, "test")]
     files.write_partitioned(got, str(tmp_path / "wide"), ["dataset", "fold", "split"], "csv")
     assert spark.read.csv(str(tmp_path / "wide"), header=True).count() == 4
     files.write_frames({"a": df}, str(tmp_path / "frames"))
