@@ -1,9 +1,9 @@
 """Byte-level BPE by merge replay over the distinct pieces of a slice of the corpus.
 
 A text is split by the vocabulary's pattern into pieces, and each piece is encoded by itself, so a slice of
-the corpus needs every distinct piece once. All pieces that are new stand in one chain of symbols; an inverted
-index leads from a merge's rank to the positions of its pairs. The merges are replayed in rank order over
-all positions, and each merge looks at its two neighbours only. No shuffle is needed: a slice is what one
+the corpus needs every distinct piece once. All pieces that are new stand in one array of symbols; an inverted
+index leads from a pair's rank to its positions. The merges are replayed in rank order, each at all of its
+positions at once, and only the neighbours of merged pairs are looked at again. No shuffle is needed: a slice is what one
 task reads, and its results are kept, up to a bound, for the task's later rows.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,8 @@ from pyspark.sql import DataFrame
 from kadenz.llm import words as W
 
 #: Pieces whose ids a task remembers, and characters of a slice.
-REMEMBERED = 250_000
-SLICE = 1_000_000
+REMEMBERED = 150_000
+SLICE = 3_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -31,63 +32,101 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def replay(pieces: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
+class Merges:
+    """Rank of each pair of tokens that merges, as sorted keys; ids and ranks are the same numbers."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        pairs = sorted((ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks)
+        self.keys = np.array([k for k, _ in pairs], np.int64)
+        self.made = np.array([r for _, r in pairs], np.int64)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair, -1 where it does not merge."""
+        if not len(self.keys):
+            return np.full(len(a), -1)
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.made[at], -1)
+
+
+def _apart(at: list[int], after: np.ndarray) -> list[int]:
+    """Of positions in order, those whose pair does not overlap the one taken before."""
+    out, barred = [], -1
+    for i in at:
+        if i != barred:
+            out.append(i)
+            barred = int(after[i])
+    return out
+
+
+def _filed(index: dict[int, list], positions: np.ndarray, ranks: np.ndarray) -> list[int]:
+    """Adds positions to the index under their ranks; the ranks that are new there."""
+    new: list[int] = []
+    if not len(ranks):
+        return new
+    order = np.argsort(ranks, kind="stable")
+    positions, ranks = positions[order], ranks[order]
+    heads = np.concatenate([[0], np.flatnonzero(np.diff(ranks)) + 1]).tolist()
+    for a, b in zip(heads, [*heads[1:], len(ranks)], strict=True):
+        r = int(ranks[a])
+        if r not in index:
+            index[r] = []
+            new.append(r)
+        index[r].append(positions[a:b])
+    return new
+
+
+def replay(pieces: list[bytes], merges: Merges) -> list[np.ndarray]:
     """Ids of each piece. A piece that is a token is that token; else pairs merge, lowest rank and leftmost first."""
-    out: list[list[int]] = [[] for _ in pieces]
-    sym: list[bytes | None] = []
-    after: list[int] = []
-    before: list[int] = []
-    heads: list[tuple[int, int]] = []
-    index: dict[int, list[int]] = {}
+    out: list = [None] * len(pieces)
+    todo = []
     for k, piece in enumerate(pieces):
-        if piece in ranks:
-            out[k] = [ranks[piece]]
-            continue
-        n, first = len(piece), len(sym)
-        if not n:
-            continue
-        heads.append((k, first))
-        sym.extend(piece[i : i + 1] for i in range(n))
-        after.extend(range(first + 1, first + n))
-        after.append(-1)
-        before.append(-1)
-        before.extend(range(first, first + n - 1))
-        for i in range(n - 1):
-            r = ranks.get(piece[i : i + 2])
-            if r is not None:
-                index.setdefault(r, []).append(first + i)
-    queue = list(index)
+        whole = merges.ranks.get(piece)
+        if whole is None and piece:
+            todo.append(k)
+        else:
+            out[k] = np.array([] if whole is None else [whole], np.int64)
+    if not todo:
+        return out
+    sizes = np.array([len(pieces[k]) for k in todo], np.int64)
+    ends = np.cumsum(sizes)
+    sym = merges.single[np.frombuffer(b"".join(pieces[k] for k in todo), np.uint8)]
+    n = len(sym)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    after[ends - 1], before[ends - sizes] = -1, -1
+    # rank of the pair that begins at each position; the index holds the positions of each rank
+    pair = np.full(n, -1)
+    inner = np.flatnonzero(after >= 0)
+    pair[inner] = merges.rank(sym[inner], sym[inner + 1])
+    there = np.flatnonzero(pair >= 0)
+    index: dict[int, list] = {}
+    queue = _filed(index, there, pair[there])
     heapq.heapify(queue)
     while queue:
         r = heapq.heappop(queue)
-        for i in sorted(index.pop(r, ())):
-            a = sym[i]
-            j = after[i] if a is not None else -1
-            if j < 0 or ranks.get(a + sym[j]) != r:
-                continue  # a neighbour has merged since
-            a = sym[i] = a + sym[j]
-            sym[j] = None
-            j = after[i] = after[j]
-            if j >= 0:
-                before[j] = i
-                new = ranks.get(a + sym[j])
-                if new is not None:
-                    if new not in index:
-                        index[new] = []
-                        heapq.heappush(queue, new)
-                    index[new].append(i)
-            h = before[i]
-            if h >= 0:
-                new = ranks.get(sym[h] + a)
-                if new is not None:
-                    if new not in index:
-                        index[new] = []
-                        heapq.heappush(queue, new)
-                    index[new].append(h)
-    for k, i in heads:
-        while i >= 0:
-            out[k].append(ranks[sym[i]])
-            i = after[i]
+        found = index.pop(r)
+        at = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+        at = at[pair[at] == r]  # else a neighbour has merged since
+        if len(at) > 1 and (after[at[:-1]] == at[1:]).any():
+            at = np.array(_apart(at.tolist(), after), np.int64)
+        if not len(at):
+            continue
+        gone = after[at]
+        beyond = after[gone]
+        sym[at], sym[gone], pair[at], pair[gone], after[at] = r, -1, -1, -1, beyond
+        right = beyond >= 0
+        before[beyond[right]] = at[right]
+        left = before[at]
+        touched = np.unique(np.concatenate([at[right], left[left >= 0]]))
+        new = merges.rank(sym[touched], sym[after[touched]])
+        pair[touched] = new
+        for x in _filed(index, touched[new >= 0], new[new >= 0]):
+            heapq.heappush(queue, x)
+    living = np.flatnonzero(sym >= 0)
+    for k, part in zip(todo, np.split(sym[living], np.searchsorted(living, ends)[:-1]), strict=True):
+        out[k] = part
     return out
 
 
@@ -95,18 +134,24 @@ class Encoder:
     """Ids of texts, as little-endian unsigned 32-bit integers."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.split, self.known = ranks, regex.compile(pattern).findall, {}
+        self.merges, self.split, self.known = Merges(ranks), regex.compile(pattern).findall, {}
 
     def slice(self, texts: list[str]) -> list[bytes]:
         parts = [self.split(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = sorted({p for ps in parts for p in ps} - self.known.keys())
-        for p, ids in zip(new, replay([p.encode() for p in new], self.ranks), strict=True):
-            self.known[p] = np.array(ids, "<u4").tobytes()
+        new = list({p for ps in parts for p in ps} - self.known.keys())
+        for p, ids in zip(new, replay([p.encode() for p in new], self.merges), strict=True):
+            self.known[p] = ids.astype("<u4").tobytes()
         return [b"".join(map(self.known.__getitem__, ps)) for ps in parts]
 
 
+@lru_cache(maxsize=2)
+def _encoder(raw: bytes, pattern: str) -> Encoder:
+    """A Python worker keeps its encoder for the tasks that follow."""
+    return Encoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a}, pattern)
+
+
 def sliced(texts: list[str | None], size: int = SLICE) -> Iterator[list[str]]:
     """Consecutive texts of about `size` characters together; null counts as empty."""
     part, n = [], 0
@@ -147,8 +192,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     place = [c for c in docs.columns if c != out_col].index(text_col)
 
     def run():
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a}
-        encoder = Encoder(ranks, pattern)
+        encoder = _encoder(raw, pattern)
         return lambda b: [x for part in sliced(W.column(b, f"__k{place}")) for x in encoder.slice(part)]
 
     return _with(docs, out_col, run)
