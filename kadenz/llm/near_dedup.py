@@ -31,7 +31,7 @@ K, SHARE = 48, 0.45
 #: Standard deviations that an estimate may lie below the threshold.
 SLACK = 4.0
 #: Members up to which a list is paired by a join, and rows of a block of a longer list.
-SHORT, BLOCK = 32, 1024
+SHORT, BLOCK = 32, 4096
 #: Ids that may be broadcast, once they are counted.
 BROADCAST = 20_000
 #: Fills short sketches; no value reaches it but by a chance of one in 2^64.
@@ -201,7 +201,8 @@ class NearDuplicates:
         """Of distinct candidate pairs, those that hold on the full sets."""
         found = stage(pairs, "candidates")
         ids = stage(found.select(F.col("a").alias("__id")).unionByName(found.select(F.col("b").alias("__id"))).distinct(), "candidate-ids")
-        texts = self.texts.join(ids, "__id", "left_semi").repartition("__id")
+        # written, so that both joins read plain tables and the pairs of a hot document can be split over tasks
+        texts = stage(self.texts.join(ids, "__id", "left_semi"), "candidate-texts")
         a = texts.select(F.col("__id").alias("a"), F.col("__text").alias("ta"))
         b = texts.select(F.col("__id").alias("b"), F.col("__text").alias("tb"))
         both = found.join(a, "a").join(b, "b").select("a", "b", "ta", "tb")
