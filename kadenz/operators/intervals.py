@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kadenz.operators.joins import overlaps
-from kadenz.operators.stats import median_step
 
 
 def segments(df: DataFrame, active: str, keys: list[str], t: str = "t", last_on: bool = False) -> DataFrame:
@@ -67,6 +66,3 @@ def event_rate(segs: DataFrame, spans: DataFrame, key: str = "rec_id", least: fl
 def masked(df: DataFrame, columns: list[str], keep) -> DataFrame:
     """Columns become null where `keep` is false or null."""
     return df.withColumns({c: F.when(F.coalesce(keep, F.lit(False)), F.col(c)) for c in columns})
-
-
-__all__ = ["segments", "longer", "merged_pauses", "pauses", "event_rate", "masked", "median_step"]

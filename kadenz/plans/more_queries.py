@@ -15,7 +15,7 @@ from kadenz.operators import stats as S
 from kadenz.operators import tables as P
 from kadenz.plans import views as V
 from kadenz.plans.metric_queries import grid
-from kadenz.plans.registry import query, r6, rounded
+from kadenz.plans.registry import query, rounded
 from kadenz.plans.time_queries import series_of
 from kadenz.session import ship, table
 from kadenz.streaming import windows as Z

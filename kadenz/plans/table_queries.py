@@ -12,7 +12,7 @@ from kadenz.operators import models as L
 from kadenz.operators import stats as S
 from kadenz.operators import tables as P
 from kadenz.plans import views as V
-from kadenz.plans.registry import query, r6, rounded
+from kadenz.plans.registry import query, rounded
 from kadenz.session import table
 
 EN = "lang = 'en'"
