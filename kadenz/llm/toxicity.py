@@ -41,9 +41,7 @@ class Fold(dict):
         c = chr(code)
         low = unicodedata.normalize("NFKC", c.lower())
         out = "".join(HOMOGLYPHS.get(x, DIGITS.get(x, x)) for x in low if not unicodedata.combining(x))
-        if not out:  # a mark of its own vanishes
-            out = ""
-        elif not all(x.isalnum() for x in out):
+        if not all(x.isalnum() for x in out):  # a mark of its own is empty, and vanishes
             out = " "
         self[code] = out
         return out
