@@ -49,8 +49,8 @@ class Batch:
         self.sizes = np.array([len(p) for p in parts], np.int64)
         self.words = np.concatenate(parts) if parts else np.empty(0, np.uint64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.doc = np.repeat(np.arange(len(parts)), self.sizes)
-        self.pos = np.arange(len(self.words)) - self.starts[self.doc] if len(self.words) else np.empty(0, np.int64)
+        self.doc = np.repeat(np.arange(len(parts), dtype=np.int32), self.sizes)
+        self.pos = np.concatenate([np.arange(n, dtype=np.int32) for n in self.sizes.tolist()]) if parts else np.empty(0, np.int32)
 
     def inside(self, m: int) -> np.ndarray:
         """Positions where m words of one document begin."""
@@ -182,13 +182,13 @@ def windows(window: int, buckets: int):
         cache = W.WordHashes()
         for k, batch in enumerate(batches):
             b = Batch(batch, cache)
-            mark = np.zeros(len(b.words) + 1, np.int64)
+            mark = np.zeros(len(b.words) + 1, np.int32)
             for d, found in enumerate(W.column(batch, "found")):
                 p = np.frombuffer(found, np.int32).astype(np.int64)
                 np.add.at(mark, b.starts[d] + np.maximum(0, p - period + 1), 1)
                 np.add.at(mark, b.starts[d] + np.minimum(b.sizes[d], p + 1), -1)
             at = b.inside(window)
-            at = at[np.cumsum(mark)[at] > 0]
+            at = at[np.cumsum(mark, dtype=np.int32)[at] > 0]
             if not len(at):
                 continue
             h1, h2 = W.runs(b.words, window)[at], W.runs(b.words, window, W.BASES[1])[at]
