@@ -3,7 +3,8 @@
 Everything is DataFrame operations. A page's links to other hosts become weighted host edges. Hosts whose pages
 the rules mostly allow are trusted seeds, hosts whose pages they mostly block are distrusted ones. Personalised
 PageRank carries trust forward along the edges from the first and distrust backward from the second, and a
-host whose distrust outweighs its trust is blocked. Pages without a rule get their host's verdict.
+host whose distrust outweighs its trust is blocked. Only the proportion of the two counts, so a seed's number of
+links does not matter. Pages without a rule get their host's verdict.
 """
 
 from __future__ import annotations
@@ -18,8 +19,11 @@ from kadenz.llm.staging import stage
 
 #: (verdict, host, path): the rules of the contract.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Share of a host's rank that moves on, rounds, and distrust that is too little to count.
-DAMPING, ROUNDS, LEAST = 0.85, 10, 0.001
+#: Share of a host's rank that moves on; the largest change of a rank, relative to it, at which rounds end; and by
+#: which share distrust must exceed trust, so that sums in another order do not decide.
+DAMPING, TOLERANCE, MARGIN = 0.85, 1e-4, 1e-3
+#: The SQL twin only: its written-out rounds, and distrust that it takes for none. It is right on small graphs.
+ROUNDS, LEAST = 10, 0.001
 #: Hosts of absolute links; relative ones stay on their host and give no edge.
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 
@@ -54,18 +58,23 @@ def host_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, rank): personalised PageRank from seeds (host, s). Hosts without links keep nothing to pass on."""
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, rank): personalised PageRank from seeds (host, s). Hosts without links keep nothing to pass on.
+
+    Ranks only grow. Once no rank grows by more than `tolerance` of itself, no later round does either, since a
+    host's growth comes from its sources' growth of the round before. A host that is reached first grows by all
+    of its rank, so rounds go on until every host within reach has been reached, at any distance.
+    """
     share = edges.join(edges.groupBy("src").agg(F.sum("w").alias("total")), "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p"))
     share = stage(share, "edge-shares")
-    base = stage(seeds.select("host", ((1 - damping) * F.col("s")).alias("rank")), "seeds")
-    rank = base
-    if share.isEmpty():
-        return rank
-    for k in range(rounds):
-        moved = share.join(rank.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (damping * F.col("p") * F.col("rank")).alias("rank"))
-        rank = stage(moved.unionByName(base).groupBy("host").agg(F.sum("rank").alias("rank")), f"rank-{k}")
-    return rank
+    base = stage(seeds.select("host", ((1 - damping) * F.col("s")).alias("rank"), F.lit(0.0).alias("was")), "seeds")
+    rank, change, k = base, 1.0, 0
+    while change > tolerance and not share.isEmpty():
+        moved = share.join(rank.select(F.col("host").alias("src"), "rank"), "src").select(F.col("dst").alias("host"), (damping * F.col("p") * F.col("rank")).alias("rank"), F.lit(0.0).alias("was"))
+        before = rank.select("host", F.lit(0.0).alias("rank"), F.col("rank").alias("was"))
+        rank = stage(moved.unionByName(base).unionByName(before).groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was")), f"rank-{k}")
+        change, k = rank.agg(F.max(F.try_divide(F.col("rank") - F.col("was"), F.col("rank")))).first()[0] or 0.0, k + 1
+    return rank.select("host", "rank")
 
 
 def host_verdicts(judged: DataFrame, edges: DataFrame) -> DataFrame:
@@ -77,7 +86,7 @@ def host_verdicts(judged: DataFrame, edges: DataFrame) -> DataFrame:
     trust = propagate(edges, known.where("a > b").select("host", F.lit(1.0).alias("s"))).withColumnRenamed("rank", "trust")
     distrust = propagate(back, known.where("b > a").select("host", F.lit(1.0).alias("s"))).withColumnRenamed("rank", "distrust")
     both = trust.join(distrust, "host", "full").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
-    blocked = (F.col("distrust") > LEAST) & (F.col("distrust") > F.col("trust"))
+    blocked = F.col("distrust") > (1 + MARGIN) * F.col("trust")
     return both.withColumn("host_verdict", F.when(blocked, "block").otherwise("allow"))
 
 
@@ -101,7 +110,7 @@ def url_filter(pages: DataFrame, url_col: str = "url", html_col: str = "html", r
 
 
 def oracle(rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS) -> str:
-    """The same in DuckDB SQL, with the rounds written out."""
+    """The same in DuckDB SQL, with the rounds written out: hosts up to `rounds` links from a seed, distrust above LEAST."""
     low = lambda c: f"translate({c}, '{ascii_uppercase}', '{ascii_lowercase}')"
     fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for v, h, p in sorted(rules, key=lambda r: -len(r[1] + r[2]))]
     case = lambda k: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[k]}'" for f in fits) + " END"

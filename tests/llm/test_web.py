@@ -78,3 +78,16 @@ def test_trust_spreads_over_links(spark):
     want = con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({U.oracle()})").fetchall()
     assert sorted(map(str, want)) == sorted(str((r.page_id, r.host, r.path, r.rule, r.verdict)) for r in out)
     assert U.url_filter(pages.where("false")).count() == 0
+
+
+def test_large_farms_and_long_chains_are_blocked(spark):
+    """More linkers than an absolute cut-off lets through, and hosts further away than a fixed number of rounds reaches."""
+    a = lambda h: f'<a href="https://{h}/x">'
+    rows = [("http://bad.com/de/1", ""), ("http://good.org/", a("friend.net")), ("http://friend.net/", a("bad.com"))]
+    rows += [(f"http://farm{i}.net/", a("bad.com")) for i in range(300)]
+    rows += [("http://chain0.net/", a("farm0.net"))] + [(f"http://chain{i}.net/", a(f"chain{i - 1}.net")) for i in range(1, 14)]
+    rows += [("http://alone.net/", a("nowhere.net"))]
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id int, url string, html string")
+    got = {r.host: r.verdict for r in U.url_filter(pages).collect()}
+    allowed = {"good.org", "friend.net", "alone.net"}
+    assert {h for h, v in got.items() if v == "allow"} == allowed and len(got) == len(rows)
