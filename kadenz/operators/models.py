@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,3 +121,31 @@ def synthetic(spark, rows: int, additive: bool = True, seed: int = 0) -> DataFra
     draws = spark.range(rows).select("id", *[F.randn(seed * 10 + k).alias(f"vision_s{k}") for k in range(4)])
     a, b, c, d = (F.col(f"vision_s{k}") for k in range(4))
     return draws.withColumn("y", a + b + c + d if additive else a * b + c * c)
+
+
+def linear_cka(df: DataFrame, vector: str, split: int) -> DataFrame:
+    """(cka): CKA with linear kernels of the first `split` elements against the rest, over all rows.
+
+    The sum of products of two centred gram matrices is the squared Frobenius norm of X'Y over centred columns,
+    so sums over rows replace the pairs. Each task gives one matrix of sums. Null vectors are left out; without
+    rows, or where a half does not vary, the result is null.
+    """
+    v = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"))
+    means = v.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"))
+    middle = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda e: e.m).alias("m"))
+    centred = v.crossJoin(F.broadcast(middle)).select(F.zip_with("v", "m", lambda x, m: x - m).alias("v"))  # one row
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            if b.num_rows:
+                z = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                total = z.T @ z if total is None else total + z.T @ z
+        if total is not None:
+            i, j = np.indices(total.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(total.ravel(), pa.float64())], names=["i", "j", "s"])
+
+    cov = centred.mapInArrow(sums, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+    part = lambda cond: F.sum(F.when(cond, F.col("s") * F.col("s")))
+    left, right = F.col("i") < split, F.col("j") < split
+    return cov.agg(F.try_divide(part(left & ~right), F.sqrt(part(left & right) * part(~left & ~right))).alias("cka"))

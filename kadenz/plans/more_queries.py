@@ -79,7 +79,7 @@ def v4(spark, sf_dir):
 
 @query("v12_cka", "WITH e AS (SELECT vec_id, embedding[1:32]::DOUBLE[] AS x, embedding[33:64]::DOUBLE[] AS y FROM embeddings WHERE vec_id % 50 = 0), p AS (SELECT a.vec_id AS i, b.vec_id AS j, list_inner_product(a.x, b.x) AS k, list_inner_product(a.y, b.y) AS l FROM e a, e b), c AS (SELECT k - avg(k) OVER (PARTITION BY i) - avg(k) OVER (PARTITION BY j) + avg(k) OVER () AS k, l - avg(l) OVER (PARTITION BY i) - avg(l) OVER (PARTITION BY j) + avg(l) OVER () AS l FROM p) SELECT round(sum(k * l) / sqrt(sum(k * k) * sum(l * l)), 6) AS cka FROM c")
 def v12(spark, sf_dir):
-    """Every fiftieth row; the gram matrices are pair frames."""
+    """Every fiftieth id only, as its SQL says, since the gram matrices are pair frames; v12_cka_all_rows has all rows."""
     e = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").withColumn("v", F.col("embedding").cast("array<double>"))
     half = e.select("vec_id", F.slice("v", 1, 32).alias("x"), F.slice("v", 33, 32).alias("y"))
     a, b = half.toDF("i", "xi", "yi"), half.toDF("j", "xj", "yj")
@@ -90,6 +90,13 @@ def v12(spark, sf_dir):
     return rounded(both.agg((F.sum(F.col("k") * F.col("l")) / F.sqrt(F.sum(F.col("k") * F.col("k")) * F.sum(F.col("l") * F.col("l")))).alias("cka")))
 
 
+@query("v12_cka_all_rows", "WITH e AS (SELECT vec_id, embedding[1:32]::DOUBLE[] AS x, embedding[33:64]::DOUBLE[] AS y FROM embeddings), p AS (SELECT a.vec_id AS i, b.vec_id AS j, list_inner_product(a.x, b.x) AS k, list_inner_product(a.y, b.y) AS l FROM e a, e b), c AS (SELECT k - avg(k) OVER (PARTITION BY i) - avg(k) OVER (PARTITION BY j) + avg(k) OVER () AS k, l - avg(l) OVER (PARTITION BY i) - avg(l) OVER (PARTITION BY j) + avg(l) OVER () AS l FROM p) SELECT round(sum(k * l) / sqrt(sum(k * k) * sum(l * l)), 6) AS cka FROM c")
+def v12_all(spark, sf_dir):
+    """All rows without pairs: the SQL twin has them, for comparison on small tables."""
+    ship(spark)
+    return rounded(L.linear_cka(table(spark, sf_dir, "embeddings"), "embedding", 32))
+
+
 @query("v14_rows_by_index", "SELECT event_id, value, event_type FROM events WHERE event_id % 100 < 3")
 def v14(spark, sf_dir):
     return events(spark, sf_dir).where("event_id % 100 < 3").select("event_id", "value", "event_type")

@@ -225,3 +225,15 @@ def test_selection_and_synthetic_tables(spark):
     assert set(L.selected_by_model(df, cols, "y", [0.3, 0.2])) == {"vision_s0", "vision_s1"}
     other = L.synthetic(spark, 50, additive=False).first()
     assert other.y == pytest.approx(other.vision_s0 * other.vision_s1 + other.vision_s2**2)
+
+
+def test_cka_takes_all_rows(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(3, 1, (400, 5))
+    x[:, 3:] += 0.5 * x[:, :2]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(400, None)]
+    df = spark.createDataFrame(rows, "vec_id int, v array<double>").repartition(7)
+    h = np.eye(400) - 1 / 400
+    k, l = (h @ m @ m.T @ h for m in (x[:, :3], x[:, 3:]))  # noqa: E741
+    assert L.linear_cka(df, "v", 3).first()[0] == pytest.approx((k * l).sum() / np.sqrt((k * k).sum() * (l * l).sum()), abs=1e-12)
+    assert L.linear_cka(df.where("false"), "v", 3).first()[0] is None
