@@ -10,6 +10,7 @@ groups grow round by round, but a group only ever holds what its members left op
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -56,18 +57,39 @@ def ranks_of(tokenizer_path: str) -> dict[bytes, int]:
     return {bytes(byte[c] for c in t): i for t, i in tokens.items() if all(c in byte for c in t) and (len(t) == 1 or i <= made[-1])}
 
 
+def added_tokens(tokenizer_path: str) -> dict[str, int]:
+    """Content and id of the tokens that a tokenizer file finds in a text before it splits the rest."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        found = json.load(f).get("added_tokens") or []
+    if odd := [t["content"] for t in found if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]:
+        raise ValueError(f"{tokenizer_path}: added tokens with rules about their neighbours: {odd}")
+    return {t["content"]: t["id"] for t in found if t["content"]}
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32.
 
-    A document is the ids of its text without special tokens, then id END; null text counts as empty, so
-    every row has a piece at least.
+    A document is the ids of its text, then id END; null text counts as empty, so every row has a piece at
+    least. No special tokens are put around a text, but added tokens of the file that stand in it get their ids.
     """
-    ranks = ranks_of(tokenizer_path)
+    ranks, added = ranks_of(tokenizer_path), added_tokens(tokenizer_path)
+    # the longest of those that start at a place; without added tokens a pattern that never fits
+    split = "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) or r"(?!)"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        encode = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        ordinary = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        at_added = re.compile(f"({split})")
+
+        def encode(text: str) -> list[int]:
+            parts = at_added.split(text)
+            ids = ordinary(parts[0])
+            for token, rest in zip(parts[1::2], parts[2::2], strict=True):
+                ids.append(added[token])
+                ids += ordinary(rest)
+            return ids
+
         for batch in batches:
             rows = []
             for d, t in zip(W.column(batch, "__id"), W.column(batch, "__text"), strict=True):

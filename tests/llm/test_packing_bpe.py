@@ -94,3 +94,15 @@ def test_lower_bound_counts_large_sizes():
 
 def test_ranks_are_those_of_the_rank_file():
     assert packing.ranks_of(P.path("byte_bpe_50k.json")) == bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+
+
+def test_added_tokens_in_a_text(spark):
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x  <|endoftext|>  \n<|endoftext", "<|endoftext|>" * 3000, "no token"]
+    rows = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), P.path("byte_bpe_50k.json"), P.PATTERN).collect()
+    want = []
+    for d, t in enumerate(texts):
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, packing.END], "<u4")
+        want += [(d, *r) for r in packing._piece_rows(ids, packing.CAPACITY)]
+    assert sorted(tuple(r) for r in rows) == sorted(want)
+    assert tokenizer.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
