@@ -4,7 +4,8 @@ Texts become pieces of at most `capacity` tokens. Pieces are dealt over partitio
 best-fit decreasing. Dual feasible functions over the partition's size histogram give a lower bound of its
 bin count. Where bins and bound agree the count is certified as least possible; partitions with gaps give up
 the documents of their emptiest bins, exchange them within groups of FAN partitions, and repack them. The
-groups grow round by round, but a group only ever holds what its members left open.
+groups grow round by round, but a group only ever holds what its members left open, and rounds end when groups
+would hold more than OPEN pieces: the open bins then stay as they are.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ END = 0
 #: Pieces of a partition on average, and partitions that exchange with each other.
 PIECES = 50_000
 FAN = 16
+#: Open pieces of a group on average, at most.
+OPEN = 2 * PIECES
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -102,8 +105,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "do
     return docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).mapInArrow(run, PIECE)
 
 
-def lower_bound(counts: np.ndarray, capacity: int) -> int:
-    """Bins that sizes 1..capacity, counts[size] of each, need at least, by two families of dual feasible functions.
+def least_space(counts: np.ndarray, capacity: int) -> int:
+    """Space that sizes 1..capacity, counts[size] of each, need at least, by two families of dual feasible functions.
 
     The first raises sizes above capacity - t to a whole bin, and drops those below t. The second rounds
     size * (k + 1) / capacity down to multiples of capacity / k, but keeps whole multiples.
@@ -114,16 +117,21 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     t = np.arange(capacity // 2 + 1)
     large = total[-1] - total[capacity - t]
     between = weight[capacity - t] - weight[np.maximum(t - 1, 0)]
-    best = int(max(large + -(-between // capacity)))
+    best = int(max(large * capacity + between))
     for k in range(1, 65):
         scaled = sizes * (k + 1)
         whole = scaled % capacity == 0
-        # in units of capacity * k: k * size where whole, else the rounded number of parts times capacity
+        # in units of 1 / k: k * size where whole, else the rounded number of parts times capacity
         value = np.where(whole, sizes * k, scaled // capacity * capacity)
-        best = max(best, int(-(-int((counts * value).sum()) // (capacity * k))))
+        best = max(best, int(-(-int((counts * value).sum()) // k)))
     return best
 
 
+def lower_bound(counts: np.ndarray, capacity: int) -> int:
+    """Bins that these sizes need at least."""
+    return -(-least_space(counts, capacity) // capacity)
+
+
 def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
     """Bin of each item and fill of each bin; lengths fall. The fullest bin that fits is found in a bit set of free sizes."""
     free: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -148,7 +156,7 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
 STATE = f"{PIECE}, grp long, bin long, offset long, open boolean, counts binary, bins long"
 
 
-def _repack(capacity: int, number: int, fan: int, last: bool):
+def _repack(capacity: int, number: int):
     """A round over one group: its open pieces and its members' summaries (rows without a length)."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -168,9 +176,9 @@ def _repack(capacity: int, number: int, fan: int, last: bool):
         old = list(zip(item["grp"][order], item["bin"][order], strict=True))
         length = length[order]
         before = len(set(old)) if number else 0
-        bound = lower_bound(counts, capacity)
+        least = least_space(counts, capacity)
         place, fill = None, []
-        if number == 0 or bins > bound:  # else certified: nothing to gain
+        if number == 0 or bins > -(-least // capacity):  # else certified: nothing to gain
             place, fill = best_fit(length.tolist(), capacity)
         if number and (place is None or len(fill) >= before):
             names = {b: i for i, b in enumerate(dict.fromkeys(old))}
@@ -178,11 +186,11 @@ def _repack(capacity: int, number: int, fan: int, last: bool):
             fill = np.bincount(place, weights=length, minlength=len(names)).astype(int).tolist() if names else []
         bins = len(fill) if number == 0 else bins - before + len(fill)
         place, fill = np.array(place, np.int64), np.array(fill, np.int64)
-        # the emptiest bins stay open, as many as hold the free space that whole bins could be saved from
-        spare = bins * capacity - int((counts * np.arange(capacity + 1)).sum())
+        # the emptiest bins stay open, as many as hold the space beyond what the sizes need; where they need all, none
+        spare = bins * capacity - least
         emptiest = np.argsort(fill, kind="stable")
         room = np.cumsum((capacity - fill)[emptiest])
-        n_open = 0 if last else min(len(fill), int(np.searchsorted(room, spare, side="left")) + 1)
+        n_open = min(len(fill), int(np.searchsorted(room, spare, side="left")) + 1) if spare else 0
         is_open = np.zeros(len(fill), bool)
         is_open[emptiest[:n_open]] = True
         by_bin = np.argsort(place, kind="stable")
@@ -196,7 +204,7 @@ def _repack(capacity: int, number: int, fan: int, last: bool):
         out = {
             "doc_id": pa.array([*pick("doc_id"), None], pa.int64()), "piece": pa.array([*pick("piece"), None], pa.int32()),
             "start": pa.array([*pick("start"), None], pa.int64()), "length": pa.array([*length.tolist(), None], pa.int64()),
-            "ids_crc32": pa.array([*pick("ids_crc32"), None], pa.int64()), "grp": pa.array([grp // fan] * (len(length) + 1), pa.int64()),
+            "ids_crc32": pa.array([*pick("ids_crc32"), None], pa.int64()), "grp": pa.array([grp] * (len(length) + 1), pa.int64()),
             "bin": pa.array([*label.tolist(), None], pa.int64()), "offset": pa.array([*offset.tolist(), None], pa.int64()),
             "open": pa.array([*(is_open[place].tolist() if len(length) else []), True], pa.bool_()),
             "counts": pa.array([*[None] * len(length), counts.tobytes()], pa.binary()), "bins": pa.array([*[None] * len(length), bins], pa.int64()),
@@ -211,7 +219,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECES,
 
     Sequences are filled without gaps from 0. Rows may repeat: each is a piece of its own. A null doc_id is
     packed like any other. An empty table gives an empty result. The pieces of a partition are bounded by
-    per_partition on average; what a group exchanges is bounded by its members' free space.
+    per_partition on average, and what a group exchanges by OPEN; fewer groups than `fan` meet where that is more.
     """
     cut = stage(cut, "pieces")
     parts = max(1, -(-cut.count() // per_partition))
@@ -219,12 +227,17 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECES,
     state = cut.select("*", dealt.cast("long").alias("grp"), F.lit(None).cast("long").alias("bin"), F.lit(None).cast("binary").alias("counts"), F.lit(None).cast("long").alias("bins"))
     done, number = [], 0
     while True:
-        state = stage(state.groupBy("grp").applyInArrow(_repack(capacity, number, fan, parts == 1), STATE), f"packed-{number}")
-        done.append(state.where(F.col("length").isNotNull() & ~F.col("open")))
-        if parts == 1:
+        state = stage(state.groupBy("grp").applyInArrow(_repack(capacity, number), STATE), f"packed-{number}")
+        placed = state.where("length IS NOT NULL")
+        left = placed.where("open").count() if parts > 1 else 0
+        meet = min(fan, OPEN * parts // left) if left else 0
+        if meet < 2:  # one group, nothing open, or too much: all bins are valid as they are
+            done.append(placed)
             break
-        parts, number = -(-parts // fan), number + 1
-        state = state.where("open").select("doc_id", "piece", "start", "length", "ids_crc32", "grp", "bin", "counts", "bins")
+        done.append(placed.where(~F.col("open")))
+        parts, number = -(-parts // meet), number + 1
+        state = state.where("open").withColumn("grp", F.floor(F.col("grp") / meet))
+        state = state.select("doc_id", "piece", "start", "length", "ids_crc32", "grp", "bin", "counts", "bins")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -106,3 +106,32 @@ def test_added_tokens_in_a_text(spark):
         want += [(d, *r) for r in packing._piece_rows(ids, packing.CAPACITY)]
     assert sorted(tuple(r) for r in rows) == sorted(want)
     assert tokenizer.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
+def most_in_a_later_group(monkeypatch, spark, lengths, **sizes):
+    """Result of pack(), and for each round how many pieces its largest group leaves for the next."""
+    cut = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], packing.PIECE)
+    staged = []
+    write = packing.stage
+    monkeypatch.setattr(packing, "stage", lambda df, name: staged.append((name, write(df, name))) or staged[-1][1])
+    rows = packing.pack(cut, **sizes).collect()
+    most = [df.where("length IS NOT NULL").groupBy("grp").count().agg({"count": "max"}).first()[0] for name, df in staged if name.startswith("packed-") and name != "packed-0"]
+    fill = defaultdict(int)
+    for r in rows:
+        assert r.offset == fill[r.sequence_id] or len(set(lengths)) > 1
+        fill[r.sequence_id] += r.length
+    assert sorted((r.doc_id, r.length) for r in rows) == list(enumerate(lengths)) and max(fill.values()) <= packing.CAPACITY
+    return len(fill), most
+
+
+def test_pieces_that_share_no_bin_stay_where_they_are(spark, monkeypatch):
+    bins, most = most_in_a_later_group(monkeypatch, spark, [1100] * 900, per_partition=60, fan=4)
+    assert bins == 900 and most == []
+
+
+def test_groups_of_open_pieces_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(packing, "OPEN", 150)
+    lengths = np.random.default_rng(3).integers(1, 900, 3000).tolist()
+    bins, most = most_in_a_later_group(monkeypatch, spark, lengths, per_partition=60, fan=4)
+    least = packing.lower_bound(np.bincount(lengths, minlength=packing.CAPACITY + 1), packing.CAPACITY)
+    assert most and max(most) <= 2 * 150 and bins <= least + 50
