@@ -41,7 +41,15 @@ MARKS = frozenset(
     "subscription signup login register social share sharing sharebar related recommended recommendations widget widgets toolbar pagination pager hidden skip contentinfo complementary search "
     "responses feedback discussion disclaimer legal copyright".split()
 )
+#: Those of them that mark talk, whose text can be much longer than the article's.
+TALK = frozenset("comment comments commentlist reply replies respond disqus responses feedback discussion".split())
 ARTICLE = frozenset({"article", "main"})
+#: Words that deny or describe the next one, and words for a wrapper of what is named before.
+ASIDE, WRAPPER = frozenset("no not non has have with without".split()), frozenset("wrap wrapper wrapping".split())
+#: Words of a wrapper that holds the article besides the boilerplate it names.
+HOLDS = frozenset("content main page site article post entry story primary".split())
+#: A marked element that leaves less than this share of the page's unlinked text is no boilerplate.
+REST = 0.05
 #: Words that make a header part of the article.
 OWN_HEADER = frozenset("entry post article content story".split())
 
@@ -57,11 +65,24 @@ ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+def marked_words(marks: str) -> set[str]:
+    """Words of a class, id or role, without those that no-sidebar, has-comments or content-sidebar-wrap only mention."""
+    found: set[str] = set()
+    for token in marks.split():
+        parts = [p.lower() for p in PARTS.findall(token)]
+        if WRAPPER.intersection(parts) and HOLDS.intersection(parts):
+            parts = [p for p in parts if p not in MARKS and p != "header"]
+        found |= {p for before, p in zip(["", *parts], parts, strict=False) if before not in ASIDE}
+    return found
+
+
 class Page:
     """Elements of a page (parent, label, tag) and its blocks (element, text, characters in links)."""
 
     def __init__(self, text: str):
         self.parent, self.label, self.tag, self.off = [-1], [""], [""], [False]
+        self.marked: dict[int, bool] = {}  # blocks of HTML with boilerplate marks, and whether they mark talk
+        self.own: set[int] = set()  # articles without such marks
         self.blocks: list[tuple[int, str, int]] = []
         self.stack = [0]
         self.buffer: list[str] = []
@@ -81,6 +102,41 @@ class Page:
                 self._end(m["close"].lower())
         self._text(text[at:])
         self._flush()
+        if self.marked:
+            self._drop_marked()
+
+    def _drop_marked(self) -> None:
+        """Drops the blocks below marked elements, but for elements that hold the article or nearly all of the text."""
+        while True:
+            top: list[int | None] = []
+            held: dict[int, float] = {}
+            in_own: dict[int, float] = {}
+            rest = total = 0.0
+            for node, text, linked in self.blocks:
+                trail = []
+                while node >= 0:
+                    trail.append(node)
+                    node = self.parent[node]
+                k = max((k for k, n in enumerate(trail) if n in self.marked), default=None)
+                top.append(None if k is None else trail[k])
+                worth = max(len(text) - linked, 0)
+                total += worth
+                if k is None:
+                    rest += worth
+                    continue
+                held[trail[k]] = held.get(trail[k], 0.0) + worth
+                # an article in it, with no other mark between; comments are articles too on many pages, but never main
+                below = max((j for j in range(k) if trail[j] in self.marked), default=-1)
+                if any(n in self.own and (self.tag[n] == "main" or not self.marked[trail[k]]) for n in trail[below + 1 : k]):
+                    in_own[trail[k]] = in_own.get(trail[k], 0.0) + worth
+            free = [n for n, w in in_own.items() if w > rest]
+            if not free:
+                free = [n for n, w in held.items() if w > 0 and rest < (0 if self.marked[n] else REST) * total or w > 0 and rest == 0]
+            if not free:
+                self.blocks = [b for b, t in zip(self.blocks, top, strict=True) if t is None]
+                return
+            # plain marks before talk, then the element with the most text
+            del self.marked[max(free, key=lambda n: (not self.marked[n], in_own.get(n, 0.0), held[n], -n))]
 
     def _text(self, raw: str) -> None:
         if raw and not self.off[self.stack[-1]]:
@@ -122,9 +178,17 @@ class Page:
         marks = f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}"
         inside = any(self.tag[n] in ARTICLE for n in self.stack)
         off = self.off[self.stack[-1]] or name in DROPPED or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-        if not off and name not in ("html", "body", *ARTICLE):
-            parts = {p.lower() for p in PARTS.findall(marks)} if marks.strip() else set()
-            off = bool(parts & MARKS) or not inside and not parts & OWN_HEADER and (name == "header" or "header" in parts)
+        parts = marked_words(marks) if marks.strip() else set()
+        if off or name in ("html", "body"):
+            pass
+        elif name in ARTICLE:
+            if not parts & MARKS:
+                self.own.add(len(self.tag))
+        elif parts & MARKS or not inside and not parts & OWN_HEADER and (name == "header" or "header" in parts):
+            if name in BLOCK:
+                self.marked[len(self.tag)] = bool(parts & TALK)
+            else:
+                off = True
         first = (found.get("class") or "").split()[:1] or [f"#{i}" for i in (found.get("id") or "").split()[:1]]
         self.parent.append(self.stack[-1])
         self.tag.append(name)

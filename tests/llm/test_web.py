@@ -91,3 +91,19 @@ def test_large_farms_and_long_chains_are_blocked(spark):
     got = {r.host: r.verdict for r in U.url_filter(pages).collect()}
     allowed = {"good.org", "friend.net", "alone.net"}
     assert {h for h, v in got.items() if v == "allow"} == allowed and len(got) == len(rows)
+
+
+def test_marks_on_a_wrapper_keep_the_article():
+    body = "<h1>Head</h1><p>" + "The article says so. " * 5 + "</p>"
+    want = "Head\n" + " ".join(("The article says so. " * 5).split())
+    talk = '<div class="comments"><ol><li class="comment"><article class="comment-body"><p>' + "I like it. " * 90 + "</p></article></li></ol></div>"
+    side = '<div class="sidebar"><p>Some other text of the site.</p></div>'
+    for wrap in ("content-sidebar-wrap", "site no-sidebar", "post has-comments", "sidebar-layout"):
+        for inner in (f"<article>{body}</article>", f"<div>{body}</div>"):
+            for more in ("", side, talk, side + talk):
+                if wrap == "sidebar-layout" and more and "<article>" not in inner:
+                    continue
+                for page in (f"<body><div class='{wrap}'>{inner}{more}</div></body>", f"<body><div id=nav><a href=x>one</a></div><div class='{wrap}'>{inner}</div>{more}</body>"):
+                    assert H.main_text(page, [])[0] == want, page
+    assert H.main_text(f"<body><div class=post>{body}</div>{talk}</body>", [])[0] == want
+    assert H.main_text(f"<body><div class='comments-wrap'>{body * 9}</div><div class=post>{body}</div></body>", [])[0] == want
