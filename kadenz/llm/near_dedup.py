@@ -28,8 +28,9 @@ from kadenz.llm.staging import stage
 #: Hashes of a sketch, and the share of them that two documents at the threshold have in common at least: with
 #: k = 48 and a similarity of 0.8 fewer than 0.45 * k common ones have a chance below 1e-7.
 K, SHARE = 48, 0.45
-#: Standard deviations that an estimate may lie below the threshold.
-SLACK = 4.0
+#: Standard deviations that an estimate may lie below the threshold: at 0.8 a pair needs 22 of the union's 48 values,
+#: and one at the threshold has fewer with a chance of 3.4e-8. With SHARE's a link is lost with less than 1.4e-7.
+SLACK = 6.0
 #: Members up to which a list is paired by a join, and rows of a block of a longer list.
 SHORT, BLOCK = 32, 4096
 #: Ids that may be broadcast, once they are counted.
@@ -234,7 +235,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id, kept for every row: documents linked by similar shingle sets.
 
     Words are lowered in A-Z only. A link needs 100 * common shingles >= percent * shingles of either, on the
-    full sets (64-bit hashes of shingles). component_id is the smallest id reachable over links, and the row
+    full sets (64-bit hashes of shingles); a pair at 80 percent is missed by its sketches with a chance below
+    1.4e-7, one above it with less. component_id is the smallest id reachable over links, and the row
     with that id is kept.
 
     Null, empty and blank texts have no shingles, are linked with nothing and are kept. A null id takes no

@@ -86,3 +86,13 @@ def test_components_of_a_path_and_a_star(spark):
     random.Random(1).shuffle(edges)
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {i: 400 for i in [*range(400, 470), 500]}
+
+
+def test_an_estimate_far_below_the_threshold_is_verified(spark):
+    """178 of 222 words in common, but 24 of the union's 48 smallest hashes only."""
+    cache = near_dedup.W.WordHashes()
+    words = sorted((f"w{i}" for i in range(222)), key=lambda w: near_dedup.shingles(w, 1, cache)[0])
+    common, left, right = words[:24] + words[48:202], words[24:36] + words[202:212], words[36:48] + words[212:]
+    docs = [(1, " ".join(common + left)), (2, " ".join(common + right))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), size=1).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(docs, 1, 80) == {1: (200, 1), 2: (200, 1)}
