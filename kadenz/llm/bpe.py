@@ -3,8 +3,8 @@
 A text is split by the vocabulary's pattern into pieces, and each piece is encoded by itself, so a slice of
 the corpus needs every distinct piece once. All pieces that are new stand in one array of symbols; an inverted
 index leads from a pair's rank to its positions. The merges are replayed in rank order, each at all of its
-positions at once, and only the neighbours of merged pairs are looked at again. No shuffle is needed: a slice is what one
-task reads, and its results are kept, up to a bound, for the task's later rows.
+positions at once, and only the neighbours of merged pairs are looked at again. No shuffle is needed: a slice is
+what one task reads, and its results are kept, up to a bound, for the task's later rows.
 """
 
 from __future__ import annotations
@@ -13,23 +13,29 @@ import base64
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from kadenz.llm import words as W
-
-#: Pieces whose ids a task remembers, and characters of a slice.
+#: Pieces whose ids a task remembers, characters of a slice, and pieces of a longer text that are looked up at once.
 REMEMBERED = 150_000
-SLICE = 3_000_000
+SLICE = 1_000_000
+CHUNK = 100_000
+#: Ranks, as a power of two, whose positions stand under one key of the index.
+WINDOW = 9
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """A rank file: base64 of a token's bytes and its rank, which is its id, in each line."""
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        return ranks_from(f.read())
+
+
+def ranks_from(raw: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a}
 
 
 class Merges:
@@ -41,6 +47,10 @@ class Merges:
         pairs = sorted((ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks)
         self.keys = np.array([k for k, _ in pairs], np.int64)
         self.made = np.array([r for _, r in pairs], np.int64)
+        # tokens that can stand in a pair of lower rank than their own: equal pairs that make them merge one at a time
+        parts = np.stack([self.keys >> 32, self.keys & 0xFFFFFFFF])
+        self.turns = np.zeros(max(ranks.values()) + 1, bool)
+        self.turns[parts[parts > self.made]] = True
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where it does not merge."""
@@ -61,151 +71,259 @@ def _apart(at: list[int], after: np.ndarray) -> list[int]:
     return out
 
 
-def _filed(index: dict[int, list], positions: np.ndarray, ranks: np.ndarray) -> list[int]:
-    """Adds positions to the index under their ranks; the ranks that are new there."""
-    new: list[int] = []
-    if not len(ranks):
-        return new
-    order = np.argsort(ranks, kind="stable")
-    positions, ranks = positions[order], ranks[order]
-    heads = np.concatenate([[0], np.flatnonzero(np.diff(ranks)) + 1]).tolist()
-    for a, b in zip(heads, [*heads[1:], len(ranks)], strict=True):
-        r = int(ranks[a])
-        if r not in index:
-            index[r] = []
-            new.append(r)
-        index[r].append(positions[a:b])
-    return new
-
-
-def replay(pieces: list[bytes], merges: Merges) -> list[np.ndarray]:
-    """Ids of each piece. A piece that is a token is that token; else pairs merge, lowest rank and leftmost first."""
-    out: list = [None] * len(pieces)
-    todo = []
-    for k, piece in enumerate(pieces):
-        whole = merges.ranks.get(piece)
-        if whole is None and piece:
-            todo.append(k)
-        else:
-            out[k] = np.array([] if whole is None else [whole], np.int64)
-    if not todo:
-        return out
-    sizes = np.array([len(pieces[k]) for k in todo], np.int64)
+class Index:
+    """Positions by the window of their pair's rank, with the windows in order."""
+
+    def __init__(self):
+        self.held: dict[int, list] = {}
+        self.queue: list[int] = []
+
+    def add(self, positions: np.ndarray, ranks: np.ndarray) -> None:
+        if not len(ranks):
+            return
+        order = np.argsort(ranks, kind="stable")
+        positions, window = positions[order], ranks[order] >> WINDOW
+        heads = np.concatenate([[0], np.flatnonzero(np.diff(window)) + 1]).tolist()
+        for a, b in zip(heads, [*heads[1:], len(window)], strict=True):
+            w = int(window[a])
+            if w not in self.held:
+                self.held[w] = []
+                heapq.heappush(self.queue, w)
+            self.held[w].append(positions[a:b])
+
+    def least(self) -> tuple[int, np.ndarray]:
+        w = heapq.heappop(self.queue)
+        found = self.held.pop(w)
+        return w, _distinct(np.concatenate(found) if len(found) > 1 else found[0])
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
+def replay(pieces: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the pieces one after the other, and how many each has.
+
+    A piece that is a token is that token; else pairs merge, lowest rank and leftmost first.
+    """
+    whole = np.array([-1 if p not in merges.ranks else merges.ranks[p] for p in pieces], np.int64)
+    sizes = np.array([len(p) if w < 0 else 1 for p, w in zip(pieces, whole.tolist(), strict=True)], np.int64)
     ends = np.cumsum(sizes)
-    sym = merges.single[np.frombuffer(b"".join(pieces[k] for k in todo), np.uint8)]
-    n = len(sym)
-    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
-    after[ends - 1], before[ends - sizes] = -1, -1
-    # rank of the pair that begins at each position; the index holds the positions of each rank
+    first = (ends - sizes)[whole >= 0]
+    raw = np.frombuffer(b"".join(p if w < 0 else b"\0" for p, w in zip(pieces, whole.tolist(), strict=True)), np.uint8)
+    sym, n = merges.single[raw], len(raw)
+    sym[first] = whole[whole >= 0]
+    piece = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    some = sizes > 0
+    after[ends[some] - 1], before[(ends - sizes)[some]] = -1, -1
+    # rank of the pair that begins at each position; the index holds the positions of each window of ranks
     pair = np.full(n, -1)
-    inner = np.flatnonzero(after >= 0)
+    inner = np.flatnonzero(after >= 0).astype(np.int32)
     pair[inner] = merges.rank(sym[inner], sym[inner + 1])
-    there = np.flatnonzero(pair >= 0)
-    index: dict[int, list] = {}
-    queue = _filed(index, there, pair[there])
-    heapq.heapify(queue)
-    while queue:
-        r = heapq.heappop(queue)
-        found = index.pop(r)
-        at = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
-        at = at[pair[at] == r]  # else a neighbour has merged since
-        if len(at) > 1 and (after[at[:-1]] == at[1:]).any():
-            at = np.array(_apart(at.tolist(), after), np.int64)
+    there = inner[pair[inner] >= 0]
+    index = Index()
+    index.add(there, pair[there])
+    while index.queue:
+        w, at = index.least()
+        ranks = pair[at]
+        live = ranks >> WINDOW == w  # else a neighbour has merged since
+        at, ranks = at[live], ranks[live]
         if not len(at):
             continue
+        # all lower windows are empty, so a piece's lowest rank is the lowest that it has here; the others wait
+        owner = piece[at]
+        same = owner[1:] == owner[:-1]
+        if same.any():
+            heads = np.flatnonzero(np.concatenate([[True], ~same]))
+            lowest = np.repeat(np.minimum.reduceat(ranks, heads), np.diff(np.append(heads, len(at))))
+            now = ranks == lowest
+            index.add(at[~now], ranks[~now])
+            at, ranks = at[now], ranks[now]
+            again = np.concatenate([[False], piece[at[1:]] == piece[at[:-1]]]) & merges.turns[ranks]
+            index.add(at[again], ranks[again])
+            at, ranks = at[~again], ranks[~again]
+            if (after[at[:-1]] == at[1:]).any():
+                at = np.array(_apart(at.tolist(), after), np.int32)
+                ranks = pair[at]
         gone = after[at]
         beyond = after[gone]
-        sym[at], sym[gone], pair[at], pair[gone], after[at] = r, -1, -1, -1, beyond
+        sym[at], sym[gone] = ranks, -1
+        pair[at], pair[gone], after[at] = -1, -1, beyond
         right = beyond >= 0
         before[beyond[right]] = at[right]
         left = before[at]
-        touched = np.unique(np.concatenate([at[right], left[left >= 0]]))
+        touched = _distinct(np.concatenate([at[right], left[left >= 0]]))
         new = merges.rank(sym[touched], sym[after[touched]])
         pair[touched] = new
-        for x in _filed(index, touched[new >= 0], new[new >= 0]):
-            heapq.heappush(queue, x)
+        fits = new >= 0
+        index.add(touched[fits], new[fits])
     living = np.flatnonzero(sym >= 0)
-    for k, part in zip(todo, np.split(sym[living], np.searchsorted(living, ends)[:-1]), strict=True):
-        out[k] = part
-    return out
+    return sym[living], np.bincount(piece[living], minlength=len(pieces))
+
+
+class Runs:
+    """Runs of numbers, one for each code from 0 on, that grow at the end."""
+
+    def __init__(self, kind):
+        self.flat, self.start, self.size = np.empty(0, kind), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, flat: np.ndarray, size: np.ndarray) -> None:
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, flat.astype(self.flat.dtype)])
+
+    def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The codes' runs one after the other, and where each ends."""
+        size = self.size[codes]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.start[codes] - (ends - size), size) + np.arange(size.sum())], ends
+
+
+class Codes(dict):
+    """piece -> code in order of arrival; remembers which are new."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        code = self[piece] = len(self)
+        self.new.append(piece)
+        return code
+
+
+def _ends(ends: np.ndarray, counts: list[int]) -> np.ndarray:
+    """Where each of several consecutive groups ends, given where each member ends."""
+    return np.concatenate([[0], ends])[np.cumsum(counts)]
 
 
 class Encoder:
-    """Ids of texts, as little-endian unsigned 32-bit integers."""
+    """Ids of texts, and the bytes that ids stand for."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.merges, self.split, self.known = Merges(ranks), regex.compile(pattern).findall, {}
-
-    def slice(self, texts: list[str]) -> list[bytes]:
-        parts = [self.split(t) for t in texts]
+        self.merges, self.pattern = Merges(ranks), regex.compile(pattern)
+        self.known, self.ids = Codes(), Runs(np.uint32)
+        self.bytes = Runs(np.uint8)
+        tokens = {i: t for t, i in ranks.items()}
+        held = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        self.bytes.add(np.frombuffer(b"".join(held), np.uint8), np.array([len(t) for t in held]))
+
+    def _ids(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.known.new:
+            self.ids.add(*replay([p.encode() for p in self.known.new], self.merges))
+            self.known.new.clear()
+        found = self.ids.of(codes)
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({p for ps in parts for p in ps} - self.known.keys())
-        for p, ids in zip(new, replay([p.encode() for p in new], self.merges), strict=True):
-            self.known[p] = ids.astype("<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, ps)) for ps in parts]
+            self.known, self.ids = Codes(), Runs(np.uint32)
+        return found
+
+    def slice(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text ends."""
+        if len(texts) == 1 and len(texts[0]) > SLICE:
+            return self._long(texts[0])
+        parts = [np.fromiter(map(self.known.__getitem__, ps), np.int32, len(ps)) for ps in map(self.pattern.findall, texts)]
+        ids, ends = self._ids(np.concatenate(parts))
+        return ids, _ends(ends, [len(p) for p in parts])
+
+    def _long(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """A text that is a slice of its own never stands in memory as pieces."""
+        found, out = self.pattern.finditer(text), [np.empty(0, np.uint32)]
+        while len(codes := np.fromiter((self.known[m[0]] for m in islice(found, CHUNK)), np.int32)):
+            out.append(self._ids(codes)[0])
+        ids = np.concatenate(out)
+        return ids, np.array([len(ids)])
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of several texts one after the other, and where each text ends."""
+        got, at = self.bytes.of(ids)
+        return got, np.concatenate([[0], at])[ends]
 
 
 @lru_cache(maxsize=2)
 def _encoder(raw: bytes, pattern: str) -> Encoder:
     """A Python worker keeps its encoder for the tasks that follow."""
-    return Encoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a}, pattern)
-
-
-def sliced(texts: list[str | None], size: int = SLICE) -> Iterator[list[str]]:
-    """Consecutive texts of about `size` characters together; null counts as empty."""
-    part, n = [], 0
-    for t in texts:
-        part.append(t or "")
-        n += len(part[-1])
-        if n >= size:
-            yield part
-            part, n = [], 0
+    return Encoder(ranks_from(raw), pattern)
+
+
+def sliced(batch: pa.RecordBatch, name: str, size: int = SLICE) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Consecutive rows whose texts have about `size` characters together, and these texts; null counts as empty.
+
+    A longer text is a slice of its own."""
+    column, part, n, begun = batch.column(name), [], 0, 0
+    for at in range(0, batch.num_rows, 256):
+        for t in column.slice(at, 256).to_pylist():
+            if part and n + len(t or "") > size:
+                yield batch.slice(begun, len(part)), part
+                begun, part, n = begun + len(part), [], 0
+            part.append(t or "")
+            n += len(part[-1])
     if part:
-        yield part
+        yield batch.slice(begun, len(part)), part
+
+
+def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Consecutive runs of values as binaries, without a Python object for each."""
+    offsets = np.concatenate([[0], ends * values.itemsize]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _with(df: DataFrame, name: str, run) -> DataFrame:
-    """df with a binary column added by `run`, which maps a record batch to that column's values."""
-    kept = [c for c in df.columns if c != name]
+def _with(df: DataFrame, column: str, columns: list[str] | None, new: list[str], run) -> DataFrame:
+    """df with binary columns added by `run`, which makes a function from (rows, name of the column) to (rows, arrays)."""
+    kept = [c for c in columns or df.columns if c not in new]
+    inner = [f"__k{i}" for i in range(len(kept))]
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = run()
         for b in found:
-            yield pa.RecordBatch.from_arrays([*[b.column(f"__k{i}") for i in range(len(kept))], pa.array(use(b), pa.binary())], names=[*[f"__k{i}" for i in range(len(kept))], "__made"])
+            for rows, made in use(b, "__in"):
+                yield pa.RecordBatch.from_arrays([*[rows.column(i) for i in inner], *made], names=[*inner, *[f"__m{i}" for i in range(len(new))]])
 
     kinds = dict(df.dtypes)
-    wide = df.select(*[df[f"`{c}`"].alias(f"__k{i}") for i, c in enumerate(kept)])
-    out = wide.mapInArrow(batches, ", ".join([*[f"__k{i} {kinds[c]}" for i, c in enumerate(kept)], "__made binary"]))
-    return out.toDF(*kept, name)
+    wide = df.select(*[df[f"`{c}`"].alias(i) for c, i in zip(kept, inner, strict=True)], df[f"`{column}`"].alias("__in"))
+    schema = [*[f"{i} {kinds[c]}" for c, i in zip(kept, inner, strict=True)], *[f"__m{i} binary" for i in range(len(new))]]
+    return wide.mapInArrow(batches, ", ".join(schema)).toDF(*kept, *new)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "ids", decoded_col: str | None = None, columns: list[str] | None = None) -> DataFrame:
     """Adds the ids of each text, packed as little-endian unsigned 32-bit integers.
 
-    A null or empty text has no ids. Special tokens have no meaning in a text. Rows may repeat; other columns
-    stay, whatever they are called, but one called like the result is replaced. Every byte must be in the
-    vocabulary, as it is in byte-level ones. An empty table gives an empty result.
+    decoded_col: also adds the bytes that these ids stand for, in the same pass. columns: input columns to return
+    (all, if not given). A null or empty text has no ids. Special tokens have no meaning in a text. Rows may
+    repeat; other columns stay, whatever they are called, but one called like a result is replaced. Every byte
+    must be in the vocabulary, as it is in byte-level ones. An empty table gives an empty result.
     """
     with open(ranks_path, "rb") as f:
         raw = f.read()
-    place = [c for c in docs.columns if c != out_col].index(text_col)
 
     def run():
         encoder = _encoder(raw, pattern)
-        return lambda b: [x for part in sliced(W.column(b, f"__k{place}")) for x in encoder.slice(part)]
 
-    return _with(docs, out_col, run)
+        def use(batch: pa.RecordBatch, name: str) -> Iterator:
+            for rows, texts in sliced(batch, name):
+                ids, ends = encoder.slice(texts)
+                yield rows, [_binary(ids, ends), *([_binary(*encoder.decode(ids, ends))] if decoded_col else [])]
+
+        return use
+
+    return _with(docs, text_col, columns, [out_col, *([decoded_col] if decoded_col else [])], run)
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds the bytes that the ids stand for; null ids give no bytes."""
     with open(ranks_path, "rb") as f:
         raw = f.read()
-    place = [c for c in encoded.columns if c != out_col].index(ids_col)
 
     def run():
-        tokens = {int(b): base64.b64decode(a) for a, b in map(bytes.split, raw.splitlines()) if a}
-        return lambda b: [b"".join(map(tokens.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in W.column(b, f"__k{place}")]
+        encoder = _encoder(raw, "")
+
+        def use(batch: pa.RecordBatch, name: str) -> Iterator:
+            for at in range(0, batch.num_rows, 256):
+                rows = batch.slice(at, 256)
+                parts = [np.frombuffer(x or b"", "<u4") for x in rows.column(name).to_pylist()]
+                yield rows, [_binary(*encoder.decode(np.concatenate(parts), np.cumsum([len(p) for p in parts])))]
+
+        return use
 
-    return _with(encoded, out_col, run)
+    return _with(encoded, ids_col, None, [out_col], run)

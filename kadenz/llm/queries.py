@@ -56,9 +56,9 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = vocabularies.path("byte_bpe_multi_50k.tiktoken")
-    ids = op8.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, vocabularies.PATTERN).drop("text")
-    return op8.decode(ids, ranks).select(
+    docs = _table(spark, sf_dir, "documents")
+    both = op8.encode(docs, vocabularies.path("byte_bpe_multi_50k.tiktoken"), vocabularies.PATTERN, decoded_col="decoded", columns=["doc_id"])
+    return both.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )

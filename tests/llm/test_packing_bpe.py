@@ -1,8 +1,10 @@
+import hashlib
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -28,9 +30,56 @@ def test_clashing_columns_stay(odd, none):
     assert bpe.encode(none, RANKS, P.PATTERN).count() == 0
 
 
+def naive_bpe(piece, ranks):
+    """Merges the leftmost pair of the lowest rank until none is left."""
+    parts = [bytes([b]) for b in piece]
+    while len(parts) > 1:
+        r, i = min((ranks.get(parts[i] + parts[i + 1], 1 << 40), i) for i in range(len(parts) - 1))
+        if r == 1 << 40:
+            break
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[piece]] if piece in ranks else [ranks[p] for p in parts]
+
+
+def test_replay_under_vocabularies_in_any_order():
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        tokens = {bytes(rng.integers(97, 100, rng.integers(2, 6)).tolist()) for _ in range(25)}
+        rest = sorted(tokens)
+        rng.shuffle(rest)
+        ranks = {t: i for i, t in enumerate([*(bytes([b]) for b in range(256)), *rest])}
+        pieces = [bytes(rng.integers(97, 100, rng.integers(0, 30)).tolist()) for _ in range(60)] + [b"a" * 500]
+        ids, sizes = bpe.replay(pieces, bpe.Merges(ranks))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [naive_bpe(p, ranks) if p else [] for p in pieces]
+
+
+def test_long_texts_and_a_full_memory_give_the_same_ids(monkeypatch):
+    ranks = bpe.read_ranks(RANKS)
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    monkeypatch.setattr(bpe, "SLICE", 300)
+    monkeypatch.setattr(bpe, "CHUNK", 20)
+    encoder = bpe.Encoder(ranks, P.PATTERN)
+    texts = [*(f"word{i} Wörter {i * i} \n" * (i % 60) for i in range(200)), "", "x" * 3000]
+    batch = pa.RecordBatch.from_pydict({"t": [*texts, None]})
+    got = [x.tolist() for _, part in bpe.sliced(batch, "t", 300) for ids, ends in [encoder.slice(part)] for x in np.split(ids, ends[:-1])]
+    assert got == [own.encode_ordinary(t) for t in [*texts, ""]]
+
+
+def test_query_gives_the_digests_of_what_tiktoken_gives(spark):
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    want = []
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = own.encode_ordinary(r.text or "")
+        raw = np.array(ids, "<u4").tobytes()
+        want.append((r.doc_id, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(own.decode_bytes(ids)).hexdigest()))
+    got = queries.op8_byte_bpe(spark, SF)
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 def check_packing(rows, docs, capacity=packing.CAPACITY):
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     want = defaultdict(int)
     for d, t in docs:
         ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
