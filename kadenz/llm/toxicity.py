@@ -1,14 +1,18 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton on folded text.
 
 Folding lowers, maps look-alike letters to Latin ones and digits or signs to the letters they stand for, drops
-marks that stand alone, and turns the rest into single spaces. Accented letters stay: they tell words apart. Lexicon entries are whole words (" idiot ") or word beginnings
-(" idio"), each with its log-odds in labelled rows; exception phrases take the weight of their entry back.
-A text's weight is put in relation to its length, and a logistic curve turns it into a score.
+marks that stand alone, turns the rest into single spaces and joins letters that stand apart. Accented letters stay:
+they tell words apart. A sign is a letter only within or before letters, since behind a word it is punctuation.
+Lexicon entries are whole words (" idiot ") or word beginnings (" idio"), each with its log-odds in labelled rows;
+a hit inside an exception phrase does not count. A text's weight is put in relation to its length, and a logistic
+curve turns it into a score.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -21,17 +25,19 @@ from pyspark.sql import functions as F
 from kadenz.llm import words as W
 from kadenz.llm.staging import stage
 
-#: Bounds: labelled rows that are learned from, lexicon entries, exception phrases.
+#: Labelled rows that are learned from, at most. The lexicon has no bound of its own.
 LABELLED = 50_000
-ENTRIES = 5_000
-EXCEPTIONS = 1_000
 #: Documents that hold an entry, log-odds and their standard scores, each at least.
 SUPPORT, ODDS, SURE = 3, 2.0, 4.0
 #: Lengths of word beginnings.
 STEMS = (3, 8)
 #: Letters of other scripts that look like Latin ones, and digits or signs used for letters.
 HOMOGLYPHS = dict(zip("аеорсухівһјѕԁɡɩкмнтзαβεικνορτυχωγѵᴀıļ", "aeopcyxibhjsdgikmhtzabeiknoptuxwgvail", strict=True))
-DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i"}
+DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
+SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i"}
+SIGN_RUN = re.compile("[@$!|]+")
+#: Three or more letters in a folded text, each a word of its own.
+LETTERS = re.compile("(?: [^ ]){3,}(?= )")
 
 
 class Fold(dict):
@@ -50,35 +56,65 @@ class Fold(dict):
 FOLD = Fold()
 
 
+def _meant(m: re.Match) -> str:
+    """Signs that stand for letters: between letters or digits, @ and $ before a letter, and $$ behind one."""
+    run, text = m[0], m.string
+    before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
+    within = before.isalnum() and after.isalnum()
+    begins = not before.isalnum() and after.isalpha() and not set(run) - {"@", "$"}
+    ends = before.isalpha() and not after.isalnum() and run == "$$"
+    return "".join(map(SIGNS.__getitem__, run)) if within or begins or ends else " "
+
+
 def folded(text: str | None) -> str:
     """Words with one space around each; an empty or null text gives one space."""
-    ws = (text or "").translate(FOLD).split()
-    return f" {' '.join(ws)} " if ws else " "
+    ws = SIGN_RUN.sub(_meant, text or "").translate(FOLD).split()
+    if not ws:
+        return " "
+    return LETTERS.sub(lambda m: " " + m[0].replace(" ", ""), f" {' '.join(ws)} ")
 
 
 @dataclass
 class Lexicon:
     weights: dict[str, float] = field(default_factory=dict)
-    exceptions: dict[str, float] = field(default_factory=dict)
+    exceptions: frozenset[str] = frozenset()
     #: Intercept and slopes for log(1 + weight) and weight per 100 words.
     curve: tuple[float, float, float] = (-30.0, 0.0, 0.0)
 
     def automaton(self):
+        """Finds (length, weight) of entries and (length, None) of exceptions."""
         import ahocorasick
 
         found = ahocorasick.Automaton()
-        for phrase, w in [*self.weights.items(), *self.exceptions.items()]:
-            found.add_word(phrase, w)
+        for phrase, w in [*self.weights.items(), *((e, None) for e in self.exceptions)]:
+            found.add_word(phrase, (len(phrase), w))
         if len(found):
             found.make_automaton()
         return found
 
 
+def hit_weights(text: str, automaton) -> list[float]:
+    """Weights of the entries in a folded text, without those that lie inside an exception."""
+    found = [(end + 1 - n, end + 1, w) for end, (n, w) in automaton.iter(text)] if len(automaton) else []
+    excepted = sorted((a, b) for a, b, w in found if w is None)
+    if not excepted:
+        return [w for _, _, w in found]
+    starts, reach = [a for a, _ in excepted], []
+    for _, b in excepted:
+        reach.append(max(b, reach[-1]) if reach else b)
+    out = []
+    for a, b, w in found:
+        k = bisect_right(starts, a)
+        if w is not None and not (k and reach[k - 1] >= b):
+            out.append(w)
+    return out
+
+
 def measures(text: str, automaton) -> tuple[float, float, int]:
     """Of a folded text: log(1 + weight), weight per 100 words, hits."""
-    hits = [w for _, w in automaton.iter(text)] if len(automaton) else []
-    total = max(0.0, sum(hits))
-    return float(np.log1p(total)), 100.0 * total / max(20, text.count(" ") - 1), sum(w > 0 for w in hits)
+    hits = hit_weights(text, automaton)
+    total = sum(hits)
+    return float(np.log1p(total)), 100.0 * total / max(20, text.count(" ") - 1), len(hits)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +148,7 @@ def _phrase_counts(weights: dict[str, float]):
     return run
 
 
-def _chosen(entries: list, limit: int) -> dict[str, float]:
+def _chosen(entries: list) -> dict[str, float]:
     """The shortest beginnings that are as telling as what they begin."""
     odds = {e.entry: e.odds for e in entries}
     kept = {}
@@ -120,7 +156,7 @@ def _chosen(entries: list, limit: int) -> dict[str, float]:
         stem = e.rstrip(" ")
         if not any(stem[:n] in kept and odds[stem[:n]] >= 0.8 * odds[e] for n in range(STEMS[0] + 1, len(stem) + (e != stem))):
             kept[e] = odds[e]
-    return dict(sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:limit])
+    return kept
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -142,13 +178,17 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = LABELLED) -> Lexicon:
     """Learns from labelled rows. Of more than `most` (a documented bound) a fixed sample by hash is used.
 
-    Rows of labels with a null id or label, or without a document, count for nothing. Without labelled rows, or
-    with one label only, the lexicon is empty and every score is 0 or 1 alike.
+    The lexicon and its exceptions hold all that pass the thresholds; as these need several of the sampled rows each,
+    their number is bounded by the sample. Rows of labels with a null id or label, or without a document, count for
+    nothing. Where ids repeat so that more than `most` texts are labelled, a share of them by hash is used. Without
+    labelled rows, or with one label only, the lexicon is empty and every score is 0 or 1 alike.
     """
     sample = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("toxic")).where("__id IS NOT NULL AND toxic IN (0, 1)")
     sample = sample.orderBy(F.xxhash64("__id"), "__id", "toxic").limit(most)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
-    rows = stage(texts.join(F.broadcast(sample), "__id").select("text", "toxic"), "labelled")  # at most `most` small rows
+    rows = stage(texts.join(F.broadcast(sample), "__id").select("text", "toxic"), "labelled")  # at most `most` small rows are broadcast
+    if (found := rows.count()) > most:
+        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(-(-found // most))) == 0)
     totals = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     words = rows.mapInArrow(_word_counts, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
@@ -158,14 +198,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     half = lambda c: F.col(c) + 0.5
     counts = counts.where(F.col("n1") >= SUPPORT).withColumn("odds", F.log(half("n1") / (n1 + 1)) - F.log(half("n0") / (n0 + 1)))
     counts = counts.withColumn("sure", F.col("odds") / F.sqrt(1 / half("n0") + 1 / half("n1")))
-    best = counts.where((F.col("odds") >= ODDS) & (F.col("sure") >= SURE)).orderBy(F.desc("sure"), "entry").limit(4 * ENTRIES).collect()
-    model = Lexicon(_chosen(best, ENTRIES))
+    best = counts.where((F.col("odds") >= ODDS) & (F.col("sure") >= SURE)).collect()
+    model = Lexicon(_chosen(best))
     phrases = rows.mapInArrow(_phrase_counts(model.weights), "phrase string, toxic int, n long").groupBy("phrase") if model.weights else None
     if phrases is not None:
         of = lambda v: F.coalesce(F.sum(F.when(F.col("toxic") == v, F.col("n"))), F.lit(0))
-        benign = phrases.agg(of(0).alias("n0"), of(1).alias("n1")).where("n0 >= 5 AND n0 >= 9 * n1").orderBy(F.desc("n0"), "phrase").limit(EXCEPTIONS)
-        plain = model.automaton()
-        model.exceptions = {r.phrase: -sum(w for _, w in plain.iter(r.phrase)) for r in benign.collect()}
+        benign = phrases.agg(of(0).alias("n0"), of(1).alias("n1")).where("n0 >= 5 AND n0 >= 9 * n1")
+        model.exceptions = frozenset(r.phrase for r in benign.collect())
     got = rows.mapInArrow(_measured(model), "a double, b double, toxic int").toPandas()  # as many small rows as the bound
     model.curve = _curve(got[["a", "b"]].to_numpy(float), got["toxic"].to_numpy(float))
     return model
