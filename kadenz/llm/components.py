@@ -8,14 +8,22 @@ from pyspark.sql import functions as F
 from kadenz.llm.staging import stage
 
 
+def _ordered(edges: DataFrame) -> DataFrame:
+    """Distinct edges (a, b) from the greater to the smaller node."""
+    return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a long, b long); component is the smallest node reachable.
 
-    Each round sends every node to its least neighbour, if that is smaller, and renames the edges. The renamed
-    graph keeps an edge from each new name to where that name itself went, so nothing is cut apart. A hot node
-    costs one row per task in the aggregation. The driver sees only whether edges are left.
+    Nodes are in the order of their hashes. Each round sends every node to its least neighbour, if that is smaller, and
+    renames the edges. The renamed graph keeps an edge from each new name to where that name itself went, so nothing
+    is cut apart. The order by hash makes rounds grow with the logarithm of a path's length, also where ids rise along
+    it, as in chains of revisions. A hot node costs one row per task in the aggregation. The driver sees only whether
+    edges are left.
     """
-    edges = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    key = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id")).alias(c)
+    edges = stage(_ordered(edges.where("a IS NOT NULL AND b IS NOT NULL").select(key("a"), key("b"))), "edges")
     labels = None
     while not edges.isEmpty():
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
@@ -30,8 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
         b = to.select(F.col("node").alias("b"), F.col("to").alias("tb"))
         renamed = edges.join(a, "a").join(b, "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
         went = to.select(F.col("to").alias("a")).distinct().join(a, "a").select("a", F.col("ta").alias("b"))
-        renamed = renamed.unionByName(went).where("a <> b")
-        edges = stage(renamed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        edges = stage(_ordered(renamed.unionByName(went)), "edges")
     if labels is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return labels
+        return edges.select(F.col("a.id").alias("node"), F.col("b.id").alias("component"))
+    least = stage(labels.groupBy("component").agg(F.min("node.id").alias("least")), "least")
+    return labels.join(least, "component").select(F.col("node.id").alias("node"), F.col("least").alias("component"))

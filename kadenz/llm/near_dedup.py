@@ -31,13 +31,13 @@ K, SHARE = 48, 0.45
 #: Standard deviations that an estimate may lie below the threshold: at 0.8 a pair needs 22 of the union's 48 values,
 #: and one at the threshold has fewer with a chance of 3.4e-8. With SHARE's a link is lost with less than 1.4e-7.
 SLACK = 6.0
-#: Members up to which a list is paired by a join, and rows of a block of a longer list.
-SHORT, BLOCK = 32, 4096
+#: Members up to which a list is paired by a join; of a longer list's blocks, members and shingles at most on average.
+SHORT, BLOCK, SHINGLES = 32, 4096, 2_000_000
 #: Ids that may be broadcast, once they are counted.
 BROADCAST = 20_000
 #: Fills short sketches; no value reaches it but by a chance of one in 2^64.
 PAD = np.iinfo(np.int64).max
-SKETCH = "__id long, n long, s1 long, s2 long, sketch array<long>"
+SKETCH = "__id long, tag long, n long, s1 long, s2 long, sketch array<long>"
 
 
 def shingles(text: str | None, size: int, cache: W.WordHashes) -> np.ndarray:
@@ -60,8 +60,8 @@ def _sketches(size: int, k: int):
             s2 = [int(W.mix(s.view(np.uint64) ^ np.uint64(W.BASES[0])).sum().view(np.int64)) for s in sets]
             values = np.concatenate(heads) if heads else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("__id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64()))],
-                names=["__id", "n", "s1", "s2", "sketch"],
+                [batch.column("__id"), batch.column("tag"), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64()))],
+                names=["__id", "tag", "n", "s1", "s2", "sketch"],
             )
 
     return run
@@ -126,7 +126,7 @@ def _blocks(size: int, k: int, percent: int, least: float):
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if same else 1))
         out: list[tuple[int, int]] = []
         if len(left) and len(right):
-            ids, n, comp = (np.array(table.column(c).to_pylist(), np.int64) for c in ("__id", "n", "comp"))
+            ids, n, comp = (np.array(table.column(c).to_pylist(), np.int64) for c in ("cid", "n", "comp"))
             cache = W.WordHashes()
             sets = [shingles(t, size, cache) for t in table.column("__text").to_pylist()]
             entries = [np.array(x, np.int64) for x in table.column("entries").to_pylist()]
@@ -154,43 +154,44 @@ def _blocks(size: int, k: int, percent: int, least: float):
 
 
 class NearDuplicates:
-    """The job's written tables and steps; near_duplicates() runs them."""
+    """The job's written tables and steps; near_duplicates() runs them. A class has a number, cid, that its table fixes."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, k: int = K):
         self.size, self.percent, self.k = size, percent, k
         self.least = percent / 100 - SLACK * ((percent / 100) * (1 - percent / 100) / k) ** 0.5
-        self.texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
+        # the tag tells the texts of a repeated id apart
+        self.texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("__text"))
         self.all = stage(self.texts.mapInArrow(_sketches(size, k), SKETCH), "sketches")
-        known = self.all.where("n > 0 AND __id IS NOT NULL")
-        self.classes = stage(known.groupBy("s1", "s2", "n").agg(F.min("__id").alias("rep")), "classes")
-        reps = self.classes.select(F.col("rep").alias("__id"), "s1", "s2", "n")
-        self.reps = stage(known.join(reps, ["__id", "s1", "s2", "n"], "left_semi").dropDuplicates(["__id", "s1", "s2", "n"]).select("__id", "n", "sketch"), "representatives")
+        self.known = self.all.where("n > 0 AND __id IS NOT NULL")
+        # equal sets have equal sketches, so any will do
+        of = self.known.groupBy("s1", "s2", "n").agg(F.min(F.struct("__id", "tag")).alias("of"), F.first("sketch").alias("sketch"))
+        self.classes = stage(of.select("s1", "s2", "n", F.col("of.__id").alias("rep"), "of.tag", "sketch").withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     def lists(self) -> DataFrame:
-        """(v, __id, n, m, f): entries of the inverted lists; m: retained values that others retain too, f: how many retain v."""
+        """(v, cid, n, m, f): entries of the inverted lists; m: retained values that others retain too, f: how many retain v."""
         k = F.least(F.col("n"), F.lit(self.k))
-        each = self.reps.select("__id", "n", F.explode("sketch").alias("v"))
+        each = self.classes.select("cid", "n", F.explode("sketch").alias("v"))
         often = each.groupBy("v").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-        shared = each.join(often, "v").groupBy("__id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("l"))
+        shared = each.join(often, "v").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("l"))
         # the values no one else has come first in the order from rare to frequent
         take = k - F.ceil(k * SHARE) + 1 - (k - F.size("l"))
-        entries = shared.where(take > 0).select("__id", "n", F.size("l").alias("m"), F.explode(F.slice("l", F.lit(1), take.cast("int"))).alias("e"))
-        return stage(entries.select(F.col("e.v").alias("v"), "__id", "n", "m", F.col("e.f").alias("f")), "lists")
+        entries = shared.where(take > 0).select("cid", "n", F.size("l").alias("m"), F.explode(F.slice("l", F.lit(1), take.cast("int"))).alias("e"))
+        return stage(entries.select(F.col("e.v").alias("v"), "cid", "n", "m", F.col("e.f").alias("f")), "lists")
 
     def similar_sizes(self, a: str, b: str):
         return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
 
     def pairs_with_centres(self, lists: DataFrame) -> DataFrame:
-        centre = F.max(F.struct("m", F.negate("__id").alias("i"), F.col("n").alias("cn"))).alias("c")
-        centres = lists.groupBy("v").agg(centre, F.count(F.lit(1)).alias("g")).where("g > 1").select("v", F.negate("c.i").alias("cid"), "c.cn")
-        met = lists.join(centres, "v").where((F.col("__id") != F.col("cid")) & self.similar_sizes("n", "cn"))
-        self.tested = stage(met.select(F.greatest("__id", "cid").alias("a"), F.least("__id", "cid").alias("b")).distinct(), "pairs-with-centres")
+        centre = F.max(F.struct("m", F.negate("cid").alias("i"), F.col("n").alias("cn"))).alias("c")
+        centres = lists.groupBy("v").agg(centre, F.count(F.lit(1)).alias("g")).where("g > 1").select("v", F.negate("c.i").alias("centre"), "c.cn")
+        met = lists.join(centres, "v").where((F.col("cid") != F.col("centre")) & self.similar_sizes("n", "cn"))
+        self.tested = stage(met.select(F.greatest("cid", "centre").alias("a"), F.least("cid", "centre").alias("b")).distinct(), "pairs-with-centres")
         return self.tested
 
     def passing(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose estimate from the union's sketch is near the threshold or above."""
-        a = self.reps.select(F.col("__id").alias("a"), F.col("sketch").alias("sa"))
-        b = self.reps.select(F.col("__id").alias("b"), F.col("sketch").alias("sb"))
+        a = self.classes.select(F.col("cid").alias("a"), F.col("sketch").alias("sa"))
+        b = self.classes.select(F.col("cid").alias("b"), F.col("sketch").alias("sb"))
         both = pairs.join(a, "a").join(b, "b")
         longest = F.greatest(F.size("sa"), F.size("sb"))
         union = F.array_sort(F.array_union("sa", "sb"))
@@ -198,38 +199,58 @@ class NearDuplicates:
         common = F.size(F.array_intersect(part, F.array_intersect("sa", "sb")))
         return both.where(common >= self.least * F.size(part)).select("a", "b")
 
+    def texts_of(self, members: DataFrame, few: bool = False) -> DataFrame:
+        """(cid, __text): the text of each class in members (cid)."""
+        named = self.classes.join(members, "cid", "left_semi").select("cid", F.col("rep").alias("__id"), "tag")
+        return self.texts.join(F.broadcast(named) if few else named, ["__id", "tag"]).dropDuplicates(["cid"]).select("cid", "__text")
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """Of distinct candidate pairs, those that hold on the full sets."""
         found = stage(pairs, "candidates")
-        ids = stage(found.select(F.col("a").alias("__id")).unionByName(found.select(F.col("b").alias("__id"))).distinct(), "candidate-ids")
+        members = stage(found.select(F.col("a").alias("cid")).unionByName(found.select(F.col("b").alias("cid"))).distinct(), "candidate-classes")
         # written, so that both joins read plain tables and the pairs of a hot document can be split over tasks
-        texts = stage(self.texts.join(ids, "__id", "left_semi"), "candidate-texts")
-        a = texts.select(F.col("__id").alias("a"), F.col("__text").alias("ta"))
-        b = texts.select(F.col("__id").alias("b"), F.col("__text").alias("tb"))
+        texts = stage(self.texts_of(members), "candidate-texts")
+        a = texts.select(F.col("cid").alias("a"), F.col("__text").alias("ta"))
+        b = texts.select(F.col("cid").alias("b"), F.col("__text").alias("tb"))
         both = found.join(a, "a").join(b, "b").select("a", "b", "ta", "tb")
-        return stage(both.mapInArrow(_exact(self.size, self.percent), "a long, b long").distinct(), "links")
+        return stage(both.mapInArrow(_exact(self.size, self.percent), "a long, b long"), "links")
 
     def links_across(self, lists: DataFrame, comps: DataFrame) -> DataFrame:
         """Links between members of a list that are in different components."""
-        named = lists.join(comps.withColumnRenamed("node", "__id"), "__id", "left").withColumn("comp", F.coalesce("component", "__id")).select("v", "__id", "n", "f", "comp")
+        named = lists.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).select("v", "cid", "n", "f", "comp")
         named = stage(named, "named-lists")
-        mixed = stage(named.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("g")).where("lo < hi AND g > 2").select("v", "g"), "mixed-lists")  # a list of two is its centre's pair
+        lists = named.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("g"), F.sum("n").alias("shingles"))
+        mixed = stage(lists.where("lo < hi AND g > 2").select("v", "g", "shingles"), "mixed-lists")  # a list of two is its centre's pair
         open_ = named.join(mixed, "v")
-        short = open_.where(F.col("g") <= SHORT).select("v", "__id", "n", "comp")
-        other = short.select("v", F.col("__id").alias("oid"), F.col("n").alias("on"), F.col("comp").alias("ocomp"))
-        met = short.join(other, "v").where((F.col("__id") > F.col("oid")) & (F.col("comp") != F.col("ocomp")) & self.similar_sizes("n", "on"))
-        near = self.passing(met.select(F.col("__id").alias("a"), F.col("oid").alias("b")).distinct().join(self.tested, ["a", "b"], "left_anti"))
-        long = stage(open_.where(F.col("g") > SHORT), "long-lists").withColumn("nb", F.ceil(F.col("g") / BLOCK)).withColumn("blk", F.pmod(F.xxhash64("__id"), "nb"))
+        short = open_.where(F.col("g") <= SHORT).select("v", "cid", "n", "comp")
+        other = short.select("v", F.col("cid").alias("oid"), F.col("n").alias("on"), F.col("comp").alias("ocomp"))
+        met = short.join(other, "v").where((F.col("cid") > F.col("oid")) & (F.col("comp") != F.col("ocomp")) & self.similar_sizes("n", "on"))
+        near = self.passing(met.select(F.col("cid").alias("a"), F.col("oid").alias("b")).distinct().join(self.tested, ["a", "b"], "left_anti"))
+        blocks = F.greatest(F.ceil(F.col("g") / BLOCK), F.ceil(F.col("shingles") / SHINGLES))
+        long = stage(open_.where(F.col("g") > SHORT), "long-lists").withColumn("nb", blocks).withColumn("blk", F.pmod(F.xxhash64("cid"), "nb"))
         # each block meets every other block of its list once, as the left or the right side
         long = long.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-        long = long.select("v", "__id", "n", "comp", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), (F.col("blk") > F.col("o")).cast("int").alias("side"))
-        members = long.select("__id").distinct()
-        entries = named.join(members, "__id", "left_semi").groupBy("__id").agg(F.transform(F.sort_array(F.collect_list(F.struct("f", "v"))), lambda e: e.v).alias("entries"))
-        texts = self.texts.join(F.broadcast(members) if members.count() <= BROADCAST else members, "__id", "left_semi").groupBy("__id").agg(F.first("__text").alias("__text"))
-        long = long.join(entries.join(texts, "__id"), "__id")
+        long = long.select("v", "cid", "n", "comp", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), (F.col("blk") > F.col("o")).cast("int").alias("side"))
+        members = stage(long.select("cid").distinct(), "long-members")
+        entries = named.join(members, "cid", "left_semi").groupBy("cid").agg(F.transform(F.sort_array(F.collect_list(F.struct("f", "v"))), lambda e: e.v).alias("entries"))
+        texts = self.texts_of(members, few=members.count() <= BROADCAST)
+        long = long.join(stage(entries.join(texts, "cid"), "long-texts"), "cid")
         far = long.groupBy("v", "bi", "bj").applyInArrow(_blocks(self.size, self.k, self.percent, self.least), "a long, b long")
         return self.links(near).unionByName(far)
 
+    def ties(self) -> DataFrame:
+        """Links between the classes of an id that has several."""
+        several = self.known.groupBy("__id").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo < hi").select("__id")
+        each = stage(self.known.join(several, "__id").join(self.classes.select("s1", "s2", "n", "cid"), ["s1", "s2", "n"]).select("__id", "cid").distinct(), "classes-of-ids")
+        return each.join(each.groupBy("__id").agg(F.min("cid").alias("b")), "__id").select(F.col("cid").alias("a"), "b")
+
+    def named_classes(self, comps: DataFrame) -> DataFrame:
+        """(s1, s2, n, component): the smallest id of all classes that hang together."""
+        own = self.classes.select("s1", "s2", "n", "cid", "rep").join(comps.withColumnRenamed("node", "cid"), "cid", "left")
+        own = stage(own.select("s1", "s2", "n", "rep", F.coalesce("component", "cid").alias("group")), "class-groups")
+        least = own.groupBy("group").agg(F.min("rep").alias("component"))
+        return stage(own.join(least, "group").select("s1", "s2", "n", "component"), "class-components")
+
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, k: int = K) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row: documents linked by similar shingle sets.
@@ -247,12 +268,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = job.lists()
     first = job.links(job.passing(job.pairs_with_centres(lists)))
     second = job.links_across(lists, components(first))
-    # a repeated id with several texts ties its classes together
-    same = job.all.where("n > 0").join(job.classes, ["s1", "s2", "n"]).where("__id <> rep").select(F.col("__id").alias("a"), F.col("rep").alias("b"))
-    dup = job.all.where("__id IS NOT NULL").groupBy("__id").agg(F.count_distinct("s1", "s2", "n").alias("c")).where("c > 1").select(F.col("__id").alias("a"))
-    ties = same.join(dup, "a", "left_semi")
-    comps = components(first.unionByName(second).unionByName(ties))
-    named = job.all.join(job.classes, ["s1", "s2", "n"], "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("__id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "rep", "__id"))
+    comps = components(first.unionByName(second).unionByName(job.ties()))
+    named = job.all.join(job.named_classes(comps), ["s1", "s2", "n"], "left")
+    component = F.when(F.col("__id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "__id"))
     out = named.select(F.col("__id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

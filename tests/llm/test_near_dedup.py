@@ -88,6 +88,52 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {i: 100 for i in range(100, 161)} | {i: 400 for i in [*range(400, 470), 500]}
 
 
+def test_a_long_path_of_rising_ids_takes_few_rounds(spark, monkeypatch):
+    from kadenz.llm import components as module
+
+    rounds = []
+    write = module.stage
+    monkeypatch.setattr(module, "stage", lambda df, name: rounds.append(name) or write(df, name))
+    got = components(spark.createDataFrame([(i, i + 1) for i in range(1000)], "a long, b long"))
+    assert {r.node: r.component for r in got.collect()} == dict.fromkeys(range(1001), 0)
+    assert rounds.count("parents") <= 15
+
+
+@pytest.mark.parametrize("short", [near_dedup.SHORT, 3])
+def test_ids_that_stand_for_several_texts_in_long_lists(spark, monkeypatch, short):
+    """Every third id repeats with a second text, which belongs to another group."""
+    monkeypatch.setattr(near_dedup, "SHORT", short)
+    monkeypatch.setattr(near_dedup, "SHINGLES", 900)
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randint(0, 3000)}"
+    docs = []
+    for g in range(6):
+        base = [word() for _ in range(80)]
+        for k in range(40):
+            copy = list(base)
+            copy[rng.randrange(80)] = word()
+            docs.append((g * 100 + k, " ".join(copy)))
+            if g % 2 and k % 3 == 0 and g < 4:
+                docs.append((g * 100 + k - 100, " ".join(reversed(copy))))
+    apart = [(n, t) for n, (_, t) in enumerate(docs)]
+    linked = {n: c for n, (_, c) in brute(apart, 5, 80).items()}
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for n, (i, _) in enumerate(docs):
+        root[find(("c", linked[n]))] = find(("d", i))
+    least = {}
+    for i, _ in docs:
+        least[find(("d", i))] = min(i, least.get(find(("d", i)), i))
+    got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), size=5).collect()
+    assert len(got) == len(docs)
+    assert {r.doc_id: r.component_id for r in got} == {i: least[find(("d", i))] for i, _ in docs}
+
+
 def test_an_estimate_far_below_the_threshold_is_verified(spark):
     """178 of 222 words in common, but 24 of the union's 48 smallest hashes only."""
     cache = near_dedup.W.WordHashes()
