@@ -36,7 +36,7 @@ def merged_pauses(a: DataFrame, b: DataFrame, gap: float, key: str = "rec_id") -
     w = Window.partitionBy(key).orderBy("begin_t", "end_t")
     rows = a.withColumn("__end", F.lag("end_t").over(w)).withColumn("__row", F.row_number().over(w))
     gaps = rows.where((F.col("begin_t") - F.col("__end") < gap) & (F.col("begin_t") > F.col("__end"))).select(key, "__row", F.col("__end").alias("a_begin"), F.col("begin_t").alias("a_end"))
-    hit = overlaps(gaps, b.select(key, F.col("begin_t").alias("b_begin"), F.col("end_t").alias("b_end")), key, width=max(gap, 1.0)).select(key, "__row").distinct().withColumn("__hit", F.lit(True))
+    hit = overlaps(gaps, b.select(key, F.col("begin_t").alias("b_begin"), F.col("end_t").alias("b_end")), key).select(key, "__row").distinct().withColumn("__hit", F.lit(True))
     rows = rows.join(hit, [key, "__row"], "left")
     starts = F.col("__end").isNull() | (F.col("begin_t") - F.col("__end") >= gap) | F.col("__hit").isNotNull()
     runs = rows.withColumn("__run", F.sum(starts.cast("int")).over(w))

@@ -6,36 +6,72 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _bins(begin: str, end: str, width: float) -> Column:
-    return F.explode(F.sequence(F.floor(F.col(begin) / width), F.floor(F.col(end) / width)))
+#: Intervals of similar length share a bin width: the next power of STEP. SHORTEST is the least length told apart.
+STEP, SHORTEST = 8.0, 1e-6
 
 
-def typical_length(intervals: DataFrame, begin: str = "begin_t", end: str = "end_t") -> float:
-    """Median interval length, at least one microsecond: the bin width of the interval joins."""
-    row = intervals.agg(F.percentile(F.col(end) - F.col(begin), 0.5).alias("w")).first()
-    return max(float(row.w or 1.0), 1e-6)
+class Bins:
+    """Bin widths by level; one level for all intervals, if a width is given."""
+
+    def __init__(self, width: float | None, *sides: tuple[DataFrame, str, str]):
+        self.fixed = width
+        found = {0} if width else {r.level for df, *ends in sides for r in df.select(self.level(*ends).alias("level")).where("level IS NOT NULL").distinct().collect()}
+        self.levels = F.array(*[F.lit(x) for x in sorted(found)]).cast("array<int>")  # a few dozen at most
+
+    def level(self, begin: str, end: str) -> Column:
+        if self.fixed:
+            return F.lit(0)
+        length = F.greatest(F.col(end) - F.col(begin), F.lit(SHORTEST))
+        return F.ceil(F.round(F.log(length) / F.log(F.lit(STEP)), 9)).cast("int")
+
+    def of(self, t: str) -> Column:
+        """The bin of a time on the row's level."""
+        return F.floor(F.col(t) / (F.lit(self.fixed) if self.fixed else F.pow(F.lit(STEP), F.col("__level"))))
+
+    def touched(self, begin: str, end: str) -> Column:
+        return F.explode(F.sequence(self.of(begin), self.of(end)))
 
 
 def contains(points: DataFrame, intervals: DataFrame, key: str = "rec_id", t: str = "t", begin: str = "begin_t", end: str = "end_t", width: float | None = None) -> DataFrame:
     """Samples in intervals, both ends inclusive.
 
-    Intervals are exploded to the time bins they touch and meet samples on (key, bin), so a long recording is
-    spread over many keys; the exact predicate follows. An empty interval (end before begin) holds nothing.
+    An interval touches two bins of its level, and samples meet it on (key, level, bin), so a long recording is
+    spread over many keys, and one very long interval is not cut into the bins of the short ones; the exact predicate
+    follows. A sample is copied once for each level. An empty interval (end before begin) holds nothing.
     """
-    width = width or typical_length(intervals, begin, end)
-    left = points.withColumn("__bin", F.floor(F.col(t) / width))
-    right = intervals.where(F.col(end) >= F.col(begin)).withColumn("__bin", _bins(begin, end, width))
-    return left.join(right, [key, "__bin"]).where((F.col(t) >= F.col(begin)) & (F.col(t) <= F.col(end))).drop("__bin")
+    there = intervals.where(F.col(end) >= F.col(begin))
+    bins = Bins(width, (there, begin, end))
+    right = there.withColumn("__level", bins.level(begin, end)).withColumn("__bin", bins.touched(begin, end))
+    left = points.withColumn("__level", F.explode(bins.levels)).withColumn("__bin", bins.of(t))
+    return left.join(right, [key, "__level", "__bin"]).where((F.col(t) >= F.col(begin)) & (F.col(t) <= F.col(end))).drop("__level", "__bin")
 
 
 def overlaps(a: DataFrame, b: DataFrame, key: str = "rec_id", a_cols=("a_begin", "a_end"), b_cols=("b_begin", "b_end"), width: float | None = None) -> DataFrame:
-    """Pairs of intervals that share more than a border. A pair is made in the first bin that both touch, so none comes twice."""
-    width = width or typical_length(a, *a_cols)
-    left = a.withColumn("__bin", _bins(*a_cols, width))
-    right = b.withColumn("__bin", _bins(*b_cols, width))
-    met = left.join(right, [key, "__bin"])
-    first = F.floor(F.greatest(F.col(a_cols[0]), F.col(b_cols[0])) / width)
-    return met.where((F.col(a_cols[0]) < F.col(b_cols[1])) & (F.col(a_cols[1]) > F.col(b_cols[0])) & (F.col("__bin") == first)).drop("__bin")
+    """Pairs of intervals that share more than a border.
+
+    A pair is made on the level of its longer interval, in the first bin that both touch there, so none comes twice.
+    """
+    a, b = (df.where(F.col(end) >= F.col(begin)) for df, (begin, end) in ((a, a_cols), (b, b_cols)))
+    bins = Bins(width, (a, *a_cols), (b, *b_cols))
+
+    def binned(df: DataFrame, begin: str, end: str, own: str) -> DataFrame:
+        rows = df.withColumn(own, bins.level(begin, end))
+        rows = rows.withColumn("__level", F.explode(F.filter(bins.levels, lambda x: x >= F.col(own))))
+        return rows.withColumn("__bin", bins.touched(begin, end))
+
+    met = binned(a, *a_cols, "__la").join(binned(b, *b_cols, "__lb"), [key, "__level", "__bin"])
+    first = F.greatest(bins.of(a_cols[0]), bins.of(b_cols[0]))
+    own = (F.col("__level") == F.greatest("__la", "__lb")) & (F.col("__bin") == first)
+    return met.where((F.col(a_cols[0]) < F.col(b_cols[1])) & (F.col(a_cols[1]) > F.col(b_cols[0])) & own).drop("__level", "__bin", "__la", "__lb")
+
+
+def all_pairs_of(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str, block: int = 4096) -> DataFrame:
+    """Each row of a stated query set beside all rows, as blocks that meet by number; no side is broadcast or in one task."""
+    nq, nr = (max(1, -(-df.count() // block)) for df in (queries, rows))
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = queries.withColumn("__q", of(query_id, nq)).withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
+    right = rows.withColumn("__r", of(row_id, nr)).withColumn("__q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    return right.join(left.hint("shuffle_hash"), ["__q", "__r"]).drop("__q", "__r")
 
 
 def neighbours(grid: DataFrame, samples: DataFrame, values: list[str], key: str = "rec_id", t: str = "t", chunk: float = 86400.0) -> DataFrame:
@@ -49,14 +85,14 @@ def neighbours(grid: DataFrame, samples: DataFrame, values: list[str], key: str
     both = grid.select(*cols, F.lit(None).cast(samples.select(content.alias("s")).schema["s"].dataType).alias("s"), F.lit(1).alias("is_grid"))
     missing = [F.lit(None).cast(grid.schema[c].dataType).alias(c) for c in cols if c not in (key, t)]
     both = both.unionByName(samples.select(key, t, content.alias("s"), F.lit(0).alias("is_grid"), *missing)).withColumn("chunk", F.floor(F.col(t) / chunk))
-    within = Window.partitionBy(key, "chunk").orderBy(t)
-    back, ahead = within.rangeBetween(Window.unboundedPreceding, 0), within.rangeBetween(0, Window.unboundedFollowing)
-    near = both.withColumn("prev", F.last("s", ignorenulls=True).over(back)).withColumn("next", F.first("s", ignorenulls=True).over(ahead)).where("is_grid = 1")
+    # both frames grow row by row; one that shrinks towards its end would be read anew for each row
+    back, ahead = (Window.partitionBy(key, "chunk").orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc(t), F.desc(t)))
+    near = both.withColumn("prev", F.last("s", ignorenulls=True).over(back)).withColumn("next", F.last("s", ignorenulls=True).over(ahead)).where("is_grid = 1")
     chunks = both.groupBy(key, "chunk").agg(F.max("s").alias("hi"), F.min("s").alias("lo"))
-    order = Window.partitionBy(key).orderBy("chunk")
+    earlier, later = (Window.partitionBy(key).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("chunk"), F.desc("chunk")))
     chunks = chunks.select(
-        F.col(key).alias("__key"), F.col("chunk").alias("__chunk"), F.last("hi", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
-        F.first("lo", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
+        F.col(key).alias("__key"), F.col("chunk").alias("__chunk"),
+        F.last("hi", ignorenulls=True).over(earlier).alias("before"), F.last("lo", ignorenulls=True).over(later).alias("after"),
     )
     out = near.join(chunks, (near[key] == chunks["__key"]) & (near["chunk"] == chunks["__chunk"]))
     return out.select(*cols, F.coalesce("prev", "before").alias("prev"), F.coalesce("next", "after").alias("next"))

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kadenz.operators.ordering import running
 from kadenz.operators.stats import mean_ranks, weighted_mean
 
 
@@ -52,16 +53,35 @@ def spearman(df: DataFrame, y: str = "y", h: str = "h") -> DataFrame:
     return interval(ranked, ["pcc"], y="ry", h="rh").select(F.col("pcc").alias("spearman"))
 
 
+#: Pairs up to which the signed-rank test is exact, unless differences tie.
+EXACT = 50
+
+
 def wilcoxon(df: DataFrame, d: Column) -> DataFrame:
-    """One-sided signed-rank test of d: n, w (rank sum of the positive), p by the tie-corrected normal approximation."""
+    """One-sided signed-rank test of d: n, w (rank sum of the positive), p.
+
+    p is exact for up to EXACT pairs without ties, else from the tie-corrected normal approximation.
+    """
     rows = df.select(d.alias("d")).where("d <> 0").withColumn("a", F.abs("d"))
     ranked = mean_ranks(rows, "a", "r").withColumn("r", F.col("r") + 1)
-    ties = rows.groupBy("a").count().agg(F.sum(F.col("count") * F.col("count") * F.col("count") - F.col("count")).alias("t"))
+    c = F.col("count").cast("double")
+    ties = rows.groupBy("a").count().agg(F.sum(c * c * c - c).alias("t"))
     out = ranked.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r"))).alias("w")).crossJoin(ties)
     n = F.col("n").cast("double")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("t") / 48)
     z = F.try_divide(F.col("w") - n * (n + 1) / 4, sd)
-    return out.select("n", "w", upper_tail(z).alias("p"))
+    few = (F.col("n") > 0) & (F.col("n") <= EXACT) & (F.col("t") == 0)
+    return out.select("n", "w", F.when(few, signed_rank_tail(F.col("n"), F.coalesce("w", F.lit(0.0)))).otherwise(upper_tail(z)).alias("p"))
+
+
+def signed_rank_tail(n: Column, w: Column) -> Column:
+    """Chance that the positive ranks of n pairs sum to w or more: subsets of 1..n counted by their sum."""
+    most = (n * (n + 1) / 2).cast("int")
+    none = F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), most))
+    longer = lambda counts, k: F.transform(counts, lambda x, i: x + F.when(i >= k, F.get(counts, i - k.cast("int"))).otherwise(0.0))
+    counts = F.aggregate(F.sequence(F.lit(1).cast("long"), n), none, longer)
+    tail = F.slice(counts, F.ceil(w).cast("int") + 1, most + 1)
+    return F.aggregate(tail, F.lit(0.0), lambda s, x: s + x) / F.pow(F.lit(2.0), n)
 
 
 def upper_tail(z: Column) -> Column:
@@ -134,19 +154,15 @@ def auc(df: DataFrame, positive: Column, score: str = "score", keys: list[str] |
     """(keys, auc): ties count half; null where one class is absent. Scores are counted first, so ranks run over distinct ones."""
     keys = keys or []
     by = df.groupBy(*keys, score).agg(F.sum(positive.cast("long")).alias("p"), F.sum((~positive).cast("long")).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = by.withColumn("won", F.col("p") * (below + F.col("q") / 2.0))
-    return won.groupBy(*keys).agg(F.try_divide(F.sum("won"), F.sum("p") * F.sum("q")).alias("auc"))
+    won = running(by, [score], {"below": "q"}, keys).withColumn("won", F.col("p") * (F.col("below") + F.col("q") / 2.0))
+    return won.groupBy(*keys).agg(F.try_divide(F.sum("won"), F.sum("p").cast("double") * F.sum("q").cast("double")).alias("auc"))
 
 
 def equal_error_rate(df: DataFrame, positive: Column, score: str = "score") -> DataFrame:
     """Mean of both error rates at the first threshold where they are nearest; scores at or above it are positive."""
     by = df.groupBy(score).agg(F.sum(positive.cast("long")).alias("p"), F.sum((~positive).cast("long")).alias("q"))
-    w = Window.orderBy(score)
-    rates = by.crossJoin(by.agg(F.sum("p").alias("tp"), F.sum("q").alias("tq")))
-    fnr = F.coalesce(F.sum("p").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / F.col("tp")
-    fpr = 1 - F.coalesce(F.sum("q").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / F.col("tq")
-    rates = rates.select(score, fnr.alias("fnr"), fpr.alias("fpr"))
+    rates = running(by, [score], {"below_p": "p", "below_q": "q"}).crossJoin(F.broadcast(by.agg(F.sum("p").alias("tp"), F.sum("q").alias("tq"))))  # one row
+    rates = rates.select(score, (F.col("below_p") / F.col("tp")).alias("fnr"), (1 - F.col("below_q") / F.col("tq")).alias("fpr"))
     gap = F.round(F.pow(F.col("fnr") - F.col("fpr"), F.lit(2)), 12)
     return rates.agg(F.min_by(F.struct("fnr", "fpr"), F.struct(gap, score)).alias("m")).select(((F.col("m.fnr") + F.col("m.fpr")) / 2).alias("eer"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,11 +44,12 @@ def random_slopes(df: DataFrame, group: str, features: list[str], y: str, within
 
     def solve(batches):
         for pdf in batches:
-            out = []
-            for _, r in pdf.iterrows():
-                a = np.array([[r[f"x{min(i, j)}_{max(i, j)}"] for j in range(q)] for i in range(q)], float) + np.eye(q) * within / between
-                out.append(np.linalg.solve(a, np.array([r[f"b{i}"] for i in range(q)], float)).tolist())
-            yield pd.DataFrame({group: pdf[group], "effects": out})
+            a = np.empty((len(pdf), q, q))
+            for i, j in pairs:
+                a[:, i, j] = a[:, j, i] = pdf[f"x{i}_{j}"].to_numpy(float)
+            b = np.stack([pdf[f"b{i}"].to_numpy(float) for i in range(q)], axis=1)
+            effects = np.linalg.solve(a + np.eye(q) * within / between, b[:, :, None])[:, :, 0]
+            yield pd.DataFrame({group: pdf[group], "effects": list(effects)})
 
     return sums.mapInPandas(solve, f"{group} {kind}, effects array<double>")
 
@@ -94,6 +96,131 @@ def frechet(a_mean: np.ndarray, a_cov: np.ndarray, b_mean: np.ndarray, b_cov: np
     return float(((a_mean - b_mean) ** 2).sum() + np.trace(a_cov) + np.trace(b_cov) - 2 * middle)
 
 
+def cluster_moments(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, n, mean, cov): one row per cluster; each task sends one matrix of sums for each of its clusters."""
+    kinds = dict(df.dtypes)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for b in batches:
+            labels = np.array(b.column("k").to_pylist(), object)
+            if b.num_rows:
+                x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                for k in dict.fromkeys(labels.tolist()):
+                    z = np.column_stack([np.ones((labels == k).sum()), x[labels == k]])
+                    total[k] = total.get(k, 0.0) + z.T @ z
+        yield pa.RecordBatch.from_arrays([pa.array(list(total)).cast(b.column("k").type) if total else b.column("k")[:0], pa.array([m.ravel().tolist() for m in total.values()], pa.list_(pa.float64()))], names=["k", "s"])
+
+    parts = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(sums, f"k {kinds[key]}, s array<double>")
+    added = parts.select("k", F.posexplode("s").alias("i", "x")).groupBy("k", "i").agg(F.sum("x").alias("x"))
+    flat = added.groupBy("k").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda e: e.x).alias("s"))
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            count, mean, cov = [], [], []
+            for s in b.column("s").to_pylist():
+                m = np.array(s).reshape(int(len(s) ** 0.5), -1)
+                n, mu = m[0, 0], m[0, 1:] / m[0, 0]
+                count.append(int(n))
+                mean.append(mu.tolist())
+                cov.append(((m[1:, 1:] - n * np.outer(mu, mu)) / max(n - 1, 1)).ravel().tolist())
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(count, pa.int64()), pa.array(mean, pa.list_(pa.float64())), pa.array(cov, pa.list_(pa.float64()))], names=["k", "n", "mean", "cov"])
+
+    return flat.mapInArrow(finished, f"k {kinds[key]}, n long, mean array<double>, cov array<double>").withColumnRenamed("k", key)
+
+
+def frechet_distances(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(a, b, distance) of every two clusters, from their means and covariances. A pair is one row of d * d numbers."""
+    m = cluster_moments(df, key, vector)
+    a, b = (m.select(F.col(key).alias(s), F.col("mean").alias(f"m{s}"), F.col("cov").alias(f"c{s}")) for s in ("a", "b"))
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            square = lambda c: np.array(c).reshape(int(len(c) ** 0.5), -1)
+            found = [frechet(np.array(ma), square(ca), np.array(mb), square(cb)) for ma, ca, mb, cb in zip(*(t.column(n).to_pylist() for n in ("ma", "ca", "mb", "cb")), strict=True)]
+            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(found, pa.float64())], names=["a", "b", "distance"])
+
+    return a.join(b, F.col("a") < F.col("b")).mapInArrow(run, f"a {kind}, b {kind}, distance double")
+
+
+class Model:
+    """fit, predict, metric, save and load of a model by name; predict adds the column h.
+
+    Kinds are those of fitted(), and: rbf, an SVM on standardised random Fourier features (an approximation of the
+    RBF kernel with gamma 1 / number of features), and ensemble, the mean of several networks that start apart.
+    """
+
+    def __init__(self, kind: str, features: list[str], y: str, weight: str | None = None, members: int = 3, fourier: int = 64, **options):
+        self.spec = {"kind": kind, "features": features, "y": y, "weight": weight, "members": members, "fourier": fourier, "options": options}
+        self.parts: list = []
+
+    def _prepared(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
+        features = self.spec["features"]
+        if self.spec["kind"] != "rbf":
+            return df, features
+        scaled = df.select("*", *[((F.col(c) - self.spec["means"][c]) / self.spec["deviations"][c]).alias(f"__z_{c}") for c in features])
+        count = self.spec["fourier"]
+        return fourier_features(scaled, [f"__z_{c}" for c in features], count, 1 / len(features)), [f"f{i}" for i in range(count)]
+
+    def fit(self, df: DataFrame) -> Model:
+        s = self.spec
+        if s["kind"] == "rbf":
+            row = df.agg(*[e for c in s["features"] for e in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"d_{c}"))]).first()
+            s["means"] = {c: float(row[f"m_{c}"]) for c in s["features"]}
+            s["deviations"] = {c: float(row[f"d_{c}"]) or 1.0 for c in s["features"]}
+        ready, columns = self._prepared(df)
+        name = {"rbf": "svm", "ensemble": "mlp"}.get(s["kind"], s["kind"])
+        seeds = [{"seed": i + 1} for i in range(s["members"])] if s["kind"] == "ensemble" else [{}]
+        self.parts = [fitted(name, ready, columns, s["y"], s["weight"], **s["options"], **seed) for seed in seeds]
+        return self
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import vector_to_array
+
+        ready, columns = self._prepared(df)
+        out = assembled(ready, columns)
+        if self.spec["kind"] != "ensemble":
+            return self.parts[0].transform(out).select(*df.columns, F.col("prediction").cast("double").alias("h"))
+        chances = []
+        for i, m in enumerate(self.parts):
+            m.setPredictionCol(f"__p{i}").setProbabilityCol(f"__c{i}").setRawPredictionCol(f"__r{i}")
+            out = m.transform(out)
+            chances.append(vector_to_array(f"__c{i}"))
+        mean = F.transform(chances[0], lambda x, i: (x + sum((F.get(c, i) for c in chances[1:]), F.lit(0.0))) / len(chances))
+        return out.select(*df.columns, mean.alias("chances")).withColumn("h", F.array_position("chances", F.array_max("chances")).cast("double") - 1).select(*df.columns, "h")
+
+    def metric(self, df: DataFrame, names: list[str] | None = None, classes: int | None = None) -> DataFrame:
+        """Interval metrics of the predictions, or nominal ones for a number of classes."""
+        from kadenz.operators import metrics as M
+
+        out = self.predict(df).withColumn("__y", F.col(self.spec["y"]).cast("double"))
+        found = M.interval(out, names, y="__y") if classes is None else M.nominal(out, classes, "__y")
+        return found.select(*(names or found.columns))
+
+    def save(self, path: str) -> None:
+        _session().createDataFrame([(json.dumps(self.spec),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/spec")
+        for i, m in enumerate(self.parts):
+            m.write().overwrite().save(f"{path}/part-{i}")
+
+    @classmethod
+    def load(cls, path: str) -> Model:
+        from pyspark.ml.util import DefaultParamsReader
+
+        spec = json.loads(_session().read.text(f"{path}/spec").first().value)
+        out = cls("", [], "")
+        out.spec = spec
+        count = spec["members"] if spec["kind"] == "ensemble" else 1
+        out.parts = [DefaultParamsReader.loadParamsInstance(f"{path}/part-{i}", _session()) for i in range(count)]
+        return out
+
+
+def _session():
+    from pyspark.sql import SparkSession
+
+    return SparkSession.active()
+
+
 def selected_univariate(df: DataFrame, features: list[str], y: str, percent: float, classes: bool = False) -> list[str]:
     """The features with the highest F statistics, `percent` of them."""
     from pyspark.ml.feature import UnivariateFeatureSelector

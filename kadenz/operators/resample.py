@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kadenz.operators.splits import portable_hash
+from kadenz.operators.splits import PRIME, portable_hash
 
 #: Cumulative chances of Poisson(1) for 0, 1, 2, ... draws, from exp(-1) / k!.
 LIMITS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
@@ -13,7 +13,7 @@ LIMITS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118
 
 def poisson_weight(key: str, draw: str) -> Column:
     """Draws of a row in a resample: Poisson(1) from the portable hash, in place of multinomial counts."""
-    u = portable_hash(F.col(key) * 7919 + F.col(draw) * 104729) / 2147483647
+    u = portable_hash(F.pmod(F.col(key).cast("long"), F.lit(PRIME)) * 7919 + F.col(draw) * 104729) / PRIME
     w = F.lit(len(LIMITS))
     for k in range(len(LIMITS) - 1, -1, -1):
         w = F.when(u < LIMITS[k], F.lit(k)).otherwise(w)

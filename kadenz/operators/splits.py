@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kadenz.operators.ordering import numbered
+
 PRIME = 2147483647
 
 
@@ -22,8 +24,6 @@ def portable_hash_sql(column: str, seed: int = 0) -> str:
 
 def stratified(df: DataFrame, label: str, tie: str, proportions: list[int], seed: int = 0, keys: list[str] | None = None) -> DataFrame:
     """Adds partition: rows sorted by label are dealt, block by block of sum(proportions) rows, in shuffled order."""
-    from kadenz.plans.views import numbered
-
     k = sum(proportions)
     rows = numbered(df, [label, tie], "__rn").withColumn("__block", F.floor((F.col("__rn") - 1) / k))
     w = Window.partitionBy("__block").orderBy(portable_hash(tie, seed), tie)
@@ -55,15 +55,11 @@ def sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
 
 def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """Adds position: a permutation of the rows from 1."""
-    from kadenz.plans.views import numbered
-
     return numbered(df.withColumn("__h", portable_hash(key, seed)), ["__h", key], "position").drop("__h")
 
 
 def chunks(df: DataFrame, order: list[str], k: int) -> DataFrame:
     """Adds chunk: k chunks in order, whose sizes differ by at most one, larger ones first."""
-    from kadenz.plans.views import numbered
-
     rows = numbered(df, order, "__rn")
     n = rows.count()
     small, extra = divmod(n, k)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kadenz.operators.ordering import running
+
 #: Statistic by name. std, var and iqr of fewer than two values are 0.
 STATISTICS = {
     "mean": lambda c: F.avg(c), "std": lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0)), "var": lambda c: F.coalesce(F.var_samp(c), F.lit(0.0)),
@@ -61,11 +63,10 @@ def rolling(df: DataFrame, column: str, window: int, names: list[str], key: str
 
 
 def filled(df: DataFrame, columns: list[str], key: str = "rec_id", order: str = "t") -> DataFrame:
-    """Forward, then backward fill per recording."""
-    w = Window.partitionBy(key).orderBy(order)
+    """Forward, then backward fill per recording. Both frames grow row by row, so a recording is read once for each."""
+    before, after = (Window.partitionBy(key).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc(order), F.desc(order)))
     for c in columns:
-        back = F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        ahead = F.first(c, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+        back, ahead = F.last(c, ignorenulls=True).over(before), F.last(c, ignorenulls=True).over(after)
         df = df.withColumn(f"__f_{c}", F.coalesce(back, ahead))
     for c in columns:
         df = df.drop(c).withColumnRenamed(f"__f_{c}", c)
@@ -109,9 +110,8 @@ def mean_ranks(df: DataFrame, column: str, name: str, keys: list[str] | None = N
     """0-based ranks; ties share their mean. Ties are counted before ranking, so the ranking runs over distinct values."""
     keys = keys or []
     values = df.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("__c"))
-    w = Window.partitionBy(*keys).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    below = values.withColumn(name, F.coalesce(F.sum("__c").over(w), F.lit(0)) + (F.col("__c") - 1) / 2.0).drop("__c")
-    return df.join(below, [*keys, column])
+    below = running(values, [column], {"__before": "__c"}, keys)
+    return df.join(below.select(*keys, column, (F.col("__before") + (F.col("__c") - 1) / 2.0).alias(name)), [*keys, column])
 
 
 def moments(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:

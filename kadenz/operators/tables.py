@@ -71,7 +71,7 @@ def imputed(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def codes(df: DataFrame, column: str, name: str = "code") -> DataFrame:
     """Adds codes from 0 in sorted order of the distinct values; their numbering is done over the distinct values only."""
-    from kadenz.plans.views import numbered
+    from kadenz.operators.ordering import numbered
 
     values = numbered(df.select(column).where(F.col(column).isNotNull()).distinct(), [column], name)
     return df.join(values.withColumn(name, (F.col(name) - 1).cast("int")), column, "left")

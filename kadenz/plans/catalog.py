@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kadenz.plans import metric_queries, more_queries, table_queries, time_queries  # noqa: F401
+from kadenz.plans import metric_queries, more_queries, source_queries, table_queries, time_queries  # noqa: F401
 from kadenz.plans.registry import QUERIES, SQL
 
 

@@ -13,9 +13,10 @@ from kadenz.operators import models as L
 from kadenz.operators import signal as G
 from kadenz.operators import stats as S
 from kadenz.operators import tables as P
+from kadenz.operators.ordering import running
 from kadenz.plans import views as V
 from kadenz.plans.metric_queries import grid
-from kadenz.plans.registry import query, rounded
+from kadenz.plans.registry import query, r6, rounded
 from kadenz.plans.time_queries import series_of
 from kadenz.session import ship, table
 from kadenz.streaming import windows as Z
@@ -71,26 +72,17 @@ def v4(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     flat = V.numbered(c.select("conv_id", "turn"), ["conv_id", "turn"], "i").select("i", "turn")
     n = c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
-    upto = n.withColumn("end", F.sum("n").over(Window.orderBy("conv_id").rowsBetween(Window.unboundedPreceding, 0)))
+    upto = running(n, ["conv_id"], {"before": "n"}).withColumn("end", F.col("before") + F.col("n"))
     spans = upto.select("conv_id", F.explode(F.sequence(F.col("end") - F.col("n") + 1, F.col("end"))).alias("i"))
     listed = F.array_sort(F.collect_list(F.struct("i", "turn")))
     return spans.join(flat, "i").groupBy("conv_id").agg(F.transform(listed, lambda e: e.turn).alias("turns"))
 
 
-@query("v12_cka", "WITH e AS (SELECT vec_id, embedding[1:32]::DOUBLE[] AS x, embedding[33:64]::DOUBLE[] AS y FROM embeddings WHERE vec_id % 50 = 0), p AS (SELECT a.vec_id AS i, b.vec_id AS j, list_inner_product(a.x, b.x) AS k, list_inner_product(a.y, b.y) AS l FROM e a, e b), c AS (SELECT k - avg(k) OVER (PARTITION BY i) - avg(k) OVER (PARTITION BY j) + avg(k) OVER () AS k, l - avg(l) OVER (PARTITION BY i) - avg(l) OVER (PARTITION BY j) + avg(l) OVER () AS l FROM p) SELECT round(sum(k * l) / sqrt(sum(k * k) * sum(l * l)), 6) AS cka FROM c")
-def v12(spark, sf_dir):
-    """Every fiftieth id only, as its SQL says, since the gram matrices are pair frames; v12_cka_all_rows has all rows."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").withColumn("v", F.col("embedding").cast("array<double>"))
-    half = e.select("vec_id", F.slice("v", 1, 32).alias("x"), F.slice("v", 33, 32).alias("y"))
-    a, b = half.toDF("i", "xi", "yi"), half.toDF("j", "xj", "yj")
-    pairs = a.crossJoin(b).select("i", "j", A.dot(F.col("xi"), F.col("xj")).alias("k"), A.dot(F.col("yi"), F.col("yj")).alias("l"))
-    k = A.centred_kernel(pairs.select("i", "j", "k"), "k").withColumnRenamed("c", "k")
-    l = A.centred_kernel(pairs.select("i", "j", "l"), "l").withColumnRenamed("c", "l")  # noqa: E741
-    both = k.join(l, ["i", "j"])
-    return rounded(both.agg((F.sum(F.col("k") * F.col("l")) / F.sqrt(F.sum(F.col("k") * F.col("k")) * F.sum(F.col("l") * F.col("l")))).alias("cka")))
+_CKA = "WITH e AS (SELECT vec_id, embedding[1:32]::DOUBLE[] AS x, embedding[33:64]::DOUBLE[] AS y FROM embeddings), p AS (SELECT a.vec_id AS i, b.vec_id AS j, list_inner_product(a.x, b.x) AS k, list_inner_product(a.y, b.y) AS l FROM e a, e b), c AS (SELECT k - avg(k) OVER (PARTITION BY i) - avg(k) OVER (PARTITION BY j) + avg(k) OVER () AS k, l - avg(l) OVER (PARTITION BY i) - avg(l) OVER (PARTITION BY j) + avg(l) OVER () AS l FROM p) SELECT round(sum(k * l) / sqrt(sum(k * k) * sum(l * l)), 6) AS cka FROM c"
 
 
-@query("v12_cka_all_rows", "WITH e AS (SELECT vec_id, embedding[1:32]::DOUBLE[] AS x, embedding[33:64]::DOUBLE[] AS y FROM embeddings), p AS (SELECT a.vec_id AS i, b.vec_id AS j, list_inner_product(a.x, b.x) AS k, list_inner_product(a.y, b.y) AS l FROM e a, e b), c AS (SELECT k - avg(k) OVER (PARTITION BY i) - avg(k) OVER (PARTITION BY j) + avg(k) OVER () AS k, l - avg(l) OVER (PARTITION BY i) - avg(l) OVER (PARTITION BY j) + avg(l) OVER () AS l FROM p) SELECT round(sum(k * l) / sqrt(sum(k * k) * sum(l * l)), 6) AS cka FROM c")
+@query("v12_cka", _CKA)
+@query("v12_cka_all_rows", _CKA)
 def v12_all(spark, sf_dir):
     """All rows without pairs: the SQL twin has them, for comparison on small tables."""
     ship(spark)
@@ -151,17 +143,35 @@ def _window_pairs(spark, sf_dir, length):
     return out
 
 
-@query("g5_delay_per_window")
+def _delay_sql(length: int, most: int, keys: str, where: str = "true") -> str:
+    """The whitened cross-correlation of each window with its discrete Fourier transform written out as sums."""
+    n = 2 * length
+    return V.sql(
+        f"""
+        , r AS (SELECT rec_id, channel, row_number() OVER (PARTITION BY rec_id, channel ORDER BY t) - 1 AS i, v FROM series WHERE channel IN ('click', 'view')),
+        q AS (SELECT rec_id, channel, i // {length} AS k, i % {length} AS p, v, count(*) OVER u AS c, avg(v) OVER u AS m, stddev_pop(v) OVER u AS s FROM r WINDOW u AS (PARTITION BY rec_id, channel, i // {length})),
+        w AS (SELECT a.rec_id, a.k, a.p, a.v - a.m AS a, b.v - b.m AS b, a.s AS sa, b.s AS sb FROM q a JOIN q b ON a.rec_id = b.rec_id AND a.k = b.k AND a.p = b.p AND a.channel = 'click' AND b.channel = 'view' WHERE a.c = {length} AND b.c = {length} AND {where.replace("k ", "a.k ")}),
+        f AS (SELECT rec_id, k, f, sum(a * cos(2 * pi() * f * p / {n})) AS ar, -sum(a * sin(2 * pi() * f * p / {n})) AS ai, sum(b * cos(2 * pi() * f * p / {n})) AS br, -sum(b * sin(2 * pi() * f * p / {n})) AS bi, min(sa) AS sa, min(sb) AS sb FROM w, (SELECT unnest(range({length + 1})) AS f) GROUP BY rec_id, k, f),
+        x AS (SELECT rec_id, k, f, ar * br + ai * bi AS xr, ar * bi - ai * br AS xi, sa, sb FROM f),
+        y AS (SELECT rec_id, k, f, xr / greatest(sqrt(xr * xr + xi * xi), 1e-12) AS xr, xi / greatest(sqrt(xr * xr + xi * xi), 1e-12) AS xi, sa, sb FROM x),
+        c AS (SELECT rec_id, k, lag, sum(CASE WHEN f IN (0, {length}) THEN 1 ELSE 2 END * (xr * cos(2 * pi() * f * lag / {n}) - CASE WHEN f IN (0, {length}) THEN 0 ELSE xi * sin(2 * pi() * f * lag / {n}) END)) / {n} AS c, least(min(sa), min(sb)) AS s FROM y, (SELECT unnest(range({-most}, {most + 1})) AS lag) GROUP BY rec_id, k, lag),
+        z AS (SELECT *, row_number() OVER (PARTITION BY rec_id, k ORDER BY abs(c) DESC, lag) AS rn FROM c)
+        SELECT {keys}, CASE WHEN s >= 1e-9 THEN lag END AS lag, CASE WHEN s >= 1e-9 THEN round(c, 6) END AS c FROM z WHERE rn = 1""",
+        "series",
+    )
+
+
+@query("g5_delay_per_window", _delay_sql(4, 2, "rec_id, k"))
 def g5(spark, sf_dir):
     ship(spark)
-    return G.delays(_window_pairs(spark, sf_dir, 4), 2, ["rec_id", "k"])
+    return rounded(G.delays(_window_pairs(spark, sf_dir, 4), 2, ["rec_id", "k"]))
 
 
-@query("g6_delay_of_recordings")
+@query("g6_delay_of_recordings", _delay_sql(8, 5, "rec_id", "k = 0"))
 def g6(spark, sf_dir):
     ship(spark)
     pairs = _window_pairs(spark, sf_dir, 8).where("k = 0").drop("k")
-    return G.delays(pairs, 5, ["rec_id"])
+    return rounded(G.delays(pairs, 5, ["rec_id"]))
 
 
 @query("g8_smooth_path")
@@ -171,16 +181,26 @@ def g8(spark, sf_dir):
     return G.smooth_path(c.groupBy("rec_id", "k", "lag").agg(F.max("c").alias("c")), "rec_id", "k", "lag", "c", 7.0)
 
 
-@query("g3_nuclei")
+_NUCLEI = """
+    , w AS (SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY t) - 1 AS i, v FROM series),
+    h AS (SELECT rec_id, i, v, unnest(range(greatest(0, (i - 6) // 2), i // 2 + 1)) AS k FROM w),
+    d AS (SELECT rec_id, k, 10 * log10(avg((0.5 - 0.5 * cos(2 * pi() * (i - 2 * k) / 7)) * (v * v + 1e-10))) AS db FROM h WHERE i - 2 * k BETWEEN 0 AND 7 GROUP BY rec_id, k HAVING count(*) = 8),
+    p AS (SELECT *, quantile_cont(db, 0.99) OVER (PARTITION BY rec_id) - 25 AS bar, db > coalesce(lag(db) OVER o, '-inf') AND db >= coalesce(lead(db) OVER o, '-inf') AS peak FROM d WINDOW o AS (PARTITION BY rec_id ORDER BY k)),
+    l AS (SELECT a.rec_id, a.k, coalesce(max(CASE WHEN b.db > a.db THEN b.k END), -1) AS base FROM p a LEFT JOIN p b ON a.rec_id = b.rec_id AND b.k < a.k WHERE a.peak AND a.db > a.bar GROUP BY a.rec_id, a.k)
+    SELECT l.rec_id, l.k FROM l JOIN p a ON a.rec_id = l.rec_id AND a.k = l.k JOIN p b ON b.rec_id = l.rec_id AND b.k > l.base AND b.k <= l.k GROUP BY l.rec_id, l.k HAVING max(a.db) - min(b.db) > 2"""
+
+
+@query("g3_nuclei", V.sql(_NUCLEI, "series"))
 def g3(spark, sf_dir):
     ship(spark)
     return G.nuclei(G.volume(V.series(spark, sf_dir), 8, 2))
 
 
-@query("m13_random_slopes")
+@query("m13_random_slopes", V.sql(", s AS (SELECT meta_id, sum(acoustic_qty * acoustic_qty)::DOUBLE + 0.1 AS a, sum(acoustic_qty * vision_disc)::DOUBLE AS b, sum(vision_disc * vision_disc)::DOUBLE + 0.1 AS d, sum(acoustic_qty * y)::DOUBLE AS p, sum(vision_disc * y)::DOUBLE AS q FROM wide GROUP BY meta_id) SELECT meta_id, [round((d * p - b * q) / (a * d - b * b), 6), round((a * q - b * p) / (a * d - b * b), 6)] AS effects FROM s", "wide"))
 def m13(spark, sf_dir):
     ship(spark)
-    return L.random_slopes(V.wide(spark, sf_dir), "meta_id", ["acoustic_qty", "vision_disc"], "y", 1.0, 10.0)
+    out = L.random_slopes(V.wide(spark, sf_dir), "meta_id", ["acoustic_qty", "vision_disc"], "y", 1.0, 10.0)
+    return out.withColumn("effects", F.transform("effects", r6))
 
 
 @query("m2_learned_scaling", V.sql(", s AS (SELECT avg(vision_tax) AS m, stddev_pop(vision_tax) AS s FROM wide WHERE meta_id % 5 > 1) SELECT id, round(greatest(least((vision_tax - m) / s, 3), -3), 6) AS vision_tax FROM wide, s", "wide"))

@@ -11,6 +11,7 @@ from kadenz.operators import joins as J
 from kadenz.operators import models as L
 from kadenz.operators import stats as S
 from kadenz.operators import tables as P
+from kadenz.operators.ordering import running
 from kadenz.plans import views as V
 from kadenz.plans.registry import query, rounded
 from kadenz.session import table
@@ -118,7 +119,7 @@ def s10(spark, sf_dir):
     span = V.series(spark, sf_dir).groupBy("rec_id").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     steps = F.sequence(F.lit(0).cast("long"), F.floor((F.col("hi") - F.col("lo")) / 86400.0).cast("long"))
     points = span.select("rec_id", "lo", F.explode(steps).alias("k")).select("rec_id", "k", (F.col("lo") + F.col("k") * 86400.0).alias("t"))
-    hit = J.contains(points, V.intervals(spark, sf_dir), width=V.SIX_HOURS).select("rec_id", "k").distinct().withColumn("on_", F.lit(True))
+    hit = J.contains(points, V.intervals(spark, sf_dir)).select("rec_id", "k").distinct().withColumn("on_", F.lit(True))
     return points.select("rec_id", "k").join(hit, ["rec_id", "k"], "left").fillna(False, ["on_"])
 
 
@@ -245,7 +246,7 @@ def a22(spark, sf_dir):
 @query("w10_cumulative_offsets", "SELECT conv_id, n, sum(n) OVER (ORDER BY conv_id ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)")
 def w10(spark, sf_dir):
     n = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("upto", F.sum("n").over(Window.orderBy("conv_id").rowsBetween(Window.unboundedPreceding, 0)))
+    return running(n, ["conv_id"], {"before": "n"}).select("conv_id", "n", (F.col("before") + F.col("n")).alias("upto"))
 
 
 @query("j11_lookup_with_fallback", f"WITH {_LEX}, t AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM conversations), c AS (SELECT w, lower(regexp_replace(w, '[^A-Za-z]', '', 'g')) AS k FROM t) SELECT w, coalesce(a.long, b.long) AS long FROM c LEFT JOIN lex a ON a.word = w LEFT JOIN lex b ON a.word IS NULL AND k <> w AND b.word = k")
@@ -391,7 +392,7 @@ def _sim_pairs(spark, sf_dir):
     """A reference set of every fiftieth vector against all."""
     e = _vec(spark, sf_dir)
     a = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"), F.col("label").alias("la"))
-    return e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"), F.col("label").alias("lb")).crossJoin(a)
+    return J.all_pairs_of(a, e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"), F.col("label").alias("lb")), "a", "b")
 
 
 @query("v10_similarities", "SELECT a.vec_id AS a, b.vec_id AS b, round(greatest(exp(-2 * list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) ** 2), 1e-8), 6) AS rbf, round(exp(2 * list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) - 2), 6) AS cos " + _PAIRS)

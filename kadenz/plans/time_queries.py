@@ -67,7 +67,7 @@ def j4(spark, sf_dir):
 
 @query("j5_interval_containment", V.sql("SELECT s.rec_id, seq, seg_id FROM series s JOIN intervals i ON s.rec_id = i.rec_id AND t >= begin_t AND t <= end_t", "series", "intervals"))
 def j5(spark, sf_dir):
-    return J.contains(V.series(spark, sf_dir), V.intervals(spark, sf_dir), width=V.SIX_HOURS).select("rec_id", "seq", "seg_id")
+    return J.contains(V.series(spark, sf_dir), V.intervals(spark, sf_dir)).select("rec_id", "seq", "seg_id")
 
 
 @query("j6_interval_overlap", V.sql("SELECT a.rec_id, a.seg_id AS a_id, b.seg_id AS b_id FROM intervals a JOIN intervals b ON a.rec_id = b.rec_id AND a.seg_id < b.seg_id AND a.begin_t < b.end_t AND a.end_t > b.begin_t", "intervals"))
@@ -75,7 +75,7 @@ def j6(spark, sf_dir):
     i = V.intervals(spark, sf_dir)
     a = i.select("rec_id", F.col("seg_id").alias("a_id"), F.col("begin_t").alias("a_begin"), F.col("end_t").alias("a_end"))
     b = i.select("rec_id", F.col("seg_id").alias("b_id"), F.col("begin_t").alias("b_begin"), F.col("end_t").alias("b_end"))
-    return J.overlaps(a, b, width=V.SIX_HOURS).where("a_id < b_id").select("rec_id", "a_id", "b_id")
+    return J.overlaps(a, b).where("a_id < b_id").select("rec_id", "a_id", "b_id")
 
 
 _NEAREST = """

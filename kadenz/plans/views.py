@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kadenz.operators.ordering import numbered
 from kadenz.session import table
 
 #: Seconds since 1970 of a zone-less timestamp; the session's zone plays no part.
@@ -33,29 +34,6 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("rec_id", F.col("seq").alias("seg_id"), F.col("t").alias("begin_t"), (F.col("t") + SIX_HOURS).alias("end_t"))
 
 
-def numbered(rows: DataFrame, order: list[str], name: str = "id") -> DataFrame:
-    """Adds 1, 2, ... in the given total order without bringing all rows into one task.
-
-    A fixed sample of the first order column gives bounds; rows are numbered within the buckets between bounds,
-    and a bucket's numbers start after the rows of those before it. Bounds and counts are a few numbers per
-    shuffle partition. A row's number depends on its values alone, so a task that runs again gives the same.
-    """
-    parts = min(200, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    first = F.col(order[0])
-    sample = rows.select(first.alias("x")).where("x IS NOT NULL").orderBy(F.xxhash64("x"), "x").limit(20 * parts).collect()
-    bounds = sorted({x for x in sorted(r.x for r in sample)[19::20]})
-    bucket = F.coalesce(F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda b: b <= first)), F.lit(0)) if bounds else F.lit(0)
-    counts = {r.b: r["count"] for r in rows.groupBy(bucket.alias("b")).count().collect()}
-    start, total = {}, 0
-    for b in sorted(counts):
-        start[b] = total
-        total += counts[b]
-    ahead = F.element_at(F.create_map(*[F.lit(x) for kv in start.items() for x in kv]), F.col("__b")) if start else F.lit(0)
-    placed = rows.withColumn("__b", bucket)
-    number = F.row_number().over(Window.partitionBy("__b").orderBy(*order))
-    return placed.withColumn(name, (ahead + number).cast("long")).drop("__b")
-
-
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(table(spark, sf_dir, "lineitem"), LINES.split(", "))
 

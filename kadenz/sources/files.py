@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 #: Name of a feature file: dataset, label, fold and split.
-NAME = r"([^/_]+)_([^/_]+)_(\d+)_([^/_.]+)\.csv$"
+NAME = r"([^/_]+)_([^/_]+)_(\d+)_([^/_.]+)\.csv(?:/[^/]*)?$"
+
 
+def read_csv_family(spark: SparkSession, paths: list[str], schema: str, most: int | None = None) -> DataFrame:
+    """Many files (or folders) of one schema as one table; dataset, label, fold and split come from the name.
 
-def read_csv_family(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
-    """Many files of one schema as one table; dataset, label, fold and split come from the file's name."""
-    rows = spark.read.csv(paths, header=True, schema=schema).select("*", F.col("_metadata.file_path").alias("__path"))
+    most: rows of each to read at most, where a preview is wanted.
+    """
+    read = lambda p: spark.read.csv(p, header=True, schema=schema).select("*", F.col("_metadata.file_path").alias("__path"))
+    rows = read(paths) if most is None else reduce(DataFrame.unionByName, [read(p).limit(most) for p in paths])
     part = lambda i: F.regexp_extract("__path", NAME, i)
     return rows.select("*", part(1).alias("dataset"), part(2).alias("label"), part(3).try_cast("int").alias("fold"), part(4).alias("split")).drop("__path")
 
@@ -28,6 +34,19 @@ def read_layers(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("features")[0]["layers"]["values"].alias("layers"))
 
 
+def write_annotations(rows: DataFrame, path: str, key: str = "rec_id") -> None:
+    """(key, n, tier, begin, end, value), times in seconds, as annotation XML: one document per recording, in a folder of its own."""
+    name = lambda end: F.concat(F.col(key).cast("string"), F.lit("_"), F.col("tier"), F.lit("_"), F.col("n").cast("string"), F.lit(end))
+    safe = F.replace(F.replace(F.replace("value", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    slot = lambda end, at: F.format_string('<TIME_SLOT TIME_SLOT_ID="%s" TIME_VALUE="%d"/>', name(end), F.round(F.col(at) * 1000).cast("long"))
+    one = F.format_string('<ANNOTATION><ALIGNABLE_ANNOTATION TIME_SLOT_REF1="%s" TIME_SLOT_REF2="%s"><ANNOTATION_VALUE>%s</ANNOTATION_VALUE></ALIGNABLE_ANNOTATION></ANNOTATION>', name("a"), name("b"), safe)
+    joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", c.alias("x")))), lambda e: e.x), "")
+    tiers = rows.groupBy(key, "tier").agg(F.min("n").alias("n"), joined(one).alias("all"), joined(F.concat(slot("a", "begin"), slot("b", "end"))).alias("slots"))
+    tier = F.format_string('<TIER TIER_ID="%s">%s</TIER>', "tier", "all")
+    document = F.concat(F.lit("<ANNOTATION_DOCUMENT><TIME_ORDER>"), joined(F.col("slots")), F.lit("</TIME_ORDER>"), joined(tier), F.lit("</ANNOTATION_DOCUMENT>"))
+    tiers.groupBy(key).agg(document.alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+
+
 def write_frames(frames: dict[str, DataFrame], root: str) -> None:
     """A dict of named frames, one table each."""
     for name, df in frames.items():
