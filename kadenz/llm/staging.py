@@ -2,26 +2,54 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kadenz.session import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only where it is unset, as in tests, one of our own is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.kadenz.staging", None)
+#: Where a session keeps the name of its folder.
+FOLDER = "spark.kadenz.staging"
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The session's folder of written tables."""
+    found = spark.conf.get(FOLDER, None)
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-kadenz-")
-        spark.conf.set("spark.kadenz.staging", found)
-    return found.rstrip("/")
+        found = f"{shared_dir(spark)}/kadenz/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+        spark.conf.set(FOLDER, found)
+    return found
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and returns the written table.
+    """Writes df as Parquet into the session's folder and returns the written table.
 
-    The files stay until the folder is cleared, because the result is lazy.
+    The files stay until clear(), because results are lazy.
     """
-    path = f"{shared_dir(df.sparkSession)}/kadenz/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the session's written tables. Call it once the results that read them are written."""
+    found = spark.conf.get(FOLDER, None)
+    if found:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        spark.conf.unset(FOLDER)
+
+
+@contextmanager
+def run(spark: SparkSession) -> Iterator[None]:
+    """A run of its own: what it stages is deleted at its end, so write the results inside."""
+    before = spark.conf.get(FOLDER, None)
+    spark.conf.unset(FOLDER)
+    try:
+        yield
+    finally:
+        clear(spark)
+        if before:
+            spark.conf.set(FOLDER, before)
