@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from string import ascii_lowercase, ascii_uppercase
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kadenz.llm.staging import stage
@@ -86,16 +86,29 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     only hashes of it are shuffled. Input columns named like a result are replaced.
 
     A null text is an empty one, and all empty texts form one group. A null id takes part in its group, but
-    stays only if all ids of the group are null. Rows that repeat id and text can't be told apart: each is
-    counted in group_size and all say the same. An empty table gives an empty result.
+    stays only if all ids of the group are null. Of rows that repeat the largest id and the text any one stays. An
+    empty table gives an empty result.
     """
     new = ["keep_id", "group_size", "kept"]
     known = stage(identities(docs, id_col, text_col, block), "identities")
     # written, so that the join reads two plain tables and the rows of a hot group can be split over tasks
     groups = stage(known.groupBy("__len", "__name").agg(F.max("__id").alias("keep_id"), F.sum("__rows").alias("group_size")), "groups")
-    verdict = known.join(groups, ["__len", "__name"]).select("__id", F.col("__tag").alias("__vtag"), "keep_id", "group_size")
+    several = F.col("__id").eqNullSafe(F.col("keep_id")) & (F.col("__rows") > 1)
+    verdict = known.join(groups, ["__len", "__name"]).select("__id", F.col("__tag").alias("__vtag"), "keep_id", "group_size", several.alias("__several"))
+    verdict = stage(verdict, "verdicts")
     keep = [c for c in columns or docs.columns if c not in new]
     rows = docs.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)], F.col(id_col).alias("__rid"), F.xxhash64(normalised(F.col(text_col))).alias("__rtag"))
     out = rows.join(verdict, F.col("__rid").eqNullSafe(F.col("__id")) & (F.col("__rtag") == F.col("__vtag")))
-    stays = F.col("__rid").eqNullSafe(F.col("keep_id")).alias("kept")
-    return out.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], "keep_id", "group_size", stays)
+    out = out.withColumn("kept", F.col("__rid").eqNullSafe(F.col("keep_id")))
+    if not verdict.where("__several").isEmpty():
+        out = out.where("NOT __several").unionByName(_one_of(out.where("__several")))
+    return out.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], "keep_id", "group_size", "kept")
+
+
+def _one_of(rows: DataFrame) -> DataFrame:
+    """Rows that repeat an id and a text: one of each stays. One of each task's goes into the choice, so no task holds all."""
+    salted = rows.withColumn("__salt", F.spark_partition_id())
+    within = Window.partitionBy("__rid", "__rtag", "__salt").orderBy("__rid")
+    salted = salted.withColumn("__salt", F.when(F.row_number().over(within) == 1, -1).otherwise(F.col("__salt")))
+    among = Window.partitionBy("__rid", "__rtag", "__salt").orderBy("__rid")
+    return salted.withColumn("kept", (F.col("__salt") == -1) & (F.row_number().over(among) == 1)).drop("__salt")

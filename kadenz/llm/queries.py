@@ -119,7 +119,7 @@ ORACLE_SQL = {
     "op6_exact_dedup": f"""
         WITH n AS (SELECT doc_id, {_LOWER} AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
-        SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256
+        SELECT doc_id, keep_id, group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
         FROM n JOIN g USING (t)
     """,
 }

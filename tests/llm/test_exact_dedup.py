@@ -26,3 +26,12 @@ def test_odd_rows(odd, none):
     empty = {(r.doc_id, r.keep_id, r.group_size) for r in got if not r.text}
     assert empty == {(3, 4, 3), (4, 4, 3), (None, 4, 3)}
     assert E.exact_dedup(none).count() == 0
+
+
+def test_of_repeated_rows_one_stays(spark):
+    rows = [(7, "same", i) for i in range(30)] + [(3, "SAME", 0), (7, "other", 1), (None, "none", 1), (None, "none", 2), (9, "a", 1), (9, "A", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(4)
+    got = E.exact_dedup(df).collect()
+    assert len(got) == len(rows)
+    kept = sorted((r.doc_id or 0, r.text.lower(), r.group_size) for r in got if r.kept)
+    assert kept == [(0, "none", 2), (7, "other", 1), (7, "same", 31), (9, "a", 2)]
