@@ -1,9 +1,10 @@
 """Main text of web pages by container paths that the pages of a host agree on.
 
 Each page is read once to score its containers: text of a block counts for the element around it, half for the
-next one, and so on; text inside links counts against it. The best containers vote for their generalised path
+next one, and so on; text inside links counts against it. The containers vote for their generalised path
 (tags with their first class, digits folded), Spark sums the votes per host, and in a second reading
 every page gives the text of its host's winning path. A page that lacks it uses its own best container.
+Reading takes time in proportion to a page's length, however deep its elements are.
 """
 
 from __future__ import annotations
@@ -13,17 +14,19 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kadenz.llm import words as W
 from kadenz.llm.staging import stage
 from kadenz.llm.url_filter import host
 
-#: Containers that a page votes for, and winning paths that a host has.
-VOTES, PATHS = 3, 3
-#: A winning path is passed over on a page where it holds less than this share of the best container's score.
+#: Containers below this share of the page's best one are neither voted for nor taken.
 WORTH = 0.3
+#: Pages that must vote for a path before their host knows it. A path of one page alone decides nothing: that page would
+#: take it as its own best.
+AGREED = 2
 
 # HTML's element names by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -80,15 +83,17 @@ class Page:
     """Elements of a page (parent, label, tag) and its blocks (element, text, characters in links)."""
 
     def __init__(self, text: str):
-        self.parent, self.label, self.tag, self.off = [-1], [""], [""], [False]
+        self.parent, self.label, self.tag, self.off, self.inside = [-1], [""], [""], [False], [False]
         self.marked: dict[int, bool] = {}  # blocks of HTML with boilerplate marks, and whether they mark talk
         self.own: set[int] = set()  # articles without such marks
         self.blocks: list[tuple[int, str, int]] = []
         self.stack = [0]
+        self.open: dict[str, list[int]] = {}  # where the open elements of a name stand in the stack
+        self.open_blocks = [0]
         self.buffer: list[str] = []
-        self.linked, self.depth_a = 0, 0
-        at = 0
-        while m := TAG.search(text, at):
+        self.linked = 0
+        at, last = 0, text.rfind(">") + 1  # no tag ends later
+        while m := TAG.search(text, at, last):
             self._text(text[at : m.start()])
             at = m.end()
             if name := m["open"] or m["loose"]:
@@ -100,6 +105,8 @@ class Page:
                     self._start(name, m["attrs"] or m["rest"] or "")
             elif m["close"]:
                 self._end(m["close"].lower())
+            elif at == last and text.startswith("<!--", m.start()) and not text.endswith(("-->", "--!>"), 0, at):
+                at = len(text)  # a comment without an end
         self._text(text[at:])
         self._flush()
         if self.marked:
@@ -107,41 +114,49 @@ class Page:
 
     def _drop_marked(self) -> None:
         """Drops the blocks below marked elements, but for elements that hold the article or nearly all of the text."""
+        # of each element the mark that it stands in, -1 if none, and whether an article, or main, stands between them
+        mark: list[int] = []
+        between: list[tuple[bool, bool]] = []
+        for n, up in enumerate(self.parent):
+            inherits = up >= 0 and n not in self.marked
+            mark.append(mark[up] if inherits else n if n in self.marked else -1)
+            own = inherits and mark[n] >= 0 and n in self.own
+            was = between[up] if inherits else (False, False)
+            between.append((was[0] or own, was[1] or own and self.tag[n] == "main"))
+        holds = lambda n: between[n][self.marked.get(mark[n], False)]
+        # marks as a tree: text of a mark's own, text in and below it, and how much of that an article of the mark's holds
+        direct: dict[int, float] = dict.fromkeys([-1, *self.marked], 0.0)
+        articles: dict[int, float] = dict.fromkeys(direct, 0.0)
+        for node, text, linked in self.blocks:
+            worth = max(len(text) - linked, 0)
+            direct[mark[node]] += worth
+            articles[mark[node]] += worth * holds(node)
+        held = dict(direct)
+        below: dict[int, list[int]] = {n: [] for n in direct}
+        for n in sorted(self.marked, reverse=True):
+            up = self.parent[n]
+            below[mark[up]].append(n)
+            held[mark[up]] += held[n]
+            articles[mark[up]] += held[n] * holds(up)
+        tops, rest, total, kept = set(below[-1]), direct[-1], held[-1], {-1}
         while True:
-            top: list[int | None] = []
-            held: dict[int, float] = {}
-            in_own: dict[int, float] = {}
-            rest = total = 0.0
-            for node, text, linked in self.blocks:
-                trail = []
-                while node >= 0:
-                    trail.append(node)
-                    node = self.parent[node]
-                k = max((k for k, n in enumerate(trail) if n in self.marked), default=None)
-                top.append(None if k is None else trail[k])
-                worth = max(len(text) - linked, 0)
-                total += worth
-                if k is None:
-                    rest += worth
-                    continue
-                held[trail[k]] = held.get(trail[k], 0.0) + worth
-                # an article in it, with no other mark between; comments are articles too on many pages, but never main
-                below = max((j for j in range(k) if trail[j] in self.marked), default=-1)
-                if any(n in self.own and (self.tag[n] == "main" or not self.marked[trail[k]]) for n in trail[below + 1 : k]):
-                    in_own[trail[k]] = in_own.get(trail[k], 0.0) + worth
-            free = [n for n, w in in_own.items() if w > rest]
+            free = [n for n in tops if articles[n] > rest]
             if not free:
-                free = [n for n, w in held.items() if w > 0 and rest < (0 if self.marked[n] else REST) * total or w > 0 and rest == 0]
+                free = [n for n in tops if held[n] > 0 and (rest == 0 or rest < (0 if self.marked[n] else REST) * total)]
             if not free:
-                self.blocks = [b for b, t in zip(self.blocks, top, strict=True) if t is None]
+                self.blocks = [b for b in self.blocks if mark[b[0]] in kept]
                 return
             # plain marks before talk, then the element with the most text
-            del self.marked[max(free, key=lambda n: (not self.marked[n], in_own.get(n, 0.0), held[n], -n))]
+            n = max(free, key=lambda n: (not self.marked[n], articles[n], held[n], -n))
+            tops.remove(n)
+            tops.update(below[n])
+            kept.add(n)
+            rest += direct[n]
 
     def _text(self, raw: str) -> None:
         if raw and not self.off[self.stack[-1]]:
             self.buffer.append(raw)
-            if self.depth_a:
+            if self.open.get("a"):
                 self.linked += len(raw)
 
     def _flush(self) -> None:
@@ -149,63 +164,74 @@ class Page:
             raw = "".join(self.buffer)
             text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
             if text:
-                node = next(n for n in reversed(self.stack) if self.tag[n] in BLOCK or not n)
-                self.blocks.append((node, text, self.linked))
+                self.blocks.append((self.stack[self.open_blocks[-1]], text, self.linked))
             self.buffer = []
         self.linked = 0
 
+    def _last(self, *names: str) -> int:
+        """Where the innermost open element of these names stands, 0 if there is none."""
+        return max((self.open[n][-1] for n in names if self.open.get(n)), default=0)
+
     def _pop_to(self, k: int) -> None:
         """Closes the open elements from position k on."""
-        self.depth_a -= sum(self.tag[n] == "a" for n in self.stack[k:])
+        for n in reversed(self.stack[k:]):
+            self.open[self.tag[n]].pop()
         del self.stack[k:]
+        while self.open_blocks[-1] >= k:
+            self.open_blocks.pop()
 
     def _start(self, name: str, attrs: str) -> None:
         if name in BLOCK:
             self._flush()
-            ends, stop = ENDS.get(name, (None, None))
-            for k in range(len(self.stack) - 1, 0, -1):
-                tag = self.tag[self.stack[k]]
-                if tag == "p" and name in ENDS_P or ends and tag in ends:
+            paragraph = self._last("p") if name in ENDS_P else 0
+            if name in ENDS:
+                ends, stop = ENDS[name]
+                k = max(paragraph, self._last(*ends))
+                if k > self._last(*stop):
                     self._pop_to(k)
-                    break
-                if tag in BLOCK and (not ends or tag in stop):
-                    break
+            elif paragraph and paragraph == self.open_blocks[-1]:
+                self._pop_to(paragraph)
         if name in VOID:
             if name == "br":
                 self._text(" ")
             return
         found = {k.lower(): v.strip("\"'") for k, v in ATTR.findall(attrs)} if attrs else {}
         marks = f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}"
-        inside = any(self.tag[n] in ARTICLE for n in self.stack)
-        off = self.off[self.stack[-1]] or name in DROPPED or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+        up = self.stack[-1]
+        off = self.off[up] or name in DROPPED or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
         parts = marked_words(marks) if marks.strip() else set()
         if off or name in ("html", "body"):
             pass
         elif name in ARTICLE:
             if not parts & MARKS:
                 self.own.add(len(self.tag))
-        elif parts & MARKS or not inside and not parts & OWN_HEADER and (name == "header" or "header" in parts):
+        elif self.inside[up]:
+            off = bool(parts & MARKS) and name not in BLOCK
+            if parts & MARKS and name in BLOCK:
+                self.marked[len(self.tag)] = bool(parts & TALK)
+        elif parts & MARKS or not parts & OWN_HEADER and (name == "header" or "header" in parts):
             if name in BLOCK:
                 self.marked[len(self.tag)] = bool(parts & TALK)
             else:
                 off = True
         first = (found.get("class") or "").split()[:1] or [f"#{i}" for i in (found.get("id") or "").split()[:1]]
-        self.parent.append(self.stack[-1])
+        self.parent.append(up)
         self.tag.append(name)
         self.off.append(off)
+        self.inside.append(self.inside[up] or name in ARTICLE)
         self.label.append(re.sub(r"\d+", "0", f"{name}.{first[0]}" if first else name))
+        self.open.setdefault(name, []).append(len(self.stack))
+        if name in BLOCK:
+            self.open_blocks.append(len(self.stack))
         self.stack.append(len(self.tag) - 1)
-        self.depth_a += name == "a"
 
     def _end(self, name: str) -> None:
         if name in BLOCK:
             self._flush()
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.tag[self.stack[k]] == name:
-                self._pop_to(k)
-                return
-            if name not in BLOCK and self.tag[self.stack[k]] in BLOCK:
-                return  # an inline end tag does not close blocks
+        k = self._last(name)
+        # an inline end tag does not close blocks
+        if k and (name in BLOCK or k > self.open_blocks[-1]):
+            self._pop_to(k)
 
     def path(self, node: int) -> str:
         labels = []
@@ -214,6 +240,13 @@ class Page:
             node = self.parent[node]
         return "/".join(reversed(labels))
 
+    def path_keys(self) -> list[int]:
+        """Of each element a hash of its path, so that deep paths take no more room than others."""
+        keys = [0]
+        for up, label in zip(self.parent[1:], self.label[1:], strict=True):
+            keys.append(xxhash.xxh3_64_intdigest(label.encode(), keys[up] & (1 << 64) - 1) - (1 << 63))
+        return keys
+
     def scores(self) -> dict[int, float]:
         """Of each container: worth of the blocks below it, halved with each level between."""
         out: dict[int, float] = {}
@@ -242,29 +275,35 @@ class Page:
         return "\n".join(t for n, t, _ in self.blocks if below(n))
 
 
-def votes_of(text: str | None) -> list[tuple[str, float]]:
-    page = Page(text or "")
-    found = page.scores()
-    total = sum(found.values()) or 1.0
-    by: dict[str, float] = {}
+def _candidates(page: Page) -> tuple[dict[int, float], dict[int, list[int]]]:
+    """Score of each path that is worth a vote, by its key, and its containers."""
+    found, keys = page.scores(), page.path_keys()
+    total: dict[int, float] = {}
+    nodes: dict[int, list[int]] = {}
     for n, s in found.items():
-        by[page.path(n)] = by.get(page.path(n), 0.0) + s / total
-    return sorted(by.items(), key=lambda x: (-x[1], x[0]))[:VOTES]
+        total[keys[n]] = total.get(keys[n], 0.0) + s
+        nodes.setdefault(keys[n], []).append(n)
+    bar = WORTH * max(total.values(), default=0.0)
+    return {k: s for k, s in total.items() if s >= bar}, nodes
+
+
+def votes_of(text: str | None) -> list[tuple[int, float]]:
+    """Votes of a page, together 1."""
+    total, _ = _candidates(Page(text or ""))
+    whole = sum(total.values()) or 1.0
+    return [(k, s / whole) for k, s in total.items()]
 
 
-def main_text(text: str | None, winners: list[str]) -> tuple[str, str | None]:
-    """Main text, and the path that gave it."""
+def main_text(text: str | None, winners: list[int]) -> tuple[str, str | None]:
+    """Main text, and the path that gave it. winners: the host's path keys, best first."""
     page = Page(text or "")
-    found = page.scores()
-    if not found:
+    total, nodes = _candidates(page)
+    if not total:
         return "", None
-    by: dict[str, list[int]] = {}
-    for n in found:
-        by.setdefault(page.path(n), []).append(n)
-    total = {p: sum(found[n] for n in ns) for p, ns in by.items()}
-    best = max(total, key=lambda p: (total[p], p))
-    use = next((p for p in winners if total.get(p, 0.0) >= WORTH * total[best]), best)
-    return page.text(set(by[use])), use
+    use = next((k for k in winners if k in total), None)
+    if use is None:
+        use = max(total, key=lambda k: (total[k], -nodes[k][0]))
+    return page.text(set(nodes[use])), page.path(nodes[use][0])
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", columns: list[str] | None = None) -> DataFrame:
@@ -272,7 +311,8 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", colu
 
     columns: input columns to return (all but the html, if not given); those named like a result are replaced.
     Null or empty html, and pages without a container, have an empty text. Pages with a null url, or
-    one without a host, vote together. Rows may repeat. An empty table gives an empty result.
+    one without a host, vote together. A host's list has each path that two pages vote for, so it grows with the host's
+    layouts; of equal votes the lower key wins. Rows may repeat. An empty table gives an empty result.
     """
     new = ["text", "text_path"]
     keep = [c for c in columns or pages.columns if c not in (*new, html_col)]
@@ -280,16 +320,16 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", colu
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            by: dict[tuple[str, str], float] = {}
+            by: dict[tuple[str, int], list[float]] = {}
             for h, t in zip(W.column(b, "host"), W.column(b, "html"), strict=True):
                 for p, s in votes_of(t):
-                    by[h, p] = by.get((h, p), 0.0) + s
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in by], pa.string()), pa.array([k[1] for k in by], pa.string()), pa.array(list(by.values()), pa.float64())], names=["host", "path", "vote"])
+                    by.setdefault((h, p), []).append(s)
+            cols = [pa.array([k[0] for k in by], pa.string()), pa.array([k[1] for k in by], pa.int64()), pa.array(map(sum, by.values()), pa.float64()), pa.array(map(len, by.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["host", "path", "vote", "pages"])
 
-    votes = named.select("host", "html").mapInArrow(vote, "host string, path string, vote double").groupBy("host", "path").agg(F.round(F.sum("vote"), 6).alias("vote"))
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("vote"), "path"))
-    winners = votes.withColumn("rank", rank).where(F.col("rank") <= PATHS).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", "path"))).alias("w"))
-    winners = stage(winners.select("host", F.transform("w", lambda x: x.path).alias("winners")), "host-paths")
+    votes = named.select("host", "html").mapInArrow(vote, "host string, path long, vote double, pages long").groupBy("host", "path").agg(F.round(F.sum("vote"), 6).alias("vote"), F.sum("pages").alias("pages"))
+    agreed = votes.where(F.col("pages") >= AGREED).groupBy("host").agg(F.sort_array(F.collect_list(F.struct(F.negate("vote").alias("order"), "path"))).alias("w"))
+    winners = stage(agreed.select("host", F.transform("w", lambda x: x.path).alias("winners")), "host-paths")
     kinds = dict(named.dtypes)
     inner = [f"__k{i}" for i in range(len(keep))]
 
