@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kadenz.operators.joins import nearest
 from kadenz.operators.stats import hop_windows
 
 
@@ -34,6 +35,17 @@ def cross_correlation(a: DataFrame, b: DataFrame, most: int, value: str = "v", k
     return left.join(right, [key, "nb"]).groupBy(key, "lag").agg(F.sum(F.col("va") * F.col("vb")).alias("c"))
 
 
+def clip_windows(lengths: DataFrame, key: str, frames: int, n: str = "n") -> DataFrame:
+    """(key, clip): every window of `frames` consecutive frames, by its first one; recordings shorter than that have none."""
+    return lengths.where(F.col(n) >= frames).select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - frames)).alias("clip"))
+
+
+def speaker_by_delay(samples: DataFrame, delays: DataFrame, loud: float, early: float, value: str = "v", key: str = "rec_id", t: str = "t") -> DataFrame:
+    """Adds a: the sample is loud, and the nearest delay measurement, if any, comes less than `early` after it."""
+    near = nearest(samples, delays, [value], key, t)
+    return near.withColumn("a", (F.col(value) > loud) & F.coalesce(F.col("near_t") - F.col(t) < early, F.lit(True)))
+
+
 def binned(samples: DataFrame, bins: int, value: str = "v", key: str = "rec_id", order: str = "t") -> DataFrame:
     """(key, bin, m): mean of each of `bins` equal parts of a long sequence; the last part holds the rest."""
     i = samples.select(key, value, (F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).alias("i"), F.floor(F.count(F.lit(1)).over(Window.partitionBy(key)) / bins).alias("jump"))

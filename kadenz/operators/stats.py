@@ -73,6 +73,32 @@ def filled(df: DataFrame, columns: list[str], key: str = "rec_id", order: str =
     return df
 
 
+def sliding_rate(df: DataFrame, flag: Column, half: int, seconds: float, name: str = "rate", key: str = "rec_id", order: str = "t") -> DataFrame:
+    """Flagged rows per second in windows of up to `half` rows either way; a whole window lasts `seconds`."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(-half, half)
+    share = F.count(F.lit(1)).over(w) / float(2 * half + 1)
+    return df.withColumn(name, F.sum(flag.cast("int")).over(w) / (share * seconds))
+
+
+def centred_means(df: DataFrame, value: str, half: int, least: int, name: str = "r", key: str = "rec_id", order: str = "t") -> DataFrame:
+    """Mean of the rows up to `half` before and after, where the window has at least `least` values."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(-half, half)
+    return df.select("*", F.avg(value).over(w).alias(name), F.count(value).over(w).alias("__n")).where(F.col("__n") >= least).drop("__n")
+
+
+def context_pool(df: DataFrame, value: Column, before: int, name: str, key: str, order: str) -> DataFrame:
+    """Mean over the rows of the same key that come up to `before` rows earlier; null for the first."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(-before, -1)
+    return df.withColumn(name, F.avg(value).over(w))
+
+
+def running_best(df: DataFrame, value: str, order: str, patience: int) -> DataFrame:
+    """Adds best, best_epoch and stop (no better value for more than `patience` steps); one row per epoch is meant."""
+    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    at = F.max_by(order, value).over(w)
+    return df.select("*", F.max(value).over(w).alias("best"), at.alias("best_epoch"), (F.col(order) - at > patience).alias("stop"))
+
+
 def median_step(df: DataFrame, key: str = "rec_id", order: str = "t") -> DataFrame:
     """(key, step): median of successive time differences."""
     w = Window.partitionBy(key).orderBy(order)

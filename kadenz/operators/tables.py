@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kadenz.operators.ordering import numbered, running
+
 #: Columns that are no features.
 OTHER = ("meta_", "y", "sentence", "id")
 
@@ -23,6 +27,34 @@ def packed(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, *[F.array(*[F.col(c).cast("double") for c in cols]).alias(m) for m, cols in sorted(modalities(df.columns).items())])
 
 
+def without_text_columns(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Drops string columns but the named ones."""
+    return df.select(*[n for n, kind in df.dtypes if kind != "string" or n in keep])
+
+
+def matching(df: DataFrame, wanted: dict[str, object]) -> DataFrame:
+    """Rows that equal every wanted value, each cast to its column's type; names that are no columns are passed over."""
+    kinds = dict(df.dtypes)
+    return df.where(reduce(lambda a, b: a & b, [F.col(k) == F.lit(v).cast(kinds[k]) for k, v in wanted.items() if k in kinds], F.lit(True)))
+
+
+def complete(df: DataFrame, key: str, part: str, parts: list) -> DataFrame:
+    """Rows of the keys that have all parts."""
+    whole = df.where(F.col(part).isin(parts)).groupBy(key).agg(F.count_distinct(part).alias("n")).where(F.col("n") == len(set(parts)))
+    return df.join(whole, key, "left_semi")
+
+
+def preferred(df: DataFrame, key: str, value: str, first: Column) -> DataFrame:
+    """(key, value): of each key a row where `first` holds, if there is one, with the smallest value."""
+    return df.groupBy(key).agg(F.min_by(value, F.struct((~first).cast("int"), value)).alias(value))
+
+
+def top_per_group(df: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
+    """The first n rows of each key in the given order; Spark keeps n per task before the shuffle."""
+    r = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return df.withColumn("__r", r).where(F.col("__r") <= n).drop("__r")
+
+
 def without_null_columns(df: DataFrame) -> DataFrame:
     """Drops columns that hold a null anywhere; one pass counts them all."""
     n = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in df.columns]).first()
@@ -71,11 +103,17 @@ def imputed(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def codes(df: DataFrame, column: str, name: str = "code") -> DataFrame:
     """Adds codes from 0 in sorted order of the distinct values; their numbering is done over the distinct values only."""
-    from kadenz.operators.ordering import numbered
-
     values = numbered(df.select(column).where(F.col(column).isNotNull()).distinct(), [column], name)
     return df.join(values.withColumn(name, (F.col(name) - 1).cast("int")), column, "left")
 
 
 def with_defaults(df: DataFrame, defaults: dict[str, float]) -> DataFrame:
     return df.withColumns({c: F.lit(v) for c, v in defaults.items() if c not in df.columns})
+
+
+def nested_by_lengths(flat: DataFrame, lengths: DataFrame, key: str, number: str, value: str, n: str = "n") -> DataFrame:
+    """(key, list of values): a flat list, numbered from 1, cut into the keys' lengths in the order of the keys."""
+    upto = running(lengths, [key], {"__before": n})
+    spans = upto.select(key, F.explode(F.sequence(F.col("__before") + 1, F.col("__before") + F.col(n))).alias(number))
+    listed = F.array_sort(F.collect_list(F.struct(number, value)))
+    return spans.join(flat, number).groupBy(key).agg(F.transform(listed, lambda e: e[value]).alias(value))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from kadenz.operators import metrics as M
 from kadenz.operators import resample as R
 from kadenz.operators import splits as X
 from kadenz.operators import stats as S
+from kadenz.operators import tables as P
 from kadenz.plans import views as V
 from kadenz.plans.registry import query, r6, rounded
 from kadenz.session import table
@@ -306,15 +305,13 @@ def x9(spark, sf_dir):
 
 @query("x10_complete_pairs", "SELECT conv_id, turn FROM conversations WHERE conv_id % 10 <> 3 AND conv_id IN (SELECT conv_id FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id HAVING count(DISTINCT role) = 2)")
 def x10(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations")
-    pairs = rows.where("role IN ('user', 'assistant')").groupBy("conv_id").agg(F.count_distinct("role").alias("n")).where("n = 2")
-    return rows.where("conv_id % 10 <> 3").join(pairs, "conv_id", "left_semi").select("conv_id", "turn")
+    whole = P.complete(table(spark, sf_dir, "conversations"), "conv_id", "role", ["user", "assistant"])
+    return whole.where("conv_id % 10 <> 3").select("conv_id", "turn")  # one in ten is bad
 
 
 @query("x11_rater_preference", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus = 'F' DESC, o_orderkey) AS r FROM orders) WHERE r = 1")
 def x11(spark, sf_dir):
-    best = F.min_by("o_orderkey", F.struct((F.col("o_orderstatus") != "F").cast("int"), "o_orderkey"))
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(best.alias("o_orderkey"))
+    return P.preferred(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", F.col("o_orderstatus") == "F")
 
 
 @query("x12_lock_step_batches", "WITH b AS (SELECT c_nationkey % 3 AS d, c_custkey, (row_number() OVER (PARTITION BY c_nationkey % 3 ORDER BY c_custkey) - 1) // 16 AS b FROM customer), l AS (SELECT min(m) AS m FROM (SELECT d, max(b) AS m FROM b GROUP BY d)) SELECT d, c_custkey, b FROM b, l WHERE b <= m")
@@ -343,8 +340,7 @@ def t4(spark, sf_dir):
 
 @query("t5_top_n_per_group", V.sql("SELECT rec_id, seq, v FROM (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY abs(v) DESC, seq) AS r FROM series) WHERE r <= 5", "series"))
 def t5(spark, sf_dir):
-    r = F.row_number().over(Window.partitionBy("rec_id").orderBy(F.desc(F.abs("v")), "seq"))
-    return V.series(spark, sf_dir).withColumn("r", r).where("r <= 5").select("rec_id", "seq", "v")
+    return P.top_per_group(V.series(spark, sf_dir), "rec_id", [F.desc(F.abs("v")), F.asc("seq")], 5).select("rec_id", "seq", "v")
 
 
 @query("t6_best_row", V.sql("SELECT arg_max(rec_id, (m, -rec_id)) AS rec_id, round(max(m), 6) AS m FROM (SELECT rec_id, avg(v) AS m FROM series GROUP BY rec_id)", "series"))
@@ -364,8 +360,7 @@ def w13(spark, sf_dir):
 """, "series"))
 def w12(spark, sf_dir):
     epochs = V.series(spark, sf_dir).groupBy(F.floor(F.col("t") / 86400).alias("epoch")).agg(F.avg("v").alias("v"))
-    o = Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0)  # one row per day
-    return epochs.select("epoch", r6(F.max("v").over(o)).alias("best"), F.max_by("epoch", "v").over(o).alias("best_epoch"), (F.col("epoch") - F.max_by("epoch", "v").over(o) > 5).alias("stop"))
+    return S.running_best(epochs, "v", "epoch", 5).select("epoch", r6("best").alias("best"), "best_epoch", "stop")  # one row per day
 
 
 #: Predictions of shrink * h over a grid of parameters and folds.
@@ -425,6 +420,4 @@ def t7(spark, sf_dir):
 
 @query("p10_condition_filter", V.sql("SELECT id FROM pred WHERE cluster = 7 AND fold = 2", "pred"))
 def p10(spark, sf_dir):
-    rows, wanted = V.pred(spark, sf_dir), {"cluster": "7", "fold": "2", "absent": "1"}
-    kinds = dict(rows.dtypes)
-    return rows.where(reduce(lambda a, b: a & b, [F.col(k) == F.lit(v).cast(kinds[k]) for k, v in wanted.items() if k in kinds], F.lit(True))).select("id")
+    return P.matching(V.pred(spark, sf_dir), {"cluster": "7", "fold": "2", "absent": "1"}).select("id")

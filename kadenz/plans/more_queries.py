@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from kadenz.functions import arrays as A
 from kadenz.functions import text as K
-from kadenz.operators import joins as J
 from kadenz.operators import metrics as M
 from kadenz.operators import models as L
 from kadenz.operators import signal as G
 from kadenz.operators import stats as S
 from kadenz.operators import tables as P
-from kadenz.operators.ordering import running
 from kadenz.plans import views as V
 from kadenz.plans.metric_queries import grid
 from kadenz.plans.registry import query, r6, rounded
@@ -62,8 +59,8 @@ def k4(spark, sf_dir):
 
 @query("v2_context_pool", "WITH m AS (SELECT conv_id, turn, length(text) AS x FROM conversations) SELECT a.conv_id, a.turn, round(avg(b.x), 6) AS pooled FROM m a LEFT JOIN m b ON b.conv_id = a.conv_id AND b.turn < a.turn AND b.turn >= a.turn - 2 GROUP BY a.conv_id, a.turn")
 def v2(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-2, -1)
-    return rounded(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.avg(F.length("text")).over(w).alias("pooled")))
+    rows = table(spark, sf_dir, "conversations")
+    return rounded(S.context_pool(rows, F.length("text"), 2, "pooled", "conv_id", "turn").select("conv_id", "turn", "pooled"))
 
 
 @query("v4_nested_by_lengths", "SELECT conv_id, list(turn ORDER BY turn) AS turns FROM conversations GROUP BY conv_id")
@@ -72,10 +69,7 @@ def v4(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     flat = V.numbered(c.select("conv_id", "turn"), ["conv_id", "turn"], "i").select("i", "turn")
     n = c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
-    upto = running(n, ["conv_id"], {"before": "n"}).withColumn("end", F.col("before") + F.col("n"))
-    spans = upto.select("conv_id", F.explode(F.sequence(F.col("end") - F.col("n") + 1, F.col("end"))).alias("i"))
-    listed = F.array_sort(F.collect_list(F.struct("i", "turn")))
-    return spans.join(flat, "i").groupBy("conv_id").agg(F.transform(listed, lambda e: e.turn).alias("turns"))
+    return P.nested_by_lengths(flat, n, "conv_id", "i", "turn").withColumnRenamed("turn", "turns")
 
 
 _CKA = "WITH e AS (SELECT vec_id, embedding[1:32]::DOUBLE[] AS x, embedding[33:64]::DOUBLE[] AS y FROM embeddings), p AS (SELECT a.vec_id AS i, b.vec_id AS j, list_inner_product(a.x, b.x) AS k, list_inner_product(a.y, b.y) AS l FROM e a, e b), c AS (SELECT k - avg(k) OVER (PARTITION BY i) - avg(k) OVER (PARTITION BY j) + avg(k) OVER () AS k, l - avg(l) OVER (PARTITION BY i) - avg(l) OVER (PARTITION BY j) + avg(l) OVER () AS l FROM p) SELECT round(sum(k * l) / sqrt(sum(k * k) * sum(l * l)), 6) AS cka FROM c"
@@ -108,28 +102,25 @@ def a13(spark, sf_dir):
 
 @query("b6_speech_rate_markers", V.sql(", k AS (SELECT rec_id, v, count(*) OVER w AS n, avg(v) OVER w AS r FROM series WINDOW w AS (PARTITION BY rec_id ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) SELECT rec_id, round(avg(r), 6) AS mean, round(quantile_cont(r, 0.75) - quantile_cont(r, 0.25), 6) AS iqr FROM k WHERE n > 3 GROUP BY rec_id", "series"))
 def b6(spark, sf_dir):
-    w = Window.partitionBy("rec_id").orderBy("t").rowsBetween(-2, 2)
-    k = V.series(spark, sf_dir).select("rec_id", F.count("v").over(w).alias("n"), F.avg("v").over(w).alias("r")).where("n > 3")
+    k = S.centred_means(V.series(spark, sf_dir), "v", 2, 4)
     return rounded(k.groupBy("rec_id").agg(F.avg("r").alias("mean"), (F.percentile("r", 0.75) - F.percentile("r", 0.25)).alias("iqr")))
 
 
 @query("g4_sliding_rate", V.sql("SELECT seq, round(sum((v > 50)::INT) OVER w / (count(*) OVER w / 9.0 * 4.0), 6) AS rate FROM series WINDOW w AS (PARTITION BY rec_id ORDER BY t ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)", "series"))
 def g4(spark, sf_dir):
-    w = Window.partitionBy("rec_id").orderBy("t").rowsBetween(-4, 4)
-    rate = F.sum((F.col("v") > 50).cast("int")).over(w) / (F.count(F.lit(1)).over(w) / 9.0 * 4.0)
-    return rounded(V.series(spark, sf_dir).select("seq", rate.alias("rate")))
+    return rounded(S.sliding_rate(V.series(spark, sf_dir), F.col("v") > 50, 4, 4.0).select("seq", "rate"))
 
 
 @query("g9_speaker_by_delay", V.sql(f", n AS (SELECT c.rec_id, c.seq, c.t, c.v, s.t AS st, row_number() OVER (PARTITION BY c.seq ORDER BY abs(s.t - c.t), s.t DESC) AS rn FROM series c LEFT JOIN series s ON s.rec_id = c.rec_id AND s.channel = 'view' WHERE c.channel = 'click') SELECT seq, v > 20 AND coalesce(st - t < 7200, true) AS a FROM n WHERE rn = 1", "series"))
 def g9(spark, sf_dir):
-    near = J.nearest(series_of(spark, sf_dir, "click").select("rec_id", "t", "seq", "v"), series_of(spark, sf_dir, "view").select("rec_id", "t", F.col("v").alias("w")), ["w"])
-    return near.select("seq", ((F.col("v") > 20) & F.coalesce(F.col("near_t") - F.col("t") < 7200, F.lit(True))).alias("a"))
+    samples, delays = (series_of(spark, sf_dir, c).select("rec_id", "t", "seq", "v") for c in ("click", "view"))
+    return G.speaker_by_delay(samples, delays, 20, 7200).select("seq", "a")
 
 
 @query("g13_clip_windows", "SELECT conv_id, unnest(range(0, n - 1)) AS clip FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) WHERE n >= 2")
 def g13(spark, sf_dir):
-    n = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    return n.select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 2)).alias("clip"))
+    n = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    return G.clip_windows(n, "conv_id", 2)
 
 
 def _window_pairs(spark, sf_dir, length):

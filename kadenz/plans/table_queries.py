@@ -41,8 +41,7 @@ def p3(spark, sf_dir):
 
 @query("p4_without_text_columns", "SELECT c_custkey, c_nationkey, c_acctbal, c_name FROM customer")
 def p4(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    return c.select(*[n for n, k in c.dtypes if k != "string" or n == "c_name"])
+    return P.without_text_columns(table(spark, sf_dir, "customer"), ("c_name",))
 
 
 @query("p5_default_columns", V.sql("SELECT id, y, 0.0::DOUBLE AS meta_begin, 60.0::DOUBLE AS meta_end FROM wide", "wide"))

@@ -237,3 +237,101 @@ def test_cka_takes_all_rows(spark):
     k, l = (h @ m @ m.T @ h for m in (x[:, :3], x[:, 3:]))  # noqa: E741
     assert L.linear_cka(df, "v", 3).first()[0] == pytest.approx((k * l).sum() / np.sqrt((k * k).sum() * (l * l).sum()), abs=1e-12)
     assert L.linear_cka(df.where("false"), "v", 3).first()[0] is None
+
+
+def test_running_sums_over_many_ranges(spark, monkeypatch):
+    from kadenz.operators import ordering as O
+
+    rng = np.random.default_rng(2)
+    data = [(int(g), None if x > 0.97 else round(float(x), 2), int(i), int(i % 5)) for i, (g, x) in enumerate(zip(rng.integers(0, 2, 3000), rng.random(3000), strict=True))]
+    df = spark.createDataFrame(data, "g int, x double, id int, w int").repartition(7)
+    key = lambda r: (r[1] is not None, r[1] or 0.0, r[2])
+    for tree, parts in ((64, "8"), (3, "40")):  # one tree of bounds, and a tree over slots of bounds
+        monkeypatch.setattr(O, "TREE", tree)
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            ranges = O.with_range(df, ["g", "x"])
+            assert ranges.select("__b").distinct().count() > 5  # two values of g do not mean two ranges
+            got = {r.id: r.n for r in O.numbered(df, ["x", "id"], "n").collect()}
+            kept = {r.id: r.s for r in O.running(df, ["x", "id"], {"s": "w"}, ["g"]).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert got == {r[2]: i + 1 for i, r in enumerate(sorted(data, key=key))}
+        for g in (0, 1):
+            total = 0
+            for r in sorted((r for r in data if r[0] == g), key=key):
+                assert kept[r[2]] == total
+                total += r[3]
+
+
+def test_intervals_of_very_different_length(spark):
+    rng = np.random.default_rng(5)
+    t = np.sort(rng.uniform(0, 1e6, 300))
+    spans = [(i, float(b), float(b + n)) for i, (b, n) in enumerate(zip(rng.uniform(0, 1e6, 60), 10 ** rng.uniform(-3, 6, 60), strict=True))] + [(60, 5.0, 5.0), (61, 9.0, 8.0)]
+    points = spark.createDataFrame([("r", float(x), i) for i, x in enumerate(t)], "rec_id string, t double, n int")
+    a = spark.createDataFrame([("r", *s) for s in spans], "rec_id string, seg_id int, begin_t double, end_t double")
+    got = {(r.n, r.seg_id) for r in J.contains(points, a).collect()}
+    assert got == {(i, s) for i, x in enumerate(t) for s, b, e in spans if b <= x <= e}
+    left, right = a.toDF("rec_id", "a", "a_begin", "a_end"), a.toDF("rec_id", "b", "b_begin", "b_end")
+    pairs = [(r.a, r.b) for r in J.overlaps(left, right).collect()]
+    assert len(pairs) == len(set(pairs))
+    assert set(pairs) == {(i, j) for i, b, e in spans for j, c, f in spans if b <= e and c <= f and b < f and e > c}
+
+
+def test_signed_rank_test_is_exact_for_few_pairs(spark):
+    def tail(n, w):
+        sums = [sum(k for k in range(1, n + 1) if m >> (k - 1) & 1) for m in range(1 << n)]
+        return sum(s >= w for s in sums) / len(sums)
+
+    for d in ([1.0, -2.0, 3.0, 4.0, -5.0, 6.0], [0.5], [-0.5, -1.5], [2.0, 0.0, 1.0]):
+        r = M.wilcoxon(spark.createDataFrame([(x,) for x in d], "d double"), F.col("d")).first()
+        n = sum(x != 0 for x in d)
+        assert r.n == n and r.p == pytest.approx(tail(n, r.w or 0.0), abs=1e-12)
+    many = spark.range(60).select((F.col("id") - 20.5).alias("d"))
+    assert 0 < M.wilcoxon(many, F.col("d")).first().p < 0.05
+
+
+def test_moments_and_distances_of_clusters(spark):
+    ship(spark)
+    rng = np.random.default_rng(3)
+    x = {k: rng.normal(k, 1 + k, (50, 3)) for k in (0, 1, 2)}
+    df = spark.createDataFrame([(k, v.tolist()) for k, m in x.items() for v in m] + [(1, None)], "label int, v array<double>").repartition(5)
+    for r in L.cluster_moments(df, "label", "v").collect():
+        assert r.n == 50 and np.allclose(r.mean, x[r.label].mean(0)) and np.allclose(np.reshape(r.cov, (3, 3)), np.cov(x[r.label].T))
+    got = {(r.a, r.b): r.distance for r in L.frechet_distances(df, "label", "v").collect()}
+    for (a, b), d in got.items():
+        ca, cb = np.cov(x[a].T), np.cov(x[b].T)
+        root = np.sqrt(np.linalg.eigvals(ca @ cb).astype(complex)).real.sum()  # trace of the root of the product
+        assert d == pytest.approx(((x[a].mean(0) - x[b].mean(0)) ** 2).sum() + np.trace(ca) + np.trace(cb) - 2 * root, abs=1e-9)
+    assert sorted(got) == [(0, 1), (0, 2), (1, 2)]
+
+
+def test_models_are_kept_and_measured(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=(2, 500))
+    rows = [(float(p), float(q), float(p * p + q * q < 1.2), float(2 * p - q)) for p, q in zip(a, b, strict=True)]
+    df = spark.createDataFrame(rows, "a double, b double, inside double, line double")
+    for kind, options, floor in (("rbf", {"maxIter": 40}, 0.9), ("ensemble", {"layers": [2, 8, 2], "maxIter": 60}, 0.85), ("svm", {"maxIter": 10}, 0.0)):
+        m = L.Model(kind, ["a", "b"], "inside", members=2, **options).fit(df)
+        assert m.metric(df, ["accuracy"], classes=2).first().accuracy >= floor  # no line separates a disc
+        m.save(str(tmp_path / kind))
+        again = L.Model.load(str(tmp_path / kind))
+        assert rows_of(again.predict(df)) == rows_of(m.predict(df))
+    line = L.Model("linear", ["a", "b"], "line").fit(df)
+    assert line.metric(df, ["rmse"]).first().rmse < 1e-6
+
+
+def rows_of(df):
+    return sorted((r.a, r.b, r.h) for r in df.collect())
+
+
+def test_many_samples_within_a_day(spark):
+    """Work per sample stays the same: frames that grow towards the front only."""
+    n = 200_000
+    samples = spark.range(n).select(F.lit("r").alias("rec_id"), (F.col("id") * 0.4).alias("t"), F.when(F.col("id") % 3 == 0, F.col("id").cast("double")).alias("v"))
+    grid = spark.range(n).select(F.lit("r").alias("rec_id"), (F.col("id") * 0.4 + 0.1).alias("t"))
+    began = time.time()
+    assert J.nearest(grid, samples, ["v"]).where("abs(near_t - t) > 0.11").count() == 0
+    assert S.filled(samples, ["v"]).where("v IS NULL").count() == 0
+    assert time.time() - began < 60  # a frame read anew for each row would take hours
