@@ -107,7 +107,8 @@ class Page:
                 self._end(m["close"].lower())
             elif at == last and text.startswith("<!--", m.start()) and not text.endswith(("-->", "--!>"), 0, at):
                 at = len(text)  # a comment without an end
-        self._text(text[at:])
+        rest = text[at:]
+        self._text(rest[: rest.find("<!--")] if "<!--" in rest else rest)
         self._flush()
         if self.marked:
             self._drop_marked()

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import duckdb
 
@@ -47,6 +48,44 @@ def test_layouts_of_a_host(spark):
     assert H.extract(pages.where("false")).count() == 0
 
 
+def test_hard_pages_take_time_in_proportion():
+    pages = {
+        "deep": "<div class='sidebar'>" * 50_000 + "text " * 20 + "</div>" * 50_000,
+        "no end of a tag": "<a " * 350_000,
+        "inline": "<b>" * 50_000 + "<p>a</p>" * 20_000,
+        "items": "<ul><li><div>" * 20_000 + "t",
+        "quotes": "<a x=\"'" * 100_000 + ">",
+        "comments": "<p>a" + "<!--" * 250_000,
+        "long": "<p>" + "word " * 400_000 + "</p>",
+    }
+    for name, page in pages.items():
+        began = time.perf_counter()
+        votes, (text, path) = H.votes_of(page), H.main_text(page, [])
+        assert time.perf_counter() - began < 10, name  # quadratic work would take minutes
+        assert (path is None) == (not votes) == (not text), name
+    assert H.main_text(pages["long"], [])[0] == ("word " * 400_000).strip()
+    assert H.main_text(pages["comments"], [])[0] == "a"
+
+
+def test_marks_inside_an_article_and_ties_of_votes(spark):
+    text = "A paragraph that is long enough to count. " * 3
+    assert H.main_text(f'<article><div class="register legal"><p>{text}</p></div></article>', [])[0] == text.strip()
+    # two layouts with equal votes: each page has one of them only, and gives its own
+    a, b = f"<div class=a><p>{text}</p></div>", f"<div class=b><p>{text}</p></div>"
+    rows = [(i, "http://h.net/", (a, b)[i % 2]) for i in range(4)] + [(4, "http://h.net/", a + b), (5, "http://h.net/", b + a)]
+    got = {r.page_id: r.text_path for r in H.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert [got[i] for i in range(4)] == ["div.a", "div.b"] * 2
+    assert got[4] == got[5] and got[4] in ("div.a", "div.b")  # the same winner, whichever comes first
+
+
+def test_filter_keeps_columns_with_clashing_names(spark):
+    rows = [(1, "http://good.org/a", "", "own", 5, "x"), (2, None, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string, verdict string, `__host` int, rank string")
+    got = U.url_filter(pages)
+    assert got.columns == ["page_id", "url", "__host", "rank", "host", "path", "rule", "verdict"]
+    assert sorted((r.page_id, r["__host"], r.verdict) for r in got.collect()) == [(1, 5, "allow"), (2, None, "allow")]
+
+
 def test_filter_against_sql(spark):
     got = sorted(tuple(r) for r in queries.op10_url_filter(spark, SF).select("page_id", "host", "path", "rule", "verdict").collect())
     con = duckdb.connect()
