@@ -68,3 +68,13 @@ def binary(arrays: list[np.ndarray]) -> pa.Array:
 
 def column(batch, name: str) -> list:
     return batch.column(name).to_pylist()
+
+
+def planes(values: np.ndarray) -> bytes:
+    """The numbers' lowest bytes, then their next ones, and so on: high bytes that are mostly equal compress to little."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def from_planes(raw: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()

@@ -65,7 +65,22 @@ def test_table_against_brute_force(spark):
     for r in got:
         n, known, total, base, score = want[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1, n, known, total)
-        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-5)
+        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-9)
+
+
+def test_many_cells_and_slots_do_not_change_the_result(spark, monkeypatch):
+    """Deep cells, heavy ones that answer in several tasks, batches of a few texts, and one text in a third of the rows."""
+    monkeypatch.setattr(lm_score, "CELL", 1000)
+    monkeypatch.setattr(lm_score, "HEAVY", 1)
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(40).collect()
+    docs = [(r.doc_id, (r.text or "")[:400]) for r in rows] + [(10_000 + i, "the same text again and again") for i in range(20)]
+    want = brute(docs, [i for i, _ in docs if i % 3])
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("score", F.create_map("doc_id", "text")).repartition(5)
+    got = lm_score.score(df, F.col("doc_id") % 3 != 0, columns=["doc_id"], per_batch=2000).collect()
+    assert lm_score.Grid(14_000, 8).deep == 1 and lm_score.Grid(100_000, 8).deep > 1
+    assert {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens) for r in got} == {i: w[:3] for i, w in want.items()} and len(got) == len(docs)
+    for r in got:
+        assert r.base_score == pytest.approx(want[r.doc_id][3], rel=1e-9) and r.score == pytest.approx(want[r.doc_id][4], rel=1e-9)
 
 
 def test_probabilities_of_a_context_sum_to_one():
