@@ -178,6 +178,12 @@ def test_pieces_that_share_no_bin_stay_where_they_are(spark, monkeypatch):
     assert bins == 900 and most == []
 
 
+def test_certified_partitions_close_at_once(spark, monkeypatch):
+    """Two pieces of 700 fill a bin as far as any can, so the bound is met; only the odd piece of a partition goes on."""
+    bins, most = most_in_a_later_group(monkeypatch, spark, [700] * 900, per_partition=100, fan=4)
+    assert bins == 450 and max(most, default=0) <= 4
+
+
 def test_groups_of_open_pieces_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(packing, "OPEN", 150)
     lengths = np.random.default_rng(3).integers(1, 900, 3000).tolist()
