@@ -117,3 +117,13 @@ def nested_by_lengths(flat: DataFrame, lengths: DataFrame, key: str, number: str
     spans = upto.select(key, F.explode(F.sequence(F.col("__before") + 1, F.col("__before") + F.col(n))).alias(number))
     listed = F.array_sort(F.collect_list(F.struct(number, value)))
     return spans.join(flat, number).groupBy(key).agg(F.transform(listed, lambda e: e[value]).alias(value))
+
+
+def lexicon_shares(df: DataFrame, key: str, words: Column, lexicon: DataFrame, categories: list[str]) -> DataFrame:
+    """(key, categories): of a row's words that the lexicon (word, 0/1 categories) has, the share of each category; 0 without any.
+
+    The lexicon is met before anything is grouped, so words outside it never travel. Spark broadcasts it if it is small.
+    """
+    found = df.select(key, F.explode(words).alias("word")).join(lexicon, "word")
+    got = found.groupBy(key).agg(*[F.avg(c).alias(c) for c in categories])
+    return df.select(key).join(got, key, "left").fillna(0.0, categories)

@@ -226,10 +226,7 @@ _LEX = f"lex AS (SELECT word, (length(word) > 5)::INT AS long, (length(word) < 4
 
 @query("a20_lexicon_shares", f"WITH {_LEX}, t AS (SELECT doc_id, unnest({_TOK}) AS word FROM documents) SELECT d.doc_id, coalesce(round(sum(long) / count(lex.word), 6), 0) AS long, coalesce(round(sum(short) / count(lex.word), 6), 0) AS short FROM documents d LEFT JOIN t USING (doc_id) LEFT JOIN lex USING (word) GROUP BY d.doc_id")
 def a20(spark, sf_dir):
-    t = docs(spark, sf_dir).select("doc_id", F.explode(K.lexicon_tokens(F.col("text"))).alias("word"))
-    got = t.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n")).join(_lexicon(spark, sf_dir), "word")
-    got = got.groupBy("doc_id").agg(*[(F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c) for c in ("long", "short")])
-    return rounded(docs(spark, sf_dir).select("doc_id").join(got, "doc_id", "left").fillna(0.0))
+    return rounded(P.lexicon_shares(docs(spark, sf_dir), "doc_id", K.lexicon_tokens(F.col("text")), _lexicon(spark, sf_dir), ["long", "short"]))
 
 
 @query("a21_vocabulary", f"SELECT w AS word, count(*) AS n FROM (SELECT unnest(list_filter(string_split({K.cleaned_sql('text')}, ' '), lambda x: x <> '')) AS w FROM conversations) GROUP BY w")
