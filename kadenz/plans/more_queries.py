@@ -165,7 +165,17 @@ def g6(spark, sf_dir):
     return rounded(G.delays(pairs, 5, ["rec_id"]))
 
 
-@query("g8_smooth_path")
+_PATH = """
+    , n AS (SELECT rec_id, floor(t / 86400)::BIGINT AS k, (seq % 7)::DOUBLE AS lag, max(v + 1) AS c FROM series GROUP BY ALL),
+    s AS (SELECT *, dense_rank() OVER (PARTITION BY rec_id ORDER BY k) AS j FROM n),
+    r AS (SELECT rec_id, j, lag, c AS total, [lag] AS path FROM s WHERE j = 1
+        UNION ALL SELECT s.rec_id, s.j, s.lag, max(r.total + ln(greatest(2.1 * 7 - abs(r.lag - s.lag), 1e-12))) + ln(greatest(max(s.c), 1e-12)), list_append(arg_max(r.path, (r.total + ln(greatest(2.1 * 7 - abs(r.lag - s.lag), 1e-12)), -r.lag)), s.lag)
+        FROM r JOIN s ON s.rec_id = r.rec_id AND s.j = r.j + 1 GROUP BY s.rec_id, s.j, s.lag),
+    e AS (SELECT rec_id, arg_max(path, (total, -lag)) AS path FROM r WHERE (rec_id, j) IN (SELECT rec_id, max(j) FROM s GROUP BY rec_id) GROUP BY rec_id)
+    SELECT rec_id, k, lag FROM (SELECT rec_id, unnest(path) AS lag, unnest(range(1, len(path) + 1)) AS j FROM e) JOIN (SELECT DISTINCT rec_id, k, j FROM s) USING (rec_id, j)"""
+
+
+@query("g8_smooth_path", V.sql(_PATH, "series").replace("WITH", "WITH RECURSIVE", 1))
 def g8(spark, sf_dir):
     ship(spark)
     c = V.series(spark, sf_dir).select("rec_id", F.floor(F.col("t") / 86400).alias("k"), (F.col("seq") % 7).cast("double").alias("lag"), (F.col("v") + 1).alias("c"))
