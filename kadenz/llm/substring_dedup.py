@@ -8,6 +8,7 @@ first stays, and the words of the others go.
 
 Anchors and windows travel packed, one row per Arrow batch and bucket. Those that repeat within a batch are
 settled there, and one witness goes on, so a passage in a third of all documents costs one entry per batch.
+There are as many buckets as the text's bytes ask for, so a task's share stays the same on larger inputs.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ ANCHOR = 8
 #: Rows with a null id sort before all others.
 NULL_ID = -(1 << 63)
 PACKED = "bucket int, ids binary, tags binary, sizes binary, pos binary, h1 binary, h2 binary"
-FLAGS = "__id long, __tag int, found binary"
+FLAGS = "__id long, __tag long, found binary"
+#: Bytes of text whose anchors or windows make up a bucket, and whose texts make up a task's share of the joins.
+BUCKET, SHARE = 16 << 20, 64 << 20
 
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
@@ -44,7 +47,7 @@ class Batch:
 
     def __init__(self, batch, cache: W.WordHashes):
         self.ids = np.array(W.column(batch, "__id"), np.int64)
-        self.tags = np.array(W.column(batch, "__tag"), np.int32)
+        self.tags = np.array(W.column(batch, "__tag"), np.int64)
         parts = [W.hashes(W.split(t), cache) for t in W.column(batch, "__text")]
         self.sizes = np.array([len(p) for p in parts], np.int64)
         self.words = np.concatenate(parts) if parts else np.empty(0, np.uint64)
@@ -63,8 +66,8 @@ def _packed(bucket: int, b: Batch, at: np.ndarray, h1: np.ndarray, h2: np.ndarra
     doc, first = np.unique(b.doc[at], return_index=True)
     sizes = np.diff(np.append(first, len(at)))
     return {
-        "bucket": bucket, "ids": b.ids[doc].tobytes(), "tags": b.tags[doc].tobytes(), "sizes": sizes.astype(np.int32).tobytes(),
-        "pos": b.pos[at].astype(np.int32).tobytes(), "h1": h1.tobytes(), "h2": b"" if h2 is None else h2.tobytes(),
+        "bucket": bucket, "ids": W.planes(b.ids[doc]), "tags": W.planes(b.tags[doc]), "sizes": W.planes(sizes.astype(np.int32)),
+        "pos": W.planes(b.pos[at].astype(np.int32)), "h1": h1.tobytes(), "h2": b"" if h2 is None else h2.tobytes(),
     }
 
 
@@ -127,14 +130,17 @@ def _unpack(table: pa.Table, kind) -> dict[str, np.ndarray]:
     def joined(name: str, dtype) -> np.ndarray:
         return np.frombuffer(b"".join(table.column(name).to_pylist()), dtype)
 
-    sizes = joined("sizes", np.int32)
-    return {"ids": np.repeat(joined("ids", np.int64), sizes), "tags": np.repeat(joined("tags", np.int32), sizes), "pos": joined("pos", np.int32), "h1": joined("h1", kind), "h2": joined("h2", np.uint64)}
+    def merged(name: str, dtype) -> np.ndarray:
+        return np.concatenate([W.from_planes(x, dtype) for x in table.column(name).to_pylist()])
+
+    sizes = merged("sizes", np.int32)
+    return {"ids": np.repeat(merged("ids", np.int64), sizes), "tags": np.repeat(merged("tags", np.int64), sizes), "pos": merged("pos", np.int32), "h1": joined("h1", kind), "h2": joined("h2", np.uint64)}
 
 
 def _flagged(ids: np.ndarray, tags: np.ndarray, pos: np.ndarray, buckets: int) -> pa.Table:
     """Positions packed again, this time by the documents' buckets. They are fewer bytes, so a quarter of the buckets do."""
     buckets = -(-buckets // 4)
-    dealt = (W.mix(ids.view(np.uint64) ^ tags.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    dealt = (W.mix(ids.view(np.uint64) ^ tags.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((pos, tags, ids, dealt))
     dealt, ids, tags, pos = dealt[order], ids[order], tags[order], pos[order].astype(np.int32)
     rows = []
@@ -143,7 +149,7 @@ def _flagged(ids: np.ndarray, tags: np.ndarray, pos: np.ndarray, buckets: int) -
             i, t = ids[part], tags[part]
             first = np.concatenate([[0], np.flatnonzero((np.diff(i) != 0) | (np.diff(t) != 0)) + 1])
             sizes = np.diff(np.append(first, len(part))).astype(np.int32)
-            rows.append({"bucket": int(dealt[part[0]]), "ids": i[first].tobytes(), "tags": t[first].tobytes(), "sizes": sizes.tobytes(), "pos": pos[part].tobytes(), "h1": b"", "h2": b""})
+            rows.append({"bucket": int(dealt[part[0]]), "ids": W.planes(i[first]), "tags": W.planes(t[first]), "sizes": W.planes(sizes), "pos": W.planes(pos[part]), "h1": b"", "h2": b""})
     return pa.Table.from_batches([_rows(rows)])
 
 
@@ -154,7 +160,7 @@ def by_document(table: pa.Table) -> pa.Table:
     ids, tags, pos = e["ids"][order], e["tags"][order], e["pos"][order]
     cuts = np.flatnonzero((np.diff(ids) != 0) | (np.diff(tags) != 0)) + 1
     heads = np.concatenate([[0], cuts]).astype(np.int64)
-    return pa.table({"__id": pa.array(ids[heads], pa.int64()), "__tag": pa.array(tags[heads], pa.int32()), "found": W.binary(np.split(pos, cuts))})
+    return pa.table({"__id": pa.array(ids[heads], pa.int64()), "__tag": pa.array(tags[heads], pa.int64()), "found": W.binary(np.split(pos, cuts))})
 
 
 def repeated_anchors(buckets: int):
@@ -246,6 +252,11 @@ def removed(window: int, names: list[str], tidy: bool):
     return run
 
 
+def _gathered(packed: DataFrame, buckets: int):
+    """Packed rows by bucket, in as many tasks as there are buckets."""
+    return packed.repartition(buckets, "bucket").groupBy("bucket")
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, tidy: bool = True) -> DataFrame:
     """Removes each word that lies in a window whose words also start earlier; adds n_words and n_removed.
 
@@ -259,20 +270,22 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     an equal window at the same start of both is not earlier in either. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets, shares = max(least, -(-size // BUCKET)), max(least, -(-size // SHARE))
     rest = [c for c in docs.columns if c not in (id_col, text_col, "n_words", "n_removed")]
     held = {f"__c{i}": c for i, c in enumerate(rest)}
     base = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__id"), F.hash(text_col).alias("__tag"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__id"), F.xxhash64(text_col).alias("__tag"),
         F.col(text_col).alias("__text"), *[F.col(f"`{c}`").alias(h) for h, c in held.items()],
     )
     slim = base.select("__id", "__tag", "__text")
-    first = slim.mapInArrow(anchors(window, buckets), PACKED).groupBy("bucket").applyInArrow(repeated_anchors(buckets), PACKED)
-    spread = base.repartition("__id", "__tag")  # one shuffle of the texts serves both joins
-    found = first.groupBy("bucket").applyInArrow(by_document, FLAGS)
-    second = spread.join(found, ["__id", "__tag"]).select("__id", "__tag", "__text", "found")
-    second = second.mapInArrow(windows(window, buckets), PACKED).groupBy("bucket").applyInArrow(later_windows(buckets), PACKED)
-    out = second.groupBy("bucket").applyInArrow(by_document, FLAGS)
+    first = _gathered(slim.mapInArrow(anchors(window, buckets), PACKED), buckets).applyInArrow(repeated_anchors(buckets), PACKED)
+    spread = base.repartition(shares, "__id", "__tag")  # one shuffle of the texts serves both joins
+    found = _gathered(first, -(-buckets // 4)).applyInArrow(by_document, FLAGS)
+    second = spread.join(found.repartition(shares, "__id", "__tag"), ["__id", "__tag"]).select("__id", "__tag", "__text", "found")
+    second = _gathered(second.mapInArrow(windows(window, buckets), PACKED), buckets).applyInArrow(later_windows(buckets), PACKED)
+    out = _gathered(second, -(-buckets // 4)).applyInArrow(by_document, FLAGS).repartition(shares, "__id", "__tag")
     ready = spread.join(out, ["__id", "__tag"], "left")
     names = ["__id", "__kept", *held, "n_words", "n_removed"]
     kinds = dict(base.dtypes) | {"__kept": "string", "n_words": "long", "n_removed": "long"}
