@@ -25,12 +25,12 @@ def s1(spark, sf_dir):
     return rounded(got.select("dataset", "label", "fold", "split", "id", "y", "h"))
 
 
-@query("s2_csv_per_split", V.sql(f"SELECT fold, {SPLIT} AS split, count(*) AS n, round(sum(h), 4) AS total FROM pred GROUP BY fold, split", "pred"))
+@query("s2_csv_per_split", V.sql(f"SELECT fold, {SPLIT} AS split, count(*) AS n, sum(h::DECIMAL(20, 5))::DOUBLE AS total FROM pred GROUP BY fold, split", "pred"))
 def s2(spark, sf_dir):
     path = scratch(spark, "csv-per-split")
     files.write_partitioned(V.pred(spark, sf_dir).selectExpr("id", "CAST(y AS DOUBLE) AS y", "h", "fold", f"{SPLIT} AS split"), path, ["fold", "split"], "csv")
     got = spark.read.csv(path, header=True, schema="id long, y double, h double, fold int, split string")
-    return got.groupBy("fold", "split").agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum("h"), 4) + F.lit(0.0)).alias("total"))
+    return got.groupBy("fold", "split").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h").cast("decimal(20, 5)")).cast("double").alias("total"))
 
 
 @query("s4_json_layers", "SELECT round(embedding[1]::DOUBLE, 6) AS first, round(embedding[17]::DOUBLE, 6) AS second, round(embedding[64]::DOUBLE, 6) AS last, 4 AS layers FROM embeddings")
