@@ -27,7 +27,7 @@ SMALLEST = 256
 #: Share of a query's neighbours that the partitions it visits should hold, and of the sample that measures it.
 MASS, MEASURED = 0.93, 0.125
 #: Neighbours in the graph, hidden units, passes over the sample, and how far a partition may exceed its share.
-NEIGHBOURS, HIDDEN, EPOCHS, BALANCE = 10, 128, 15, 1.05
+NEIGHBOURS, HIDDEN, EPOCHS, BALANCE = 10, 128, 5, 1.05
 #: Rows and queries of a block, rows that are placed at once. Rows that a query meets at least, unless there are fewer.
 ROWS, QUERIES, PLACED, LEAST = 4096, 512, 16_384, 500
 
