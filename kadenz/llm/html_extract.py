@@ -22,10 +22,11 @@ from kadenz.llm import words as W
 from kadenz.llm.staging import stage
 from kadenz.llm.url_filter import host
 
-#: Containers below this share of the page's best one are neither voted for nor taken.
+#: A page votes for containers with this share of its best one's score; what only holds the best one has half of it.
+VOTED = 0.6
+#: A winning path is passed over on a page where it holds less than this share of the best container's score.
 WORTH = 0.3
-#: Pages that must vote for a path before their host knows it. A path of one page alone decides nothing: that page would
-#: take it as its own best.
+#: Pages that must vote for a path before it is a host's. What one page alone votes for is no agreement.
 AGREED = 2
 
 # HTML's element names by kind.
@@ -276,21 +277,21 @@ class Page:
         return "\n".join(t for n, t, _ in self.blocks if below(n))
 
 
-def _candidates(page: Page) -> tuple[dict[int, float], dict[int, list[int]]]:
-    """Score of each path that is worth a vote, by its key, and its containers."""
+def _candidates(page: Page, share: float) -> tuple[dict[int, float], dict[int, list[int]]]:
+    """Score of each path with at least this share of the best one's, by its key, and its containers."""
     found, keys = page.scores(), page.path_keys()
     total: dict[int, float] = {}
     nodes: dict[int, list[int]] = {}
     for n, s in found.items():
         total[keys[n]] = total.get(keys[n], 0.0) + s
         nodes.setdefault(keys[n], []).append(n)
-    bar = WORTH * max(total.values(), default=0.0)
+    bar = share * max(total.values(), default=0.0)
     return {k: s for k, s in total.items() if s >= bar}, nodes
 
 
 def votes_of(text: str | None) -> list[tuple[int, float]]:
     """Votes of a page, together 1."""
-    total, _ = _candidates(Page(text or ""))
+    total, _ = _candidates(Page(text or ""), VOTED)
     whole = sum(total.values()) or 1.0
     return [(k, s / whole) for k, s in total.items()]
 
@@ -298,7 +299,7 @@ def votes_of(text: str | None) -> list[tuple[int, float]]:
 def main_text(text: str | None, winners: list[int]) -> tuple[str, str | None]:
     """Main text, and the path that gave it. winners: the host's path keys, best first."""
     page = Page(text or "")
-    total, nodes = _candidates(page)
+    total, nodes = _candidates(page, WORTH)
     if not total:
         return "", None
     use = next((k for k in winners if k in total), None)
