@@ -44,7 +44,7 @@ def e2(spark, sf_dir):
 """, "pred"))
 def e3(spark, sf_dir):
     d = (F.col("y") - F.col("h")).cast("decimal(18,5)")
-    return M.wilcoxon(V.pred(spark, sf_dir), d).select("n", "w")
+    return M.wilcoxon(V.pred(spark, sf_dir, number=False), d).select("n", "w")
 
 
 @query("e4_ccc", _interval_sql(f"round({_CCC}, 6) AS ccc"))
@@ -66,7 +66,7 @@ def e6(spark, sf_dir):
 
 @query("e7_spearman", V.sql(", r AS (SELECT rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS a, rank() OVER (ORDER BY h) + (count(*) OVER (PARTITION BY h) - 1) / 2.0 AS b FROM pred) SELECT round(covar_pop(a, b) / sqrt(var_pop(a) * var_pop(b)), 6) AS spearman FROM r", "pred"))
 def e7(spark, sf_dir):
-    return rounded(M.spearman(V.pred(spark, sf_dir)))
+    return rounded(M.spearman(V.pred(spark, sf_dir, number=False)))
 
 
 @query("e8_icc", _interval_sql("round((msr - mse_) / (msr + mse_), 6) AS icc_c1, round((msr - mse_) / (msr + mse_ + 2 * (msc - mse_) / n), 6) AS icc_a1"))

@@ -38,9 +38,10 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(table(spark, sf_dir, "lineitem"), LINES.split(", "))
 
 
-def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, cluster, fold, y, h): regression targets and predictions."""
-    return _lines(spark, sf_dir).selectExpr("id", "l_suppkey AS cluster", "CAST(l_orderkey % 5 AS INT) AS fold", "l_quantity AS y", "l_extendedprice / 1000 AS h")
+def pred(spark: SparkSession, sf_dir: str, number: bool = True) -> DataFrame:
+    """(id, cluster, fold, y, h): regression targets and predictions; without the id, rows need not be numbered."""
+    rows = _lines(spark, sf_dir) if number else table(spark, sf_dir, "lineitem")
+    return rows.selectExpr(*(["id"] if number else []), "l_suppkey AS cluster", "CAST(l_orderkey % 5 AS INT) AS fold", "l_quantity AS y", "l_extendedprice / 1000 AS h")
 
 
 def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
