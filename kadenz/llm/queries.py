@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 
 from kadenz.llm import ann as op5
 from kadenz.llm import bpe as op8
+from kadenz.llm import chat_format as op12
 from kadenz.llm import exact_dedup as op6
 from kadenz.llm import html_extract as op7
+from kadenz.llm import importance as op11
 from kadenz.llm import lm_score as op9
+from kadenz.llm import merkle as op13
 from kadenz.llm import near_dedup as op2
 from kadenz.llm import packing as op3
 from kadenz.llm import substring_dedup as op4
 from kadenz.llm import toxicity as op1
+from kadenz.llm import twins
 from kadenz.llm import url_filter as op10
 from kadenz.session import ship, table
 
@@ -83,7 +87,37 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.url_filter(_table(spark, sf_dir, "pages"), columns=["page_id"])
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = op11.resample(docs, _table(spark, sf_dir, "benchmark"), percent=5, seed=42, columns=["doc_id"])
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise(op12.LOSS_ROLE).alias("role"), F.lit(op12.PLANTED).alias("text"),
+    )
+    vocabulary = vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN
+    return op12.digests(op12.format_chats(turns.unionByName(planted), *vocabulary), *vocabulary)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    other = op13.digest(*[F.col(c) for c in fields[:-1]], op13.lowered(F.col("text")))
+    out = op13.manifest(docs, fields, claims={"other": F.when(_crc() == 0, other)})
+    return out.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(op13.siblings(F.col("steps")), 256).alias("proof_sha256"),
+        op13.fold(F.coalesce("other", "leaf"), F.col("steps")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_chat_formatting": op12_chat_formatting,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "op9_lm_scoring": op9_lm_scoring,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op7_html_extraction": op7_html_extraction,
@@ -103,6 +137,9 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL = {
+    "op11_importance_resampling": twins.importance(op11.BUCKETS, 5, op11.LEAST_WORDS, 42),
+    "op12_chat_formatting": twins.chats(),
+    "op13_merkle_manifest": twins.manifest(),
     "op10_url_filter": op10.oracle(),
     "op4_substring_dedup": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
