@@ -250,9 +250,12 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 5, seed: int = 4
     noise = F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0))).cast("long")
     scored = weigh(docs, known, gain, text_col, columns).withColumn("score", F.col("weight") + noise)
     scored = stage(scored, "importance-scores")
-    enough = scored.where(F.col("n_words") >= least_words)
+    # the input's columns travel as one, so that they may have any names
+    kept = [c for c in scored.columns if c not in SCORED]
+    place = {"__down": -F.col("score"), "__null": F.col(f"`{id_col}`").isNull(), "__id": F.col(f"`{id_col}`")}
+    small = scored.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), *SCORED, *[c.alias(n) for n, c in place.items()])
+    enough = small.where(F.col("n_words") >= least_words)
     drawn = percent * enough.count() // 100
-    ordered = enough.withColumns({"__down": -F.col("score"), "__null": F.col(f"`{id_col}`").isNull(), "__id": F.col(f"`{id_col}`")})
-    ranked = numbered(ordered, ["__down", "__null", "__id", "n_features", "weight"], "rank").drop("__down", "__null", "__id")
-    ranked = ranked.withColumn("rank", F.when(F.col("rank") <= drawn, F.col("rank")))
-    return ranked.unionByName(scored.where(F.col("n_words") < least_words).withColumn("rank", F.lit(None).cast("long")))
+    ranked = numbered(enough, [*place, "n_features", "weight"], "rank").withColumn("rank", F.when(F.col("rank") <= drawn, F.col("rank")))
+    both = ranked.unionByName(small.where(F.col("n_words") < least_words).withColumn("rank", F.lit(None).cast("long")))
+    return both.select(*[F.col("__row")[c].alias(c) for c in kept], *SCORED, "rank")
