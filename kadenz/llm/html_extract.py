@@ -9,9 +9,10 @@ Reading takes time in proportion to a page's length, however deep its elements a
 
 from __future__ import annotations
 
+import heapq
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -52,8 +53,10 @@ ARTICLE = frozenset({"article", "main"})
 ASIDE, WRAPPER = frozenset("no not non has have with without".split()), frozenset("wrap wrapper wrapping".split())
 #: Words of a wrapper that holds the article besides the boilerplate it names.
 HOLDS = frozenset("content main page site article post entry story primary".split())
-#: A marked element that leaves less than this share of the page's unlinked text is no boilerplate.
+#: What is kept is stray text if it has no article, paragraph or heading, and less than this share of the unlinked text.
 REST = 0.05
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = HEADING | {"p", "blockquote", "pre"}
 #: Words that make a header part of the article.
 OWN_HEADER = frozenset("entry post article content story".split())
 
@@ -66,6 +69,7 @@ TAG = re.compile(
     re.DOTALL,
 )
 ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+SEPARATOR = re.compile(r" (?:[|:·»«•/]|-|–|—) ")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -87,6 +91,7 @@ class Page:
         self.parent, self.label, self.tag, self.off, self.inside = [-1], [""], [""], [False], [False]
         self.marked: dict[int, bool] = {}  # blocks of HTML with boilerplate marks, and whether they mark talk
         self.own: set[int] = set()  # articles without such marks
+        self.titles: set[str] = set()  # the page's title, and what stands between separators in it
         self.blocks: list[tuple[int, str, int]] = []
         self.stack = [0]
         self.open: dict[str, list[int]] = {}  # where the open elements of a name stand in the stack
@@ -101,6 +106,9 @@ class Page:
                 name = name.lower()
                 if name in RAW:
                     end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.IGNORECASE).search(text, at)
+                    if name == "title" and not self.titles:
+                        title = " ".join(entities.unescape(text[at : end.start() if end else len(text)]).casefold().split())
+                        self.titles = {title, *SEPARATOR.split(title)} - {""}
                     at = end.end() if end else len(text)
                 else:
                     self._start(name, m["attrs"] or m["rest"] or "")
@@ -115,7 +123,11 @@ class Page:
             self._drop_marked()
 
     def _drop_marked(self) -> None:
-        """Drops the blocks below marked elements, but for elements that hold the article or nearly all of the text."""
+        """Drops the blocks below marked elements, but for elements that hold the article.
+
+        These are, in this order: one whose own article has more text than all that is kept, one that holds the page's
+        title as a heading where nothing kept does, and the largest where nothing but stray text is kept.
+        """
         # of each element the mark that it stands in, -1 if none, and whether an article, or main, stands between them
         mark: list[int] = []
         between: list[tuple[bool, bool]] = []
@@ -129,31 +141,59 @@ class Page:
         # marks as a tree: text of a mark's own, text in and below it, and how much of that an article of the mark's holds
         direct: dict[int, float] = dict.fromkeys([-1, *self.marked], 0.0)
         articles: dict[int, float] = dict.fromkeys(direct, 0.0)
+        prose, titles = set(), set()  # marks whose own text has paragraphs or headings, and those with the page's title as heading
         for node, text, linked in self.blocks:
             worth = max(len(text) - linked, 0)
             direct[mark[node]] += worth
             articles[mark[node]] += worth * holds(node)
-        held = dict(direct)
+            if worth and (self.inside[node] or self.tag[node] in PROSE):
+                prose.add(mark[node])
+            if self.tag[node] in HEADING and text.casefold() in self.titles:
+                titles.add(mark[node])
+        held, heads = dict(direct), {n: n in titles for n in direct}
         below: dict[int, list[int]] = {n: [] for n in direct}
         for n in sorted(self.marked, reverse=True):
             up = self.parent[n]
             below[mark[up]].append(n)
             held[mark[up]] += held[n]
+            heads[mark[up]] |= heads[n]
             articles[mark[up]] += held[n] * holds(up)
-        tops, rest, total, kept = set(below[-1]), direct[-1], held[-1], {-1}
+        # below what: marks that are open to be kept, plain ones and talk apart, those that hold most first
+        key = lambda n: (-articles[n], -held[n], n)
+        plain, talk, titled = [], [], []
+        rest, total, kept, firm, has_title = direct[-1], held[-1], {-1}, -1 in prose, -1 in titles
+
+        def enter(found: list[int]) -> None:
+            for n in found:
+                heapq.heappush(talk if self.marked[n] else plain, key(n))
+                if heads[n] and not self.marked[n]:
+                    heapq.heappush(titled, key(n))
+
+        def first(heap: list) -> int | None:
+            while heap and heap[0][2] in kept:
+                heapq.heappop(heap)
+            return heap[0][2] if heap else None
+
+        enter(below[-1])
         while True:
-            free = [n for n in tops if articles[n] > rest]
-            if not free:
-                free = [n for n in tops if held[n] > 0 and (rest == 0 or rest < (0 if self.marked[n] else REST) * total)]
-            if not free:
-                self.blocks = [b for b in self.blocks if mark[b[0]] in kept]
+            a, b, t = first(plain), first(talk), first(titled)
+            if a is not None and articles[a] > rest:
+                n = a
+            elif b is not None and articles[b] > rest:
+                n = b
+            elif t is not None and not has_title:
+                n = t
+            elif a is not None and held[a] > 0 and (rest == 0 or rest < REST * total and not firm):
+                n = a
+            elif b is not None and held[b] > 0 and rest == 0:
+                n = b
+            else:
+                self.blocks = [x for x in self.blocks if mark[x[0]] in kept]
                 return
-            # plain marks before talk, then the element with the most text
-            n = max(free, key=lambda n: (not self.marked[n], articles[n], held[n], -n))
-            tops.remove(n)
-            tops.update(below[n])
             kept.add(n)
+            enter(below[n])
             rest += direct[n]
+            firm, has_title = firm or n in prose, has_title or n in titles
 
     def _text(self, raw: str) -> None:
         if raw and not self.off[self.stack[-1]]:
@@ -261,8 +301,8 @@ class Page:
                 node = self.parent[node]
         return {n: s for n, s in out.items() if s > 0}
 
-    def text(self, nodes: set[int]) -> str:
-        """Blocks at or below the nodes, in page order."""
+    def below(self, nodes: set[int]) -> Callable[[int], bool]:
+        """Whether an element is one of the nodes or stands in one."""
         inside = dict.fromkeys(nodes, True)
 
         def below(n: int) -> bool:
@@ -274,8 +314,23 @@ class Page:
             inside.update(dict.fromkeys(trail, found))
             return found
 
+        return below
+
+    def text(self, nodes: set[int]) -> str:
+        """Blocks at or below the nodes, in page order."""
+        below = self.below(nodes)
         return "\n".join(t for n, t, _ in self.blocks if below(n))
 
+    def lifted(self, nodes: list[int]) -> set[int]:
+        """The parent of several containers, where they share one and what else it holds is text rather than links: sections
+        of an article, which has its title and introduction beside them."""
+        up = self.parent[nodes[0]]
+        if len(nodes) < 2 or up <= 0 or self.tag[up] in ("html", "body") or any(self.parent[n] != up for n in nodes):
+            return set(nodes)
+        inner, outer = self.below(set(nodes)), self.below({up})
+        other = [(len(t), linked) for n, t, linked in self.blocks if outer(n) and not inner(n)]
+        return {up} if sum(linked for _, linked in other) * 2 <= sum(n for n, _ in other) else set(nodes)
+
 
 def _candidates(page: Page, share: float) -> tuple[dict[int, float], dict[int, list[int]]]:
     """Score of each path with at least this share of the best one's, by its key, and its containers."""
@@ -305,7 +360,7 @@ def main_text(text: str | None, winners: list[int]) -> tuple[str, str | None]:
     use = next((k for k in winners if k in total), None)
     if use is None:
         use = max(total, key=lambda k: (total[k], -nodes[k][0]))
-    return page.text(set(nodes[use])), page.path(nodes[use][0])
+    return page.text(page.lifted(nodes[use])), page.path(nodes[use][0])
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", columns: list[str] | None = None) -> DataFrame:

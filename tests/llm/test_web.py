@@ -78,6 +78,42 @@ def test_marks_inside_an_article_and_ties_of_votes(spark):
     assert got[4] == got[5] and got[4] in ("div.a", "div.b", "")  # the same winner, whichever comes first
 
 
+NOTICE = "".join(f"<p>We and our partners use cookies, reason {i}.</p>" for i in range(30))
+SHORT = "<h1>A title</h1><p>" + "Eighty characters of an article. " * 3 + "</p>"
+
+
+def test_long_notices_never_beat_an_article():
+    want = "A title\n" + ("Eighty characters of an article. " * 3).strip()
+    for body in (f"<article>{SHORT}</article>", f"<main>{SHORT}</main>", f"<div class=content>{SHORT}</div>", f"<div class=content>{SHORT.split('</h1>')[1]}</div>"):
+        for notice in (f"<div class='cookie-notice'>{NOTICE}</div>", f"<div class='cookie-notice'><h2>Your choice</h2>{NOTICE}</div>"):
+            for page in (f"<body>{notice}{body}</body>", f"<title>A title | Site</title><body>{body}{notice}</body>"):
+                expected = want if "<h1>" in body else want.split("\n")[1]
+                assert H.main_text(page, [])[0] == expected
+                winners = [k for k, _ in sorted(H.votes_of(page), key=lambda v: -v[1])]
+                assert H.main_text(page, winners)[0] == expected
+
+
+def test_a_marked_wrapper_with_the_page_title_is_kept():
+    text = "<p>" + "Long text of the article, which goes on. " * 20 + "</p>"
+    page = f"<title>Some heading - Site</title><body><div id=notice-board><h1>Some heading</h1>{text}</div><div><p>Made by us.</p></div></body>"
+    assert H.main_text(page, [])[0].startswith("Some heading\nLong text")
+
+
+def test_sections_keep_title_and_introduction():
+    sections = "".join(f"<section class=part><h2>Part {i}</h2><p>{'Some words of this part. ' * 12}</p></section>" for i in range(4))
+    page = f"<body><div class=menu><a href=x>one</a></div><div class=post><h1>Title</h1><p>Introduction to it all.</p>{sections}</div><div class=foot><p>Made by us.</p></div></body>"
+    winners = [k for k, _ in sorted(H.votes_of(page), key=lambda v: -v[1])]
+    for found in (H.main_text(page, []), H.main_text(page, winners)):
+        assert found[0].startswith("Title\nIntroduction to it all.\nPart 0\n") and found[0].count("Part") == 4 and "Made by" not in found[0]
+
+
+def test_many_flat_marks_take_time_in_proportion():
+    page = "<body>" + "<div class='ad'>x y z w</div>" * 100_000 + "</body>"
+    began = time.perf_counter()
+    H.Page(page)
+    assert time.perf_counter() - began < 5
+
+
 def test_filter_keeps_columns_with_clashing_names(spark):
     rows = [(1, "http://good.org/a", "", "own", 5, "x"), (2, None, None, None, None, None)]
     pages = spark.createDataFrame(rows, "page_id int, url string, html string, verdict string, `__host` int, rank string")
