@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import islice
 
 import numpy as np
@@ -24,6 +25,8 @@ from pyspark.sql import DataFrame
 REMEMBERED = 150_000
 SLICE = 1_000_000
 CHUNK = 100_000
+#: Bytes above which a piece is replayed by itself: in a long one, repeats of one pair may have to merge one after the other.
+ALONE = 512
 #: Ranks, as a power of two, whose positions stand under one key of the index.
 WINDOW = 9
 
@@ -52,6 +55,11 @@ class Merges:
         self.turns = np.zeros(max(ranks.values()) + 1, bool)
         self.turns[parts[parts > self.made]] = True
 
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """The same as a dictionary, for pieces that are replayed by themselves."""
+        return dict(zip(self.keys.tolist(), self.made.tolist(), strict=True))
+
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where it does not merge."""
         if not len(self.keys):
@@ -107,6 +115,47 @@ def replay(pieces: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]
 
     A piece that is a token is that token; else pairs merge, lowest rank and leftmost first.
     """
+    apart = [i for i, p in enumerate(pieces) if len(p) > ALONE and p not in merges.ranks]
+    if not apart:
+        return _together(pieces, merges)
+    there = set(apart)
+    ids, counts = _together([b"" if i in there else p for i, p in enumerate(pieces)], merges)
+    ends, parts, begun = np.cumsum(counts), [], 0
+    for i in apart:
+        one = _alone(pieces[i], merges)
+        parts += [ids[begun : ends[i]], one]
+        begun, counts[i] = ends[i], len(one)
+    return np.concatenate([*parts, ids[begun:]]), counts
+
+
+def _alone(piece: bytes, merges: Merges) -> np.ndarray:
+    """Ids of one long piece; the index is a heap of (rank, position), so each merge costs a step or two, whatever repeats."""
+    pairs, n = merges.pairs, len(piece)
+    sym = merges.single[np.frombuffer(piece, np.uint8)].tolist()
+    after, before = array("q", range(1, n + 1)), array("q", range(-1, n))
+    heap = [r << 40 | i for i in range(n - 1) if (r := pairs.get(sym[i] << 32 | sym[i + 1], -1)) >= 0]
+    heapq.heapify(heap)
+    place = (1 << 40) - 1
+    while heap:
+        top = heapq.heappop(heap)
+        r, i = top >> 40, top & place
+        j = after[i]
+        if sym[i] < 0 or j >= n or pairs.get(sym[i] << 32 | sym[j], -1) != r:
+            continue  # a neighbour has merged since
+        sym[i], sym[j] = r, -1
+        k = after[i] = after[j]
+        if k < n:
+            before[k] = i
+            if (new := pairs.get(r << 32 | sym[k], -1)) >= 0:
+                heapq.heappush(heap, new << 40 | i)
+        h = before[i]
+        if h >= 0 and (new := pairs.get(sym[h] << 32 | r, -1)) >= 0:
+            heapq.heappush(heap, new << 40 | h)
+    return np.array([s for s in sym if s >= 0], np.int64)
+
+
+def _together(pieces: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """Short pieces, all in one array."""
     whole = np.array([-1 if p not in merges.ranks else merges.ranks[p] for p in pieces], np.int64)
     sizes = np.array([len(p) if w < 0 else 1 for p, w in zip(pieces, whole.tolist(), strict=True)], np.int64)
     ends = np.cumsum(sizes)

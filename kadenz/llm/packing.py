@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kadenz.llm import tokens as T
 from kadenz.llm import words as W
 from kadenz.llm.staging import stage
 
@@ -80,9 +81,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "do
     split = "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) or r"(?!)"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        ordinary = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        ordinary = T.ordinary(ranks, pattern)
         at_added = re.compile(f"({split})")
 
         def encode(text: str) -> list[int]:

@@ -1,10 +1,12 @@
 import hashlib
+import time
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
+import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -190,3 +192,20 @@ def test_groups_of_open_pieces_are_bounded(spark, monkeypatch):
     bins, most = most_in_a_later_group(monkeypatch, spark, lengths, per_partition=60, fan=4)
     least = packing.lower_bound(np.bincount(lengths, minlength=packing.CAPACITY + 1), packing.CAPACITY)
     assert most and max(most) <= 2 * 150 and bins <= least + 50
+
+
+@pytest.mark.parametrize("text", ["ab" * 100_000, "abc" * 66_000, "ACGT" * 50_000, "xab" * 60_000, "a" * 200_000, "é" * 100_000, "x" * 513 + " " + "ab" * 300 + " the end"])
+def test_repetitive_words_take_time_in_proportion(text):
+    encoder = bpe.Encoder(bpe.read_ranks(RANKS), P.PATTERN)
+    encoder.slice(["warm up " + "x" * 600])
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    began = time.perf_counter()
+    ids, _ = encoder.slice([text])
+    assert time.perf_counter() - began < 5
+    assert ids.tolist() == own.encode_ordinary(text)
+
+
+def test_white_space_without_end_can_be_packed(spark):
+    docs = spark.createDataFrame([(1, " \n" * 1_000_000), (2, "\n" * 1_500_000 + "end")], "doc_id long, text string")
+    cut = packing.pieces(docs, P.path("byte_bpe_50k.json"), P.PATTERN)
+    assert cut.groupBy("doc_id").count().count() == 2
