@@ -3,9 +3,9 @@
 Texts become pieces of at most `capacity` tokens. Pieces are dealt over partitions, and each packs its own by
 best-fit decreasing. Dual feasible functions over the partition's size histogram give a lower bound of its
 bin count. Where bins and bound agree the count is certified as least possible; partitions with gaps give up
-the documents of their emptiest bins, exchange them within groups of FAN partitions, and repack them. The
-groups grow round by round, but a group only ever holds what its members left open, and rounds end when groups
-would hold more than OPEN pieces: the open bins then stay as they are.
+the documents of their emptiest bins, as many as the gap could save, exchange them within groups of FAN partitions, and
+repack them. The groups grow round by round until one is left, and a member never gives more than OPEN / FAN pieces, its
+emptiest bins first, so a group is bounded whatever the size of the table.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ END = 0
 #: Pieces of a partition on average, and partitions that exchange with each other.
 PIECES = 50_000
 FAN = 16
-#: Open pieces of a group on average, at most.
+#: Pieces of the open bins of a group, at most (a member's emptiest bin is always among them).
 OPEN = 2 * PIECES
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -155,8 +155,8 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
 STATE = f"{PIECE}, grp long, bin long, offset long, open boolean, counts binary, bins long"
 
 
-def _repack(capacity: int, number: int):
-    """A round over one group: its open pieces and its members' summaries (rows without a length)."""
+def _repack(capacity: int, number: int, most: int):
+    """A round over one group: its open pieces and its members' summaries (rows without a length). It leaves `most` pieces open at most."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         grp = key[0].as_py()
@@ -190,6 +190,8 @@ def _repack(capacity: int, number: int):
         emptiest = np.argsort(fill, kind="stable")
         room = np.cumsum((capacity - fill)[emptiest])
         n_open = min(len(fill), int(np.searchsorted(room, spare, side="left")) + 1) if spare else 0
+        if n_open:
+            n_open = min(n_open, max(1, int(np.searchsorted(np.cumsum(np.bincount(place, minlength=len(fill))[emptiest]), most, side="right"))))
         is_open = np.zeros(len(fill), bool)
         is_open[emptiest[:n_open]] = True
         by_bin = np.argsort(place, kind="stable")
@@ -213,12 +215,12 @@ def _repack(capacity: int, number: int):
     return run
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECES, fan: int = FAN) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECES, fan: int = FAN, open_pieces: int = OPEN) -> DataFrame:
     """Adds sequence_id and offset to pieces (columns as in PIECE, lengths from 1 to capacity).
 
     Sequences are filled without gaps from 0. Rows may repeat: each is a piece of its own. A null doc_id is
     packed like any other. An empty table gives an empty result. The pieces of a partition are bounded by
-    per_partition on average, and what a group exchanges by OPEN; fewer groups than `fan` meet where that is more.
+    per_partition on average, and what a group of `fan` exchanges by open_pieces.
     """
     cut = stage(cut, "pieces")
     parts = max(1, -(-cut.count() // per_partition))
@@ -226,18 +228,26 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECES,
     state = cut.select("*", dealt.cast("long").alias("grp"), F.lit(None).cast("long").alias("bin"), F.lit(None).cast("binary").alias("counts"), F.lit(None).cast("long").alias("bins"))
     done, number = [], 0
     while True:
-        state = stage(state.groupBy("grp").applyInArrow(_repack(capacity, number), STATE), f"packed-{number}")
+        state = stage(state.groupBy("grp").applyInArrow(_repack(capacity, number, max(1, open_pieces // fan)), STATE), f"packed-{number}")
         placed = state.where("length IS NOT NULL")
-        left = placed.where("open").count() if parts > 1 else 0
-        meet = min(fan, OPEN * parts // left) if left else 0
-        if meet < 2:  # one group, nothing open, or too much: all bins are valid as they are
+        if parts == 1 or placed.where("open").isEmpty():  # one group, or nothing open
             done.append(placed)
             break
         done.append(placed.where(~F.col("open")))
-        parts, number = -(-parts // meet), number + 1
-        state = state.where("open").withColumn("grp", F.floor(F.col("grp") / meet))
+        parts, number = -(-parts // fan), number + 1
+        state = state.where("open").withColumn("grp", F.floor(F.col("grp") / fan))
         state = state.select("doc_id", "piece", "start", "length", "ids_crc32", "grp", "bin", "counts", "bins")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
+
+
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(bins, bound, gap): sequences of a packing, what its sizes need at least, and the difference. Sizes are counted first."""
+    sizes = packed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per size
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in sizes:
+        counts[r.length] = r.n
+    bound = lower_bound(counts, capacity)
+    return packed.agg(F.count_distinct("sequence_id").alias("bins")).select("bins", F.lit(bound).cast("long").alias("bound"), (F.col("bins") - bound).alias("gap"))

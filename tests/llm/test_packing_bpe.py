@@ -186,12 +186,21 @@ def test_certified_partitions_close_at_once(spark, monkeypatch):
     assert bins == 450 and max(most, default=0) <= 4
 
 
-def test_groups_of_open_pieces_are_bounded(spark, monkeypatch):
-    monkeypatch.setattr(packing, "OPEN", 150)
-    lengths = np.random.default_rng(3).integers(1, 900, 3000).tolist()
-    bins, most = most_in_a_later_group(monkeypatch, spark, lengths, per_partition=60, fan=4)
+@pytest.mark.parametrize("sizes", [(1, 900), (600, 1100)])
+def test_groups_of_open_pieces_are_bounded_and_rounds_go_on(spark, monkeypatch, sizes):
+    """The smaller the groups, the fewer pieces meet, but rounds never end early and no packing gets worse than without them."""
+    lengths = np.random.default_rng(3).integers(*sizes, 3000).tolist()
     least = packing.lower_bound(np.bincount(lengths, minlength=packing.CAPACITY + 1), packing.CAPACITY)
-    assert most and max(most) <= 2 * 150 and bins <= least + 50
+    alone = packing.pack(spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], packing.PIECE), per_partition=3000)
+    best = alone.select("sequence_id").distinct().count()
+    for open_pieces in (100_000, 160, 40):
+        bins, most = most_in_a_later_group(monkeypatch, spark, lengths, per_partition=60, fan=4, open_pieces=open_pieces)
+        assert len(most) == 3 and max(most) <= max(open_pieces, 160) and least <= bins <= best + 8
+
+
+def test_certificate(spark):
+    cut = spark.createDataFrame([(i, 0, 0, 1500, i) for i in range(5)], packing.PIECE)
+    assert packing.certificate(packing.pack(cut)).first() == (5, 5, 0)
 
 
 @pytest.mark.parametrize("text", ["ab" * 100_000, "abc" * 66_000, "ACGT" * 50_000, "xab" * 60_000, "a" * 200_000, "é" * 100_000, "x" * 513 + " " + "ab" * 300 + " the end"])
