@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kadenz.operators.ordering import running
 from kadenz.operators.stats import mean_ranks, weighted_mean
+from kadenz.session import written
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -43,14 +44,28 @@ def interval(df: DataFrame, names: list[str] | None = None, keys: list[str] | No
 
 
 def median_baseline(df: DataFrame, y: str = "y") -> DataFrame:
-    """Mean absolute error of the median predictor."""
-    m = df.agg(F.percentile(y, 0.5).alias("m"))
+    """Mean absolute error of the median predictor. The median comes from running counts of distinct targets, nulls left out."""
+    counts = df.where(F.col(y).isNotNull()).groupBy(y).agg(F.count(F.lit(1)).alias("c"))
+    placed = running(counts, [y], {"before": "c"}).crossJoin(F.broadcast(counts.agg(F.sum("c").alias("n"))))  # one row
+    at = lambda p: F.max(F.when((F.col("before") <= p) & (p < F.col("before") + F.col("c")), F.col(y).cast("double")))
+    m = placed.agg(((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("m"))
     return df.crossJoin(F.broadcast(m)).agg(F.avg(F.abs(F.col(y) - F.col("m"))).alias("mae_baseline"))  # one row
 
 
 def spearman(df: DataFrame, y: str = "y", h: str = "h") -> DataFrame:
-    ranked = mean_ranks(mean_ranks(df.select(y, h), y, "ry"), h, "rh")
-    return interval(ranked, ["pcc"], y="ry", h="rh").select(F.col("pcc").alias("spearman"))
+    """Rank correlation with mean ranks of ties; pairs with a null are left out.
+
+    The rows are read once, as counts of distinct pairs; both rankings run over distinct values and meet the pairs again.
+    """
+    pairs = written(df.select(F.col(y).alias("y"), F.col(h).alias("h")).dropna().groupBy("y", "h").agg(F.count(F.lit(1)).alias("n")), "pairs")
+    ranks = {}
+    for c in ("y", "h"):
+        values = written(pairs.groupBy(c).agg(F.sum("n").alias("n")), "pair-values")
+        ranks[c] = running(values, [c], {"before": "n"}).select(c, (F.col("before") + (F.col("n") + 1) / 2.0).alias(f"r{c}"))
+    centre = F.broadcast(pairs.agg(((F.sum("n") + 1) / 2.0).alias("centre")))  # one row
+    ranked = pairs.join(ranks["y"], "y").join(ranks["h"], "h").crossJoin(centre)
+    a, b, n = F.col("ry") - F.col("centre"), F.col("rh") - F.col("centre"), F.col("n").cast("double")
+    return ranked.agg(_ratio(F.sum(n * a * b), F.sqrt(F.sum(n * a * a) * F.sum(n * b * b))).alias("spearman"))
 
 
 #: Pairs up to which the signed-rank test is exact, unless differences tie.
@@ -117,8 +132,13 @@ def per_class(cells: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 def nominal(df: DataFrame, k: int, y: str = "y", h: str = "h", keys: list[str] | None = None) -> DataFrame:
     """accuracy, balanced, majority, macro and weighted precision, recall and f1."""
+    return nominal_of(confusion(df, k, y, h, keys), keys)
+
+
+def nominal_of(cells: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The same from a confusion table (keys, i, j, n); counts may be weights."""
     keys = keys or []
-    c = per_class(confusion(df, k, y, h, keys), keys)
+    c = per_class(cells, keys)
     total, there = F.sum("support"), F.count(F.when(F.col("support") > 0, 1))
     macro = [F.avg(m).alias(f"macro_{m}") for m in ("precision", "recall", "f1")]
     weighted = [_ratio(F.sum(F.col(m) * F.col("support")), total).alias(f"weighted_{m}") for m in ("precision", "recall", "f1")]
@@ -158,6 +178,17 @@ def auc(df: DataFrame, positive: Column, score: str = "score", keys: list[str] |
     return won.groupBy(*keys).agg(F.try_divide(F.sum("won"), F.sum("p").cast("double") * F.sum("q").cast("double")).alias("auc"))
 
 
+def auc_one_vs_rest(df: DataFrame, k: int, y: str = "y", score: str = "score") -> DataFrame:
+    """(class, auc) of classes 0 to k - 1 against the rest. Scores are counted once, with one column per class, and ordered once."""
+    own = [f"__c{i}" for i in range(k)]
+    by = df.groupBy(score).agg(F.count(F.lit(1)).alias("__all"), *[F.count(F.when(F.col(y) == i, 1)).alias(c) for i, c in enumerate(own)])
+    below = running(by, [score], {"__below": "__all"} | {f"{c}b": c for c in own})
+    won = lambda c: F.sum(F.col(c) * (F.col("__below") - F.col(f"{c}b") + (F.col("__all") - F.col(c)) / 2.0))
+    pairs = lambda c: F.sum(c).cast("double") * (F.sum("__all") - F.sum(c)).cast("double")
+    found = below.agg(F.array(*[F.struct(F.lit(i).alias("class"), F.try_divide(won(c), pairs(c)).alias("auc")) for i, c in enumerate(own)]).alias("found"))
+    return found.select(F.inline("found"))
+
+
 def equal_error_rate(df: DataFrame, positive: Column, score: str = "score") -> DataFrame:
     """Mean of both error rates at the first threshold where they are nearest; scores at or above it are positive."""
     by = df.groupBy(score).agg(F.sum(positive.cast("long")).alias("p"), F.sum((~positive).cast("long")).alias("q"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kadenz.operators.ordering import running
 from kadenz.operators.splits import PRIME, portable_hash
+from kadenz.session import written
 
 #: Cumulative chances of Poisson(1) for 0, 1, 2, ... draws, from exp(-1) / k!.
 LIMITS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
@@ -40,25 +42,29 @@ def clustered_bootstrap(per_cluster: DataFrame, value: str, cluster: str, draws:
 
 
 def conformal_interval(calibration: DataFrame, test: DataFrame, eps: float, y: str = "y", h: str = "h") -> DataFrame:
-    """Adds low and high to test rows: h plus and minus the calibration error at position floor(n * eps + 1), largest first."""
-    scores = calibration.select(F.abs(F.col(y) - F.col(h)).alias("s"))
-    n = scores.count()
-    k = int(n * eps + 1) + 1
-    bar = scores.orderBy(F.desc("s")).limit(k).agg(F.min("s").alias("bar"))  # a top-k, not a window over all rows
-    return test.crossJoin(F.broadcast(bar)).select("*", (F.col(h) - F.col("bar")).alias("low"), (F.col(h) + F.col("bar")).alias("high"))  # one row
+    """Adds low and high to test rows: h plus and minus the calibration error at position floor(n * eps + 1), largest first.
+
+    The position is found in running counts of distinct errors, so no task holds the largest ones.
+    """
+    scores = calibration.select(F.abs(F.col(y) - F.col(h)).alias("s")).where("s IS NOT NULL").groupBy("s").agg(F.count(F.lit(1)).alias("c"))
+    scores = written(scores.withColumn("down", -F.col("s")), "calibration")
+    placed = running(scores, ["down"], {"before": "c"}).crossJoin(F.broadcast(scores.agg(F.sum("c").alias("n"))))  # one row
+    bar = placed.where(F.col("before") < F.floor(F.col("n") * eps + 1) + 1).agg(F.min("s").alias("bar"))
+    return test.crossJoin(F.broadcast(bar)).select("*", (F.col(h) - F.col("bar")).alias("low"), (F.col(h) + F.col("bar")).alias("high")).drop("bar")  # one row
 
 
 def conformal_p_values(calibration: DataFrame, test: DataFrame, score: str, by: str) -> DataFrame:
     """Adds p to test rows: (calibration scores of the group at or above + 1) / (n + 1).
 
-    Distinct scores of both are counted and laid together, so a group's window has one row per distinct score.
+    Distinct scores of both are counted and laid together; counts run over ranges of a group's scores, not in one task for each group.
     """
     cal = calibration.groupBy(by, score).agg(F.count(F.lit(1)).alias("c"))
     there = test.select(by, score).distinct().withColumn("c", F.lit(0).cast("long"))
-    both = cal.unionByName(there).groupBy(by, score).agg(F.sum("c").alias("c"))
-    up = Window.partitionBy(by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    total = cal.groupBy(by).agg(F.sum("c").alias("n"))
-    p = both.withColumn("above", F.sum("c").over(up)).join(total, by).select(by, score, ((F.col("above") + 1) / (F.col("n") + 1)).alias("p"))
+    both = cal.unionByName(there).groupBy(by, score).agg(F.sum("c").alias("c")).withColumn("__down", -F.col(score))
+    both = written(both, "conformal-scores")
+    above = running(both, ["__down"], {"__before": "c"}, keys=[by])
+    total = both.groupBy(by).agg(F.sum("c").alias("__n"))  # one row per group
+    p = above.join(total, by).select(by, score, ((F.col("__before") + F.col("c") + 1) / (F.col("__n") + 1)).alias("p"))
     return test.join(p, [by, score], "left")
 
 

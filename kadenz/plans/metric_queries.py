@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from kadenz.operators import bootstrap as B
 from kadenz.operators import metrics as M
 from kadenz.operators import resample as R
 from kadenz.operators import splits as X
@@ -12,7 +13,7 @@ from kadenz.operators import stats as S
 from kadenz.operators import tables as P
 from kadenz.plans import views as V
 from kadenz.plans.registry import query, r6, rounded
-from kadenz.session import table
+from kadenz.session import ship, table
 
 _MOM = "avg(y) AS my, avg(h) AS mh, var_pop(y) AS vy, var_pop(h) AS vh, covar_pop(y, h) AS cv, avg((y - h) ** 2) AS ms, avg(abs(y - h)) AS ma, count(*) AS n, sum((y + h) ** 2) / 4 AS qm, sum((y - h) ** 2) AS qd, sum(y * y + h * h) AS q, sum(y + h) AS s"
 
@@ -44,7 +45,7 @@ def e2(spark, sf_dir):
 """, "pred"))
 def e3(spark, sf_dir):
     d = (F.col("y") - F.col("h")).cast("decimal(18,5)")
-    return M.wilcoxon(V.pred(spark, sf_dir, number=False), d).select("n", "w")
+    return M.wilcoxon(V.pred(spark, sf_dir), d).select("n", "w")
 
 
 @query("e4_ccc", _interval_sql(f"round({_CCC}, 6) AS ccc"))
@@ -54,7 +55,7 @@ def e4(spark, sf_dir):
 
 @query("e5_bundle_with_coercion", V.sql(f", c AS (SELECT id, TRY_CAST(CASE WHEN id % 7 = 0 THEN 'n/a' ELSE y::VARCHAR END AS DOUBLE) AS y, h FROM pred), m AS (SELECT {_MOM} FROM c WHERE y IS NOT NULL) SELECT round(sqrt(ms), 6) AS rmse, round({_CCC}, 6) AS ccc, round({_PCC}, 6) AS pcc FROM m", "pred"))
 def e5(spark, sf_dir):
-    raw = V.pred(spark, sf_dir).withColumn("y", F.when(F.col("id") % 7 == 0, "n/a").otherwise(F.col("y").cast("string")))
+    raw = V.pred(spark, sf_dir, number=True).withColumn("y", F.when(F.col("id") % 7 == 0, "n/a").otherwise(F.col("y").cast("string")))
     clean = raw.withColumn("y", F.col("y").try_cast("double")).dropna(subset=["y", "h"])
     return rounded(M.interval(clean, ["rmse", "ccc", "pcc"]))
 
@@ -66,7 +67,7 @@ def e6(spark, sf_dir):
 
 @query("e7_spearman", V.sql(", r AS (SELECT rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS a, rank() OVER (ORDER BY h) + (count(*) OVER (PARTITION BY h) - 1) / 2.0 AS b FROM pred) SELECT round(covar_pop(a, b) / sqrt(var_pop(a) * var_pop(b)), 6) AS spearman FROM r", "pred"))
 def e7(spark, sf_dir):
-    return rounded(M.spearman(V.pred(spark, sf_dir, number=False)))
+    return rounded(M.spearman(V.pred(spark, sf_dir)))
 
 
 @query("e8_icc", _interval_sql("round((msr - mse_) / (msr + mse_), 6) AS icc_c1, round((msr - mse_) / (msr + mse_ + 2 * (msc - mse_) / n), 6) AS icc_a1"))
@@ -137,8 +138,7 @@ def e15(spark, sf_dir):
     SELECT round(avg(auc), 6) AS auc FROM a
 """))
 def e16(spark, sf_dir):
-    rows = V.classes(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    return rounded(M.auc(rows, F.col("y") == F.col("k"), keys=["k"]).agg(F.avg("auc").alias("auc")))
+    return rounded(M.auc_one_vs_rest(V.classes(spark, sf_dir), 5).agg(F.avg("auc").alias("auc")))
 
 
 @query("e17_equal_error_rate", _class_sql("""
@@ -191,7 +191,7 @@ def e23(spark, sf_dir):
 
 @query("w8_mean_ranks", V.sql("SELECT id, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 - 1 AS r FROM pred", "pred"))
 def w8(spark, sf_dir):
-    return S.mean_ranks(V.pred(spark, sf_dir), "y", "r").select("id", "r")
+    return S.mean_ranks(V.pred(spark, sf_dir, number=True), "y", "r").select("id", "r")
 
 
 _U = " ".join(f"WHEN u < {x} THEN {k}" for k, x in enumerate(R.LIMITS))
@@ -204,7 +204,55 @@ _U = " ".join(f"WHEN u < {x} THEN {k}" for k, x in enumerate(R.LIMITS))
 """, "pred"))
 def r1(spark, sf_dir):
     d = F.col("y") - F.col("h")
-    return rounded(R.bootstrap_mean(V.pred(spark, sf_dir), d * d, "id", 40))
+    return rounded(R.bootstrap_mean(V.pred(spark, sf_dir, number=True), d * d, "id", 40))
+
+
+def _drawn(view: str, columns: str) -> str:
+    """Rows of a view with their weight in each of 40 draws."""
+    return f"d AS (SELECT draw, CASE {_U} ELSE {len(R.LIMITS)} END AS w, {columns} FROM (SELECT *, {X.portable_hash_sql('(id * 7919 + draw * 104729)')} / 2147483647.0 AS u FROM {view}, (SELECT unnest(range(40)) AS draw)))"
+
+
+#: Intervals of s (draw, model, metric, value), and of the difference of both models within a draw.
+_CUTS = """, a AS (SELECT model, metric, value FROM s UNION ALL SELECT '1-2', x.metric, x.value - z.value FROM s x JOIN s z ON x.draw = z.draw AND x.metric = z.metric AND x.model = '1' AND z.model = '2')
+    SELECT model, metric, round(quantile_cont(value, 0.025), 6) + 0.0 AS lower, round(quantile_cont(value, 0.5), 6) + 0.0 AS center, round(quantile_cont(value, 0.975), 6) + 0.0 AS upper FROM a GROUP BY model, metric"""
+
+
+@query("r1_intervals_of_two_models", V.sql(f"""
+    , {_drawn('pred', 'y::DOUBLE AS y, unnest([1, 2]) AS model, unnest([h, h * 0.5 + 6]) AS h')},
+    g AS (SELECT draw, model, sum(w) AS n, sum(w * y) / sum(w) AS my, sum(w * h) / sum(w) AS mh, sum(w * (y - h) ** 2) / sum(w) AS ms, sum(w * abs(y - h)) / sum(w) AS ma FROM d GROUP BY draw, model),
+    v AS (SELECT draw, model, any_value(my) AS my, any_value(mh) AS mh, any_value(ms) AS ms, any_value(ma) AS ma, sum(w * (y - my) ** 2) / any_value(n) AS vy, sum(w * (h - mh) ** 2) / any_value(n) AS vh, sum(w * (y - my) * (h - mh)) / any_value(n) AS cv FROM d JOIN g USING (draw, model) GROUP BY draw, model),
+    s AS (SELECT draw, model::VARCHAR AS model, unnest(['mse', 'rmse', 'mae', 'ccc', 'pcc']) AS metric, unnest([ms, sqrt(ms), ma, {_CCC}, {_PCC}]) AS value FROM v) {_CUTS}
+""", "pred"))
+def r1_two(spark, sf_dir):
+    ship(spark)
+    rows = V.pred(spark, sf_dir, number=True).withColumn("h2", F.col("h") * 0.5 + 6)
+    return rounded(B.intervals(B.interval_scores(rows, "id", "y", {"1": "h", "2": "h2"}, 40)))
+
+
+@query("r1_intervals_of_classes", _class_sql(f"""
+    , {_drawn('"class"', 'y, unnest([1, 2]) AS model, unnest([h, ((id * 3 + y) % 5)::INT]) AS h')},
+    k AS (SELECT unnest(range(5)) AS k), c AS (SELECT draw, model, k, sum(w) FILTER (y = k) AS support, sum(w) FILTER (h = k) AS said, coalesce(sum(w) FILTER (y = k AND h = k), 0) AS tp FROM d, k GROUP BY draw, model, k),
+    p AS (SELECT *, CASE WHEN said > 0 THEN tp / said ELSE 0 END AS p, CASE WHEN support > 0 THEN tp / support ELSE 0 END AS r FROM c), f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM p),
+    m AS (SELECT draw, model, sum(tp) / sum(support) AS acc, avg(f) AS macro, sum(f * support) / sum(support) AS weighted FROM f GROUP BY draw, model),
+    s AS (SELECT draw, model::VARCHAR AS model, unnest(['accuracy', 'macro_f1', 'weighted_f1']) AS metric, unnest([acc, macro, weighted]) AS value FROM m) {_CUTS}
+"""))
+def r1_classes(spark, sf_dir):
+    ship(spark)
+    rows = V.classes(spark, sf_dir).withColumn("h2", (F.col("id") * 3 + F.col("y")) % 5)
+    scores = B.nominal_scores(rows, "id", "y", {"1": "h", "2": "h2"}, 5, 40)
+    return rounded(B.intervals(scores.where("metric IN ('accuracy', 'macro_f1', 'weighted_f1')")))
+
+
+@query("r1_intervals_of_auc", _class_sql(f"""
+    , {_drawn('"class"', 'y = 0 AS p, unnest([1, 2]) AS model, unnest([score, (id * 37 % 101)::DOUBLE]) AS score')},
+    b AS (SELECT draw, model, score, coalesce(sum(w) FILTER (p), 0) AS p, coalesce(sum(w) FILTER (NOT p), 0) AS q FROM d GROUP BY draw, model, score),
+    r AS (SELECT *, p * (sum(q) OVER (PARTITION BY draw, model ORDER BY score) - q / 2.0) AS won FROM b),
+    s AS (SELECT draw, model::VARCHAR AS model, 'auc' AS metric, sum(won) / (sum(p) * sum(q)) AS value FROM r GROUP BY draw, model) {_CUTS}
+"""))
+def r1_auc(spark, sf_dir):
+    ship(spark)
+    rows = V.classes(spark, sf_dir).withColumn("score2", F.col("id") * 37 % 101)
+    return rounded(B.intervals(B.auc_scores(rows, "id", F.col("y") == 0, {"1": "score", "2": "score2"}, 40)))
 
 
 @query("r2_clustered_bootstrap", V.sql(f"""
@@ -220,7 +268,7 @@ def r2(spark, sf_dir):
 
 @query("r3_calibration_scores", V.sql("SELECT id, abs(y - h) / (1 + y) AS s FROM pred", "pred"))
 def r3(spark, sf_dir):
-    return V.pred(spark, sf_dir).select("id", (F.abs(F.col("y") - F.col("h")) / (1 + F.col("y"))).alias("s"))
+    return V.pred(spark, sf_dir, number=True).select("id", (F.abs(F.col("y") - F.col("h")) / (1 + F.col("y"))).alias("s"))
 
 
 @query("r4_conformal_interval", V.sql("""
@@ -228,7 +276,7 @@ def r3(spark, sf_dir):
     SELECT id, round(h - bar, 6) AS low, round(h + bar, 6) AS high FROM pred, b WHERE id % 2 = 1
 """, "pred"))
 def r4(spark, sf_dir):
-    rows = V.pred(spark, sf_dir)
+    rows = V.pred(spark, sf_dir, number=True)
     return rounded(R.conformal_interval(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), 0.1).select("id", "low", "high"))
 
 
@@ -249,7 +297,7 @@ def r5(spark, sf_dir):
     SELECT id, model::INT AS model, CASE WHEN max(w) OVER (PARTITION BY id) = 0 AND model = 0 THEN 1 ELSE w END AS w FROM w
 """, "pred"))
 def r6_(spark, sf_dir):
-    return R.bagging(V.pred(spark, sf_dir), "id", 3)
+    return R.bagging(V.pred(spark, sf_dir, number=True), "id", 3)
 
 
 @query("x1_union", "SELECT o_orderkey AS k FROM orders UNION ALL SELECT c_custkey FROM customer")
@@ -325,7 +373,7 @@ def x12(spark, sf_dir):
 
 @query("t2_row_slice", V.sql("SELECT id, y FROM pred WHERE id > 1000 AND id <= 1500", "pred"))
 def t2(spark, sf_dir):
-    return V.pred(spark, sf_dir).where("id > 1000 AND id <= 1500").select("id", "y")
+    return V.pred(spark, sf_dir, number=True).where("id > 1000 AND id <= 1500").select("id", "y")
 
 
 @query("t3_seeded_sample", f"SELECT o_orderkey FROM orders ORDER BY {X.portable_hash_sql('o_orderkey', 9)}, o_orderkey LIMIT 500")
@@ -351,7 +399,7 @@ def t6(spark, sf_dir):
 
 @query("w13_balanced_chunks", V.sql("SELECT id, ntile(7) OVER (ORDER BY id)::INT AS chunk FROM pred", "pred"))
 def w13(spark, sf_dir):
-    return X.chunks(V.pred(spark, sf_dir).select("id"), ["id"], 7)
+    return X.chunks(V.pred(spark, sf_dir, number=True).select("id"), ["id"], 7)
 
 
 @query("w12_early_stop", V.sql("""
@@ -420,4 +468,4 @@ def t7(spark, sf_dir):
 
 @query("p10_condition_filter", V.sql("SELECT id FROM pred WHERE cluster = 7 AND fold = 2", "pred"))
 def p10(spark, sf_dir):
-    return P.matching(V.pred(spark, sf_dir), {"cluster": "7", "fold": "2", "absent": "1"}).select("id")
+    return P.matching(V.pred(spark, sf_dir, number=True), {"cluster": "7", "fold": "2", "absent": "1"}).select("id")

@@ -96,7 +96,7 @@ def a11(spark, sf_dir):
 
 @query("a13_concatenated_batches", V.sql("SELECT id, y, h FROM pred", "pred"))
 def a13(spark, sf_dir):
-    rows = V.pred(spark, sf_dir)
+    rows = V.pred(spark, sf_dir, number=True)
     return S.union_all([rows.where(f"fold = {k}") for k in range(5)]).select("id", "y", "h")
 
 
@@ -206,7 +206,7 @@ def m13(spark, sf_dir):
 
 @query("m2_learned_scaling", V.sql(", s AS (SELECT avg(vision_tax) AS m, stddev_pop(vision_tax) AS s FROM wide WHERE meta_id % 5 > 1) SELECT id, round(greatest(least((vision_tax - m) / s, 3), -3), 6) AS vision_tax FROM wide, s", "wide"))
 def m2(spark, sf_dir):
-    rows = V.wide(spark, sf_dir).select("id", "meta_id", "vision_tax")
+    rows = V.wide(spark, sf_dir, number=True).select("id", "meta_id", "vision_tax")
     learned = P.learn(rows.where("meta_id % 5 > 1"), ["vision_tax"])
     return rounded(P.apply(rows, learned).select("id", "vision_tax"))
 
@@ -225,7 +225,7 @@ def t1(spark, sf_dir):
 
 @query("x3_shared_columns", V.sql("SELECT id, cluster, y, h FROM pred", "pred"))
 def x3(spark, sf_dir):
-    a, b = V.pred(spark, sf_dir), V.classes(spark, sf_dir)
+    a, b = V.pred(spark, sf_dir, number=True), V.classes(spark, sf_dir)
     return a.select(*[c for c in a.columns if c in set(b.columns)])
 
 

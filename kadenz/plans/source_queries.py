@@ -17,7 +17,7 @@ SPLIT = "CASE WHEN fold = 0 THEN 'test' WHEN fold = 1 THEN 'validation' ELSE 'tr
 @query("s1_csv_family", V.sql(f"SELECT 'lines' AS dataset, 'quantity' AS label, 0 AS fold, {SPLIT} AS split, id, y::DOUBLE AS y, round(h, 6) AS h FROM pred", "pred"))
 def s1(spark, sf_dir):
     """The three splits of a fold, one CSV each, read as one table."""
-    rows, root = V.pred(spark, sf_dir), scratch(spark, "csv-family")
+    rows, root = V.pred(spark, sf_dir, number=True), scratch(spark, "csv-family")
     paths = {s: f"{root}/lines_quantity_0_{s}.csv" for s in ("test", "validation", "training")}
     for s, path in paths.items():
         rows.where(f"{SPLIT} = '{s}'").select("id", F.col("y").cast("double"), "h").write.csv(path, header=True)
@@ -28,7 +28,7 @@ def s1(spark, sf_dir):
 @query("s2_csv_per_split", V.sql(f"SELECT fold, {SPLIT} AS split, count(*) AS n, sum(h::DECIMAL(20, 5))::DOUBLE AS total FROM pred GROUP BY fold, split", "pred"))
 def s2(spark, sf_dir):
     path = scratch(spark, "csv-per-split")
-    files.write_partitioned(V.pred(spark, sf_dir).selectExpr("id", "CAST(y AS DOUBLE) AS y", "h", "fold", f"{SPLIT} AS split"), path, ["fold", "split"], "csv")
+    files.write_partitioned(V.pred(spark, sf_dir, number=True).selectExpr("id", "CAST(y AS DOUBLE) AS y", "h", "fold", f"{SPLIT} AS split"), path, ["fold", "split"], "csv")
     got = spark.read.csv(path, header=True, schema="id long, y double, h double, fold int, split string")
     return got.groupBy("fold", "split").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h").cast("decimal(20, 5)")).cast("double").alias("total"))
 
@@ -112,7 +112,7 @@ FEATURES = ["acoustic_qty", "acoustic_price", "vision_disc", "vision_tax", "lang
 
 
 def _wide(spark, sf_dir):
-    return V.wide(spark, sf_dir).select("id", "meta_id", *[F.col(c).cast("double").alias(c) for c in FEATURES], F.col("y").cast("double").alias("y")).withColumn("large", (F.col("y") > 25).cast("double"))
+    return V.wide(spark, sf_dir, number=True).select("id", "meta_id", *[F.col(c).cast("double").alias(c) for c in FEATURES], F.col("y").cast("double").alias("y")).withColumn("large", (F.col("y") > 25).cast("double"))
 
 
 def _predictions(spark, sf_dir, model, y):
@@ -163,7 +163,7 @@ def f3(spark, sf_dir):
 
 @query("f4_learn_apply_revert", V.sql(", s AS (SELECT avg(acoustic_qty) AS m, stddev_pop(acoustic_qty) AS s FROM wide WHERE meta_id % 5 > 1) SELECT id, round((acoustic_qty - m) / s, 6) AS scaled, acoustic_qty::DOUBLE AS back FROM wide, s", "wide"))
 def f4(spark, sf_dir):
-    rows = V.wide(spark, sf_dir).select("id", "meta_id", F.col("acoustic_qty").cast("double").alias("x"))
+    rows = V.wide(spark, sf_dir, number=True).select("id", "meta_id", F.col("acoustic_qty").cast("double").alias("x"))
     learn = lambda df: df.agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).first()
     t = Transform(learn, lambda df, k: df.withColumn("x", (F.col("x") - k.m) / k.s), lambda df, k: df.withColumn("x", F.col("x") * k.s + k.m))
     scaled = t.fit(rows.where("meta_id % 5 > 1")).apply(rows)

@@ -25,18 +25,18 @@ def docs(spark, sf_dir):
 
 @query("p1_modalities", V.sql("SELECT id, [acoustic_qty::DOUBLE, acoustic_price::DOUBLE] AS acoustic, [language_size::DOUBLE, language_retail::DOUBLE] AS language, [vision_disc::DOUBLE, vision_tax::DOUBLE] AS vision FROM wide", "wide"))
 def p1(spark, sf_dir):
-    return P.packed(V.wide(spark, sf_dir), ["id"])
+    return P.packed(V.wide(spark, sf_dir, number=True), ["id"])
 
 
 @query("p2_columns_without_nulls", V.sql("SELECT id, acoustic_qty, y FROM wide", "wide"))
 def p2(spark, sf_dir):
-    rows = V.wide(spark, sf_dir).select("id", "acoustic_qty", "y", F.when(F.col("id") % 9 > 0, F.col("vision_tax")).alias("holes"))
+    rows = V.wide(spark, sf_dir, number=True).select("id", "acoustic_qty", "y", F.when(F.col("id") % 9 > 0, F.col("vision_tax")).alias("holes"))
     return P.without_null_columns(rows).select("id", "acoustic_qty", "y")
 
 
 @query("p3_renamed", V.sql("SELECT id, acoustic_qty AS audio_qty, meta_id AS speaker FROM wide", "wide"))
 def p3(spark, sf_dir):
-    return V.wide(spark, sf_dir).withColumnsRenamed({"acoustic_qty": "audio_qty", "meta_id": "speaker"}).select("id", "audio_qty", "speaker")
+    return V.wide(spark, sf_dir, number=True).withColumnsRenamed({"acoustic_qty": "audio_qty", "meta_id": "speaker"}).select("id", "audio_qty", "speaker")
 
 
 @query("p4_without_text_columns", "SELECT c_custkey, c_nationkey, c_acctbal, c_name FROM customer")
@@ -46,7 +46,7 @@ def p4(spark, sf_dir):
 
 @query("p5_default_columns", V.sql("SELECT id, y, 0.0::DOUBLE AS meta_begin, 60.0::DOUBLE AS meta_end FROM wide", "wide"))
 def p5(spark, sf_dir):
-    return P.with_defaults(V.wide(spark, sf_dir).select("id", "y"), {"y": 1.0, "meta_begin": 0.0, "meta_end": 60.0})
+    return P.with_defaults(V.wide(spark, sf_dir, number=True).select("id", "y"), {"y": 1.0, "meta_begin": 0.0, "meta_end": 60.0})
 
 
 @query("p6_categorical_codes", "SELECT p_partkey, (dense_rank() OVER (ORDER BY p_brand) - 1)::INT AS code FROM part")
@@ -67,7 +67,7 @@ def p8(spark, sf_dir):
 
 @query("p9_casts", V.sql("SELECT id, meta_id::INT AS meta_id, acoustic_qty::FLOAT::DOUBLE AS q FROM wide", "wide"))
 def p9(spark, sf_dir):
-    return V.wide(spark, sf_dir).select("id", F.col("meta_id").cast("int").alias("meta_id"), F.col("acoustic_qty").cast("float").cast("double").alias("q"))
+    return V.wide(spark, sf_dir, number=True).select("id", F.col("meta_id").cast("int").alias("meta_id"), F.col("acoustic_qty").cast("float").cast("double").alias("q"))
 
 
 @query("p11_instruction_text", "SELECT conv_id, turn, text || '<SEP> Task: Given the input, ' || CASE role WHEN 'user' THEN 'answer.' ELSE 'rate it.' END AS prompt FROM conversations")
@@ -88,7 +88,7 @@ def p13(spark, sf_dir):
 
 @query("p15_varying_columns", V.sql("SELECT id, acoustic_qty, vision_tax FROM wide", "wide"))
 def p15(spark, sf_dir):
-    rows = V.wide(spark, sf_dir).withColumn("vision_flat", F.lit(2.0))
+    rows = V.wide(spark, sf_dir, number=True).withColumn("vision_flat", F.lit(2.0))
     return rows.select("id", *P.varying(rows, ["acoustic_qty", "vision_tax", "vision_flat"]))
 
 
@@ -187,13 +187,13 @@ def a10(spark, sf_dir):
 
 @query("a14_mean_imputation", V.sql(", h AS (SELECT id, CASE WHEN id % 4 > 0 THEN acoustic_qty END AS q FROM wide) SELECT id, round(coalesce(q, (SELECT avg(q) FROM h)), 6) AS q FROM h", "wide"))
 def a14(spark, sf_dir):
-    rows = V.wide(spark, sf_dir).select("id", F.when(F.col("id") % 4 > 0, F.col("acoustic_qty")).alias("q"))
+    rows = V.wide(spark, sf_dir, number=True).select("id", F.when(F.col("id") % 4 > 0, F.col("acoustic_qty")).alias("q"))
     return rounded(P.imputed(rows, ["q"]))
 
 
 @query("a15_zero_imputation", V.sql("SELECT id, coalesce(CASE WHEN id % 4 > 0 THEN acoustic_qty END, 0) AS q FROM wide", "wide"))
 def a15(spark, sf_dir):
-    return V.wide(spark, sf_dir).select("id", F.when(F.col("id") % 4 > 0, F.col("acoustic_qty")).alias("q")).fillna(0)
+    return V.wide(spark, sf_dir, number=True).select("id", F.when(F.col("id") % 4 > 0, F.col("acoustic_qty")).alias("q")).fillna(0)
 
 
 @query("a16_group_covariance", "WITH e AS (SELECT vec_id, label, embedding[1:4] AS v FROM embeddings), p AS (SELECT label, i - 1 AS i, j - 1 AS j, v[i]::DOUBLE AS x, v[j]::DOUBLE AS y FROM e, (SELECT unnest(range(1, 5)) AS i), (SELECT unnest(range(1, 5)) AS j)) SELECT label, i::INT AS i, j::INT AS j, round(covar_samp(x, y) + CASE WHEN i = j THEN 0.001 ELSE 0 END, 6) AS cov FROM p GROUP BY label, i, j")
@@ -282,7 +282,7 @@ def j16(spark, sf_dir):
 
 @query("j17_known_group_effect", V.sql("SELECT id, round(coalesce(m, 0), 6) AS effect FROM pred LEFT JOIN (SELECT cluster, avg(y - h) AS m FROM pred WHERE fold = 0 AND cluster % 2 = 0 GROUP BY cluster) USING (cluster)", "pred"))
 def j17(spark, sf_dir):
-    rows = V.pred(spark, sf_dir)
+    rows = V.pred(spark, sf_dir, number=True)
     known = rows.where("fold = 0 AND cluster % 2 = 0").groupBy("cluster").agg(F.avg(F.col("y") - F.col("h")).alias("m"))
     return rounded(rows.join(known, "cluster", "left").select("id", F.coalesce("m", F.lit(0.0)).alias("effect")))
 
@@ -412,19 +412,19 @@ def m15(spark, sf_dir):
 
 @query("m1_z_scores", V.sql("SELECT id, round((acoustic_qty - avg(acoustic_qty) OVER ()) / (stddev_samp(acoustic_qty) OVER () + 1e-5), 6) AS acoustic_qty, round((vision_tax - avg(vision_tax) OVER ()) / (stddev_samp(vision_tax) OVER () + 1e-5), 6) AS vision_tax FROM wide", "wide"))
 def m1(spark, sf_dir):
-    return rounded(P.z_scored(V.wide(spark, sf_dir).select("id", "acoustic_qty", "vision_tax"), ["acoustic_qty", "vision_tax"]))
+    return rounded(P.z_scored(V.wide(spark, sf_dir, number=True).select("id", "acoustic_qty", "vision_tax"), ["acoustic_qty", "vision_tax"]))
 
 
 @query("m3_learned_and_clipped", V.sql(", s AS (SELECT avg(acoustic_price) AS m, stddev_pop(acoustic_price) AS s FROM wide WHERE id % 5 < 3) SELECT id, round(greatest(least((acoustic_price - m) / s, 1.5), -1.5), 6) AS acoustic_price FROM wide, s WHERE id % 5 >= 3", "wide"))
 def m3(spark, sf_dir):
-    rows = V.wide(spark, sf_dir).select("id", "acoustic_price", F.lit(1.0).alias("vision_flat"))
+    rows = V.wide(spark, sf_dir, number=True).select("id", "acoustic_price", F.lit(1.0).alias("vision_flat"))
     learned = P.learn(rows.where("id % 5 < 3"), ["acoustic_price", "vision_flat"])
     return rounded(P.apply(rows.where("id % 5 >= 3"), learned, 1.5))
 
 
 @query("m4_reverted_scaling", V.sql("SELECT id, round(y, 6) AS y FROM pred", "pred"))
 def m4(spark, sf_dir):
-    rows = V.pred(spark, sf_dir).select("id", "y")
+    rows = V.pred(spark, sf_dir, number=True).select("id", "y")
     learned = P.learn(rows, ["y"])["y"]
     return rounded(rows.select("id", P.revert((F.col("y") - learned[0]) / learned[1], learned).alias("y")))
 
@@ -442,7 +442,7 @@ def m12(spark, sf_dir):
 @query("m14_late_fusion", V.sql(", p AS (SELECT id, unnest([1, 2, 3]) AS m, unnest([h, h * 0.9, h * 1.2]) AS h, unnest([0.1, 0.5, 1.0]::DOUBLE[]) AS a FROM pred) SELECT id, round(avg(h), 6) AS mean, round(sum(exp(-a) * h) / sum(exp(-a)), 6) AS weighted FROM p GROUP BY id", "pred"))
 def m14(spark, sf_dir):
     experts = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.lit(a).alias("a")) for w, a in ((1.0, 0.1), (0.9, 0.5), (1.2, 1.0))]))
-    rows = V.pred(spark, sf_dir).select("id", "h", experts.alias("e")).select("id", (F.col("h") * F.col("e.w")).alias("h"), F.col("e.a").alias("a"))
+    rows = V.pred(spark, sf_dir, number=True).select("id", "h", experts.alias("e")).select("id", (F.col("h") * F.col("e.w")).alias("h"), F.col("e.a").alias("a"))
     return rounded(rows.groupBy("id").agg(F.avg("h").alias("mean"), S.weighted_mean(F.col("h"), F.exp(-F.col("a"))).alias("weighted")))
 
 

@@ -253,7 +253,7 @@ def i6(spark, sf_dir):
     square = lambda c: F.pow(c.cast("double"), F.lit(2.0))
     norm = F.sqrt(sum((square(F.col(c)) for c in cols[1:]), square(F.col(cols[0]))))
     step = F.sqrt(sum((square(F.col(c) - F.lag(c).over(w)) for c in cols[1:]), square(F.col(cols[0]) - F.lag(cols[0]).over(w))))
-    return rounded(V.wide(spark, sf_dir).select("id", norm.alias("norm"), step.alias("step")))
+    return rounded(V.wide(spark, sf_dir, number=True).select("id", norm.alias("norm"), step.alias("step")))
 
 
 @query("i7_masking", V.sql("SELECT seq, CASE WHEN channel <> 'error' AND v >= 0.5 THEN v END AS v FROM series", "series"))

@@ -35,11 +35,12 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table lineitem with an id in a fixed order."""
     return numbered(table(spark, sf_dir, "lineitem"), LINES.split(", "))
 
 
-def pred(spark: SparkSession, sf_dir: str, number: bool = True) -> DataFrame:
-    """(id, cluster, fold, y, h): regression targets and predictions; without the id, rows need not be numbered."""
+def pred(spark: SparkSession, sf_dir: str, number: bool = False) -> DataFrame:
+    """(cluster, fold, y, h), and id before them if asked for: regression targets and predictions. Numbering all rows sorts them."""
     rows = _lines(spark, sf_dir) if number else table(spark, sf_dir, "lineitem")
     return rows.selectExpr(*(["id"] if number else []), "l_suppkey AS cluster", "CAST(l_orderkey % 5 AS INT) AS fold", "l_quantity AS y", "l_extendedprice / 1000 AS h")
 
@@ -52,11 +53,11 @@ def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feature columns with modality prefixes, a group and a target."""
-    rows = _lines(spark, sf_dir).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+def wide(spark: SparkSession, sf_dir: str, number: bool = False) -> DataFrame:
+    """Feature columns with modality prefixes, a group and a target; with an id, if asked for."""
+    rows = (_lines(spark, sf_dir) if number else table(spark, sf_dir, "lineitem")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return rows.selectExpr(
-        "id", "l_suppkey AS meta_id", "l_quantity AS acoustic_qty", "l_extendedprice AS acoustic_price", "l_discount AS vision_disc", "l_tax AS vision_tax",
+        *(["id"] if number else []), "l_suppkey AS meta_id", "l_quantity AS acoustic_qty", "l_extendedprice AS acoustic_price", "l_discount AS vision_disc", "l_tax AS vision_tax",
         "p_size AS language_size", "p_retailprice AS language_retail", "l_quantity * (1 - l_discount) AS y",
     )
 
