@@ -6,7 +6,6 @@ import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,25 +34,6 @@ def random_intercepts(df: DataFrame, group: str, residual: str, steps: int = 10)
     return g.withColumn("effect", F.lit(between) * F.col("s") / (F.lit(within) + F.col("n") * F.lit(between)))
 
 
-def random_slopes(df: DataFrame, group: str, features: list[str], y: str, within: float, between: float) -> DataFrame:
-    """(group, effects): ridge-type effects per group from its cross products, which are summed before any group is formed."""
-    pairs = [(i, j) for i in range(len(features)) for j in range(len(features)) if i <= j]
-    sums = df.groupBy(group).agg(*[F.sum(F.col(features[i]) * F.col(features[j])).alias(f"x{i}_{j}") for i, j in pairs], *[F.sum(F.col(c) * F.col(y)).alias(f"b{i}") for i, c in enumerate(features)])
-    q = len(features)
-    kind = dict(df.dtypes)[group]
-
-    def solve(batches):
-        for pdf in batches:
-            a = np.empty((len(pdf), q, q))
-            for i, j in pairs:
-                a[:, i, j] = a[:, j, i] = pdf[f"x{i}_{j}"].to_numpy(float)
-            b = np.stack([pdf[f"b{i}"].to_numpy(float) for i in range(q)], axis=1)
-            effects = np.linalg.solve(a + np.eye(q) * within / between, b[:, :, None])[:, :, 0]
-            yield pd.DataFrame({group: pdf[group], "effects": list(effects)})
-
-    return sums.mapInPandas(solve, f"{group} {kind}, effects array<double>")
-
-
 def assembled(df: DataFrame, features: list[str]) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 

@@ -127,3 +127,17 @@ def lexicon_shares(df: DataFrame, key: str, words: Column, lexicon: DataFrame, c
     found = df.select(key, F.explode(words).alias("word")).join(lexicon, "word")
     got = found.groupBy(key).agg(*[F.avg(c).alias(c) for c in categories])
     return df.select(key).join(got, key, "left").fillna(0.0, categories)
+
+
+def common_ends(df: DataFrame, column: str) -> DataFrame:
+    """(prefix, suffix) that all values share, of any length; nulls are left out. One aggregate: the least and the greatest
+    value share what all share, forwards and reversed."""
+    back = F.reverse(column)
+    ends = df.agg(F.min(column).alias("a"), F.max(column).alias("b"), F.min(back).alias("c"), F.max(back).alias("d"))
+
+    def shared(a: str, b: str) -> Column:
+        apart = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: ~x.eqNullSafe(y))
+        n = F.array_position(apart, True)
+        return F.substring(F.col(a), F.lit(1), F.when(n > 0, n - 1).otherwise(F.length(a)).cast("int"))
+
+    return ends.select(shared("a", "b").alias("prefix"), F.reverse(shared("c", "d")).alias("suffix"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from kadenz.functions import text as K
 from kadenz.operators import metrics as M
+from kadenz.operators import mixed as MX
 from kadenz.operators import models as L
+from kadenz.operators import recordings as RE
 from kadenz.operators import signal as G
 from kadenz.operators import stats as S
 from kadenz.operators import tables as P
@@ -158,11 +160,29 @@ def g5(spark, sf_dir):
     return rounded(G.delays(_window_pairs(spark, sf_dir, 4), 2, ["rec_id", "k"]))
 
 
-@query("g6_delay_of_recordings", _delay_sql(8, 5, "rec_id", "k = 0"))
+def _recording_delay_sql(most: int) -> str:
+    """Direct sums over all samples for each lag, then the whitened spectrum of these sums written out."""
+    n = 2 * most + 1
+    return V.sql(
+        f"""
+        , r AS (SELECT rec_id, channel, row_number() OVER (PARTITION BY rec_id, channel ORDER BY t, v) - 1 AS i, v - avg(v) OVER u AS v, stddev_pop(v) OVER u AS s FROM series WHERE channel IN ('click', 'view') WINDOW u AS (PARTITION BY rec_id, channel)),
+        d AS (SELECT rec_id, min(s) AS s FROM r GROUP BY rec_id HAVING count(DISTINCT channel) = 2), l AS (SELECT rec_id, s, lag FROM d, (SELECT unnest(range({-most}, {most + 1})) AS lag)),
+        p AS (SELECT a.rec_id, b.i - a.i AS lag, sum(a.v * b.v) AS c FROM r a JOIN r b ON a.rec_id = b.rec_id AND a.channel = 'click' AND b.channel = 'view' AND b.i BETWEEN a.i - {most} AND a.i + {most} GROUP BY a.rec_id, b.i - a.i),
+        c AS (SELECT rec_id, lag, s, coalesce(c, 0) AS c FROM l LEFT JOIN p USING (rec_id, lag)),
+        x AS (SELECT rec_id, f, sum(c * cos(2 * pi() * f * lag / {n})) AS xr, -sum(c * sin(2 * pi() * f * lag / {n})) AS xi FROM c, (SELECT unnest(range({most + 1})) AS f) GROUP BY rec_id, f),
+        y AS (SELECT rec_id, f, xr / greatest(sqrt(xr * xr + xi * xi), 1e-12) AS xr, xi / greatest(sqrt(xr * xr + xi * xi), 1e-12) AS xi FROM x),
+        w AS (SELECT rec_id, s, lag, (SELECT sum(CASE WHEN f = 0 THEN xr ELSE 2 * (xr * cos(2 * pi() * f * l.lag / {n}) - xi * sin(2 * pi() * f * l.lag / {n})) END) / {n} FROM y WHERE y.rec_id = l.rec_id) AS c FROM l),
+        z AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY round(abs(c), 12) DESC, lag) AS rn FROM w)
+        SELECT rec_id, CASE WHEN s >= 1e-9 THEN lag END AS lag, CASE WHEN s >= 1e-9 THEN round(c, 6) END AS c FROM z WHERE rn = 1""",
+        "series",
+    )
+
+
+@query("g6_delay_of_recordings", _recording_delay_sql(5))
 def g6(spark, sf_dir):
     ship(spark)
-    pairs = _window_pairs(spark, sf_dir, 8).where("k = 0").drop("k")
-    return rounded(G.delays(pairs, 5, ["rec_id"]))
+    a, b = (series_of(spark, sf_dir, c) for c in ("click", "view"))
+    return rounded(RE.delay(a, b, 5))
 
 
 _PATH = """
@@ -197,11 +217,24 @@ def g3(spark, sf_dir):
     return G.nuclei(G.volume(V.series(spark, sf_dir), 8, 2))
 
 
-@query("m13_random_slopes", V.sql(", s AS (SELECT meta_id, sum(acoustic_qty * acoustic_qty)::DOUBLE + 0.1 AS a, sum(acoustic_qty * vision_disc)::DOUBLE AS b, sum(vision_disc * vision_disc)::DOUBLE + 0.1 AS d, sum(acoustic_qty * y)::DOUBLE AS p, sum(vision_disc * y)::DOUBLE AS q FROM wide GROUP BY meta_id) SELECT meta_id, [round((d * p - b * q) / (a * d - b * b), 6), round((a * q - b * p) / (a * d - b * b), 6)] AS effects FROM s", "wide"))
+_EM = """
+    , g AS (SELECT meta_id, count(*) AS n, sum(x * x) AS a, sum(x * z) AS b, sum(z * z) AS d, sum(x * y) AS p, sum(z * y) AS q, sum(y * y) AS s FROM (SELECT meta_id, acoustic_qty::DOUBLE AS x, vision_disc::DOUBLE AS z, y::DOUBLE AS y FROM wide) GROUP BY meta_id),
+    e(k, s2, d0, d1, d2) AS (SELECT 0, 1::DOUBLE, 1::DOUBLE, 0::DOUBLE, 1::DOUBLE UNION ALL
+        SELECT k + 1, sum(s - 2 * (m0 * p + m1 * q) + a * (m0 * m0 + v0) + 2 * b * (m0 * m1 + v1) + d * (m1 * m1 + v2)) / sum(n), avg(m0 * m0 + v0), avg(m0 * m1 + v1), avg(m1 * m1 + v2)
+        FROM (SELECT *, (v0 * p + v1 * q) / s2 AS m0, (v1 * p + v2 * q) / s2 AS m1 FROM
+            (SELECT *, a2 / (a0 * a2 - a1 * a1) AS v0, -a1 / (a0 * a2 - a1 * a1) AS v1, a0 / (a0 * a2 - a1 * a1) AS v2 FROM
+                (SELECT *, a / s2 + d2 / (d0 * d2 - d1 * d1) AS a0, b / s2 - d1 / (d0 * d2 - d1 * d1) AS a1, d / s2 + d0 / (d0 * d2 - d1 * d1) AS a2 FROM e, g WHERE k < 6))) GROUP BY k),
+    l AS (SELECT * FROM e WHERE k = 6), t AS (SELECT *, a / s2 + d2 / (d0 * d2 - d1 * d1) AS a0, b / s2 - d1 / (d0 * d2 - d1 * d1) AS a1, d / s2 + d0 / (d0 * d2 - d1 * d1) AS a2 FROM l, g)
+    SELECT meta_id, [round((a2 * p - a1 * q) / s2 / (a0 * a2 - a1 * a1), 6), round((a0 * q - a1 * p) / s2 / (a0 * a2 - a1 * a1), 6)] AS effects, round(s2, 6) AS within, round(d0, 6) AS between_slope FROM t"""
+
+
+@query("m13_random_slopes", V.sql(_EM, "wide").replace("WITH", "WITH RECURSIVE", 1))
 def m13(spark, sf_dir):
+    """Two slopes per group; six steps of EM estimate the variances."""
     ship(spark)
-    out = L.random_slopes(V.wide(spark, sf_dir), "meta_id", ["acoustic_qty", "vision_disc"], "y", 1.0, 10.0)
-    return out.withColumn("effects", F.transform("effects", r6))
+    out, fit = MX.random_slopes(V.wide(spark, sf_dir), "meta_id", ["acoustic_qty", "vision_disc"], "y", steps=6)
+    fitted = {"within": r6(F.lit(fit.within)), "between_slope": r6(F.lit(float(fit.between[0, 0])))}
+    return out.withColumn("effects", F.transform("effects", r6)).withColumns(fitted)
 
 
 @query("m2_learned_scaling", V.sql(", s AS (SELECT avg(vision_tax) AS m, stddev_pop(vision_tax) AS s FROM wide WHERE meta_id % 5 > 1) SELECT id, round(greatest(least((vision_tax - m) / s, 3), -3), 6) AS vision_tax FROM wide, s", "wide"))

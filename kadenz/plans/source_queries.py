@@ -61,12 +61,12 @@ def s6(spark, sf_dir):
     return files.cached(spark, path, None, only_stored=True)
 
 
-@query("s8_annotation_tiers", "SELECT role AS tier, conv_id * 100.0::DOUBLE + turn * 1.5 AS begin, conv_id * 100.0::DOUBLE + turn * 1.5 + 1.5 AS \"end\", trim(left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 9)) AS value FROM conversations")
+@query("s8_annotation_tiers", "SELECT role AS tier, conv_id * 100.0::DOUBLE + turn * 1.5 AS begin, conv_id * 100.0::DOUBLE + turn * 1.5 + 1.5 AS \"end\", trim(regexp_replace(text, '\\s+', ' ', 'g')) AS value FROM conversations")
 def s8(spark, sf_dir):
     """Turns as annotations, with a tier per role, through annotation XML and back."""
     path = scratch(spark, "annotations")
     begin = F.col("conv_id") * 100.0 + F.col("turn") * 1.5
-    value = F.trim(F.left(F.trim(F.regexp_replace("text", r"\s+", " ")), F.lit(9)))
+    value = F.trim(F.regexp_replace("text", r"\s+", " "))
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("rec_id"), F.col("turn").alias("n"), F.col("role").alias("tier"), begin.alias("begin"), (begin + 1.5).alias("end"), value.alias("value"))
     files.write_annotations(rows, path)
     return files.read_annotations(spark, path)

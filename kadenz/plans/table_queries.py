@@ -16,7 +16,6 @@ from kadenz.plans import views as V
 from kadenz.plans.registry import query, rounded
 from kadenz.session import table
 
-EN = "lang = 'en'"
 
 
 def docs(spark, sf_dir):
@@ -196,9 +195,9 @@ def a15(spark, sf_dir):
     return V.wide(spark, sf_dir, number=True).select("id", F.when(F.col("id") % 4 > 0, F.col("acoustic_qty")).alias("q")).fillna(0)
 
 
-@query("a16_group_covariance", "WITH e AS (SELECT vec_id, label, embedding[1:4] AS v FROM embeddings), p AS (SELECT label, i - 1 AS i, j - 1 AS j, v[i]::DOUBLE AS x, v[j]::DOUBLE AS y FROM e, (SELECT unnest(range(1, 5)) AS i), (SELECT unnest(range(1, 5)) AS j)) SELECT label, i::INT AS i, j::INT AS j, round(covar_samp(x, y) + CASE WHEN i = j THEN 0.001 ELSE 0 END, 6) AS cov FROM p GROUP BY label, i, j")
+@query("a16_group_covariance", "WITH e AS (SELECT vec_id, label, embedding AS v FROM embeddings), p AS (SELECT label, i - 1 AS i, j - 1 AS j, v[i]::DOUBLE AS x, v[j]::DOUBLE AS y FROM e, (SELECT unnest(range(1, 65)) AS i), (SELECT unnest(range(1, 65)) AS j)) SELECT label, i::INT AS i, j::INT AS j, round(covar_samp(x, y) + CASE WHEN i = j THEN 0.001 ELSE 0 END, 6) AS cov FROM p GROUP BY label, i, j")
 def a16(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select("label", F.slice("embedding", 1, 4).cast("array<double>").alias("v"))
+    rows = table(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v"))
     return rounded(A.covariance(rows, ["label"], "v", 0.001))
 
 
@@ -287,14 +286,14 @@ def j17(spark, sf_dir):
     return rounded(rows.join(known, "cluster", "left").select("id", F.coalesce("m", F.lit(0.0)).alias("effect")))
 
 
-@query("k1_cleaned_text", f"SELECT doc_id, {K.cleaned_sql('text')} AS t FROM documents WHERE {EN}")
+@query("k1_cleaned_text", f"SELECT doc_id, {K.cleaned_sql('text')} AS t FROM documents")
 def k1(spark, sf_dir):
-    return docs(spark, sf_dir).where(EN).select("doc_id", K.cleaned(F.col("text")).alias("t"))
+    return docs(spark, sf_dir).select("doc_id", K.cleaned(F.col("text")).alias("t"))
 
 
-@query("k2_word_tokens", f"SELECT doc_id, len(list_filter(string_split({K.cleaned_sql('text')}, ' '), lambda x: x <> '')) AS n FROM documents WHERE {EN}")
+@query("k2_word_tokens", f"SELECT doc_id, len(list_filter(string_split({K.cleaned_sql('text')}, ' '), lambda x: x <> '')) AS n FROM documents")
 def k2(spark, sf_dir):
-    return docs(spark, sf_dir).where(EN).select("doc_id", F.size(K.tokens(F.col("text"))).cast("long").alias("n"))
+    return docs(spark, sf_dir).select("doc_id", F.size(K.tokens(F.col("text"))).cast("long").alias("n"))
 
 
 @query("k3_lexicon_tokens", f"SELECT doc_id, {_TOK} AS w FROM documents")
@@ -460,11 +459,14 @@ def a12(spark, sf_dir):
     return rounded(per.agg(of(0), of(1), F.avg("m").alias("mae")))
 
 
-@query("a17_common_prefix", "SELECT length(min(s_name)) AS n, (SELECT max(i) FROM (SELECT unnest(range(0, 20)) AS i) WHERE left((SELECT min(s_name) FROM supplier), i) = left((SELECT max(s_name) FROM supplier), i)) AS prefix FROM supplier")
+_SHARED = "(SELECT max(i) FROM (SELECT unnest(range(0, (SELECT length(min({0})) + 1 FROM {1}))) AS i) WHERE left((SELECT min({0}) FROM {1}), i) = left((SELECT max({0}) FROM {1}), i))"
+
+
+@query("a17_common_prefix", f"SELECT left(min(s_name), {_SHARED.format('s_name', 'supplier')}) AS prefix, reverse(left(min(reverse(s_name)), {_SHARED.format('reverse(s_name)', 'supplier')})) AS suffix, left(min(url), {_SHARED.format('url', 'pages')}) AS url_prefix, reverse(left(min(reverse(url)), {_SHARED.format('reverse(url)', 'pages')})) AS url_suffix FROM supplier, pages")
 def a17(spark, sf_dir):
-    ends = table(spark, sf_dir, "supplier").agg(F.min("s_name").alias("a"), F.max("s_name").alias("b"))
-    same = F.filter(F.sequence(F.lit(0), F.lit(19)), lambda i: F.substring("a", F.lit(1), i) == F.substring("b", F.lit(1), i))
-    return ends.select(F.length("a").cast("long").alias("n"), F.array_max(same).cast("long").alias("prefix"))
+    names = P.common_ends(table(spark, sf_dir, "supplier"), "s_name")
+    urls = P.common_ends(table(spark, sf_dir, "pages"), "url").select(F.col("prefix").alias("url_prefix"), F.col("suffix").alias("url_suffix"))
+    return names.crossJoin(urls)  # one row each
 
 
 @query("h8_modality_pairs", V.sql(", m AS (SELECT unnest(['acoustic', 'language', 'vision']) AS m) SELECT a.m AS a, b.m AS b, (SELECT count(*) FROM wide) AS rows FROM m a, m b WHERE a.m < b.m", "wide"))
