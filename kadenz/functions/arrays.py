@@ -61,13 +61,6 @@ def one_hot(label: Column, k: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (i == label).cast("int"))
 
 
-def covariance(df: DataFrame, keys: list[str], vector: str, eps: float = 0.0) -> DataFrame:
-    """(keys, i, j, cov): sample covariance of each two elements, eps added on the diagonal."""
-    a = df.select(*keys, F.monotonically_increasing_id().alias("__r"), vector)
-    pairs = a.select(*keys, vector, F.posexplode(vector).alias("i", "x")).select(*keys, "i", "x", F.posexplode(vector).alias("j", "y"))
-    return pairs.groupBy(*keys, "i", "j").agg((F.covar_samp("x", "y") + F.when(F.col("i") == F.col("j"), eps).otherwise(0.0)).alias("cov"))
-
-
 def centred_kernel(pairs: DataFrame, kernel: str) -> DataFrame:
     """(i, j, c): a kernel minus its row, column and overall means (pairs hold all i, j)."""
     rows = pairs.groupBy("i").agg(F.avg(kernel).alias("ri"))

@@ -10,6 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kadenz.operators.gram import covariance, moments
+from kadenz.operators.joins import all_pairs_of
+from kadenz.operators.linear import Machines, machines
+from kadenz.operators.nystroem import Nystroem, learn
+from kadenz.session import written
+
 
 def f_statistics(df: DataFrame, features: list[str], y: str) -> DataFrame:
     """(feature, f): F of each feature's linear fit to y, all in one pass."""
@@ -24,7 +30,7 @@ def random_intercepts(df: DataFrame, group: str, residual: str, steps: int = 10)
 
     A step sends two numbers to the driver, the variances within and between groups.
     """
-    g = df.groupBy(group).agg(F.count(residual).alias("n"), F.sum(residual).alias("s"), F.sum(F.col(residual) * F.col(residual)).alias("q")).persist()
+    g = written(df.groupBy(group).agg(F.count(residual).alias("n"), F.sum(residual).alias("s"), F.sum(F.col(residual) * F.col(residual)).alias("q")), "group-sums")
     within, between = 1.0, 1.0
     for _ in range(steps):
         d, s2 = F.lit(between), F.lit(within)
@@ -40,32 +46,33 @@ def assembled(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(df)
 
 
-def fourier_features(df: DataFrame, features: list[str], count: int, gamma: float, seed: int = 5) -> DataFrame:
-    """Adds f0, f1, ...: random Fourier features, whose inner product approximates an RBF kernel."""
-    rng = np.random.default_rng(seed)
-    w, b = rng.normal(0, np.sqrt(2 * gamma), (count, len(features))), rng.uniform(0, 2 * np.pi, count)
-    angle = lambda k: sum((F.col(c) * float(w[k, i]) for i, c in enumerate(features)), F.lit(float(b[k])))
-    return df.select("*", *[(F.cos(angle(k)) * float(np.sqrt(2 / count))).alias(f"f{k}") for k in range(count)])
-
-
 def fitted(name: str, df: DataFrame, features: list[str], y: str, weight: str | None = None, **options):
     """A fitted Spark ML model by name."""
-    from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier, RandomForestClassifier
+    from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
     from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 
-    kinds = {"svm": LinearSVC, "svr": lambda **o: LinearRegression(loss="huber", **o), "linear": LinearRegression, "forest": RandomForestRegressor, "forest_class": RandomForestClassifier, "mlp": MultilayerPerceptronClassifier}
+    kinds = {"huber": lambda **o: LinearRegression(loss="huber", **o), "linear": LinearRegression, "forest": RandomForestRegressor, "forest_class": RandomForestClassifier, "mlp": MultilayerPerceptronClassifier}
     options |= {"weightCol": weight} if weight else {}
     return kinds[name](featuresCol="features", labelCol=y, **options).fit(assembled(df, features))
 
 
 def canonical_correlation(df: DataFrame, left: list[str], right: list[str], ridge: float = 1e-4) -> float:
-    """Mean canonical correlation; covariances come from one aggregate, the d x d eigen step runs on the driver."""
-    cols = left + right
-    row = df.agg(*[F.covar_samp(a, b).alias(f"c{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]).first()
-    c = np.array([[row[f"c{min(i, j)}_{max(i, j)}"] for j in range(len(cols))] for i in range(len(cols))])
-    n = len(left)
-    inv = lambda m: (lambda v, u: u @ np.diag(v**-0.5) @ u.T)(*np.linalg.eigh(m + ridge * np.eye(len(m))))
-    s = np.linalg.svd(inv(c[:n, :n]) @ c[:n, n:] @ inv(c[n:, n:]), compute_uv=False)
+    """Mean canonical correlation of two sets of columns."""
+    vector = F.array(*[F.col(c).cast("double") for c in [*left, *right]])
+    return canonical_of(df.select(vector.alias("v")), "v", len(left), ridge)
+
+
+def canonical_of(df: DataFrame, vector: str, split: int, ridge: float = 1e-4) -> float:
+    """Mean canonical correlation of a vector's first `split` elements with the rest, both covariances with a ridge.
+
+    Covariances are summed in blocks over all rows, so a vector may have some thousands of elements; the d x d eigen
+    step runs on the driver. Null vectors are left out; nan without rows.
+    """
+    _, _, c = covariance(df, vector)
+    if not len(c):
+        return float("nan")
+    inv = lambda m: (lambda v, u: (u * v**-0.5) @ u.T)(*np.linalg.eigh(m + ridge * np.eye(len(m))))
+    s = np.linalg.svd(inv(c[:split, :split]) @ c[:split, split:] @ inv(c[split:, split:]), compute_uv=False)
     return float(np.clip(s, 0, 1).mean())
 
 
@@ -76,89 +83,82 @@ def frechet(a_mean: np.ndarray, a_cov: np.ndarray, b_mean: np.ndarray, b_cov: np
     return float(((a_mean - b_mean) ** 2).sum() + np.trace(a_cov) + np.trace(b_cov) - 2 * middle)
 
 
-def cluster_moments(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(key, n, mean, cov): one row per cluster; each task sends one matrix of sums for each of its clusters."""
-    kinds = dict(df.dtypes)
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict = {}
-        for b in batches:
-            labels = np.array(b.column("k").to_pylist(), object)
-            if b.num_rows:
-                x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                for k in dict.fromkeys(labels.tolist()):
-                    z = np.column_stack([np.ones((labels == k).sum()), x[labels == k]])
-                    total[k] = total.get(k, 0.0) + z.T @ z
-        yield pa.RecordBatch.from_arrays([pa.array(list(total)).cast(b.column("k").type) if total else b.column("k")[:0], pa.array([m.ravel().tolist() for m in total.values()], pa.list_(pa.float64()))], names=["k", "s"])
-
-    parts = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(sums, f"k {kinds[key]}, s array<double>")
-    added = parts.select("k", F.posexplode("s").alias("i", "x")).groupBy("k", "i").agg(F.sum("x").alias("x"))
-    flat = added.groupBy("k").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda e: e.x).alias("s"))
-
-    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            count, mean, cov = [], [], []
-            for s in b.column("s").to_pylist():
-                m = np.array(s).reshape(int(len(s) ** 0.5), -1)
-                n, mu = m[0, 0], m[0, 1:] / m[0, 0]
-                count.append(int(n))
-                mean.append(mu.tolist())
-                cov.append(((m[1:, 1:] - n * np.outer(mu, mu)) / max(n - 1, 1)).ravel().tolist())
-            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(count, pa.int64()), pa.array(mean, pa.list_(pa.float64())), pa.array(cov, pa.list_(pa.float64()))], names=["k", "n", "mean", "cov"])
-
-    return flat.mapInArrow(finished, f"k {kinds[key]}, n long, mean array<double>, cov array<double>").withColumnRenamed("k", key)
-
-
 def frechet_distances(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(a, b, distance) of every two clusters, from their means and covariances. A pair is one row of d * d numbers."""
-    m = cluster_moments(df, key, vector)
+    """(a, b, distance) of every two clusters, from their means and covariances.
+
+    Clusters meet in blocks by number, so no side of the join is broadcast; a pair is one row of d * d numbers each.
+    """
+    m = written(moments(df, key, vector), "cluster-moments")
     a, b = (m.select(F.col(key).alias(s), F.col("mean").alias(f"m{s}"), F.col("cov").alias(f"c{s}")) for s in ("a", "b"))
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            square = lambda c: np.array(c).reshape(int(len(c) ** 0.5), -1)
-            found = [frechet(np.array(ma), square(ca), np.array(mb), square(cb)) for ma, ca, mb, cb in zip(*(t.column(n).to_pylist() for n in ("ma", "ca", "mb", "cb")), strict=True)]
-            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(found, pa.float64())], names=["a", "b", "distance"])
+            for r in range(t.num_rows):
+                ma, mb, ca, cb = (np.array(t.column(n)[r].as_py()) for n in ("ma", "mb", "ca", "cb"))
+                found = frechet(ma, ca.reshape(len(ma), -1), mb, cb.reshape(len(mb), -1))
+                yield pa.RecordBatch.from_arrays([t.column("a").slice(r, 1), t.column("b").slice(r, 1), pa.array([found], pa.float64())], names=["a", "b", "distance"])
 
-    return a.join(b, F.col("a") < F.col("b")).mapInArrow(run, f"a {kind}, b {kind}, distance double")
+    return all_pairs_of(a, b, "a", "b", block=64).where("a < b").mapInArrow(run, f"a {kind}, b {kind}, distance double")
 
 
 class Model:
     """fit, predict, metric, save and load of a model by name; predict adds the column h.
 
-    Kinds are those of fitted(), and: rbf, an SVM on standardised random Fourier features (an approximation of the
-    RBF kernel with gamma 1 / number of features), and ensemble, the mean of several networks that start apart.
+    Kinds are those of fitted(), and: svm and svr, linear machines on standardised features; rbf, such a machine on
+    Nystroem features; and ensemble, the mean of several networks that start apart. Options of machines are c, epsilon
+    and balanced, and rank for rbf.
     """
 
-    def __init__(self, kind: str, features: list[str], y: str, weight: str | None = None, members: int = 3, fourier: int = 64, **options):
-        self.spec = {"kind": kind, "features": features, "y": y, "weight": weight, "members": members, "fourier": fourier, "options": options}
+    MACHINES = ("svm", "svr", "rbf")
+
+    def __init__(self, kind: str, features: list[str], y: str, weight: str | None = None, members: int = 3, **options):
+        self.spec = {"kind": kind, "features": features, "y": y, "weight": weight, "members": members, "options": options}
         self.parts: list = []
 
     def _prepared(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
-        features = self.spec["features"]
-        if self.spec["kind"] != "rbf":
-            return df, features
-        scaled = df.select("*", *[((F.col(c) - self.spec["means"][c]) / self.spec["deviations"][c]).alias(f"__z_{c}") for c in features])
-        count = self.spec["fourier"]
-        return fourier_features(scaled, [f"__z_{c}" for c in features], count, 1 / len(features)), [f"f{i}" for i in range(count)]
+        s = self.spec
+        if s["kind"] == "rbf":
+            learned = Nystroem.of_lists(s["nystroem"])
+            return learned.transform(df, "__f"), learned.columns("__f")
+        if s["kind"] in self.MACHINES:
+            scaled = [((F.col(f"`{c}`") - m) / d).alias(f"__z{i}") for i, (c, m, d) in enumerate(zip(s["features"], s["means"], s["deviations"], strict=True))]
+            return df.select("*", *scaled), [f"__z{i}" for i in range(len(scaled))]
+        return df, s["features"]
 
     def fit(self, df: DataFrame) -> Model:
         s = self.spec
-        if s["kind"] == "rbf":
-            row = df.agg(*[e for c in s["features"] for e in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"d_{c}"))]).first()
-            s["means"] = {c: float(row[f"m_{c}"]) for c in s["features"]}
-            s["deviations"] = {c: float(row[f"d_{c}"]) or 1.0 for c in s["features"]}
+        if s["kind"] in self.MACHINES:
+            return self._fit_machine(df)
         ready, columns = self._prepared(df)
-        name = {"rbf": "svm", "ensemble": "mlp"}.get(s["kind"], s["kind"])
+        name = {"ensemble": "mlp"}.get(s["kind"], s["kind"])
         seeds = [{"seed": i + 1} for i in range(s["members"])] if s["kind"] == "ensemble" else [{}]
         self.parts = [fitted(name, ready, columns, s["y"], s["weight"], **s["options"], **seed) for seed in seeds]
         return self
 
+    def _fit_machine(self, df: DataFrame) -> Model:
+        s = self.spec
+        options = dict(s["options"])
+        c, rank = float(options.pop("c", 1.0)), options.pop("rank", 128)
+        if s["kind"] == "rbf":
+            s["nystroem"] = learn(df, s["features"], rank).as_lists()
+        else:
+            row = df.agg(*[e for i, c_ in enumerate(s["features"]) for e in (F.avg(c_).alias(f"m{i}"), F.stddev_pop(c_).alias(f"d{i}"))]).first()
+            s["means"] = [float(row[f"m{i}"]) for i in range(len(s["features"]))]
+            s["deviations"] = [float(row[f"d{i}"]) or 1.0 for i in range(len(s["features"]))]
+        ready, columns = self._prepared(df)
+        found = machines(ready, columns, s["y"], [c], s["kind"] != "svr", weight=s["weight"], **options)
+        s["machine"] = {"features": columns, "cs": [c], "classes": found.classes, "coefficients": found.coefficients.tolist(), "objectives": found.objectives.tolist()}
+        return self
+
     def predict(self, df: DataFrame) -> DataFrame:
         from pyspark.ml.functions import vector_to_array
 
         ready, columns = self._prepared(df)
+        if self.spec["kind"] in self.MACHINES:
+            m = self.spec["machine"]
+            fit = Machines(m["features"], m["cs"], m["classes"], np.array(m["coefficients"]), np.array(m["objectives"]))
+            return fit.predict(ready, m["cs"][0]).select(*df.columns, F.col("h").cast("double").alias("h"))
         out = assembled(ready, columns)
         if self.spec["kind"] != "ensemble":
             return self.parts[0].transform(out).select(*df.columns, F.col("prediction").cast("double").alias("h"))
@@ -190,7 +190,7 @@ class Model:
         spec = json.loads(_session().read.text(f"{path}/spec").first().value)
         out = cls("", [], "")
         out.spec = spec
-        count = spec["members"] if spec["kind"] == "ensemble" else 1
+        count = spec["members"] if spec["kind"] == "ensemble" else 0 if spec["kind"] in cls.MACHINES else 1
         out.parts = [DefaultParamsReader.loadParamsInstance(f"{path}/part-{i}", _session()) for i in range(count)]
         return out
 
@@ -210,19 +210,6 @@ def selected_univariate(df: DataFrame, features: list[str], y: str, percent: flo
     return [features[i] for i in s.fit(assembled(df, features)).selectedFeatures]
 
 
-def selected_by_model(df: DataFrame, features: list[str], y: str, penalties: list[float], threshold: float = 1e-5, folds: int = 3, seed: int = 1) -> list[str]:
-    """The features that a linear model keeps, its lasso penalty chosen by cross-validation."""
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.regression import LinearRegression
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
-    model = LinearRegression(featuresCol="features", labelCol=y, elasticNetParam=1.0, standardization=True)
-    grid = ParamGridBuilder().addGrid(model.regParam, penalties).build()
-    cv = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=y), numFolds=folds, seed=seed)
-    kept = cv.fit(assembled(df, features)).bestModel.coefficients
-    return [f for f, c in zip(features, kept, strict=True) if abs(c) >= threshold]
-
-
 def synthetic(spark, rows: int, additive: bool = True, seed: int = 0) -> DataFrame:
     """A table with a known target of standard-normal sources: their sum, or a product and a square."""
     draws = spark.range(rows).select("id", *[F.randn(seed * 10 + k).alias(f"vision_s{k}") for k in range(4)])

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kadenz.operators import bootstrap as B
+from kadenz.operators import linear as LI
 from kadenz.operators import metrics as M
 from kadenz.operators import resample as R
 from kadenz.operators import splits as X
@@ -422,9 +423,20 @@ def grid(spark, sf_dir):
     return rows.withColumn("split", F.when(F.col("fold") < 4, "training").otherwise("validation")).withColumn("h", F.col("h") * F.col("shrink"))
 
 
-@query("h1_grid_search", V.sql(_GRID + " SELECT shrink, split, round(avg((y - h) ** 2), 6) AS mse FROM g GROUP BY shrink, split", "pred"))
+_RIDGE = """
+    , r AS (SELECT meta_id % 5 AS fold, acoustic_qty::DOUBLE AS a, vision_disc::DOUBLE AS b, acoustic_price::DOUBLE / 1e4 AS y FROM wide), f AS (SELECT unnest(range(5)) AS f),
+    t AS (SELECT f, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, count(*) * var_pop(a) AS aa, count(*) * var_pop(b) AS bb, count(*) * covar_pop(a, b) AS ab, count(*) * covar_pop(a, y) AS ay, count(*) * covar_pop(b, y) AS by_ FROM r, f WHERE fold <> f GROUP BY f),
+    p AS (SELECT unnest([0.0, 1.0, 1000.0]::DOUBLE[]) AS p), w AS (SELECT *, ((bb + p) * ay - ab * by_) / ((aa + p) * (bb + p) - ab * ab) AS wa, ((aa + p) * by_ - ab * ay) / ((aa + p) * (bb + p) - ab * ab) AS wb FROM t, p),
+    e AS (SELECT p, f, fold = f AS held, (y - my - wa * (a - ma) - wb * (b - mb)) ** 2 AS e FROM r, w)
+    SELECT p AS penalty, f::INT AS fold, round(avg(e) FILTER (NOT held), 6) AS training, round(avg(e) FILTER (held), 6) AS validation, count(*) FILTER (held) AS n FROM e GROUP BY p, f"""
+
+
+@query("h1_grid_search", V.sql(_RIDGE, "wide"))
 def h1(spark, sf_dir):
-    return rounded(M.interval(grid(spark, sf_dir), ["mse"], ["shrink", "split"]).select("shrink", "split", "mse"))
+    """Ridge models over penalties and folds, fitted and scored from one read of the table."""
+    ship(spark)
+    rows = V.wide(spark, sf_dir).select((F.col("meta_id") % 5).alias("fold"), "acoustic_qty", "vision_disc", (F.col("acoustic_price") / 1e4).alias("y"))
+    return rounded(LI.grid_search(rows, ["acoustic_qty", "vision_disc"], "y", "fold", [0.0, 1.0, 1000.0]), "penalty")
 
 
 @query("h2_fold_merge", V.sql(_GRID + " SELECT shrink, round(avg(m), 6) AS by_fold, round(sum(m * n) / sum(n), 6) AS pooled FROM (SELECT shrink, fold, avg((y - h) ** 2) AS m, count(*) AS n FROM g GROUP BY shrink, fold) GROUP BY shrink", "pred"))

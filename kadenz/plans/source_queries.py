@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kadenz.functions.user import Transform, transformed
+from kadenz.operators import linear as LI
 from kadenz.operators import models as L
+from kadenz.operators import nystroem as NY
 from kadenz.plans import views as V
 from kadenz.plans.registry import query, rounded
 from kadenz.session import scratch, ship, table
@@ -88,12 +90,15 @@ def _parts(spark, sf_dir, n):
 @query("v11_correlation_of_one_pair", "SELECT round(abs(covar_samp(embedding[1]::DOUBLE, embedding[2]::DOUBLE)) / sqrt((var_samp(embedding[1]::DOUBLE) + 1e-4) * (var_samp(embedding[2]::DOUBLE) + 1e-4)), 6) AS cca FROM embeddings")
 def v11_one(spark, sf_dir):
     """With one column on each side the mean canonical correlation is the ridged correlation."""
+    ship(spark)
     return rounded(spark.createDataFrame([(L.canonical_correlation(_parts(spark, sf_dir, 2), ["v0"], ["v1"]),)], "cca double"))
 
 
 @query("v11_canonical_correlation")
 def v11(spark, sf_dir):
-    return rounded(spark.createDataFrame([(L.canonical_correlation(_parts(spark, sf_dir, 8), [f"v{i}" for i in range(4)], [f"v{i}" for i in range(4, 8)]),)], "cca double"))
+    """The first half of the vectors against the second, over all elements and rows."""
+    ship(spark)
+    return rounded(spark.createDataFrame([(L.canonical_of(table(spark, sf_dir, "embeddings"), "embedding", 32),)], "cca double"))
 
 
 @query("v13_frechet_in_one_dimension", "WITH m AS (SELECT label, avg(embedding[1]::DOUBLE) AS m, stddev_samp(embedding[1]::DOUBLE) AS s FROM embeddings GROUP BY label) SELECT a.label AS a, b.label AS b, round((a.m - b.m) ** 2 + (a.s - b.s) ** 2, 6) AS distance FROM m a JOIN m b ON a.label < b.label")
@@ -105,7 +110,7 @@ def v13_one(spark, sf_dir):
 @query("v13_frechet_distances")
 def v13(spark, sf_dir):
     ship(spark)
-    return rounded(L.frechet_distances(_parts(spark, sf_dir, 8), "label", "v"))
+    return rounded(L.frechet_distances(table(spark, sf_dir, "embeddings"), "label", "embedding"))
 
 
 FEATURES = ["acoustic_qty", "acoustic_price", "vision_disc", "vision_tax", "language_size", "language_retail"]
@@ -123,18 +128,55 @@ def _predictions(spark, sf_dir, model, y):
 
 @query("m6_selected_by_model")
 def m6(spark, sf_dir):
-    kept = L.selected_by_model(_wide(spark, sf_dir), FEATURES, "y", [0.1, 0.5], folds=2)
-    return spark.createDataFrame([(f, f in kept) for f in FEATURES], "feature string, kept boolean")
+    ship(spark)
+    kept, penalty = LI.selected(_wide(spark, sf_dir), FEATURES, "y", [0.01, 0.1, 0.5, 2.0], "id")
+    return spark.createDataFrame([(f, f in kept, penalty) for f in FEATURES], "feature string, kept boolean, penalty double")
 
 
 @query("m7_linear_svm")
 def m7(spark, sf_dir):
-    return _predictions(spark, sf_dir, L.Model("svm", FEATURES, "large", maxIter=20), "large")
+    ship(spark)
+    return _predictions(spark, sf_dir, L.Model("svm", FEATURES, "large"), "large")
+
+
+def _scaled(rows):
+    """Features and target with like scales, by fixed divisors."""
+    return rows.select("id", "meta_id", *[(F.col(c) / s).alias(c) for c, s in zip(FEATURES, (50, 1e5, 0.1, 0.1, 50, 2e3), strict=True)], (F.col("y") / 50).alias("y"), F.least(F.floor(F.col("y") / 17), F.lit(2)).cast("double").alias("band"))
+
+
+@query("m7_machines_over_c")
+def m7_c(spark, sf_dir):
+    """Three classes, weighed as if equally frequent, for all C in the same reads: (c, class, objective, accuracy on the groups left out)."""
+    ship(spark)
+    rows = _scaled(_wide(spark, sf_dir))
+    fit = LI.machines(rows.where("meta_id % 5 > 1"), FEATURES, "band", [0.001, 0.1, 10.0], balanced=True)
+    held, out = rows.where("meta_id % 5 <= 1"), []
+    for c, objectives in zip(fit.cs, fit.objectives, strict=True):
+        hit = fit.predict(held, c).agg(F.avg((F.col("h") == F.col("band")).cast("double")).alias("a")).first().a
+        out += [(c, k, float(o), hit) for k, o in zip(fit.classes, objectives, strict=True)]
+    return rounded(spark.createDataFrame(out, "c double, class double, objective double, accuracy double"), "c")
+
+
+@query("m7_support_vector_regression")
+def m7_r(spark, sf_dir):
+    ship(spark)
+    rows = _scaled(_wide(spark, sf_dir))
+    fit = LI.machines(rows.where("meta_id % 5 > 1"), FEATURES, "y", [1.0], classify=False, epsilon=0.05)
+    return rounded(fit.predict(rows, 1.0).select("id", "y", "h"))
 
 
 @query("m8_rbf_svm")
 def m8(spark, sf_dir):
-    return _predictions(spark, sf_dir, L.Model("rbf", FEATURES, "large", maxIter=20), "large")
+    ship(spark)
+    return _predictions(spark, sf_dir, L.Model("rbf", FEATURES, "large"), "large")
+
+
+@query("m8_kernel_error")
+def m8_error(spark, sf_dir):
+    """(landmarks, rank, error): how near the features of some numbers of landmarks come to the kernel."""
+    rows = _wide(spark, sf_dir).drop("id")
+    found = [(n, f.rank, f.error) for n in (16, 64, 256) for f in [NY.learn(rows, FEATURES, n)]]
+    return rounded(spark.createDataFrame(found, "landmarks int, rank int, error double"))
 
 
 @query("m9_random_forest")
@@ -147,6 +189,14 @@ def m10(spark, sf_dir):
     return _predictions(spark, sf_dir, L.Model("ensemble", FEATURES[:1] + FEATURES[2:4], "large", members=3, layers=[3, 6, 2], maxIter=30), "large")
 
 
+@query("f5_model_of_one_feature", V.sql(", t AS (SELECT regr_slope(y::DOUBLE, acoustic_price::DOUBLE) AS b, regr_intercept(y::DOUBLE, acoustic_price::DOUBLE) AS a FROM wide WHERE meta_id % 5 > 1) SELECT round(sqrt(avg((y::DOUBLE - a - b * acoustic_price::DOUBLE) ** 2)), 6) AS rmse, round(corr(y::DOUBLE, a + b * acoustic_price::DOUBLE), 6) AS pcc FROM wide, t WHERE meta_id % 5 <= 1", "wide"))
+def f5_one(spark, sf_dir):
+    """Fitted on some groups, saved, loaded, and measured on the others, against the least squares line."""
+    rows, path = _wide(spark, sf_dir).drop("id"), scratch(spark, "model")
+    L.Model("linear", ["acoustic_price"], "y").fit(rows.where("meta_id % 5 > 1")).save(path)
+    return rounded(L.Model.load(path).metric(rows.where("meta_id % 5 <= 1"), ["rmse", "pcc"]))
+
+
 @query("f5_model_protocol")
 def f5(spark, sf_dir):
     """Fitted, saved, loaded, and measured on the groups left out."""

@@ -11,10 +11,11 @@ from kadenz.operators import joins as J
 from kadenz.operators import models as L
 from kadenz.operators import stats as S
 from kadenz.operators import tables as P
+from kadenz.operators.gram import moments
 from kadenz.operators.ordering import running
 from kadenz.plans import views as V
 from kadenz.plans.registry import query, rounded
-from kadenz.session import table
+from kadenz.session import ship, table
 
 
 
@@ -197,8 +198,11 @@ def a15(spark, sf_dir):
 
 @query("a16_group_covariance", "WITH e AS (SELECT vec_id, label, embedding AS v FROM embeddings), p AS (SELECT label, i - 1 AS i, j - 1 AS j, v[i]::DOUBLE AS x, v[j]::DOUBLE AS y FROM e, (SELECT unnest(range(1, 65)) AS i), (SELECT unnest(range(1, 65)) AS j)) SELECT label, i::INT AS i, j::INT AS j, round(covar_samp(x, y) + CASE WHEN i = j THEN 0.001 ELSE 0 END, 6) AS cov FROM p GROUP BY label, i, j")
 def a16(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v"))
-    return rounded(A.covariance(rows, ["label"], "v", 0.001))
+    """All elements of the vectors; a cluster's covariance is summed as a matrix and then listed."""
+    ship(spark)
+    m = moments(table(spark, sf_dir, "embeddings"), "label", "embedding").withColumn("d", F.size("mean"))
+    cells = m.select("label", "d", F.posexplode("cov").alias("at", "cov")).withColumns({"i": F.floor(F.col("at") / F.col("d")).cast("int"), "j": (F.col("at") % F.col("d")).cast("int")})
+    return rounded(cells.select("label", "i", "j", (F.col("cov") + F.when(F.col("i") == F.col("j"), 0.001).otherwise(0.0)).alias("cov")))
 
 
 @query("a18_best_over_epochs", V.sql(", e AS (SELECT channel, floor(t / 86400) AS d, avg(v) AS m, stddev_pop(v) AS s FROM series GROUP BY channel, d) SELECT channel, round(max(m), 6) AS best, round(min(s), 6) AS least FROM e GROUP BY channel", "series"))
