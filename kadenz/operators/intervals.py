@@ -2,27 +2,39 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kadenz.operators.joins import overlaps
 
 
-def segments(df: DataFrame, active: str, keys: list[str], t: str = "t", last_on: bool = False) -> DataFrame:
+def segments(df: DataFrame, active: str, keys: list[str], t: str = "t", last_on: bool = False, chunk: float = 86400.0) -> DataFrame:
     """(keys, seg_id, begin_t, end_t): runs where `active` holds; null counts as off.
 
     A run ends at the first off sample after it, or, at the end of a recording, one median step after the last sample;
-    with last_on it ends at its last on sample.
+    with last_on it ends at its last on sample. Runs are found within chunks of time; a row per chunk (first and last
+    sample, starts in it) tells the next ones what goes on and how many runs came before, so no task holds a recording.
     """
-    w = Window.partitionBy(*keys).orderBy(t)
     on = F.coalesce(F.col(active), F.lit(False))
-    rows = df.select(*keys, t, on.alias("__on")).withColumn("__new", (F.col("__on") & ~F.coalesce(F.lag("__on").over(w), F.lit(False))).cast("int"))
-    rows = rows.withColumn("__run", F.sum("__new").over(w)).withColumn("__next", F.lead(t).over(w))
+    w = Window.partitionBy(*keys, "__chunk").orderBy(t)
+    rows = df.select(*keys, t, on.alias("__on"), F.floor(F.col(t) / chunk).alias("__chunk"))
+    rows = rows.withColumns({"__was": F.lag("__on").over(w), "__prev": F.lag(t).over(w), "__next": F.lead(t).over(w)})
+    rows = rows.withColumn("__new", (F.col("__on") & ~F.coalesce("__was", F.lit(False))).cast("int")).withColumn("__runs", F.sum("__new").over(w))
+    # one row per chunk; a run that goes on from the chunk before is not new
+    sums = rows.groupBy(*keys, "__chunk").agg(F.sum("__new").alias("n"), F.min(t).alias("lo"), F.max(t).alias("hi"), F.min_by("__on", t).alias("first"), F.max_by("__on", t).alias("last"))
+    order = Window.partitionBy(*keys).orderBy("__chunk")
+    sums = sums.withColumn("goes_on", (F.col("first") & F.coalesce(F.lag("last").over(order), F.lit(False))).cast("int"))
+    before = F.coalesce(F.sum(F.col("n") - F.col("goes_on")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("goes_on")
+    sums = sums.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__chunk").alias("__c"), before.alias("__before"), F.lag("hi").over(order).alias("__hi"), F.lead("lo").over(order).alias("__lo"))
+    same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(sums[f"__k{i}"]) for i, k in enumerate(keys)], rows["__chunk"] == sums["__c"])
+    rows = rows.join(sums, same).select(*keys, t, "__on", (F.col("__before") + F.col("__runs")).alias("__run"), F.coalesce("__next", "__lo").alias("__next"), (F.col(t) - F.coalesce("__prev", "__hi")).alias("__d"))
     if last_on:
         out = rows.where("__on").groupBy(*keys, "__run").agg(F.min(t).alias("begin_t"), F.max(t).alias("end_t"))
     else:
         out = rows.where("__on").groupBy(*keys, "__run").agg(F.min(t).alias("begin_t"), F.max(F.struct(F.col(t).alias("t"), F.col("__next").alias("n"))).alias("l"))
-        steps = df.select(*keys, t).withColumn("__d", F.col(t) - F.lag(t).over(w)).groupBy(*keys).agg(F.percentile("__d", 0.5).alias("__step"))
+        steps = rows.groupBy(*keys).agg(F.percentile("__d", 0.5).alias("__step"))
         out = out.join(steps, keys).withColumn("end_t", F.coalesce(F.col("l.n"), F.col("l.t") + F.coalesce("__step", F.lit(0.0))))
     return out.select(*keys, F.col("__run").alias("seg_id"), "begin_t", "end_t")
 

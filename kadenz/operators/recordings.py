@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,3 +86,101 @@ def delay(a: DataFrame, b: DataFrame, most: int, value: str = "v", key: str = "r
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(lag, pa.int64()), pa.array(best, pa.float64())], names=[key, "lag", "c"])
 
     return rows.mapInArrow(peak, f"{key} {kinds[key]}, lag long, c double")
+
+
+def _in_chunks(df: DataFrame, column: str, before: int, after: int, key: str, order: str, run, made: list[str]) -> DataFrame:
+    """df with columns that `run` makes of the values of a chunk of rows and of those that its windows reach.
+
+    A chunk has many times as many rows as a window reaches, and a row is sent to the chunks whose windows reach it, so a
+    task holds a chunk whatever the recording's length. run takes values (nan where null), where they begin within the
+    recording and which of them are the chunk's own.
+    """
+    size = max(8 * (before + after), 8192)
+    kept, kinds = df.columns, dict(df.dtypes)
+    inner = [f"__k{i}" for i in range(len(kept))]
+    rows = placed(df.withColumn("__tie", F.xxhash64(*[F.col(f"`{c}`") for c in kept])), key, [order, "__tie"], "__i").select(*[F.col(f"`{c}`").alias(i) for c, i in zip(kept, inner, strict=True)], F.col(key).alias("__key"), "__i", F.col(column).cast("double").alias("__v"))
+    reach = F.sequence(F.greatest(F.lit(0), F.floor((F.col("__i") - after) / size)).cast("long"), F.floor((F.col("__i") + before) / size).cast("long"))
+    rows = rows.withColumn("__chunk", F.explode(reach))
+
+    def chunk(k: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.sort_by("__i")
+        i, v = (table.column(n).to_numpy().astype(float) for n in ("__i", "__v"))
+        own = np.floor(i / size) == k[1].as_py()
+        columns = run(v, own)
+        return pa.table([*[table.column(c).filter(pa.array(own)) for c in inner], *columns], names=[*inner, *[f"__m{n}" for n in range(len(made))]])
+
+    schema = ", ".join([*[f"{i} {kinds[c]}" for c, i in zip(kept, inner, strict=True)], *[f"__m{n} double" for n in range(len(made))]])
+    return rows.groupBy("__key", "__chunk").applyInArrow(chunk, schema).toDF(*kept, *made)
+
+
+class _Sorted(list):
+    """Values in order; a step of a window adds one and drops one, each by bisection."""
+
+    def quantile(self, q: float) -> float:
+        at = (len(self) - 1) * q
+        low = int(at)
+        high = min(low + 1, len(self) - 1)
+        return self[low] + (self[high] - self[low]) * (at - low)
+
+
+def sliding(df: DataFrame, column: str, window: int, names: list[str], key: str = "rec_id", order: str = "t") -> DataFrame:
+    """Trailing mean, std, median, iqr, min and max as in stats.rolling, for windows of any length.
+
+    Quantiles, least and greatest come from the window's values kept in order, means and deviations from sums that are
+    taken anew for each chunk, about the chunk's mean. Rows of equal time stand in a fixed order of their own.
+    """
+    least, ranked = max(1, window // 4), bool({"median", "iqr", "min", "max"} & set(names))
+
+    def run(v: np.ndarray, own: np.ndarray) -> list[pa.Array]:
+        there = ~np.isnan(v)
+        x = np.where(there, v - (v[there].mean() if there.any() else 0.0), 0.0)
+        back = lambda c: c - np.concatenate([np.zeros(min(window, len(c))), c[:-window]])
+        n, s, q = back(np.cumsum(there)), back(np.cumsum(x)), back(np.cumsum(x * x))
+        at = {name: np.full(len(v), np.nan) for name in names}
+        with np.errstate(invalid="ignore", divide="ignore"):
+            mean = s / n
+            found = {"mean": mean + (v[there].mean() if there.any() else 0.0), "std": np.where(n > 1, np.sqrt(np.maximum(q - n * mean * mean, 0) / (n - 1)), np.nan)}
+        for name in set(names) & set(found):
+            at[name] = found[name]
+        if ranked:
+            held = _Sorted()
+            for i, (value, known) in enumerate(zip(v.tolist(), there.tolist(), strict=True)):
+                if i >= window and there[i - window]:
+                    del held[bisect_left(held, v[i - window])]
+                if known:
+                    insort(held, value)
+                if own[i] and len(held) >= least:
+                    for name in names:
+                        if name == "median":
+                            at[name][i] = held.quantile(0.5)
+                        elif name == "iqr":
+                            at[name][i] = held.quantile(0.75) - held.quantile(0.25)
+                        elif name in ("min", "max"):
+                            at[name][i] = held[0] if name == "min" else held[-1]
+        out = []
+        for name in names:
+            value = np.where(n >= least, at[name], np.nan)[own]
+            value = np.where(np.isnan(value), 0.0, value) if name in ("std", "iqr") else value
+            out.append(pa.array(value, mask=np.isnan(value)))
+        return out
+
+    return _in_chunks(df, column, window - 1, 0, key, order, run, [f"{column}_{n}" for n in names])
+
+
+def sliding_median(df: DataFrame, column: str, kernel: int, key: str = "rec_id", order: str = "t") -> DataFrame:
+    """Median filter with an odd kernel of any length; beyond the ends stand zeros, and nulls count as zeros."""
+    half = kernel // 2
+
+    def run(v: np.ndarray, own: np.ndarray) -> list[pa.Array]:
+        v = np.nan_to_num(v)
+        # a chunk's rows reach half a kernel either way; what is not there lies beyond an end
+        first, last = np.flatnonzero(own)[[0, -1]] if own.any() else (0, -1)
+        v = np.concatenate([np.zeros(half - first), v, np.zeros(half - (len(v) - 1 - last))])
+        held, out = _Sorted(sorted(v[: kernel - 1].tolist())), []
+        for i in range(last - first + 1):
+            insort(held, v[i + kernel - 1])
+            out.append(held[half])
+            del held[bisect_left(held, v[i])]
+        return [pa.array(out, pa.float64())]
+
+    return _in_chunks(df, column, half, half, key, order, run, [f"{column}_median"])

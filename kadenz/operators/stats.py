@@ -50,8 +50,19 @@ def suggest(columns: list[str], rules=RULES) -> dict[str, list[str]]:
     return out
 
 
+#: Rows of a window up to which it is a frame.
+FRAME = 32
+
+
 def rolling(df: DataFrame, column: str, window: int, names: list[str], key: str = "rec_id", order: str = "t") -> DataFrame:
-    """Trailing statistics over the last `window` rows; null with fewer than window // 4 values, dispersion then 0."""
+    """Trailing statistics over the last `window` rows; null with fewer than window // 4 values, dispersion then 0.
+
+    Short windows are frames, which are read anew for each row; longer ones slide over chunks of a recording.
+    """
+    if window > FRAME:
+        from kadenz.operators.recordings import sliding
+
+        return sliding(df, column, window, names, key, order)
     w = Window.partitionBy(key).orderBy(order).rowsBetween(-(window - 1), 0)
     enough = F.count(column).over(w) >= max(1, window // 4)
     exprs = {"mean": F.avg(column).over(w), "std": F.stddev_samp(column).over(w), "median": F.percentile(column, 0.5).over(w), "iqr": F.percentile(column, 0.75).over(w) - F.percentile(column, 0.25).over(w), "min": F.min(column).over(w), "max": F.max(column).over(w)}
@@ -62,15 +73,22 @@ def rolling(df: DataFrame, column: str, window: int, names: list[str], key: str
     return out
 
 
-def filled(df: DataFrame, columns: list[str], key: str = "rec_id", order: str = "t") -> DataFrame:
-    """Forward, then backward fill per recording. Both frames grow row by row, so a recording is read once for each."""
-    before, after = (Window.partitionBy(key).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc(order), F.desc(order)))
-    for c in columns:
-        back, ahead = F.last(c, ignorenulls=True).over(before), F.last(c, ignorenulls=True).over(after)
-        df = df.withColumn(f"__f_{c}", F.coalesce(back, ahead))
-    for c in columns:
-        df = df.drop(c).withColumnRenamed(f"__f_{c}", c)
-    return df
+def filled(df: DataFrame, columns: list[str], key: str = "rec_id", order: str = "t", chunk: float = 86400.0) -> DataFrame:
+    """Forward, then backward fill per recording, within chunks of time; a row per chunk carries values over its borders."""
+    kept = df.columns
+    rows = df.withColumn("__chunk", F.floor(F.col(order) / chunk))
+    # both frames grow row by row, so a chunk is read once for each
+    before, after = (Window.partitionBy(key, "__chunk").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc(order), F.desc(order)))
+    near = {f"__{side}{i}": F.last(c, ignorenulls=True).over(w) for i, c in enumerate(columns) for side, w in (("b", before), ("a", after))}
+    there = [e for i, c in enumerate(columns) for e in (F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"l{i}"), F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"f{i}"))]
+    ends = rows.groupBy(key, "__chunk").agg(*there)
+    earlier, later = (Window.partitionBy(key).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("__chunk"), F.desc("__chunk")))
+    over = [e for i in range(len(columns)) for e in (F.last(f"l{i}", ignorenulls=True).over(earlier).alias(f"__x{i}"), F.last(f"f{i}", ignorenulls=True).over(later).alias(f"__y{i}"))]
+    ends = ends.select(F.col(key).alias("__key"), F.col("__chunk").alias("__c"), *over)
+    rows = rows.withColumns(near)
+    met = rows.join(ends, rows[key].eqNullSafe(ends["__key"]) & rows["__chunk"].eqNullSafe(ends["__c"]))
+    found = {c: F.coalesce(f"__b{i}", f"__x{i}", f"__a{i}", f"__y{i}").alias(c) for i, c in enumerate(columns)}
+    return met.select(*[found.get(c, rows[c]) for c in kept if c not in found], *found.values())
 
 
 def sliding_rate(df: DataFrame, flag: Column, half: int, seconds: float, name: str = "rate", key: str = "rec_id", order: str = "t") -> DataFrame:
@@ -118,8 +136,12 @@ def hop_windows(df: DataFrame, length: int, hop: int, value: str, key: str = "re
 
 
 def median_filtered(df: DataFrame, column: str, kernel: int, key: str = "rec_id", order: str = "t") -> DataFrame:
-    """Median filter with an odd kernel; beyond the ends stand zeros."""
+    """Median filter with an odd kernel; beyond the ends stand zeros, and nulls count as zeros."""
     half = kernel // 2
+    if kernel > FRAME:
+        from kadenz.operators.recordings import sliding_median
+
+        return sliding_median(df, column, kernel, key, order)
     w = Window.partitionBy(key).orderBy(order).rowsBetween(-half, half)
     got = F.collect_list(F.coalesce(column, F.lit(0.0))).over(w)
     padded = F.array_sort(F.concat(got, F.array_repeat(F.lit(0.0), F.lit(kernel) - F.size(got))))

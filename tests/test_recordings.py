@@ -1,9 +1,14 @@
 """Recordings in chunks against whole ones."""
 
+import time
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from kadenz.operators import intervals as I
 from kadenz.operators import recordings as RE
+from kadenz.operators import stats as S
 from kadenz.session import ship
 
 
@@ -33,3 +38,45 @@ def test_a_delay_of_ten_thousand_samples_is_found(spark):
     b = np.concatenate([rng.normal(size=10_000), a[:-10_000]]) + 0.5 * rng.normal(size=60_000)
     found = RE.delay(series(spark, x=a, flat=[3.0] * 50), series(spark, x=b, flat=[1.0, 2.0] * 25), 12_000, block=24_000).collect()
     assert {r.rec_id: r.lag for r in found} == {"x": 10_000, "flat": None}
+
+
+@pytest.mark.parametrize("window", [40, 3000])
+def test_long_windows_slide_over_chunks(spark, window):
+    rng = np.random.default_rng(3)
+    v = [None if rng.random() < 0.1 else float(x) for x in rng.integers(0, 50, 9000)]
+    df = spark.createDataFrame([("x", float(i), x) for i, x in enumerate(v)] + [("y", 1.0, 2.0)], "rec_id string, t double, v double").repartition(6)
+    names = ["mean", "std", "median", "iqr", "min", "max"]
+    got = {r.t: r for r in S.rolling(df, "v", window, names).where("rec_id = 'x'").collect()}
+    assert len(got) == 9000
+    for i in [*range(0, 9000, 371), 8191, 8192, 8193, 8999]:
+        w, r = [x for x in v[max(0, i - window + 1) : i + 1] if x is not None], got[float(i)]
+        if len(w) < max(1, window // 4):
+            assert (r.v_mean, r.v_std, r.v_median, r.v_iqr, r.v_min) == (None, 0.0, None, 0.0, None)
+            continue
+        q = np.percentile(w, [25, 50, 75])
+        assert (r.v_mean, r.v_std, r.v_median, r.v_iqr, r.v_min, r.v_max) == pytest.approx((np.mean(w), np.std(w, ddof=1), q[1], q[2] - q[0], min(w), max(w)))
+
+
+@pytest.mark.parametrize("kernel", [33, 2001])
+def test_long_median_filters(spark, kernel):
+    v = np.random.default_rng(4).normal(size=9000)
+    got = {r.t: r.v_median for r in S.median_filtered(series(spark, x=v), "v", kernel).collect()}
+    padded = np.concatenate([np.zeros(kernel // 2), v, np.zeros(kernel // 2)])
+    for i in [0, 1, 500, 8191, 8192, 8998, 8999, *range(0, 9000, 397)]:
+        assert got[float(i)] == np.median(padded[i : i + kernel])
+
+
+def test_a_window_of_ten_thousand_takes_time_in_proportion(spark):
+    df = spark.range(1_000_000).select(F.lit("x").alias("rec_id"), F.col("id").cast("double").alias("t"), F.rand(1).alias("v"))
+    began = time.perf_counter()
+    S.rolling(df, "v", 10_000, ["median", "iqr"]).write.format("noop").mode("overwrite").save()
+    assert time.perf_counter() - began < 60
+
+
+def test_segments_and_fills_do_not_depend_on_chunks(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, float(t), None if rng.random() < 0.1 else bool(rng.random() < p), None if rng.random() < 0.6 else float(t)) for k, p in (("x", 0.5), ("y", 0.95), ("z", 0.02)) for t in np.unique(rng.integers(0, 5000, 700))]
+    df = spark.createDataFrame(rows, "rec_id string, t double, on boolean, v double").repartition(5)
+    for make in (lambda c: I.segments(df, "on", ["rec_id"], chunk=c), lambda c: I.segments(df, "on", ["rec_id"], last_on=True, chunk=c), lambda c: S.filled(df, ["v"], chunk=c).select("rec_id", "t", "v")):
+        found = [sorted(map(tuple, make(c).collect()), key=str) for c in (1e9, 700.0, 3.0)]
+        assert found[0] == found[1] == found[2] and found[0]
