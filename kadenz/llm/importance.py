@@ -8,7 +8,7 @@ from a state, so a run of words costs one step from the state of the run before.
 bucket, of the corpus and of the target; a bucket's gain is the log of their ratio. What is in the head decides how fast a
 feature's bucket is found, never which it is.
 
-A task reads whole texts in slices, so a long one costs no more memory than a short one. Counts are summed within tasks
+A task reads texts in blocks of many short ones or part of a long one, so a long one costs no more memory. Counts are summed within tasks
 before they are shuffled; bucket totals have a fixed number of rows. The draw is a global order over small rows, by sampled
 ranges, without a task that sees all of them.
 """
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -34,6 +34,8 @@ HEAD = 65_536
 LONG = 64
 #: Bytes of a slice of text; words and distinct words that a task counts together.
 SLICE, CHUNK, HELD = 1 << 20, 4_000_000, 500_000
+#: Words whose features are worked out together.
+WORDS = 200_000
 BUCKETS = 10_000
 LEAST_WORDS = 20
 #: Bytes 0-9, a-z and those of other alphabets stand for themselves, A-Z are lowered, all others part words.
@@ -120,14 +122,35 @@ class Head:
         triple = after(pair[:-1], tails[2:], lengths[2:], lambda i: found[i + 2])
         return [x.astype(np.int64) % self.buckets for x in (states, pair, triple)]
 
-    def slices(self, text: str | None) -> Iterator[tuple[int, list[np.ndarray]]]:
-        """Words and buckets of each slice of a text; runs over the border of two slices are in the second."""
-        last: list[bytes] = []
-        for found in slices(text):
-            k = len(last)
-            one, two, three = self.features(last + found)
-            yield len(found), [one[k:], two[max(0, k - 1) :], three]
-            last = (last + found)[-2:]
+    def blocks(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Consecutive texts in blocks of about WORDS words: the text's number of each word, and of each feature, and its bucket.
+
+        A block may hold many texts or part of one; runs over the border of two blocks are in the second, and runs over the
+        border of two texts are none.
+        """
+        words: list[bytes] = []
+        numbers, sizes, held, carried = [], [], 0, 0
+
+        def block() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            of = np.repeat(numbers, sizes)
+            one, two, three = self.features(words)
+            pairs, triples = of[1:] == of[:-1], of[2:] == of[:-2]
+            pairs[: max(0, carried - 1)] = False  # both words came along
+            return of[carried:], np.concatenate([of[carried:], of[1:][pairs], of[2:][triples]]), np.concatenate([one[carried:], two[pairs], three[triples]])
+
+        for number, text in enumerate(texts):
+            for found in slices(text):
+                words += found
+                numbers.append(number)
+                sizes.append(len(found))
+                held += len(found)
+                if held >= WORDS:
+                    yield block()
+                    last = np.repeat(numbers, sizes)[-2:].tolist()
+                    words, numbers, sizes, carried = words[-2:], last, [1] * len(last), len(last)
+                    held = carried
+        if held > carried:
+            yield block()
 
 
 def _texts(batches: Iterator[pa.RecordBatch], name: str = "__text") -> Iterator[str | None]:
@@ -192,9 +215,8 @@ def totals(docs: DataFrame, known: Head, text_col: str = "text") -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(known.buckets, np.int64)
-        for text in _texts(batches):
-            for _, found in known.slices(text):
-                sums += np.bincount(np.concatenate(found), minlength=known.buckets)
+        for _, _, bucket in known.blocks(_texts(batches)):
+            sums += np.bincount(bucket, minlength=known.buckets)
         there = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(sums[there])], names=["bucket", "n"])
 
@@ -221,10 +243,11 @@ def weigh(docs: DataFrame, known: Head, gain: np.ndarray, text_col: str = "text"
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.zeros((3, batch.num_rows), np.int64)
-            for i, text in enumerate(_texts(iter([batch]))):
-                for n, found in known.slices(text):
-                    made[:, i] += n, sum(map(len, found)), sum(int(gain[f].sum()) for f in found)
+            made, rows = np.zeros((3, batch.num_rows), np.int64), batch.num_rows
+            for word, feature, bucket in known.blocks(_texts(iter([batch]))):
+                made[0] += np.bincount(word, minlength=rows)
+                made[1] += np.bincount(feature, minlength=rows)
+                made[2] += np.bincount(feature, gain[bucket], minlength=rows).astype(np.int64)  # whole numbers below 2^53
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in inner], *map(pa.array, made)], names=[*inner, *[f"__m{i}" for i in range(3)]])
 
     wide = docs.select(*[docs[f"`{c}`"].alias(i) for c, i in zip(kept, inner, strict=True)], docs[f"`{text_col}`"].alias("__text"))

@@ -52,8 +52,8 @@ def frames(spark, docs, target):
     return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(t,) for t in target], "text string")
 
 
-@pytest.mark.parametrize(("size", "cut"), [(65_536, 1 << 20), (40, 997), (1, 64)])
-def test_against_brute_force(spark, corpus, size, cut, monkeypatch):
+@pytest.mark.parametrize(("size", "cut", "words"), [(65_536, 1 << 20, 200_000), (40, 997, 500), (1, 64, 3)])
+def test_against_brute_force(spark, corpus, size, cut, words, monkeypatch):
     """Whatever the head and wherever slices end, the result is the same."""
     docs, target = corpus
     df, goal = frames(spark, docs, target)
@@ -61,10 +61,12 @@ def test_against_brute_force(spark, corpus, size, cut, monkeypatch):
     assert len(known.number) <= size and len(known.keys) <= size
     assert size == 1 or len(known.number) > 5
     monkeypatch.setattr(I, "SLICE", cut)
-    long = docs[-1][1]
-    found = np.concatenate([b for _, f in known.slices(long) for b in f])
-    assert len(list(known.slices(long))) > 1 or cut > 100_000
-    assert sorted(found.tolist()) == sorted(zlib.crc32(f) % I.BUCKETS for f in runs(long)[1])
+    monkeypatch.setattr(I, "WORDS", words)
+    found = [[] for _ in docs]
+    for _, number, bucket in known.blocks(t for _, t in docs):
+        for i, b in zip(number.tolist(), bucket.tolist(), strict=True):
+            found[i].append(b)
+    assert [sorted(f) for f in found] == [sorted(zlib.crc32(f) % I.BUCKETS for f in runs(t)[1]) for _, t in docs]
     monkeypatch.undo()
     assert result(I.resample(df.repartition(3), goal, size=size)) == brute(docs, target)
 
