@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kadenz.operators.ordering import running
@@ -184,3 +184,147 @@ def sliding_median(df: DataFrame, column: str, kernel: int, key: str = "rec_id",
         return [pa.array(out, pa.float64())]
 
     return _in_chunks(df, column, half, half, key, order, run, [f"{column}_median"])
+
+
+def _log(x: np.ndarray) -> np.ndarray:
+    return np.log(np.maximum(x, 1e-12))
+
+
+def _frames(table: pa.Table, step: str, state: str, score: str) -> list[tuple]:
+    """(step, states, scores) in order of steps, and of states within one."""
+    table = table.sort_by([(step, "ascending"), (state, "ascending")])
+    t, x, s = table.column(step).to_pylist(), table.column(state).to_numpy().astype(float), table.column(score).to_numpy().astype(float)
+    starts = [i for i in range(len(t)) if i == 0 or t[i] != t[i - 1]]
+    return [(t[a], x[a:b], s[a:b]) for a, b in zip(starts, [*starts[1:], len(t)], strict=True)]
+
+
+def smooth_path(candidates: DataFrame, key: str, step: str, state: str, score: str, most: float, chunk: int = 4096) -> DataFrame:
+    """(key, step, state): best path over candidate states; moving by d gives (2.1 * most - |d|), times the score.
+
+    Paths add up logs, so what a chunk of steps does is a matrix: the best total from each of its first states to each of
+    its last. Chunks are worked out apart; a second pass goes over one matrix per chunk and finds the states where the
+    best path enters and leaves each, and a third finds the states between, again apart. Of equal paths the lower state
+    is taken. A recording is never in one task, only its matrices are.
+    """
+    kinds = dict(candidates.dtypes)
+    rows = candidates.select(F.col(key).alias("key"), F.col(step).alias("step"), F.col(state).cast("double").alias("state"), F.col(score).cast("double").alias("score"), F.floor(F.col(step) / chunk).cast("long").alias("chunk"))
+    move = lambda x, before: _log(2.1 * most - np.abs(before[None] - x[:, None]))
+
+    def matrix(k: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        frames = _frames(table, "step", "state", "score")
+        _, first, scores = frames[0]
+        total = np.where(np.eye(len(first), dtype=bool), 0.0, -np.inf)
+        last = first
+        for _, x, s in frames[1:]:
+            total = (total[:, None, :] + move(x, last)[None]).max(2) + _log(s)[None]
+            last = x
+        numbers = [pa.array([v.tolist()], pa.list_(pa.float64())) for v in (first, scores, last, total.ravel())]
+        return pa.table([pa.array([k[0].as_py()], table.schema.field("key").type), pa.array([k[1].as_py()], pa.int64()), *numbers], names=["key", "chunk", "first", "scores", "last", "total"])
+
+    def joints(k: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk")
+        best, before, back = None, None, []
+        for r in table.select(["first", "scores", "last", "total"]).to_pylist():
+            first, scores, last = (np.array(r[c]) for c in ("first", "scores", "last"))
+            if best is None:
+                enter, came = scores, np.zeros(len(first), int)
+            else:
+                through = best[None] + move(first, before)
+                came, enter = through.argmax(1), through.max(1) + _log(scores)
+            through = enter[:, None] + np.array(r["total"]).reshape(len(first), len(last))
+            back.append((through.argmax(0), came))
+            best, before = through.max(0), last
+        leave, found = int(best.argmax()), []
+        for entry, came in reversed(back):
+            found.append((int(entry[leave]), leave))
+            leave = int(came[entry[leave]])
+        entry, leave = zip(*found[::-1], strict=True)
+        return pa.table([table.column("key"), table.column("chunk"), pa.array(entry, pa.int32()), pa.array(leave, pa.int32())], names=["key", "chunk", "entry", "leave"])
+
+    def path(k: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        entry, at = table.column("entry")[0].as_py(), table.column("leave")[0].as_py()
+        frames = _frames(table, "step", "state", "score")
+        total, last, back = np.where(np.arange(len(frames[0][1])) == entry, 0.0, -np.inf), frames[0][1], []
+        for _, x, s in frames[1:]:
+            through = total[None] + move(x, last)
+            back.append(through.argmax(1))
+            total, last = through.max(1) + _log(s), x
+        states = [frames[-1][1][at]]
+        for (_, x, _), came in zip(reversed(frames[:-1]), reversed(back), strict=True):
+            at = int(came[at])
+            states.append(x[at])
+        return pa.table([pa.array([k[0].as_py()] * len(frames), table.schema.field("key").type), pa.array([f[0] for f in frames], table.schema.field("step").type), pa.array(states[::-1], pa.float64())], names=["key", "step", "state"])
+
+    listed = "array<double>"
+    matrices = rows.groupBy("key", "chunk").applyInArrow(matrix, f"key {kinds[key]}, chunk long, first {listed}, scores {listed}, last {listed}, total {listed}")
+    met = matrices.groupBy("key").applyInArrow(joints, f"key {kinds[key]}, chunk long, entry int, leave int").withColumnsRenamed({"key": "__key", "chunk": "__chunk"})
+    both = rows.join(met, rows["key"].eqNullSafe(met["__key"]) & (rows["chunk"] == met["__chunk"])).drop("__key", "__chunk")
+    return both.groupBy("key", "chunk").applyInArrow(path, f"key {kinds[key]}, step {kinds[step]}, state double").toDF(key, step, state)
+
+
+def nuclei(volumes: DataFrame, key: str = "rec_id", order: str = "k", value: str = "db", drop: float = 25.0, rise: float = 2.0, chunk: int = 65_536) -> DataFrame:
+    """(key, order): peaks above the 99th percentile - drop whose rise from the lowest point since a higher peak exceeds `rise`.
+
+    A chunk of a recording decides the peaks whose higher one stands in it. Of the others it gives the lowest point so far,
+    and of itself what a stack of falling values leaves: each value that nothing behind exceeds, with the lowest point
+    since the one before. Stacks of chunks are then merged in order, which decides the rest.
+    """
+    kinds = dict(volumes.dtypes)
+    rows = volumes.select(F.col(key).alias("key"), F.col(order).alias("at"), F.col(value).cast("double").alias("v"), F.floor(F.col(order) / chunk).cast("long").alias("chunk")).where("v IS NOT NULL")
+    ends = rows.groupBy("key", "chunk").agg(F.min_by("v", "at").alias("lo"), F.max_by("v", "at").alias("hi"))
+    w = Window.partitionBy("key").orderBy("chunk")  # one row per chunk
+    bars = rows.groupBy("key").agg((F.percentile("v", 0.99) - drop).alias("bar"))
+    ends = ends.select("key", "chunk", F.lag("hi").over(w).alias("before"), F.lead("lo").over(w).alias("behind")).join(bars, "key")
+
+    def walk(k: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.sort_by("at")
+        at, v = table.column("at").to_pylist(), table.column("v").to_numpy()
+        before, behind, bar = (table.column(c)[0].as_py() for c in ("before", "behind", "bar"))
+        around = np.concatenate([[-np.inf if before is None else before], v, [-np.inf if behind is None else behind]])
+        peak = (v > around[:-2]) & (v >= around[2:]) & (v > bar)
+        found, stack = [], []  # stack of (value, lowest value since the one below)
+        for i, x in enumerate(v.tolist()):
+            low = x
+            while stack and stack[-1][0] <= x:
+                low = min(low, stack.pop()[1])
+            if peak[i] and (stack or x - low > rise):
+                if x - low > rise:
+                    found.append((at[i], None, None, None))
+            elif peak[i]:
+                found.append((at[i], x, low, None))
+            stack.append((x, low))
+        found.append((None, None, None, [x for pair in stack for x in pair]))
+        columns = list(zip(*found, strict=True))
+        types = [table.schema.field("at").type, pa.float64(), pa.float64(), pa.list_(pa.float64())]
+        return pa.table([pa.array([k[0].as_py()] * len(found), table.schema.field("key").type), pa.array([k[1].as_py()] * len(found), pa.int64()), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=["key", "chunk", "at", "v", "low", "stack"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, stack, low = None, [], np.inf  # low: the lowest of what the present chunk's open peaks have passed
+        for b in batches:
+            keys, out = [], []
+            for r in b.to_pylist():
+                if r["key"] != held or not stack:
+                    stack, low = ([] if r["key"] != held else stack), np.inf
+                    held = r["key"]
+                if r["stack"] is not None:
+                    own = list(zip(r["stack"][::2], r["stack"][1::2], strict=True))
+                    while stack and stack[-1][0] <= own[0][0]:
+                        low = min(low, stack.pop()[1])
+                    own[0] = (own[0][0], min(own[0][1], low))
+                    stack, low = stack + own, np.inf
+                elif r["v"] is None:
+                    keys.append(r["key"])
+                    out.append(r["at"])
+                else:
+                    while stack and stack[-1][0] <= r["v"]:
+                        low = min(low, stack.pop()[1])
+                    if r["v"] - min(low, r["low"]) > rise:
+                        keys.append(r["key"])
+                        out.append(r["at"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field("key").type), pa.array(out, b.schema.field("at").type)], names=["key", "at"])
+
+    met = rows.join(ends.withColumnsRenamed({"key": "__key", "chunk": "__chunk"}), F.col("key").eqNullSafe(F.col("__key")) & (F.col("chunk") == F.col("__chunk"))).drop("__key", "__chunk")
+    parts = met.groupBy("key", "chunk").applyInArrow(walk, f"key {kinds[key]}, chunk long, at {kinds[order]}, v double, low double, stack array<double>")
+    # of a chunk its peaks in order, then its stack
+    ordered = parts.repartition("key").sortWithinPartitions("key", "chunk", F.col("at").asc_nulls_last())
+    return ordered.mapInArrow(merged, f"key {kinds[key]}, at {kinds[order]}").toDF(key, order)

@@ -79,55 +79,3 @@ def delays(windows: DataFrame, most: int, keys: list[str]) -> DataFrame:
 
     kinds = dict(windows.dtypes)
     return windows.select(*keys, "a", "b").mapInPandas(peak, ", ".join([*[f"{k} {kinds[k]}" for k in keys], "lag long", "c double"]))
-
-
-def smooth_path(candidates: DataFrame, key: str, step: str, state: str, score: str, most: float) -> DataFrame:
-    """(key, step, state): best path over candidate states; moving by d gives (2.1 * most - |d|), times the score.
-
-    The recursion runs over time, so one recording is one group.
-    """
-    kinds = dict(candidates.dtypes)
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        total, back, frames = None, [], []
-        for t, f in pdf.sort_values([step, state]).groupby(step):
-            x, s = f[state].to_numpy(float), f[score].to_numpy(float)
-            if total is None:
-                total, came = s.copy(), np.full(len(x), -1)
-            else:
-                move = np.log(np.maximum(2.1 * most - np.abs(frames[-1][1][None] - x[:, None]), 1e-12))
-                through = total[None] + move
-                came = through.argmax(1)
-                total = through.max(1) + np.log(np.maximum(s, 1e-12))
-            back.append(came)
-            frames.append((t, x))
-        k = int(total.argmax())
-        path = []
-        for (t, x), came in zip(reversed(frames), reversed(back), strict=True):
-            path.append((pdf[key].iloc[0], t, x[k]))
-            k = int(came[k])
-        return pd.DataFrame(path[::-1], columns=[key, step, state])
-
-    return candidates.groupBy(key).applyInPandas(best, f"{key} {kinds[key]}, {step} {kinds[step]}, {state} double")
-
-
-def nuclei(volumes: DataFrame, key: str = "rec_id", order: str = "k", value: str = "db", drop: float = 25.0, rise: float = 2.0) -> DataFrame:
-    """(key, order): peaks above the 99th percentile - drop whose rise from the lowest point since a higher peak exceeds `rise`."""
-    w = Window.partitionBy(key).orderBy(order)
-    bar = volumes.groupBy(key).agg((F.percentile(value, 0.99) - drop).alias("bar"))
-    rows = volumes.join(bar, key).withColumn("peak", (F.col(value) > F.coalesce(F.lag(value).over(w), F.lit(float("-inf")))) & (F.col(value) >= F.coalesce(F.lead(value).over(w), F.lit(float("-inf")))))
-    kinds = dict(volumes.dtypes)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        out, stack = [], []  # stack of (value, lowest value since the one below)
-        for o, v, p, b in zip(pdf[order], pdf[value], pdf["peak"], pdf["bar"], strict=True):
-            low = v
-            while stack and stack[-1][0] <= v:
-                low = min(low, stack.pop()[1])
-            stack.append((v, low))
-            if p and v > b and v - low > rise:
-                out.append(o)
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(out), order: out})
-
-    return rows.select(key, order, value, "peak", "bar").groupBy(key).applyInPandas(walk, f"{key} {kinds[key]}, {order} {kinds[order]}")

@@ -17,7 +17,8 @@ from kadenz.plans import views as V
 from kadenz.plans.metric_queries import grid
 from kadenz.plans.registry import query, r6, rounded
 from kadenz.plans.time_queries import series_of
-from kadenz.session import ship, table
+from kadenz.session import scratch, ship, table
+from kadenz.streaming import segments as ZS
 from kadenz.streaming import windows as Z
 
 
@@ -37,6 +38,36 @@ def z2(spark, sf_dir):
     return out.select("user_id", "n", F.date_format("begin", "yyyy-MM-dd HH:mm:ss").alias("begin"))
 
 
+_CLOSED = """
+    , e AS (SELECT max(t) + 2592000 AS t FROM series WHERE channel IN ('click', 'view')),
+    s AS (SELECT rec_id, channel, t, v > 50 AS o FROM series WHERE channel IN ('click', 'view') UNION ALL SELECT DISTINCT rec_id, c, e.t, false FROM series, e, (SELECT unnest(['click', 'view']) AS c) WHERE channel IN ('click', 'view')),
+    w AS (SELECT *, lag(o) OVER u AS was, lead(t) OVER u AS nxt FROM s WINDOW u AS (PARTITION BY rec_id, channel ORDER BY t)),
+    n AS (SELECT *, sum((o AND NOT coalesce(was, false))::INT) OVER (PARTITION BY rec_id, channel ORDER BY t) AS run FROM w),
+    segs AS (SELECT rec_id, channel, run, min(t) AS begin_t, max(nxt) AS end_t FROM n WHERE o GROUP BY ALL), a AS (SELECT * FROM segs WHERE channel = 'click'), b AS (SELECT * FROM segs WHERE channel = 'view'),
+    g AS (SELECT *, lag(end_t) OVER x AS pe FROM a WINDOW x AS (PARTITION BY rec_id ORDER BY begin_t)),
+    j AS (SELECT *, CASE WHEN pe IS NULL OR begin_t - pe >= 86400 OR EXISTS (SELECT 1 FROM b WHERE b.rec_id = g.rec_id AND b.begin_t < g.begin_t AND b.end_t > g.pe) THEN 1 ELSE 0 END AS new FROM g),
+    m AS (SELECT *, sum(new) OVER (PARTITION BY rec_id ORDER BY begin_t) AS part FROM j)
+    SELECT rec_id, round(min(begin_t), 3) AS begin_t, round(max(end_t), 3) AS end_t FROM m GROUP BY rec_id, part"""
+
+
+@query("z2_merged_segments_on_a_stream", V.sql(_CLOSED, "series"))
+def z2_merged(spark, sf_dir):
+    """Clicks above a bar as one speaker's runs and views as the other's, as a stream that is closed by off samples a month later."""
+    ship(spark)
+    at, rows = scratch(spark, "stream"), V.series(spark, sf_dir).where("channel IN ('click', 'view')")
+    rows = rows.select("rec_id", F.col("t"), (F.col("channel") == "view").alias("other"), (F.col("v") > 50).alias("active"))
+    end = F.broadcast(rows.agg((F.max("t") + 2592000).alias("t")))  # one row
+    close = rows.select("rec_id").distinct().crossJoin(end).withColumns({"other": F.explode(F.array(F.lit(False), F.lit(True))), "active": F.lit(False)})
+    # what comes later still only moves the watermark on
+    both = rows.unionByName(close).unionByName(close.withColumn("t", F.col("t") + 3 * 86400))
+    both.select("rec_id", F.timestamp_micros((F.round(F.col("t") * 1e6)).cast("long")).alias("ts"), "other", "active").write.parquet(f"{at}/in")
+    stream = spark.readStream.schema("rec_id long, ts timestamp, other boolean, active boolean").parquet(f"{at}/in")
+    run = ZS.merged_segments(stream, 86400.0).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    out = spark.read.schema("rec_id long, begin_t double, end_t double").parquet(f"{at}/out")
+    return out.select("rec_id", F.round("begin_t", 3).alias("begin_t"), F.round("end_t", 3).alias("end_t"))
+
+
 @query("i9_whole_dataset_alignment", V.sql(", a AS (SELECT i.rec_id, i.seg_id, avg(v) AS m FROM intervals i LEFT JOIN series s ON s.rec_id = i.rec_id AND s.channel = 'view' AND t >= begin_t AND t <= end_t GROUP BY ALL) SELECT rec_id, seg_id, round(coalesce(m, (SELECT avg(m) FROM a)), 6) AS m FROM a", "series", "intervals"))
 def i9(spark, sf_dir):
     got = S.aggregate_to_intervals(series_of(spark, sf_dir, "view").select("rec_id", "t", "v"), V.intervals(spark, sf_dir), {"mean": ["v"]}, ["rec_id", "seg_id"])
@@ -199,7 +230,7 @@ _PATH = """
 def g8(spark, sf_dir):
     ship(spark)
     c = V.series(spark, sf_dir).select("rec_id", F.floor(F.col("t") / 86400).alias("k"), (F.col("seq") % 7).cast("double").alias("lag"), (F.col("v") + 1).alias("c"))
-    return G.smooth_path(c.groupBy("rec_id", "k", "lag").agg(F.max("c").alias("c")), "rec_id", "k", "lag", "c", 7.0)
+    return RE.smooth_path(c.groupBy("rec_id", "k", "lag").agg(F.max("c").alias("c")), "rec_id", "k", "lag", "c", 7.0)
 
 
 _NUCLEI = """
@@ -214,7 +245,7 @@ _NUCLEI = """
 @query("g3_nuclei", V.sql(_NUCLEI, "series"))
 def g3(spark, sf_dir):
     ship(spark)
-    return G.nuclei(G.volume(V.series(spark, sf_dir), 8, 2))
+    return RE.nuclei(G.volume(V.series(spark, sf_dir), 8, 2))
 
 
 _EM = """

@@ -80,3 +80,54 @@ def test_segments_and_fills_do_not_depend_on_chunks(spark):
     for make in (lambda c: I.segments(df, "on", ["rec_id"], chunk=c), lambda c: I.segments(df, "on", ["rec_id"], last_on=True, chunk=c), lambda c: S.filled(df, ["v"], chunk=c).select("rec_id", "t", "v")):
         found = [sorted(map(tuple, make(c).collect()), key=str) for c in (1e9, 700.0, 3.0)]
         assert found[0] == found[1] == found[2] and found[0]
+
+
+def whole_path(frames, most):
+    """The best path over (states, scores) of each step, in one go."""
+    total, back = None, []
+    for j, (x, c) in enumerate(frames):
+        if total is None:
+            total, came = c.copy(), None
+        else:
+            through = total[None] + np.log(np.maximum(2.1 * most - np.abs(frames[j - 1][0][None] - x[:, None]), 1e-12))
+            came, total = through.argmax(1), through.max(1) + np.log(np.maximum(c, 1e-12))
+        back.append(came)
+    k, out = int(total.argmax()), []
+    for (x, _), came in zip(reversed(frames), reversed(back), strict=True):
+        out.append(float(x[k]))
+        k = int(came[k]) if came is not None else k
+    return out[::-1]
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 4096])
+def test_smooth_path_in_chunks(spark, chunk):
+    rng = np.random.default_rng(6)
+    all_frames = {k: [(np.sort(rng.choice(12, rng.integers(1, 6), replace=False)).astype(float), None) for _ in range(n)] for k, n in (("x", 150), ("y", 1), ("z", 9))}
+    all_frames = {k: [(x, rng.uniform(0.1, 5, len(x))) for x, _ in f] for k, f in all_frames.items()}
+    rows = [(k, 3 * j, float(x), float(c)) for k, frames in all_frames.items() for j, (xs, cs) in enumerate(frames) for x, c in zip(xs, cs, strict=True)]
+    df = spark.createDataFrame(rows, "rec_id string, step long, state double, score double").repartition(4)
+    got = RE.smooth_path(df, "rec_id", "step", "state", "score", 8.0, chunk=chunk).orderBy("rec_id", "step").collect()
+    for k, frames in all_frames.items():
+        assert [r.state for r in got if r.rec_id == k] == whole_path(frames, 8.0)
+
+
+def whole_nuclei(v, drop, rise):
+    bar = np.percentile(v, 99) - drop
+    out = []
+    for i, x in enumerate(v):
+        if x > bar and (i == 0 or x > v[i - 1]) and (i == len(v) - 1 or x >= v[i + 1]):
+            higher = [j for j in range(i) if v[j] > x]
+            if x - min(v[(higher[-1] + 1 if higher else 0) : i + 1]) > rise:
+                out.append(i)
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1, 5, 64, 65_536])
+def test_nuclei_in_chunks(spark, chunk):
+    rng = np.random.default_rng(7)
+    recordings = {"x": rng.normal(60, 6, 300).round(1), "y": np.linspace(80, 40, 50), "z": np.concatenate([np.linspace(40, 80, 30), np.linspace(80, 60, 20), np.linspace(60, 79, 20), [50, 90]])}
+    rows = [(k, i, float(x)) for k, v in recordings.items() for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "rec_id string, k long, db double").repartition(4)
+    got = RE.nuclei(df, chunk=chunk).collect()
+    for k, v in recordings.items():
+        assert sorted(r.k for r in got if r.rec_id == k) == whole_nuclei(v.tolist(), 25.0, 2.0)
