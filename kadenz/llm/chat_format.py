@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +96,12 @@ class Template:
         return [(unescape(m[1]), unescape(m[2])) for m in regex.finditer(f"(?s){marks[0]}(.*?){marks[1]}(.*?){marks[2]}", formatted)]
 
 
+@lru_cache(maxsize=2)
+def _template(raw: bytes, pattern: str) -> Template:
+    """A Python worker keeps its template for the tasks that follow."""
+    return Template(bpe.ranks_from(raw), pattern)
+
+
 def _rank_bytes(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -119,7 +126,7 @@ def format_chats(turns: DataFrame, ranks_path: str, pattern: str, conv_col: str
     schema = OUT.format(kinds["conv"], kinds["turn"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        template = Template(bpe.ranks_from(raw), pattern)
+        template = _template(raw, pattern)
 
         def fragment(conv, held: list, chunk: int, whole: bool) -> tuple:
             ids, mask, shown = template.assemble([(r, t) for _, r, t in held], loss_role)
@@ -181,7 +188,7 @@ def digests(fragments: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     read_schema, schema = READ.format(kinds["conv_id"], kinds["first_turn"]), DIGEST.format(kinds["conv_id"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        template = Template(bpe.ranks_from(raw), pattern)
+        template = _template(raw, pattern)
 
         def rows() -> Iterator[tuple]:
             names = ("conv_id", "first_turn", "first_role", "chunk", "whole", "ids", "loss_mask", "formatted")
