@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kadenz.operators.ordering import running
-from kadenz.operators.stats import mean_ranks, weighted_mean
+from kadenz.operators.stats import weighted_mean
 from kadenz.session import written
 
 
@@ -77,11 +77,12 @@ def wilcoxon(df: DataFrame, d: Column) -> DataFrame:
 
     p is exact for up to EXACT pairs without ties, else from the tie-corrected normal approximation.
     """
-    rows = df.select(d.alias("d")).where("d <> 0").withColumn("a", F.abs("d"))
-    ranked = mean_ranks(rows, "a", "r").withColumn("r", F.col("r") + 1)
-    c = F.col("count").cast("double")
-    ties = rows.groupBy("a").count().agg(F.sum(c * c * c - c).alias("t"))
-    out = ranked.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r"))).alias("w")).crossJoin(ties)
+    a = F.abs("d").alias("a")
+    counts = df.select(d.alias("d")).where("d <> 0").groupBy(a).agg(F.count(F.lit(1)).alias("c"), F.count(F.when(F.col("d") > 0, 1)).alias("up"))
+    ranked = running(written(counts, "differences"), ["a"], {"before": "c"})  # one row per distinct difference
+    c = F.col("c").cast("double")
+    out = ranked.agg(F.sum("c").alias("n"), F.sum(F.when(F.col("up") > 0, F.col("up") * (F.col("before") + (F.col("c") + 1) / 2.0))).alias("w"), F.sum(c * c * c - c).alias("t"))
+    out = out.withColumn("n", F.coalesce("n", F.lit(0)))
     n = F.col("n").cast("double")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("t") / 48)
     z = F.try_divide(F.col("w") - n * (n + 1) / 4, sd)

@@ -25,6 +25,21 @@ def f_statistics(df: DataFrame, features: list[str], y: str) -> DataFrame:
     return long.select("feature", (F.try_divide(F.col("r2"), 1 - F.col("r2")) * (F.col("__n") - 2)).alias("f"))
 
 
+def anova_f(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """(feature, f): variance of each feature between classes over that within them. Each class gives one row of sums; rows with
+    a null label, and null values, are left out. Null where nothing varies within classes."""
+    sums = df.where(F.col(label).isNotNull()).groupBy(label).agg(*[e for i, c in enumerate(features) for e in (F.count(c).alias(f"n{i}"), F.avg(c).alias(f"m{i}"), (F.var_pop(c) * F.count(c)).alias(f"q{i}"))])
+
+    def ratio(i: int):
+        n, m, q = F.col(f"n{i}"), F.col(f"m{i}"), F.col(f"q{i}")
+        between = F.sum(n * m * m) - F.sum(n * m) * F.sum(n * m) / F.sum(n)
+        k = F.count(m)
+        return F.try_divide(F.try_divide(between, (k - 1).cast("double")), F.try_divide(F.sum(q), (F.sum(n) - k).cast("double")))
+
+    found = sums.agg(F.array(*[F.struct(F.lit(c).alias("feature"), ratio(i).alias("f")) for i, c in enumerate(features)]).alias("found"))
+    return found.select(F.inline("found"))
+
+
 def random_intercepts(df: DataFrame, group: str, residual: str, steps: int = 10) -> DataFrame:
     """(group, n, s, q, effect) by EM on each group's count, sum and sum of squares; rows are read once.
 

@@ -26,12 +26,13 @@ def _literal(value, order: list[str], schema) -> Column:
 def with_range(rows: DataFrame, order: list[str], name: str = "__b") -> DataFrame:
     """Adds a range number that rises with the order columns (ascending, nulls first).
 
-    A fixed sample by hash gives bounds over the whole tuple, so rows that agree in the first column are spread too.
-    The driver sees SAMPLED values for each shuffle partition. A row's range depends on its values alone, so a task that
-    runs again gives the same. Rows that agree in all order columns share a range.
+    A sample of rows by hash gives bounds over the whole tuple, so rows that agree in the first column are spread too;
+    a row's place is part of its hash, so copies of one tuple take their share of the sample and no more. The driver sees
+    SAMPLED values for each shuffle partition. Once there are bounds, a row's range depends on its values alone, so a
+    task that runs again gives the same. Rows that agree in all order columns share a range.
     """
     parts = min(MOST, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sample = rows.select(*order).orderBy(F.xxhash64(*order), *order).limit(SAMPLED * parts).collect()
+    sample = rows.select(*order).orderBy(F.xxhash64(*order, F.monotonically_increasing_id()), *order).limit(SAMPLED * parts).collect()
     found = sorted(map(tuple, sample), key=lambda row: [(v is not None, v != v, v if v == v else 0) for v in row])[SAMPLED - 1 :: SAMPLED]
     bounds = [_literal(b, order, rows.schema) for b in dict.fromkeys(found)]
     value = F.struct(*order)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kadenz.operators.ordering import running
+from kadenz.operators.ordering import numbered, running
 from kadenz.operators.splits import PRIME, portable_hash
 from kadenz.session import written
 
@@ -33,7 +33,7 @@ def bootstrap_mean(df: DataFrame, value: Column, key: str, draws: int, level: fl
 
 def clustered_bootstrap(per_cluster: DataFrame, value: str, cluster: str, draws: int, level: float = 0.95) -> DataFrame:
     """Resamples cluster values with replacement: in each draw as many picks as clusters, each pick by hash."""
-    values = per_cluster.select(F.row_number().over(Window.orderBy(cluster)).alias("i"), F.col(value).alias("v"))  # one row per cluster
+    values = written(numbered(per_cluster.select(cluster, F.col(value).alias("v")), [cluster], "i").select(F.col("i").cast("int").alias("i"), "v"), "cluster-values")
     n = values.count()
     picks = per_cluster.sparkSession.range(draws * n).select((F.col("id") / n).cast("long").alias("draw"), (portable_hash("id", 3) % max(1, n) + 1).cast("int").alias("i"))
     means = picks.join(values, "i").groupBy("draw").agg(F.avg("v").alias("m"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kadenz.operators.ordering import running
+from kadenz.operators.ordering import running, with_range
 
 #: Statistic by name. std, var and iqr of fewer than two values are 0.
 STATISTICS = {
@@ -111,10 +111,18 @@ def context_pool(df: DataFrame, value: Column, before: int, name: str, key: str,
 
 
 def running_best(df: DataFrame, value: str, order: str, patience: int) -> DataFrame:
-    """Adds best, best_epoch and stop (no better value for more than `patience` steps); one row per epoch is meant."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    at = F.max_by(order, value).over(w)
-    return df.select("*", F.max(value).over(w).alias("best"), at.alias("best_epoch"), (F.col(order) - at > patience).alias("stop"))
+    """Adds best, best_epoch and stop (no better value for more than `patience` steps). Ranges of the order, with one row each for
+    what came before, keep the rows of all epochs out of one task."""
+    placed = with_range(df, [order])
+    w = Window.partitionBy("__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    # of equal values the later epoch, as in one frame over all rows
+    top = lambda v, o: F.struct(F.col(v).alias("v"), F.col(o).alias("o"))
+    ends = placed.where(F.col(value).isNotNull()).groupBy("__b").agg(F.max(top(value, order)).alias("m"))
+    ahead = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    before = placed.select("__b").distinct().join(ends, "__b", "left").select(F.col("__b").alias("__c"), F.max("m").over(ahead).alias("__m"))
+    own = placed.withColumn("__own", F.max(F.when(F.col(value).isNotNull(), top(value, order))).over(w))
+    met = own.join(before, F.col("__b") == F.col("__c")).withColumn("__best", F.greatest("__own", "__m"))
+    return met.select(*df.columns, F.col("__best.v").alias("best"), F.col("__best.o").alias("best_epoch"), (F.col(order) - F.col("__best.o") > patience).alias("stop"))
 
 
 def median_step(df: DataFrame, key: str = "rec_id", order: str = "t") -> DataFrame:

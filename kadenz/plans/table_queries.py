@@ -437,6 +437,15 @@ def m5(spark, sf_dir):
     return L.f_statistics(V.wide(spark, sf_dir), ["acoustic_qty", "vision_disc"], "y").select("feature", F.round("f", 3).alias("f"))
 
 
+_ANOVA = "SELECT '{0}' AS feature, round((sum(n * m * m) - sum(n * m) ** 2 / sum(n)) / (count(*) - 1) / (sum(q) / (sum(n) - count(*))), 3) AS f FROM (SELECT meta_id % 4 AS k, count(*) AS n, avg({0}) AS m, var_pop({0}) * count(*) AS q FROM wide GROUP BY k)"
+
+
+@query("m5_f_of_classes", V.sql(" " + " UNION ALL ".join(_ANOVA.format(c) for c in ("acoustic_qty", "vision_disc", "y")), "wide"))
+def m5_classes(spark, sf_dir):
+    rows = V.wide(spark, sf_dir).withColumn("k", F.col("meta_id") % 4)
+    return L.anova_f(rows, ["acoustic_qty", "vision_disc", "y"], "k").select("feature", F.round("f", 3).alias("f"))
+
+
 @query("m12_random_intercepts", V.sql(", g AS (SELECT cluster, count(*) AS n, sum(y - h) AS s, sum((y - h) ** 2) AS q FROM pred GROUP BY cluster), p0 AS (SELECT 1.0::DOUBLE AS s2, 1.0::DOUBLE AS d)" + "".join(f", b{k} AS (SELECT g.*, d * s / (s2 + n * d) AS b, d * s2 / (s2 + n * d) AS v FROM g, p{k}), p{k + 1} AS (SELECT sum(q - 2 * b * s + n * (b * b + v)) / sum(n) AS s2, avg(b * b + v) AS d FROM b{k})" for k in range(5)) + " SELECT cluster, round(p5.d * s / (p5.s2 + n * p5.d), 6) AS effect FROM g, p5", "pred"))
 def m12(spark, sf_dir):
     return rounded(L.random_intercepts(V.pred(spark, sf_dir).withColumn("r", F.col("y") - F.col("h")), "cluster", "r", 5).select("cluster", "effect"))
