@@ -25,7 +25,9 @@ DAMPING, TOLERANCE, MARGIN = 0.85, 1e-4, 1e-3
 #: The SQL twin only: its written-out rounds, and distrust that it takes for none. It is right on small graphs.
 ROUNDS, LEAST = 10, 0.001
 #: Hosts of absolute links; relative ones stay on their host and give no edge.
-LINK = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
+LINK = r"""(?i)[\s"'/]href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
+#: What goes before links are read: comments, and character references for the two signs that a link's host stands behind.
+CLEARED = ((r"(?s)<!--.*?(?:-->|\z)", " "), (r"(?i)&(?:#0*58|#x0*3a|colon);", ":"), (r"(?i)&(?:#0*47|#x0*2f|sol);", "/"))
 
 
 def _low(c: Column) -> Column:
@@ -52,8 +54,12 @@ def matching_rule(rules=RULES) -> tuple[Column, Column]:
 
 
 def host_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """(src, dst, w) from the column host and the page's links; w: links. Counts meet per task before the shuffle."""
-    links = pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all(F.coalesce(html_col, F.lit("")), F.lit(LINK), 1)).alias("dst"))
+    """(src, dst, w) from the column host and the page's links; w: links. Counts meet per task before the shuffle.
+
+    A link is an href of its own, not data-href, and not one in a comment.
+    """
+    text = reduce(lambda c, p: F.regexp_replace(c, p[0], p[1]), CLEARED, F.coalesce(html_col, F.lit("")))
+    links = pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all(text, F.lit(LINK), 1)).alias("dst"))
     links = links.withColumn("dst", _low(F.col("dst"))).where("src <> '' AND dst <> '' AND src <> dst")
     return links.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
@@ -115,6 +121,7 @@ def oracle(rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS) -> str:
     fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for v, h, p in sorted(rules, key=lambda r: -len(r[1] + r[2]))]
     case = lambda k: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[k]}'" for f in fits) + " END"
     link = LINK.replace("'", "''")
+    text = reduce(lambda c, p: f"regexp_replace({c}, '{p[0]}', '{p[1]}', 'g')", CLEARED, "coalesce(html, '')")
     steps = []
     for name, seed, a, b in (("t", "a > b", "src", "dst"), ("d", "b > a", "dst", "src")):
         steps.append(f"{name}p AS (SELECT {a} AS s, {b} AS d, w / sum(w) OVER (PARTITION BY {a}) AS p FROM e)")
@@ -125,7 +132,7 @@ def oracle(rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS) -> str:
     return f"""
         WITH u AS (SELECT page_id, html, {low("regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
         j AS (SELECT *, {case(1)} AS rule, {case(2)} AS ruled FROM u),
-        l AS (SELECT host AS src, {low("unnest(regexp_extract_all(coalesce(html, ''), '" + link + "', 1))")} AS dst FROM u),
+        l AS (SELECT host AS src, {low("unnest(regexp_extract_all(" + text + ", '" + link + "', 1))")} AS dst FROM u),
         e AS (SELECT src, dst, count(*)::DOUBLE AS w FROM l WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
         k AS (SELECT host, count(*) FILTER (ruled = 'allow') AS a, count(*) FILTER (ruled = 'block') AS b FROM j WHERE host <> '' GROUP BY host),
         {plus},

@@ -3,6 +3,8 @@ import re
 import time
 
 import duckdb
+import numpy as np
+import pytest
 
 from kadenz.llm import html_extract as H
 from kadenz.llm import queries
@@ -155,6 +157,32 @@ def test_trust_spreads_over_links(spark):
     assert U.url_filter(pages.where("false")).count() == 0
 
 
+def test_links_that_count(spark):
+    rows = [("x.org", "<a href=//A.net/1><!-- <a href='//b.net'> --><a data-href='//c.net'><a\nhref='https&#58;//d.net'><a class=k href=\"http:&#x2F;&#47;e.net/\"><!-- <a href=//f.net>")]
+    got = U.host_edges(spark.createDataFrame(rows, "host string, html string")).collect()
+    assert sorted(r.dst for r in got) == ["a.net", "d.net", "e.net"]
+
+
+def test_ranks_are_those_of_the_power_method(spark):
+    rng = np.random.default_rng(9)
+    n = 300
+    found = {(int(a), int(b)): float(w) for a, b, w in zip(rng.integers(0, n, 2000), rng.zipf(1.3, 2000) % n, rng.integers(1, 9, 2000), strict=True) if a != b}
+    seeds = rng.choice(n, 12, replace=False)
+    m = np.zeros((n, n))
+    for (a, b), w in found.items():
+        m[b, a] = w
+    m = m / np.maximum(m.sum(0), 1e-300)
+    start = np.zeros(n)
+    start[seeds] = 1.0
+    rank = np.zeros(n)
+    for _ in range(500):
+        rank = (1 - U.DAMPING) * start + U.DAMPING * m @ rank
+    edges = spark.createDataFrame([(f"h{a}", f"h{b}", w) for (a, b), w in found.items()], "src string, dst string, w double")
+    got = {r.host: r["rank"] for r in U.propagate(edges, spark.createDataFrame([(f"h{i}", 1.0) for i in seeds], "host string, s double")).collect()}
+    assert {h for h in got} == {f"h{i}" for i in range(n) if rank[i] > 0}
+    assert all(got[h] == pytest.approx(rank[int(h[1:])], rel=2e-3) for h in got)
+
+
 def test_large_farms_and_long_chains_are_blocked(spark):
     """More linkers than an absolute cut-off lets through, and hosts further away than a fixed number of rounds reaches."""
     a = lambda h: f'<a href="https://{h}/x">'
