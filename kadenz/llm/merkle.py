@@ -97,9 +97,9 @@ def proofs(found: list[DataFrame], above: DataFrame, fanout: int = FANOUT) -> Da
     known = None
     for level in reversed(found):
         tops, inner = level.where("NOT own"), level.where("own")
-        here = tops.join(above, _same(tops, above, "grp")).select(*[tops[c] for c in level.columns], *[above[c] for c in carried])
+        here = tops.join(above.hint("merge"), _same(tops, above, "grp")).select(*[tops[c] for c in level.columns], *[above[c] for c in carried])
         if known is not None:
-            here = here.unionByName(inner.join(known, _same(inner, known, "grp", "pos")).select(*[inner[c] for c in level.columns], *[known[c] for c in carried]))
+            here = here.unionByName(inner.join(known.hint("merge"), _same(inner, known, "grp", "pos")).select(*[inner[c] for c in level.columns], *[known[c] for c in carried]))
         if level is found[0]:
             return here
         here = stage(here, "merkle-steps")
@@ -151,7 +151,8 @@ def manifest(rows: DataFrame, fields: list[str], id_col: str = "doc_id", group_c
 def _down(leaves: DataFrame, parents: DataFrame, fanout: int) -> DataFrame:
     """The leaves with their parents' columns, and with their own step before those above."""
     left = leaves.withColumnsRenamed({"grp": "of", "pos": "at"})
-    met = left.join(parents, left["of"].eqNullSafe(parents["grp"]) & (F.floor(left["at"] / fanout) == parents["pos"]))
+    # paths compress so well that their files say little about the size of a broadcast
+    met = left.join(parents.hint("merge"), left["of"].eqNullSafe(parents["grp"]) & (F.floor(left["at"] / fanout) == parents["pos"]))
     slot = F.pmod(F.col("at"), F.lit(fanout)).cast("int")
     steps = F.when(F.col("own"), F.concat(F.array(_around(slot, fanout)), F.col("steps"))).otherwise(F.col("steps"))
     return met.withColumn("steps", steps).drop("own", "of", "at", "pos", *_slots(fanout))
