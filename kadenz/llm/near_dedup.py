@@ -9,7 +9,11 @@ Lists are joined in two steps, so that a group of n near copies does not give n
 of a list is paired with the list's most central member. Candidates that the estimate from the union's sketch
 lets through are verified on the full shingle sets, and the links give components. Second, members of a list
 that are still in different components are paired with each other: short lists by a join, long ones in
-blocks of bounded size, where the estimate is taken before a pair leaves the task.
+blocks of bounded size, where the estimate is taken before a pair leaves the task. Of a long list the members of its
+largest component meet those outside it only, so a list that is nearly one component costs little more than its rows.
+
+The sketches are a statistical filter. `exact` takes whole sets in their place: then the prefix that two sets at the
+threshold must share follows from their sizes alone, the estimate is the similarity itself, and no link is lost.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ SLACK = 6.0
 SHORT, BLOCK, SHINGLES = 32, 4096, 2_000_000
 #: Ids that may be broadcast, once they are counted.
 BROADCAST = 20_000
+#: A sketch of this size is the whole set.
+WHOLE = 2**31 - 1
 #: Fills short sketches; no value reaches it but by a chance of one in 2^64.
 PAD = np.iinfo(np.int64).max
 SKETCH = "__id long, tag long, n long, s1 long, s2 long, sketch array<long>"
@@ -130,7 +136,7 @@ def _blocks(size: int, k: int, percent: int, least: float):
             cache = W.WordHashes()
             sets = [shingles(t, size, cache) for t in table.column("__text").to_pylist()]
             entries = [np.array(x, np.int64) for x in table.column("entries").to_pylist()]
-            sketch = np.full((len(sets), k), PAD)
+            sketch = np.full((len(sets), min(k, int(n.max()))), PAD)
             for i, s in enumerate(sets):
                 sketch[i, : min(k, len(s))] = s[:k]
             flat, owner = _flat([sets[r] for r in right])
@@ -156,9 +162,11 @@ def _blocks(size: int, k: int, percent: int, least: float):
 class NearDuplicates:
     """The job's written tables and steps; near_duplicates() runs them. A class has a number, cid, that its table fixes."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, k: int = K):
-        self.size, self.percent, self.k = size, percent, k
-        self.least = percent / 100 - SLACK * ((percent / 100) * (1 - percent / 100) / k) ** 0.5
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, k: int = K, exact: bool = False):
+        k = WHOLE if exact else k
+        self.size, self.percent, self.k, self.exact = size, percent, k, exact
+        # whole sets have no error but that of the division
+        self.least = percent / 100 - (1e-9 if exact else SLACK * ((percent / 100) * (1 - percent / 100) / k) ** 0.5)
         # the tag tells the texts of a repeated id apart
         self.texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("__text"))
         self.all = stage(self.texts.mapInArrow(_sketches(size, k), SKETCH), "sketches")
@@ -174,7 +182,8 @@ class NearDuplicates:
         often = each.groupBy("v").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
         shared = each.join(often, "v").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("l"))
         # the values no one else has come first in the order from rare to frequent
-        take = k - F.ceil(k * SHARE) + 1 - (k - F.size("l"))
+        common = F.floor((k * self.percent + 99) / 100) if self.exact else F.ceil(k * SHARE)
+        take = k - common + 1 - (k - F.size("l"))
         entries = shared.where(take > 0).select("cid", "n", F.size("l").alias("m"), F.explode(F.slice("l", F.lit(1), take.cast("int"))).alias("e"))
         return stage(entries.select(F.col("e.v").alias("v"), "cid", "n", "m", F.col("e.f").alias("f")), "lists")
 
@@ -219,17 +228,22 @@ class NearDuplicates:
         """Links between members of a list that are in different components."""
         named = lists.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).select("v", "cid", "n", "f", "comp")
         named = stage(named, "named-lists")
-        lists = named.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("g"), F.sum("n").alias("shingles"))
-        mixed = stage(lists.where("lo < hi AND g > 2").select("v", "g", "shingles"), "mixed-lists")  # a list of two is its centre's pair
+        parts = named.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("shingles"))
+        lists = parts.groupBy("v").agg(F.count(F.lit(1)).alias("comps"), F.sum("g").alias("g"), F.sum("shingles").alias("shingles"), F.max(F.struct("g", "comp", "shingles")).alias("most"))
+        mixed = stage(lists.where("comps > 1 AND g > 2").select("v", "g", "shingles", "most"), "mixed-lists")  # a list of two is its centre's pair
         open_ = named.join(mixed, "v")
         short = open_.where(F.col("g") <= SHORT).select("v", "cid", "n", "comp")
         other = short.select("v", F.col("cid").alias("oid"), F.col("n").alias("on"), F.col("comp").alias("ocomp"))
         met = short.join(other, "v").where((F.col("cid") > F.col("oid")) & (F.col("comp") != F.col("ocomp")) & self.similar_sizes("n", "on"))
         near = self.passing(met.select(F.col("cid").alias("a"), F.col("oid").alias("b")).distinct().join(self.tested, ["a", "b"], "left_anti"))
-        blocks = F.greatest(F.ceil(F.col("g") / BLOCK), F.ceil(F.col("shingles") / SHINGLES))
-        long = stage(open_.where(F.col("g") > SHORT), "long-lists").withColumn("nb", blocks).withColumn("blk", F.pmod(F.xxhash64("cid"), "nb"))
-        # each block meets every other block of its list once, as the left or the right side
-        long = long.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+        blocks = lambda g, shingles: F.greatest(F.lit(1), F.ceil(g / BLOCK), F.ceil(shingles / SHINGLES))
+        inside = blocks(F.col("most.g"), F.col("most.shingles"))
+        outside = blocks(F.col("g") - F.col("most.g"), F.col("shingles") - F.col("most.shingles"))
+        long = stage(open_.where(F.col("g") > SHORT), "long-lists").withColumns({"in": inside, "out": outside, "own": F.col("comp") == F.col("most.comp")})
+        # blocks from 0 on hold what is outside the largest component, those behind them its members
+        long = long.withColumn("blk", F.when(F.col("own"), F.col("out") + F.pmod(F.xxhash64("cid"), "in")).otherwise(F.pmod(F.xxhash64("cid"), "out")))
+        # a block outside meets every block of its list once, as the left or the right side; one inside meets those outside
+        long = long.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("own"), F.col("out")).otherwise(F.col("out") + F.col("in")) - 1)))
         long = long.select("v", "cid", "n", "comp", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), (F.col("blk") > F.col("o")).cast("int").alias("side"))
         members = stage(long.select("cid").distinct(), "long-members")
         entries = named.join(members, "cid", "left_semi").groupBy("cid").agg(F.transform(F.sort_array(F.collect_list(F.struct("f", "v"))), lambda e: e.v).alias("entries"))
@@ -252,7 +266,7 @@ class NearDuplicates:
         return stage(own.join(least, "group").select("s1", "s2", "n", "component"), "class-components")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, k: int = K) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, k: int = K, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row: documents linked by similar shingle sets.
 
     Words are lowered in A-Z only. A link needs 100 * common shingles >= percent * shingles of either, on the
@@ -264,7 +278,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     part: component_id is null and the row is kept. Rows that repeat an id are one document, which has the
     links of all its texts. An empty table gives an empty result.
     """
-    job = NearDuplicates(docs, id_col, text_col, size, percent, k)
+    job = NearDuplicates(docs, id_col, text_col, size, percent, k, exact)
     lists = job.lists()
     first = job.links(job.passing(job.pairs_with_centres(lists)))
     second = job.links_across(lists, components(first))

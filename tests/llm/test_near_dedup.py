@@ -41,8 +41,8 @@ def test_whole_table_against_brute_force(spark):
     assert sum(not r.kept for r in rows) > 20
 
 
-@pytest.mark.parametrize("short", [near_dedup.SHORT, 3])
-def test_large_groups_and_boilerplate(spark, monkeypatch, short):
+@pytest.mark.parametrize(("short", "exact"), [(near_dedup.SHORT, False), (3, False), (3, True)])
+def test_large_groups_and_boilerplate(spark, monkeypatch, short, exact):
     """Groups of near copies, chains of copies, and a passage in many unrelated texts."""
     monkeypatch.setattr(near_dedup, "SHORT", short)
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
@@ -64,10 +64,23 @@ def test_large_groups_and_boilerplate(spark, monkeypatch, short):
     texts += [line + [word() for _ in range(rng.randint(3, 60))] for _ in range(120)]
     rng.shuffle(texts)
     docs = [(i * 3 + 1, " ".join(t)) for i, t in enumerate(texts)]
-    got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), size=5).collect()
+    got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), size=5, exact=exact).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(docs, 5, 80)
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_pairs_right_at_the_threshold(spark, exact):
+    """Pairs with 80 of 100 words in common, which are links, and with 79 of 100, which are none."""
+    docs = []
+    for p in range(400):
+        common = 80 - p % 2
+        words = [f"p{p}w{i}" for i in range(100)]
+        docs += [(2 * p, " ".join(words[: common + 10])), (2 * p + 1, " ".join(words[:common] + words[common + 10 :]))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), size=1, exact=exact).collect()
+    linked = {r.doc_id // 2 for r in got if not r.kept}
+    assert linked == set(range(0, 400, 2))
+
+
 def test_odd_rows(odd, none):
     got = near_dedup.near_duplicates(odd, size=4).collect()
     assert len(got) == odd.count()
