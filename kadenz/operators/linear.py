@@ -15,8 +15,8 @@ from kadenz.operators.splits import portable_hash
 from kadenz.session import written
 
 
-def _vector(features: list[str], *more: str) -> Column:
-    return F.array(*[F.col(f"`{c}`").cast("double") for c in [*features, *more]])
+def _vector(features: list[str] | str, *more: str) -> Column:
+    return F.col(features) if isinstance(features, str) else F.array(*[F.col(f"`{c}`").cast("double") for c in [*features, *more]])
 
 
 def fold_products(df: DataFrame, features: list[str], y: str, fold: str) -> dict[int, np.ndarray]:
@@ -38,10 +38,18 @@ def _about_means(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarr
     return n, mean, c[:-1, :-1], c[:-1, -1]
 
 
+def solved(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a^-1 b for symmetric matrices without negative eigenvalues, or stacks of them; directions of none are left at 0."""
+    size, base = np.linalg.eigh(a)
+    found = np.einsum("...ji,...j->...i", base, b)
+    kept = size > 1e-13 * np.maximum(size[..., -1:], 1e-300)
+    return np.einsum("...ij,...j->...i", base, np.where(kept, found / np.where(kept, size, 1.0), 0.0))
+
+
 def ridge(m: np.ndarray, penalty: float) -> np.ndarray:
     """(intercept, coefficients) of the least sum of squares + penalty * |coefficients|^2; the intercept is free."""
     _, mean, xx, xy = _about_means(m)
-    b = np.linalg.solve(xx + penalty * np.eye(len(xx)), xy)
+    b = solved(xx + penalty * np.eye(len(xx)), xy)
     return np.concatenate([[mean[-1] - mean[:-1] @ b], b])
 
 
@@ -106,9 +114,12 @@ def selected(df: DataFrame, features: list[str], y: str, penalties: list[float],
 
 @dataclass
 class Machines:
-    """Support vector machines: coefficients [C][class or 1][features + 1], the constant last, and their objectives."""
+    """Support vector machines: coefficients [C][class or 1][features + 1], the constant last, and their objectives.
+
+    features: columns, or the name of one array column.
+    """
 
-    features: list[str]
+    features: list[str] | str
     cs: list[float]
     classes: list[float] | None
     coefficients: np.ndarray
@@ -117,7 +128,9 @@ class Machines:
     def predict(self, df: DataFrame, c: float, name: str = "h") -> DataFrame:
         """Adds the prediction of the machine for C = c: the class with the largest margin (of ties the first), or the value."""
         w = self.coefficients[self.cs.index(c)]
-        margin = lambda k: sum((F.col(f"`{f}`").cast("double") * float(x) for f, x in zip(self.features, w[k], strict=False)), F.lit(float(w[k][-1])))
+        x = _vector(self.features)
+        weighed = lambda k: F.zip_with(x, F.lit(w[k][:-1].tolist()), lambda a, b: a * b)
+        margin = lambda k: F.aggregate(weighed(k), F.lit(float(w[k][-1])), lambda s, v: s + v)
         if self.classes is None:
             return df.withColumn(name, margin(0))
         if len(self.classes) == 2:
@@ -127,21 +140,24 @@ class Machines:
         return df.withColumn(name, F.when(F.array_max(margins).isNotNull(), F.element_at(F.array(*map(F.lit, self.classes)), at)))
 
 
-def machines(df: DataFrame, features: list[str], y: str, cs: list[float], classify: bool = True, epsilon: float = 0.1, balanced: bool = False, weight: str | None = None, steps: int = 50, tolerance: float = 1e-8) -> Machines:
+def machines(df: DataFrame, features: list[str] | str, y: str, cs: list[float], classify: bool = True, epsilon: float = 0.1, balanced: bool = False, weight: str | None = None, steps: int = 50, tolerance: float = 1e-8) -> Machines:
     """Linear machines with squared hinge loss, one class against the rest, or with squared epsilon-insensitive loss, for all cs at once.
 
     The least of |w|^2 / 2 + C * sum of weight * loss, w with the constant. A Newton step needs a gradient and a matrix per
     machine, which tasks sum over their rows; step lengths are tried for all machines in one more read. The number of reads
     does not depend on how many machines there are. Two classes need one machine. balanced: a class weighs as if all
-    were equally frequent. Rows with a null are left out; features should be of like scale, as for any such machine.
+    were equally frequent. features: columns, or one column of arrays of a length. Rows with a null are left out; features should be of like scale, as for any such machine.
     """
-    rows = df.dropna(subset=[*features, y, *([weight] if weight else [])]).select(_vector(features).alias("x"), F.col(y).cast("double").alias("y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
+    rows = df.dropna(subset=[*([features] if isinstance(features, str) else features), y, *([weight] if weight else [])]).select(_vector(features).alias("x"), F.col(y).cast("double").alias("y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
     rows = written(rows, "machine-rows")
     counts = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()} if classify else {}  # one row per class
     classes = sorted(counts) if classify else None
     k = 1 if not classify or len(classes) <= 2 else len(classes)
     share = {c: sum(counts.values()) / (len(counts) * n) for c, n in counts.items()} if balanced else {}
-    d, grid = len(features) + 1, np.repeat(np.asarray(cs, float), k)
+    first = rows.first()
+    if first is None:
+        raise ValueError("no rows without nulls to learn from")
+    d, grid = len(first.x) + 1, np.repeat(np.asarray(cs, float), k)
     coefficients, objectives = np.zeros((len(grid), d)), np.full(len(grid), np.inf)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -209,7 +225,7 @@ def machines(df: DataFrame, features: list[str], y: str, cs: list[float], classi
         g, h = derivatives(w)
         g = w + cost[:, None] * g
         h = np.eye(d)[None] + cost[:, None, None] * h
-        step = -np.linalg.solve(h, g[:, :, None])[:, :, 0]
+        step = -solved(h, g)
         found = along(w, step, cost)
         best = found.argmin(0)
         objectives[live] = found.min(0)

@@ -131,11 +131,10 @@ class Model:
         self.spec = {"kind": kind, "features": features, "y": y, "weight": weight, "members": members, "options": options}
         self.parts: list = []
 
-    def _prepared(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
+    def _prepared(self, df: DataFrame) -> tuple[DataFrame, list[str] | str]:
         s = self.spec
         if s["kind"] == "rbf":
-            learned = Nystroem.of_lists(s["nystroem"])
-            return learned.transform(df, "__f"), learned.columns("__f")
+            return Nystroem.of_lists(s["nystroem"]).transform(df, "__kernel"), "__kernel"
         if s["kind"] in self.MACHINES:
             scaled = [((F.col(f"`{c}`") - m) / d).alias(f"__z{i}") for i, (c, m, d) in enumerate(zip(s["features"], s["means"], s["deviations"], strict=True))]
             return df.select("*", *scaled), [f"__z{i}" for i in range(len(scaled))]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows that landmarks are drawn from, on the driver; the sample's bound, whatever the table.
-CANDIDATES = 2048
+CANDIDATES = 1024
 
 
 def kernel(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
@@ -35,29 +35,27 @@ class Nystroem:
     def rank(self) -> int:
         return self.root.shape[1]
 
-    def columns(self, prefix: str = "f") -> list[str]:
-        return [f"{prefix}{i}" for i in range(self.rank)]
-
     def mapped(self, x: np.ndarray) -> np.ndarray:
         """Features of raw rows; their inner products are close to the kernel."""
         return kernel((x - np.array(self.means)) / np.array(self.deviations), self.landmarks, self.gamma) @ self.root
 
-    def transform(self, df: DataFrame, prefix: str = "f") -> DataFrame:
-        """Adds the features as columns; those of rows with a null are null."""
+    def transform(self, df: DataFrame, name: str = "kernel") -> DataFrame:
+        """Adds the features as one array; that of a row with a null is null."""
         kept, kinds = df.columns, dict(df.dtypes)
         inner = [f"__k{i}" for i in range(len(kept))]
         rows = df.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(kept, inner, strict=True)], F.array(*[F.col(f"`{c}`").cast("double") for c in self.features]).alias("__x"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                flat = b.column("__x").flatten()
-                x = flat.to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, len(self.features))
+                x = b.column("__x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, len(self.features))
                 none = np.isnan(x).any(1)
-                made = self.mapped(np.where(none[:, None], 0.0, x))
-                yield pa.RecordBatch.from_arrays([*[b.column(i) for i in inner], *[pa.array(c, mask=none) for c in made.T]], names=[*inner, *[f"__f{i}" for i in range(self.rank)]])
+                made = self.mapped(x[~none])
+                ends = np.concatenate([[0], np.cumsum(~none) * self.rank]).astype(np.int32)
+                arrays = pa.ListArray.from_arrays(pa.array(ends), pa.array(made.ravel()), mask=pa.array(none))
+                yield pa.RecordBatch.from_arrays([*[b.column(i) for i in inner], arrays], names=[*inner, "__f"])
 
-        schema = ", ".join([*[f"{i} {kinds[c]}" for c, i in zip(kept, inner, strict=True)], *[f"__f{i} double" for i in range(self.rank)]])
-        return rows.mapInArrow(run, schema).toDF(*kept, *self.columns(prefix))
+        schema = ", ".join([*[f"{i} {kinds[c]}" for c, i in zip(kept, inner, strict=True)], "__f array<double>"])
+        return rows.mapInArrow(run, schema).toDF(*kept, name)
 
     def as_lists(self) -> dict:
         return asdict(self) | {"landmarks": self.landmarks.tolist(), "root": self.root.tolist()}
@@ -84,7 +82,9 @@ def learn(df: DataFrame, features: list[str], rank: int = 128, gamma: float | No
     found = rows.orderBy(F.xxhash64(*features), *features).limit(candidates).collect()
     x = np.unique((np.array(found, float) - np.array(means)) / np.array(deviations), axis=0)
     k = kernel(x, x, gamma)
-    leverage = np.diag(np.linalg.solve(k + 1e-3 * np.eye(len(x)), k))
+    size, base = np.linalg.eigh(k)
+    size = np.maximum(size, 0.0)
+    leverage = base**2 @ (size / (size + 1e-3))
     noise = np.random.default_rng(seed).gumbel(size=len(x))
     chosen = np.argsort(-(np.log(np.maximum(leverage, 1e-300)) + noise), kind="stable")[:rank]
     values, vectors = np.linalg.eigh(k[np.ix_(chosen, chosen)])

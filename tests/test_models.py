@@ -128,6 +128,20 @@ def test_regression_machines_reach_the_least_objective(spark):
     assert fit.predict(df, 10.0).agg(F.sqrt(F.avg(F.pow(F.col("y") - F.col("h"), F.lit(2)))).alias("e")).first().e < 0.25
 
 
+def conjugate(a, b):
+    """a^-1 b by conjugate gradients."""
+    x, r = np.zeros(len(b)), b.copy()
+    p = r.copy()
+    for _ in range(500):
+        ap = a @ p
+        step = r @ r / (p @ ap)
+        x, new = x + step * p, r - step * ap
+        if np.sqrt(new @ new) < 1e-9:
+            break
+        p, r = new + (new @ new) / (r @ r) * p, new
+    return x
+
+
 def test_rbf_machine_is_near_the_exact_kernel_machine(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(2000, 2))
@@ -143,8 +157,8 @@ def test_rbf_machine_is_near_the_exact_kernel_machine(spark):
     for _ in range(30):
         on = sign * (k @ beta) < 1
         new = np.zeros(2000)
-        new[on] = np.linalg.solve(k[np.ix_(on, on)] + 0.5 * np.eye(on.sum()), sign[on])
-        if np.allclose(new, beta):
+        new[on] = conjugate(k[np.ix_(on, on)] + 0.5 * np.eye(on.sum()), sign[on])
+        if np.allclose(new, beta, atol=1e-4):
             break
         beta = new
     exact = (((nystroem.kernel((held - m) / s, (x - m) / s, 0.5) + 1) @ beta > 0) == (truth == 1)).mean()
@@ -159,7 +173,7 @@ def test_more_landmarks_come_nearer_to_the_kernel(spark):
     errors = [nystroem.learn(df, ["a", "b", "c", "d"], n).error for n in (8, 32, 128)]
     assert errors[0] > errors[1] > errors[2]
     out = nystroem.learn(df, ["a", "b"], 8).transform(df.withColumn("a", F.when(F.col("b") > 0, F.col("a"))))
-    assert out.count() == 1500 and out.where("a IS NULL AND f0 IS NOT NULL").count() == 0
+    assert out.count() == 1500 and out.where("(a IS NULL) <> (kernel IS NULL)").count() == 0
 
 
 def test_grid_search_equals_fits_on_rows(spark):
@@ -218,3 +232,19 @@ def test_bootstrap_weights_and_scores(spark):
     assert B.intervals(B.interval_scores(df.where("false"), "id", "y", {"1": "h"}, 5)).count() == 0
     one = B.intervals(B.interval_scores(df, "id", "y", {"1": "h"}, 50)).collect()
     assert {r.model for r in one} == {"1"} and all(r.lower <= r.center <= r.upper for r in one)
+
+
+def test_forest_and_networks_find_what_is_planted(spark):
+    """Steps and their product on two of four features: held-out rows are told apart nearly as well as noise allows."""
+    rng = np.random.default_rng(12)
+    make = lambda n: rng.uniform(size=(n, 4))
+    steps = lambda x: 3 * (x[:, 0] > 0.5) + 2 * (x[:, 1] > 0.7) * (x[:, 0] > 0.5)
+    train, held = make(3000), make(1000)
+    columns = lambda x, **more: frame(spark, a=x[:, 0], b=x[:, 1], c=x[:, 2], d=x[:, 3], **more)
+    model = L.Model("forest", ["a", "b", "c", "d"], "y", numTrees=20, maxDepth=6, seed=3).fit(columns(train, y=steps(train) + rng.normal(0, 0.2, 3000)))
+    assert model.metric(columns(held, y=steps(held).astype(float)), ["rmse"]).first().rmse < 0.3
+    weight = model.parts[0].featureImportances.toArray()
+    assert weight[:2].sum() > 0.95
+    rings = lambda x: (np.hypot(x[:, 0] - 0.5, x[:, 1] - 0.5) < 0.35).astype(float)
+    net = L.Model("ensemble", ["a", "b"], "y", members=3, layers=[2, 10, 2], maxIter=100).fit(columns(train, y=rings(train)))
+    assert net.metric(columns(held, y=rings(held)), ["accuracy"], 2).first().accuracy > 0.95

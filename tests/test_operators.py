@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from kadenz.functions import arrays as A
 from kadenz.functions.user import Transform, transformed
+from kadenz.operators import gram, linear
 from kadenz.operators import intervals as I
 from kadenz.operators import joins as J
 from kadenz.operators import metrics as M
 from kadenz.operators import models as L
+from kadenz.operators import recordings as RE
 from kadenz.operators import resample as R
 from kadenz.operators import signal as G
 from kadenz.operators import splits as X
@@ -103,7 +105,7 @@ def test_splits_are_disjoint_and_cover(spark):
 
 
 def test_bootstrap_is_ordered(spark):
-    b = R.bootstrap_mean(V.pred(spark, SF).limit(500), F.col("y"), "id", 50).first()
+    b = R.bootstrap_mean(V.pred(spark, SF, number=True).limit(500), F.col("y"), "id", 50).first()
     assert b.lower <= b.center <= b.upper
 
 
@@ -151,9 +153,9 @@ def test_nuclei_and_path(spark):
     ship(spark)
     v = [0, 30, 29, 29.5, 0, 20, 0]
     df = spark.createDataFrame([("r", i, float(x)) for i, x in enumerate(v)], "rec_id string, k int, db double")
-    assert rows(G.nuclei(df).select("k")) == [(1,), (5,)]
+    assert rows(RE.nuclei(df).select("k")) == [(1,), (5,)]
     c = spark.createDataFrame([("r", t, float(s), 1.0 if s == 2 else 0.4) for t in range(4) for s in (0, 2, 9)], "rec_id string, k int, lag double, c double")
-    assert [r.lag for r in G.smooth_path(c, "rec_id", "k", "lag", "c", 9.0).orderBy("k").collect()] == [2.0] * 4
+    assert [r.lag for r in RE.smooth_path(c, "rec_id", "k", "lag", "c", 9.0).orderBy("k").collect()] == [2.0] * 4
 
 
 def test_arrays(spark):
@@ -217,10 +219,11 @@ def test_p_of_a_correlation():
 
 
 def test_selection_and_synthetic_tables(spark):
+    ship(spark)
     df = L.synthetic(spark, 400).withColumn("vision_noise", F.randn(99))
     cols = ["vision_s0", "vision_s1", "vision_noise"]
     assert set(L.selected_univariate(df, cols, "y", 0.67)) == {"vision_s0", "vision_s1"}
-    assert set(L.selected_by_model(df, cols, "y", [0.3, 0.2])) == {"vision_s0", "vision_s1"}
+    assert set(linear.selected(df, cols, "y", [0.3, 0.2], "id")[0]) == {"vision_s0", "vision_s1"}
     other = L.synthetic(spark, 50, additive=False).first()
     assert other.y == pytest.approx(other.vision_s0 * other.vision_s1 + other.vision_s2**2)
 
@@ -295,7 +298,7 @@ def test_moments_and_distances_of_clusters(spark):
     rng = np.random.default_rng(3)
     x = {k: rng.normal(k, 1 + k, (50, 3)) for k in (0, 1, 2)}
     df = spark.createDataFrame([(k, v.tolist()) for k, m in x.items() for v in m] + [(1, None)], "label int, v array<double>").repartition(5)
-    for r in L.cluster_moments(df, "label", "v").collect():
+    for r in gram.moments(df, "label", "v").collect():
         assert r.n == 50 and np.allclose(r.mean, x[r.label].mean(0)) and np.allclose(np.reshape(r.cov, (3, 3)), np.cov(x[r.label].T))
     got = {(r.a, r.b): r.distance for r in L.frechet_distances(df, "label", "v").collect()}
     for (a, b), d in got.items():
@@ -310,7 +313,7 @@ def test_models_are_kept_and_measured(spark, tmp_path):
     a, b = rng.normal(size=(2, 500))
     rows = [(float(p), float(q), float(p * p + q * q < 1.2), float(2 * p - q)) for p, q in zip(a, b, strict=True)]
     df = spark.createDataFrame(rows, "a double, b double, inside double, line double")
-    for kind, options, floor in (("rbf", {"maxIter": 40}, 0.9), ("ensemble", {"layers": [2, 8, 2], "maxIter": 60}, 0.85), ("svm", {"maxIter": 10}, 0.0)):
+    for kind, options, floor in (("rbf", {}, 0.9), ("ensemble", {"layers": [2, 8, 2], "maxIter": 60}, 0.85), ("svm", {}, 0.0)):
         m = L.Model(kind, ["a", "b"], "inside", members=2, **options).fit(df)
         assert m.metric(df, ["accuracy"], classes=2).first().accuracy >= floor  # no line separates a disc
         m.save(str(tmp_path / kind))
