@@ -241,7 +241,7 @@ def test_forest_and_networks_find_what_is_planted(spark):
     steps = lambda x: 3 * (x[:, 0] > 0.5) + 2 * (x[:, 1] > 0.7) * (x[:, 0] > 0.5)
     train, held = make(3000), make(1000)
     columns = lambda x, **more: frame(spark, a=x[:, 0], b=x[:, 1], c=x[:, 2], d=x[:, 3], **more)
-    model = L.Model("forest", ["a", "b", "c", "d"], "y", numTrees=20, maxDepth=6, seed=3).fit(columns(train, y=steps(train) + rng.normal(0, 0.2, 3000)))
+    model = L.Model("forest", ["a", "b", "c", "d"], "y", numTrees=20, maxDepth=6, seed=3, featureSubsetStrategy="all", maxBins=512).fit(columns(train, y=steps(train) + rng.normal(0, 0.2, 3000)))
     assert model.metric(columns(held, y=steps(held).astype(float)), ["rmse"]).first().rmse < 0.3
     weight = model.parts[0].featureImportances.toArray()
     assert weight[:2].sum() > 0.95
