@@ -16,8 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kadenz.operators.metrics import nominal_of
-from kadenz.operators.resample import LIMITS
-from kadenz.operators.splits import PRIME
+from kadenz.operators.splits import LIMITS, PRIME
 
 #: Weights that a task works out at once.
 BLOCK = 2_000_000

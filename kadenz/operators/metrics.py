@@ -45,7 +45,7 @@ def interval(df: DataFrame, names: list[str] | None = None, keys: list[str] | No
 
 def median_baseline(df: DataFrame, y: str = "y") -> DataFrame:
     """Mean absolute error of the median predictor. The median comes from running counts of distinct targets, nulls left out."""
-    counts = df.where(F.col(y).isNotNull()).groupBy(y).agg(F.count(F.lit(1)).alias("c"))
+    counts = written(df.where(F.col(y).isNotNull()).groupBy(y).agg(F.count(F.lit(1)).alias("c")), "targets")
     placed = running(counts, [y], {"before": "c"}).crossJoin(F.broadcast(counts.agg(F.sum("c").alias("n"))))  # one row
     at = lambda p: F.max(F.when((F.col("before") <= p) & (p < F.col("before") + F.col("c")), F.col(y).cast("double")))
     m = placed.agg(((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("m"))
@@ -174,7 +174,7 @@ def agreement(cells: DataFrame, ordinal: bool) -> DataFrame:
 def auc(df: DataFrame, positive: Column, score: str = "score", keys: list[str] | None = None) -> DataFrame:
     """(keys, auc): ties count half; null where one class is absent. Scores are counted first, so ranks run over distinct ones."""
     keys = keys or []
-    by = df.groupBy(*keys, score).agg(F.sum(positive.cast("long")).alias("p"), F.sum((~positive).cast("long")).alias("q"))
+    by = written(df.groupBy(*keys, score).agg(F.sum(positive.cast("long")).alias("p"), F.sum((~positive).cast("long")).alias("q")), "scores")
     won = running(by, [score], {"below": "q"}, keys).withColumn("won", F.col("p") * (F.col("below") + F.col("q") / 2.0))
     return won.groupBy(*keys).agg(F.try_divide(F.sum("won"), F.sum("p").cast("double") * F.sum("q").cast("double")).alias("auc"))
 
@@ -182,7 +182,7 @@ def auc(df: DataFrame, positive: Column, score: str = "score", keys: list[str] |
 def auc_one_vs_rest(df: DataFrame, k: int, y: str = "y", score: str = "score") -> DataFrame:
     """(class, auc) of classes 0 to k - 1 against the rest. Scores are counted once, with one column per class, and ordered once."""
     own = [f"__c{i}" for i in range(k)]
-    by = df.groupBy(score).agg(F.count(F.lit(1)).alias("__all"), *[F.count(F.when(F.col(y) == i, 1)).alias(c) for i, c in enumerate(own)])
+    by = written(df.groupBy(score).agg(F.count(F.lit(1)).alias("__all"), *[F.count(F.when(F.col(y) == i, 1)).alias(c) for i, c in enumerate(own)]), "scores")
     below = running(by, [score], {"__below": "__all"} | {f"{c}b": c for c in own})
     won = lambda c: F.sum(F.col(c) * (F.col("__below") - F.col(f"{c}b") + (F.col("__all") - F.col(c)) / 2.0))
     pairs = lambda c: F.sum(c).cast("double") * (F.sum("__all") - F.sum(c)).cast("double")
@@ -192,7 +192,7 @@ def auc_one_vs_rest(df: DataFrame, k: int, y: str = "y", score: str = "score") -
 
 def equal_error_rate(df: DataFrame, positive: Column, score: str = "score") -> DataFrame:
     """Mean of both error rates at the first threshold where they are nearest; scores at or above it are positive."""
-    by = df.groupBy(score).agg(F.sum(positive.cast("long")).alias("p"), F.sum((~positive).cast("long")).alias("q"))
+    by = written(df.groupBy(score).agg(F.sum(positive.cast("long")).alias("p"), F.sum((~positive).cast("long")).alias("q")), "scores")
     rates = running(by, [score], {"below_p": "p", "below_q": "q"}).crossJoin(F.broadcast(by.agg(F.sum("p").alias("tp"), F.sum("q").alias("tq"))))  # one row
     rates = rates.select(score, (F.col("below_p") / F.col("tp")).alias("fnr"), (1 - F.col("below_q") / F.col("tq")).alias("fpr"))
     gap = F.round(F.pow(F.col("fnr") - F.col("fpr"), F.lit(2)), 12)

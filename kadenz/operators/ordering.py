@@ -49,7 +49,9 @@ def with_range(rows: DataFrame, order: list[str], name: str = "__b") -> DataFram
 def running(rows: DataFrame, order: list[str], sums: dict[str, str], keys: list[str] | None = None) -> DataFrame:
     """Adds, under each name, the sum of a column over the rows before, per key; 0 for the first.
 
-    Rows are summed within ranges, and a range starts from the sums of those before it, one row per key and range.
+    Rows are summed within ranges, and a range starts from the sums of those before it. Ranges rise with (keys, order), so
+    of the keys in a range only its first can have rows in earlier ones: the starts that are not 0 are at most one row per
+    range, MOST in all, and are broadcast whatever the number of rows and keys. Rows move once, to their ranges.
     Give an order without ties: rows that tie come in any order.
     """
     keys = keys or []
@@ -57,11 +59,11 @@ def running(rows: DataFrame, order: list[str], sums: dict[str, str], keys: list[
     within = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy(*keys, "__b").agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
     ahead = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*keys, "__b", *[F.coalesce(F.sum(f"__t_{n}").over(ahead), F.lit(0)).alias(f"__s_{n}") for n in sums])
+    starts = totals.select(*keys, "__b", F.count(F.lit(1)).over(ahead).alias("__ranges"), *[F.sum(f"__t_{n}").over(ahead).alias(f"__s_{n}") for n in sums]).where("__ranges > 0")
     own = placed.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"__w_{n}") for n, c in sums.items()])
-    same = [own[k].eqNullSafe(starts[k]) for k in [*keys, "__b"]]
-    met = own.join(starts, same)
-    return met.select(*[own[c] for c in rows.columns], *[(F.col(f"__s_{n}") + F.col(f"__w_{n}")).alias(n) for n in sums])
+    same = [own["__b"] == starts["__b"], *[own[k].eqNullSafe(starts[k]) for k in keys]]
+    met = own.join(F.broadcast(starts), same, "left")  # at most one row per range
+    return met.select(*[own[c] for c in rows.columns], *[(F.coalesce(F.col(f"__s_{n}"), F.lit(0)) + F.col(f"__w_{n}")).alias(n) for n in sums])
 
 
 def numbered(rows: DataFrame, order: list[str], name: str = "id") -> DataFrame:

@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kadenz.operators.bootstrap import weighted_sums
 from kadenz.operators.ordering import numbered, running
-from kadenz.operators.splits import PRIME, portable_hash
+from kadenz.operators.splits import LIMITS, PRIME, portable_hash
 from kadenz.session import written
 
-#: Cumulative chances of Poisson(1) for 0, 1, 2, ... draws, from exp(-1) / k!.
-LIMITS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
-
-
 def poisson_weight(key: str, draw: str) -> Column:
     """Draws of a row in a resample: Poisson(1) from the portable hash, in place of multinomial counts."""
     u = portable_hash(F.pmod(F.col(key).cast("long"), F.lit(PRIME)) * 7919 + F.col(draw) * 104729) / PRIME
@@ -23,10 +20,12 @@ def poisson_weight(key: str, draw: str) -> Column:
 
 
 def bootstrap_mean(df: DataFrame, value: Column, key: str, draws: int, level: float = 0.95) -> DataFrame:
-    """lower, center, upper of the mean of value over Poisson resamples. Each task sums its rows for all draws before the shuffle."""
-    d = df.select(F.col(key), value.alias("v")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    w = poisson_weight(key, "draw")
-    means = d.select("draw", w.alias("w"), "v").groupBy("draw").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
+    """lower, center, upper of the mean of value over Poisson resamples; rows with a null are left out.
+
+    Each task adds its rows up for all draws at once, as a product of weights and values, so rows are never multiplied by draws.
+    """
+    sums = weighted_sums(df, key, {"n": F.lit(1), "v": value}, draws)
+    means = sums.select(F.try_divide("v", "n").alias("m"))
     a = (1 - level) / 2
     return means.agg(F.percentile("m", a).alias("lower"), F.percentile("m", 0.5).alias("center"), F.percentile("m", 1 - a).alias("upper"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kadenz.operators.ordering import running, with_range
+from kadenz.session import written
 
 #: Statistic by name. std, var and iqr of fewer than two values are 0.
 STATISTICS = {
@@ -165,7 +166,7 @@ def eroded(df: DataFrame, flag: str, n: int, key: str = "rec_id", order: str = "
 def mean_ranks(df: DataFrame, column: str, name: str, keys: list[str] | None = None) -> DataFrame:
     """0-based ranks; ties share their mean. Ties are counted before ranking, so the ranking runs over distinct values."""
     keys = keys or []
-    values = df.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("__c"))
+    values = written(df.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("__c")), "values")
     below = running(values, [column], {"__before": "__c"}, keys)
     return df.join(below.select(*keys, column, (F.col("__before") + (F.col("__c") - 1) / 2.0).alias(name)), [*keys, column])
 

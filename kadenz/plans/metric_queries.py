@@ -204,6 +204,7 @@ _U = " ".join(f"WHEN u < {x} THEN {k}" for k, x in enumerate(R.LIMITS))
     SELECT round(quantile_cont(m, 0.025), 6) AS lower, round(quantile_cont(m, 0.5), 6) AS center, round(quantile_cont(m, 0.975), 6) AS upper FROM m
 """, "pred"))
 def r1(spark, sf_dir):
+    ship(spark)
     d = F.col("y") - F.col("h")
     return rounded(R.bootstrap_mean(V.pred(spark, sf_dir, number=True), d * d, "id", 40))
 

@@ -109,6 +109,40 @@ def test_bootstrap_is_ordered(spark):
     assert b.lower <= b.center <= b.upper
 
 
+def test_bootstrap_mean_has_the_weights_of_each_draw(spark):
+    df = spark.createDataFrame([(i, float(i * i % 37)) for i in range(200)] + [(500, None), (None, 3.0)], "id long, v double")
+    long = df.dropna().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(24)))).withColumn("w", R.poisson_weight("id", "draw"))
+    means = sorted(r.m for r in long.groupBy("draw").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m")).collect())
+    b = R.bootstrap_mean(df, F.col("v"), "id", 25).first()
+    assert np.allclose([b.lower, b.center, b.upper], np.quantile(means, [0.025, 0.5, 0.975]))
+    none = R.bootstrap_mean(df.limit(0), F.col("v"), "id", 5).first()
+    assert none.lower is None and none.center is None
+
+
+def test_running_sums_move_rows_once_and_broadcast_a_row_per_range(spark):
+    from kadenz.operators import ordering as O
+
+    # one key with most rows, many of one row each, and a null key
+    data = [(None if i % 11 == 0 else 7 if i % 3 else i, (i * 7919) % 4001, i % 4) for i in range(4000)]
+    df = spark.createDataFrame(data, "g int, x int, w int").repartition(5)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for keys in ([], ["g"]):
+            made = O.running(df, ["x"], {"s": "w"}, keys)
+            plan = made._jdf.queryExecution().sparkPlan().toString()
+            assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+            got = {(r.g, r.x): r.s for r in made.collect()}
+            totals, want = {}, {}
+            for g, x, w in sorted(data, key=lambda r: r[1]):
+                k = g if keys else 0
+                want[g, x] = totals.get(k, 0)
+                totals[k] = totals.get(k, 0) + w
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_numbering_does_not_depend_on_partitions(spark):
     df = spark.range(5000).withColumn("x", F.pmod(F.xxhash64("id"), F.lit(50)))
     want = [(r.id, r.n) for r in df.toPandas().sort_values(["x", "id"]).assign(n=range(1, 5001)).itertuples()]
