@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kadenz.operators.joins import nearest
+from kadenz.operators.recordings import without_noise
 from kadenz.operators.stats import hop_windows
 
 
@@ -69,7 +70,8 @@ def delays(windows: DataFrame, most: int, keys: list[str]) -> DataFrame:
                     best.append(None)
                     continue
                 n = 2 * len(a)
-                cross = np.conj(np.fft.rfft(a - a.mean(), n)) * np.fft.rfft(b - b.mean(), n)
+                a, b = a - a.mean(), b - b.mean()
+                cross = without_noise(np.conj(np.fft.rfft(a, n)) * np.fft.rfft(b, n), np.abs(a).sum() * np.abs(b).sum())
                 c = np.fft.irfft(cross / np.maximum(np.abs(cross), 1e-12), n)
                 span = np.arange(-most, most + 1)
                 k = int(np.argmax(np.abs(c[span])))

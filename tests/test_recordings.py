@@ -1,5 +1,6 @@
 """Recordings in chunks against whole ones."""
 
+import math
 import time
 
 import numpy as np
@@ -131,3 +132,31 @@ def test_nuclei_in_chunks(spark, chunk):
     got = RE.nuclei(df, chunk=chunk).collect()
     for k, v in recordings.items():
         assert sorted(r.k for r in got if r.rec_id == k) == whole_nuclei(v.tolist(), 25.0, 2.0)
+
+
+def test_ties_of_paths_are_decided_by_the_sums_of_the_whole_path(spark):
+    rng = np.random.default_rng(8)  # equal scores everywhere: many paths are equal but for the order of their sums
+    frames = {k: [(np.arange(7.0), np.full(7, [3.0, 7.0, 1.1][k % 3])) for _ in range(12)] for k in range(5)}
+    for f in frames.values():
+        for j in range(len(f)):
+            keep = np.sort(rng.choice(7, 3, replace=False))
+            f[j] = (f[j][0][keep], f[j][1][keep])
+    rows = [(k, 19_720 + 4 * j, float(x), float(c)) for k, f in frames.items() for j, (xs, cs) in enumerate(f) for x, c in zip(xs, cs, strict=True)]
+    df = spark.createDataFrame(rows, "rec_id long, step long, state double, score double").repartition(3)
+    got = RE.smooth_path(df, "rec_id", "step", "state", "score", 7.0).orderBy("rec_id", "step").collect()
+    for k, f in frames.items():
+        total, paths = f[0][1].tolist(), [[x] for x in f[0][0].tolist()]
+        for (before, _), (x, c) in zip(f, f[1:]):  # noqa: B905, RUF007
+            through = [[t + math.log(max(14.7 - abs(b - s), 1e-12)) for t, b in zip(total, before, strict=True)] for s in x]
+            best = [r.index(max(r)) for r in through]
+            total, paths = [r[b] + math.log(s) for r, b, s in zip(through, best, c, strict=True)], [[*paths[b], s] for b, s in zip(best, x.tolist(), strict=True)]
+        assert [r.state for r in got if r.rec_id == k] == paths[total.index(max(total))]
+
+
+def test_components_of_rounding_alone_are_not_whitened(spark):
+    found = set()
+    for scale in (1.0, 0.1, 1e3, 1 / 3, 7e5):  # fewer samples than lags: lags add up to 0, but for rounding
+        a, b = (np.array(v) * scale for v in ([148.36, 120.21, 32.68], [181.15, 58.55, 60.23]))
+        r = RE.delay(series(spark, x=a), series(spark, x=b), 5).first()
+        found.add((r.lag, round(r.c, 9)))
+    assert len(found) == 1
