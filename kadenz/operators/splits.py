@@ -63,10 +63,13 @@ def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
 
 def chunks(df: DataFrame, order: list[str], k: int) -> DataFrame:
     """Adds chunk: k chunks in order, whose sizes differ by at most one, larger ones first."""
-    rows = numbered(df, order, "__rn")
-    n = rows.count()
+    return chunks_of_numbered(numbered(df, order, "__rn"), "__rn", df.count(), k).drop("__rn")
+
+
+def chunks_of_numbered(rows: DataFrame, number: str, n: int, k: int) -> DataFrame:
+    """As chunks, for n rows that have their numbers, from 1, already."""
     small, extra = divmod(n, k)
-    i = F.col("__rn") - 1
+    i = F.col(number) - 1
     big = extra * (small + 1)
     chunk = F.when(i < big, F.floor(i / (small + 1))).otherwise(extra + F.floor((i - big) / max(1, small))) + 1
-    return rows.withColumn("chunk", chunk.cast("int")).drop("__rn")
+    return rows.withColumn("chunk", chunk.cast("int"))
