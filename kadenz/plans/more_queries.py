@@ -271,7 +271,7 @@ def m13(spark, sf_dir):
 @query("m2_learned_scaling", V.sql(", s AS (SELECT avg(vision_tax) AS m, stddev_pop(vision_tax) AS s FROM wide WHERE meta_id % 5 > 1) SELECT id, round(greatest(least((vision_tax - m) / s, 3), -3), 6) AS vision_tax FROM wide, s", "wide"))
 def m2(spark, sf_dir):
     rows = V.wide(spark, sf_dir, number=True).select("id", "meta_id", "vision_tax")
-    learned = P.learn(rows.where("meta_id % 5 > 1"), ["vision_tax"])
+    learned = P.learn(V.wide(spark, sf_dir).where("meta_id % 5 > 1"), ["vision_tax"])  # no numbers needed
     return rounded(P.apply(rows, learned).select("id", "vision_tax"))
 
 
