@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -116,7 +116,7 @@ def selected(df: DataFrame, features: list[str], y: str, penalties: list[float],
 class Machines:
     """Support vector machines: coefficients [C][class or 1][features + 1], the constant last, and their objectives.
 
-    features: columns, or the name of one array column.
+    features: columns, or the name of one array column. mapped: makes of raw rows what the machines weigh, in tasks.
     """
 
     features: list[str] | str
@@ -124,32 +124,67 @@ class Machines:
     classes: list[float] | None
     coefficients: np.ndarray
     objectives: np.ndarray
+    mapped: Callable[[np.ndarray], np.ndarray] | None = None
 
     def predict(self, df: DataFrame, c: float, name: str = "h") -> DataFrame:
         """Adds the prediction of the machine for C = c: the class with the largest margin (of ties the first), or the value."""
         w = self.coefficients[self.cs.index(c)]
-        x = _vector(self.features)
+        if self.mapped is not None:
+            return self._of_mapped(df, w, name)
+        if not isinstance(self.features, str):  # plain sums
+            margin = lambda k: sum((F.col(f"`{f}`").cast("double") * float(a) for f, a in zip(self.features, w[k][:-1], strict=True)), F.lit(float(w[k][-1])))
+            return df.withColumn(name, self._decided(margin))
+        x = F.col(self.features)
         weighed = lambda k: F.zip_with(x, F.lit(w[k][:-1].tolist()), lambda a, b: a * b)
         margin = lambda k: F.aggregate(weighed(k), F.lit(float(w[k][-1])), lambda s, v: s + v)
+        return df.withColumn(name, self._decided(margin))
+
+    def _decided(self, margin) -> Column:
         if self.classes is None:
-            return df.withColumn(name, margin(0))
+            return margin(0)
         if len(self.classes) == 2:
-            return df.withColumn(name, F.when(margin(0) > 0, self.classes[1]).otherwise(self.classes[0]))
+            return F.when(margin(0) > 0, self.classes[1]).otherwise(self.classes[0])
         margins = F.array(*[margin(k) for k in range(len(self.classes))])
         at = F.array_position(margins, F.array_max(margins)).cast("int")
-        return df.withColumn(name, F.when(F.array_max(margins).isNotNull(), F.element_at(F.array(*map(F.lit, self.classes)), at)))
+        return F.when(F.array_max(margins).isNotNull(), F.element_at(F.array(*map(F.lit, self.classes)), at))
 
+    def _of_mapped(self, df: DataFrame, w: np.ndarray, name: str) -> DataFrame:
+        """Margins from features that exist only while a task works on a batch; they are never columns."""
+        kept, kinds = df.columns, dict(df.dtypes)
+        inner = [f"__k{i}" for i in range(len(kept))]
+        rows = df.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(kept, inner, strict=True)], _vector(self.features).alias("__x"))
+        mapped = self.mapped
 
-def machines(df: DataFrame, features: list[str] | str, y: str, cs: list[float], classify: bool = True, epsilon: float = 0.1, balanced: bool = False, weight: str | None = None, steps: int = 50, tolerance: float = 1e-8) -> Machines:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at in range(0, max(b.num_rows, 1), 4096):
+                    part = b.slice(at, 4096)
+                    x = part.column("__x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1)
+                    none = np.isnan(x).any(1)
+                    margins = np.full((part.num_rows, len(w)), np.nan)
+                    margins[~none] = mapped(x[~none]) @ w[:, :-1].T + w[:, -1]
+                    columns = [pa.array(m, mask=none) for m in margins.T]
+                    yield pa.RecordBatch.from_arrays([*[part.column(i) for i in inner], *columns], names=[*inner, *[f"__m{k}" for k in range(len(w))]])
+
+        schema = ", ".join([*[f"{i} {kinds[c]}" for c, i in zip(kept, inner, strict=True)], *[f"__m{k} double" for k in range(len(w))]])
+        got = rows.mapInArrow(run, schema)
+        return got.select(*[F.col(i).alias(c) for c, i in zip(kept, inner, strict=True)], self._decided(lambda k: F.col(f"__m{k}")).alias(name))
+
+
+def machines(df: DataFrame, features: list[str] | str, y: str, cs: list[float], classify: bool = True, epsilon: float = 0.1, balanced: bool = False, weight: str | None = None, steps: int = 50, tolerance: float = 1e-8, mapped: Callable[[np.ndarray], np.ndarray] | None = None, stored: bool = False) -> Machines:
     """Linear machines with squared hinge loss, one class against the rest, or with squared epsilon-insensitive loss, for all cs at once.
 
-    The least of |w|^2 / 2 + C * sum of weight * loss, w with the constant. A Newton step needs a gradient and a matrix per
-    machine, which tasks sum over their rows; step lengths are tried for all machines in one more read. The number of reads
-    does not depend on how many machines there are. Two classes need one machine. balanced: a class weighs as if all
+    The least of |w|^2 / 2 + C * sum of weight * loss, w with the constant. A Newton step needs a loss, a gradient and a matrix
+    per machine, which tasks sum over their rows in one read at the step's end; only where a whole step gains too little
+    are shorter ones tried, for all machines in one more read. The number of reads does not depend on how many machines
+    there are. mapped: makes features of raw rows in each read, so that wide ones are never written; stored: df lies in
+    files already. Two classes need one machine. balanced: a class weighs as if all
     were equally frequent. features: columns, or one column of arrays of a length. Rows with a null are left out; features should be of like scale, as for any such machine.
     """
-    rows = df.dropna(subset=[*([features] if isinstance(features, str) else features), y, *([weight] if weight else [])]).select(_vector(features).alias("x"), F.col(y).cast("double").alias("y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
-    rows = written(rows, "machine-rows")
+    # a column per feature goes to tasks much faster than an array of them
+    x_columns = [F.col(features).cast("array<double>").alias("x")] if isinstance(features, str) else [F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(features)]
+    rows = df.dropna(subset=[*([features] if isinstance(features, str) else features), y, *([weight] if weight else [])]).select(*x_columns, F.col(y).cast("double").alias("y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
+    rows = rows if stored else written(rows, "machine-rows")
     counts = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()} if classify else {}  # one row per class
     classes = sorted(counts) if classify else None
     k = 1 if not classify or len(classes) <= 2 else len(classes)
@@ -157,15 +192,23 @@ def machines(df: DataFrame, features: list[str] | str, y: str, cs: list[float],
     first = rows.first()
     if first is None:
         raise ValueError("no rows without nulls to learn from")
-    d, grid = len(first.x) + 1, np.repeat(np.asarray(cs, float), k)
-    coefficients, objectives = np.zeros((len(grid), d)), np.full(len(grid), np.inf)
+    made = mapped or (lambda x: x)
+    raw = [first.x] if isinstance(features, str) else [first[: len(features)]]
+    d, grid = made(np.array(raw, float)).shape[1] + 1, np.repeat(np.asarray(cs, float), k)
+    coefficients = np.zeros((len(grid), d))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Features with a constant, signs [rows, machines of one C] or targets, and weights."""
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 part = b.slice(at, 4096)
-                x = np.column_stack([part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1), np.ones(part.num_rows)])
+                if not part.num_rows:
+                    continue
+                if isinstance(features, str):
+                    x = part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                else:
+                    x = np.column_stack([part.column(i).to_numpy(zero_copy_only=False) for i in range(len(features))])
+                x = np.column_stack([made(x), np.ones(part.num_rows)])
                 t, w = (part.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w"))
                 if balanced:
                     w = w * np.array([share[c] for c in t.tolist()])
@@ -194,17 +237,21 @@ def machines(df: DataFrame, features: list[str] | str, y: str, cs: list[float],
             out[r.i] = r.s
         return out
 
-    def derivatives(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def reached(at: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Objective, gradient and second derivatives of each machine."""
+
         def partial(x, t, w):
             margin = x @ at.T
             slack = losses(margin, t)
             slope = -np.tile(t, margin.shape[1] // k) * slack if classify else -np.sign(t[:, None] - margin) * slack
             gradient = 2 * (slope * w[:, None]).T @ x
             matrix = np.stack([2 * (x[on] * w[on, None]).T @ x[on] for on in (slack > 0).T])
-            return np.concatenate([gradient.ravel(), matrix.ravel()])
+            return np.concatenate([w @ slack**2, gradient.ravel(), matrix.ravel()])
 
-        found = summed(partial, len(at) * d * (1 + d))
-        return found[: len(at) * d].reshape(len(at), d), found[len(at) * d :].reshape(len(at), d, d)
+        m = len(at)
+        found = summed(partial, m * (1 + d + d * d))
+        loss, gradient, matrix = found[:m], found[m : m + m * d].reshape(m, d), found[m + m * d :].reshape(m, d, d)
+        return (at**2).sum(1) / 2 + cost * loss, at + cost[:, None] * gradient, np.eye(d)[None] + cost[:, None, None] * matrix
 
     lengths = 0.5 ** np.arange(12)
 
@@ -215,23 +262,24 @@ def machines(df: DataFrame, features: list[str] | str, y: str, cs: list[float],
         norms = np.stack([((at + a * step) ** 2).sum(1) / 2 for a in tried])
         return norms + cost[None] * loss
 
+    objectives, slope, curve = reached(coefficients, grid)
     live = np.arange(len(grid))
     for _ in range(steps):
-        w, cost = coefficients[live], grid[live]
         if classify and k > 1:  # all machines of a C go on together, as they share its signs
-            keep = np.isin(grid, grid[live])
-            live = np.flatnonzero(keep)
-            w, cost = coefficients[live], grid[live]
-        g, h = derivatives(w)
-        g = w + cost[:, None] * g
-        h = np.eye(d)[None] + cost[:, None, None] * h
-        step = -solved(h, g)
-        found = along(w, step, cost)
-        best = found.argmin(0)
-        objectives[live] = found.min(0)
-        coefficients[live] = w + np.where(best < len(lengths), lengths[np.minimum(best, len(lengths) - 1)], 0.0)[:, None] * step
-        done = found[-1] - found.min(0) <= tolerance * np.maximum(found[-1], 1e-12)
+            live = np.flatnonzero(np.isin(grid, grid[live]))
+        w, cost, before = coefficients[live], grid[live], objectives[live]
+        step = -solved(curve[live], slope[live])
+        taken = np.ones(len(live))
+        found = reached(w + step, cost)
+        enough = found[0] <= before + 0.01 * (slope[live] * step).sum(1) + 1e-12 * np.abs(before)
+        if not enough.all():
+            best = along(w, step, cost).argmin(0)
+            taken = np.where(enough, 1.0, np.append(lengths, 0.0)[best])
+            found = reached(w + taken[:, None] * step, cost)
+        coefficients[live] = w + taken[:, None] * step
+        objectives[live], slope[live], curve[live] = found
+        done = before - found[0] <= tolerance * np.maximum(before, 1e-12)
         live = live[~done]
         if not len(live):
             break
-    return Machines(features, list(cs), classes, coefficients.reshape(len(cs), k, d), objectives.reshape(len(cs), k))
+    return Machines(features, list(cs), classes, coefficients.reshape(len(cs), k, d), objectives.reshape(len(cs), k), mapped)

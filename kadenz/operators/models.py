@@ -133,9 +133,7 @@ class Model:
 
     def _prepared(self, df: DataFrame) -> tuple[DataFrame, list[str] | str]:
         s = self.spec
-        if s["kind"] == "rbf":
-            return Nystroem.of_lists(s["nystroem"]).transform(df, "__kernel"), "__kernel"
-        if s["kind"] in self.MACHINES:
+        if s["kind"] in self.MACHINES and s["kind"] != "rbf":
             scaled = [((F.col(f"`{c}`") - m) / d).alias(f"__z{i}") for i, (c, m, d) in enumerate(zip(s["features"], s["means"], s["deviations"], strict=True))]
             return df.select("*", *scaled), [f"__z{i}" for i in range(len(scaled))]
         return df, s["features"]
@@ -144,6 +142,8 @@ class Model:
         s = self.spec
         if s["kind"] in self.MACHINES:
             return self._fit_machine(df)
+        if s["kind"] != "linear":  # read many times
+            df = written(df.select(*dict.fromkeys([*s["features"], s["y"], *([s["weight"]] if s["weight"] else [])])), "training-rows")
         ready, columns = self._prepared(df)
         name = {"ensemble": "mlp"}.get(s["kind"], s["kind"])
         seeds = [{"seed": i + 1} for i in range(s["members"])] if s["kind"] == "ensemble" else [{}]
@@ -154,6 +154,7 @@ class Model:
         s = self.spec
         options = dict(s["options"])
         c, rank = float(options.pop("c", 1.0)), options.pop("rank", 128)
+        df = written(df.select(*dict.fromkeys([*s["features"], s["y"], *([s["weight"]] if s["weight"] else [])])), "training-rows")  # the only read of what df is made of
         if s["kind"] == "rbf":
             s["nystroem"] = learn(df, s["features"], rank).as_lists()
         else:
@@ -161,17 +162,21 @@ class Model:
             s["means"] = [float(row[f"m{i}"]) for i in range(len(s["features"]))]
             s["deviations"] = [float(row[f"d{i}"]) or 1.0 for i in range(len(s["features"]))]
         ready, columns = self._prepared(df)
-        found = machines(ready, columns, s["y"], [c], s["kind"] != "svr", weight=s["weight"], **options)
+        found = machines(ready, columns, s["y"], [c], s["kind"] != "svr", weight=s["weight"], mapped=self._mapped(), stored=True, **options)
         s["machine"] = {"features": columns, "cs": [c], "classes": found.classes, "coefficients": found.coefficients.tolist(), "objectives": found.objectives.tolist()}
         return self
 
+    def _mapped(self):
+        """Kernel features of raw rows, in tasks."""
+        return Nystroem.of_lists(self.spec["nystroem"]).mapped if self.spec["kind"] == "rbf" else None
+
     def predict(self, df: DataFrame) -> DataFrame:
         from pyspark.ml.functions import vector_to_array
 
         ready, columns = self._prepared(df)
         if self.spec["kind"] in self.MACHINES:
             m = self.spec["machine"]
-            fit = Machines(m["features"], m["cs"], m["classes"], np.array(m["coefficients"]), np.array(m["objectives"]))
+            fit = Machines(m["features"], m["cs"], m["classes"], np.array(m["coefficients"]), np.array(m["objectives"]), self._mapped())
             return fit.predict(ready, m["cs"][0]).select(*df.columns, F.col("h").cast("double").alias("h"))
         out = assembled(ready, columns)
         if self.spec["kind"] != "ensemble":

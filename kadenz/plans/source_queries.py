@@ -10,7 +10,7 @@ from kadenz.operators import models as L
 from kadenz.operators import nystroem as NY
 from kadenz.plans import views as V
 from kadenz.plans.registry import query, rounded
-from kadenz.session import scratch, ship, table
+from kadenz.session import scratch, ship, table, written
 from kadenz.sources import files
 
 SPLIT = "CASE WHEN fold = 0 THEN 'test' WHEN fold = 1 THEN 'validation' ELSE 'training' END"
@@ -19,7 +19,7 @@ SPLIT = "CASE WHEN fold = 0 THEN 'test' WHEN fold = 1 THEN 'validation' ELSE 'tr
 @query("s1_csv_family", V.sql(f"SELECT 'lines' AS dataset, 'quantity' AS label, 0 AS fold, {SPLIT} AS split, id, y::DOUBLE AS y, round(h, 6) AS h FROM pred", "pred"))
 def s1(spark, sf_dir):
     """The three splits of a fold, one CSV each, read as one table."""
-    rows, root = V.pred(spark, sf_dir, number=True), scratch(spark, "csv-family")
+    rows, root = written(V.pred(spark, sf_dir, number=True).select("id", "y", "h", "fold"), "numbered"), scratch(spark, "csv-family")  # numbered once
     paths = {s: f"{root}/lines_quantity_0_{s}.csv" for s in ("test", "validation", "training")}
     for s, path in paths.items():
         rows.where(f"{SPLIT} = '{s}'").select("id", F.col("y").cast("double"), "h").write.csv(path, header=True)
@@ -116,14 +116,16 @@ def v13(spark, sf_dir):
 FEATURES = ["acoustic_qty", "acoustic_price", "vision_disc", "vision_tax", "language_size", "language_retail"]
 
 
-def _wide(spark, sf_dir):
-    return V.wide(spark, sf_dir, number=True).select("id", "meta_id", *[F.col(c).cast("double").alias(c) for c in FEATURES], F.col("y").cast("double").alias("y")).withColumn("large", (F.col("y") > 25).cast("double"))
+def _wide(spark, sf_dir, number=True):
+    """Features and targets; numbering sorts all rows, so what learns does without."""
+    return V.wide(spark, sf_dir, number=number).select(*(["id"] if number else []), "meta_id", *[F.col(c).cast("double").alias(c) for c in FEATURES], F.col("y").cast("double").alias("y")).withColumn("large", (F.col("y") > 25).cast("double"))
 
 
 def _predictions(spark, sf_dir, model, y):
     """Learned from groups 2 and on modulo 5, predicted for all rows."""
-    rows = _wide(spark, sf_dir)
-    return rounded(model.fit(rows.where("meta_id % 5 > 1")).predict(rows).select("id", F.col(y).alias("y"), "h"))
+    fitted = model.fit(_wide(spark, sf_dir, number=False).where("meta_id % 5 > 1"))
+    rows = _wide(spark, sf_dir).select("id", *dict.fromkeys([*model.spec["features"], y]))
+    return rounded(fitted.predict(rows).select("id", F.col(y).alias("y"), "h"))
 
 
 @query("m6_selected_by_model")
@@ -141,28 +143,28 @@ def m7(spark, sf_dir):
 
 def _scaled(rows):
     """Features and target with like scales, by fixed divisors."""
-    return rows.select("id", "meta_id", *[(F.col(c) / s).alias(c) for c, s in zip(FEATURES, (50, 1e5, 0.1, 0.1, 50, 2e3), strict=True)], (F.col("y") / 50).alias("y"), F.least(F.floor(F.col("y") / 17), F.lit(2)).cast("double").alias("band"))
+    return rows.select(*(["id"] if "id" in rows.columns else []), "meta_id", *[(F.col(c) / s).alias(c) for c, s in zip(FEATURES, (50, 1e5, 0.1, 0.1, 50, 2e3), strict=True)], (F.col("y") / 50).alias("y"), F.least(F.floor(F.col("y") / 17), F.lit(2)).cast("double").alias("band"))
 
 
 @query("m7_machines_over_c")
 def m7_c(spark, sf_dir):
     """Three classes, weighed as if equally frequent, for all C in the same reads: (c, class, objective, accuracy on the groups left out)."""
     ship(spark)
-    rows = _scaled(_wide(spark, sf_dir))
+    rows = _scaled(_wide(spark, sf_dir, number=False))
     fit = LI.machines(rows.where("meta_id % 5 > 1"), FEATURES, "band", [0.001, 0.1, 10.0], balanced=True)
-    held, out = rows.where("meta_id % 5 <= 1"), []
-    for c, objectives in zip(fit.cs, fit.objectives, strict=True):
-        hit = fit.predict(held, c).agg(F.avg((F.col("h") == F.col("band")).cast("double")).alias("a")).first().a
-        out += [(c, k, float(o), hit) for k, o in zip(fit.classes, objectives, strict=True)]
+    held = rows.where("meta_id % 5 <= 1")
+    for i, c in enumerate(fit.cs):
+        held = fit.predict(held, c, f"h{i}")
+    hits = held.agg(*[F.avg((F.col(f"h{i}") == F.col("band")).cast("double")) for i in range(len(fit.cs))]).first()
+    out = [(c, k, float(o), hit) for c, objectives, hit in zip(fit.cs, fit.objectives, hits, strict=True) for k, o in zip(fit.classes, objectives, strict=True)]
     return rounded(spark.createDataFrame(out, "c double, class double, objective double, accuracy double"), "c")
 
 
 @query("m7_support_vector_regression")
 def m7_r(spark, sf_dir):
     ship(spark)
-    rows = _scaled(_wide(spark, sf_dir))
-    fit = LI.machines(rows.where("meta_id % 5 > 1"), FEATURES, "y", [1.0], classify=False, epsilon=0.05)
-    return rounded(fit.predict(rows, 1.0).select("id", "y", "h"))
+    fit = LI.machines(_scaled(_wide(spark, sf_dir, number=False)).where("meta_id % 5 > 1"), FEATURES, "y", [1.0], classify=False, epsilon=0.05)
+    return rounded(fit.predict(_scaled(_wide(spark, sf_dir)), 1.0).select("id", "y", "h"))
 
 
 @query("m8_rbf_svm")
@@ -174,7 +176,7 @@ def m8(spark, sf_dir):
 @query("m8_kernel_error")
 def m8_error(spark, sf_dir):
     """(landmarks, rank, error): how near the features of some numbers of landmarks come to the kernel."""
-    rows = _wide(spark, sf_dir).drop("id")
+    rows = _wide(spark, sf_dir, number=False)
     found = [(n, f.rank, f.error) for n in (16, 64, 256) for f in [NY.learn(rows, FEATURES, n)]]
     return rounded(spark.createDataFrame(found, "landmarks int, rank int, error double"))
 
@@ -192,7 +194,7 @@ def m10(spark, sf_dir):
 @query("f5_model_of_one_feature", V.sql(", t AS (SELECT regr_slope(y::DOUBLE, acoustic_price::DOUBLE) AS b, regr_intercept(y::DOUBLE, acoustic_price::DOUBLE) AS a FROM wide WHERE meta_id % 5 > 1) SELECT round(sqrt(avg((y::DOUBLE - a - b * acoustic_price::DOUBLE) ** 2)), 6) AS rmse, round(corr(y::DOUBLE, a + b * acoustic_price::DOUBLE), 6) AS pcc FROM wide, t WHERE meta_id % 5 <= 1", "wide"))
 def f5_one(spark, sf_dir):
     """Fitted on some groups, saved, loaded, and measured on the others, against the least squares line."""
-    rows, path = _wide(spark, sf_dir).drop("id"), scratch(spark, "model")
+    rows, path = _wide(spark, sf_dir, number=False), scratch(spark, "model")
     L.Model("linear", ["acoustic_price"], "y").fit(rows.where("meta_id % 5 > 1")).save(path)
     return rounded(L.Model.load(path).metric(rows.where("meta_id % 5 <= 1"), ["rmse", "pcc"]))
 
@@ -200,7 +202,7 @@ def f5_one(spark, sf_dir):
 @query("f5_model_protocol")
 def f5(spark, sf_dir):
     """Fitted, saved, loaded, and measured on the groups left out."""
-    rows, path = _wide(spark, sf_dir), scratch(spark, "model")
+    rows, path = _wide(spark, sf_dir, number=False), scratch(spark, "model")
     L.Model("linear", FEATURES, "y").fit(rows.where("meta_id % 5 > 1")).save(path)
     return rounded(L.Model.load(path).metric(rows.where("meta_id % 5 <= 1"), ["rmse", "pcc"]))
 
