@@ -1,10 +1,12 @@
 """Rounding as SQL does it, and files whose number does not grow with recordings."""
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from kadenz.operators import splits as X
-from kadenz.plans.registry import r6
+from kadenz.plans import catalog
+from kadenz.plans.registry import r6, signed6
 from kadenz.sources import files
 
 
@@ -15,6 +17,26 @@ def test_halves_as_in_sql(spark):
     assert list(map(str, got)) == list(map(str, want))
 
 
+def test_signs_of_zero_as_in_sql(spark):
+    values = [0.0, -0.0, 3e-7, -3e-7, 5e-7, -5e-7, -5e-324, 5e-324, -1.25, -1e305, float("nan"), float("-inf"), None]
+    got = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(signed6("v")).collect()]
+    want = [r[0] for r in duckdb.connect().execute("SELECT round(v, 6) FROM (SELECT unnest($1::DOUBLE[]) AS v)", [values]).fetchall()]
+    assert list(map(str, got)) == list(map(str, want))
+
+
+@pytest.mark.parametrize("name", ["v3_mean_of_layers"])
+def test_lists_keep_the_signs_of_zero(spark, tmp_path, name):
+    vectors = [[0.0] * 64, [-0.0] * 64, [-1e-7] * 64, [1e-7, -1e-7] * 32, [-0.3, 1e-7, 1e-7, -0.2] * 16, [1e-3, -2e-4] * 32, [0.25, -3e-7, -0.75, 1e-6] * 16]
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    sql = con.execute(catalog.oracle_sql()[name])
+    columns = [d[0] for d in sql.description]
+    want = sorted(map(str, sql.fetchall()))
+    assert "-0.0" in "".join(want)
+    assert sorted(str(tuple(r)) for r in catalog.queries()[name](spark, str(tmp_path)).select(*columns).collect()) == want
+
+
 def test_recordings_share_annotation_files(spark, tmp_path):
     rows = spark.range(300).select(F.col("id").alias("rec_id"), F.lit(1).alias("n"), F.lit("words").alias("tier"), F.col("id").cast("double").alias("begin"), (F.col("id") + 0.5).alias("end"), F.concat(F.lit("<a> & "), F.col("id")).alias("value"))
     files.write_annotations(rows, str(tmp_path / "x"))
