@@ -15,7 +15,7 @@ from kadenz.operators import stats as S
 from kadenz.operators import tables as P
 from kadenz.plans import views as V
 from kadenz.plans.metric_queries import grid
-from kadenz.plans.registry import query, r6, rounded
+from kadenz.plans.registry import query, r6, rounded, signed6
 from kadenz.plans.time_queries import series_of
 from kadenz.session import scratch, ship, table
 from kadenz.streaming import segments as ZS
@@ -265,7 +265,7 @@ def m13(spark, sf_dir):
     ship(spark)
     out, fit = MX.random_slopes(V.wide(spark, sf_dir), "meta_id", ["acoustic_qty", "vision_disc"], "y", steps=6)
     fitted = {"within": r6(F.lit(fit.within)), "between_slope": r6(F.lit(float(fit.between[0, 0])))}
-    return out.withColumn("effects", F.transform("effects", r6)).withColumns(fitted)
+    return out.withColumn("effects", F.transform("effects", signed6)).withColumns(fitted)
 
 
 @query("m2_learned_scaling", V.sql(", s AS (SELECT avg(vision_tax) AS m, stddev_pop(vision_tax) AS s FROM wide WHERE meta_id % 5 > 1) SELECT id, round(greatest(least((vision_tax - m) / s, 3), -3), 6) AS vision_tax FROM wide, s", "wide"))

@@ -24,7 +24,7 @@ def test_signs_of_zero_as_in_sql(spark):
     assert list(map(str, got)) == list(map(str, want))
 
 
-@pytest.mark.parametrize("name", ["v3_mean_of_layers", "v5_padded_ragged", "v6_concatenated"])
+@pytest.mark.parametrize("name", ["v3_mean_of_layers", "v5_padded_ragged", "v6_concatenated", "v7_interactions"])
 def test_lists_keep_the_signs_of_zero(spark, tmp_path, name):
     vectors = [[0.0] * 64, [-0.0] * 64, [-1e-7] * 64, [1e-7, -1e-7] * 32, [-0.3, 1e-7, 1e-7, -0.2] * 16, [1e-3, -2e-4] * 32, [0.25, -3e-7, -0.75, 1e-6] * 16]
     spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
