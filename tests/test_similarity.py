@@ -45,5 +45,29 @@ def test_pairs_meet_as_matrices(spark):
     assert "CoGroup" in plan and "Join" not in plan
 
 
+def test_pairs_keep_their_columns_under_a_select(spark, tmp_path):
+    spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(120)], "id long, v array<float>").write.parquet(str(tmp_path / "v"))
+    df = spark.read.parquet(str(tmp_path / "v"))  # both sides from one relation
+    pairs = SI.pairs(df.where("id % 50 = 0"), df, "id", "v", 2.0, 6)
+    assert pairs.count() == 3 * 120
+    assert sorted(tuple(r) for r in pairs.select("b", "a").collect()) == sorted((b, a) for a in (0, 50, 100) for b in range(120))
+
+
+def test_a_side_of_the_pairs_is_shuffled_once(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(SI, "QUERIES", 5)
+    monkeypatch.setattr(SI, "ROWS", 9)
+    spark.range(600).select("id", F.array(*[F.rand(k).cast("float") for k in range(8)]).alias("v")).write.parquet(str(tmp_path / "v"))
+    df = spark.read.parquet(str(tmp_path / "v"))
+    pairs = SI.pairs(df.where("id % 50 = 0"), df, "id", "v", 2.0, 6)
+    assert "explode" not in pairs._jdf.queryExecution().toString()  # rows are not sent anew for each block that they meet
+    for threshold in ("10MB", "-1"):  # by broadcast blocks or by partitions
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            got = pairs.select("a", "b")
+            assert got.count() == got.distinct().count() == 12 * 600
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_halves_go_away_from_zero():
     assert SI.half_away(np.array([0.5, -0.5, 1.4, 2.5, -0.2]), 0).tolist() == [1.0, -1.0, 1.0, 3.0, 0.0]
