@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kadenz.operators.joins import nearest
-from kadenz.operators.recordings import without_noise
+from kadenz.operators.recordings import added, waves, whitened, without_noise
 from kadenz.operators.stats import hop_windows
 
 
@@ -53,31 +53,53 @@ def binned(samples: DataFrame, bins: int, value: str = "v", key: str = "rec_id",
     return i.where("jump > 0").groupBy(key, F.least(F.floor(F.col("i") / F.col("jump")), F.lit(bins - 1)).alias("bin")).agg(F.avg(value).alias("m"))
 
 
-def delays(windows: DataFrame, most: int, keys: list[str]) -> DataFrame:
+def _in_order(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Whitened cross-correlations of rows of a and b, transforms written out as sums in order of samples."""
+    length = a.shape[1]
+    cos, sin = waves(length + 1, range(length), 2 * length)
+    sums = []
+    for x in (a, b):
+        x = x - added(x)[:, None] / length
+        real, imaginary = np.zeros((2, len(x), length + 1))
+        for i in range(length):
+            real += x[:, i, None] * cos[:, i]
+            imaginary += x[:, i, None] * sin[:, i]
+        sums += [real, -imaginary]
+    ar, ai, br, bi = sums
+    return whitened(ar * br + ai * bi, ar * bi - ai * br, most, 2 * length)
+
+
+def _transformed(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Whitened cross-correlations of rows of a and b by fast transforms, without components of rounding alone."""
+    n = 2 * a.shape[1]
+    a, b = (x - x.mean(1, keepdims=True) for x in (a, b))
+    cross = without_noise(np.conj(np.fft.rfft(a, n)) * np.fft.rfft(b, n), (np.abs(a).sum(1) * np.abs(b).sum(1))[:, None])
+    return np.fft.irfft(cross / np.maximum(np.abs(cross), 1e-12), n)[:, np.arange(-most, most + 1)]
+
+
+def delays(windows: DataFrame, most: int, keys: list[str], in_order: bool = False) -> DataFrame:
     """(keys, lag, c): peak of the whitened cross-correlation (GCC-PHAT) of arrays a and b of each window.
 
     A window with hardly any variance, or with arrays of different length, has a null lag. One window is one
-    row, so the FFT runs in Arrow batches without gathering a recording.
+    row, so the transforms run in Arrow batches without gathering a recording. `in_order` writes the transform out in
+    sums and whitens components that are 0 but for rounding with the others, as its SQL does: for short windows.
     """
 
     def peak(batches):
         for pdf in batches:
-            lag, best = [], []
-            for a, b in zip(pdf.pop("a"), pdf.pop("b"), strict=True):
-                a, b = np.asarray(a, float), np.asarray(b, float)
-                if len(a) != len(b) or len(a) < 2 or a.std() < 1e-9 or b.std() < 1e-9:
-                    lag.append(None)
-                    best.append(None)
-                    continue
-                n = 2 * len(a)
-                a, b = a - a.mean(), b - b.mean()
-                cross = without_noise(np.conj(np.fft.rfft(a, n)) * np.fft.rfft(b, n), np.abs(a).sum() * np.abs(b).sum())
-                c = np.fft.irfft(cross / np.maximum(np.abs(cross), 1e-12), n)
-                span = np.arange(-most, most + 1)
-                k = int(np.argmax(np.abs(c[span])))
-                lag.append(int(span[k]))
-                best.append(float(c[span[k]]))
-            yield pdf.assign(lag=pd.array(lag, dtype="Int64"), c=best)
+            a, b = pdf.pop("a"), pdf.pop("b")
+            lag, best = np.zeros(len(pdf), int), np.full(len(pdf), np.nan)
+            found = np.zeros(len(pdf), bool)
+            long = a.map(len).where(a.map(len) == b.map(len), 0).to_numpy()
+            for length in set(long[long > 1]):
+                at = np.flatnonzero(long == length)
+                x, y = (np.stack([np.asarray(v, float) for v in s.iloc[at]]) for s in (a, b))
+                varied = ~((x.std(1) < 1e-9) | (y.std(1) < 1e-9))
+                at, x, y = at[varied], x[varied], y[varied]
+                c = (_in_order if in_order else _transformed)(x, y, most)
+                k = np.abs(c).argmax(1)
+                lag[at], best[at], found[at] = k - most, c[np.arange(len(at)), k], True
+            yield pdf.assign(lag=pd.arrays.IntegerArray(lag, ~found), c=best)
 
     kinds = dict(windows.dtypes)
     return windows.select(*keys, "a", "b").mapInPandas(peak, ", ".join([*[f"{k} {kinds[k]}" for k in keys], "lag long", "c double"]))

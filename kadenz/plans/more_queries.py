@@ -188,7 +188,7 @@ def _delay_sql(length: int, most: int, keys: str, where: str = "true") -> str:
 @query("g5_delay_per_window", _delay_sql(4, 2, "rec_id, k"))
 def g5(spark, sf_dir):
     ship(spark)
-    return rounded(G.delays(_window_pairs(spark, sf_dir, 4), 2, ["rec_id", "k"]))
+    return rounded(G.delays(_window_pairs(spark, sf_dir, 4), 2, ["rec_id", "k"], in_order=True))
 
 
 def _recording_delay_sql(most: int) -> str:

@@ -3,13 +3,16 @@
 import math
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kadenz.operators import intervals as I
 from kadenz.operators import recordings as RE
+from kadenz.operators import signal as G
 from kadenz.operators import stats as S
+from kadenz.plans import catalog
 from kadenz.session import ship
 
 
@@ -160,3 +163,64 @@ def test_components_of_rounding_alone_are_not_whitened(spark):
         r = RE.delay(series(spark, x=a), series(spark, x=b), 5).first()
         found.add((r.lag, round(r.c, 9)))
     assert len(found) == 1
+
+
+def written_events(tmp_path, recordings):
+    """Clicks and views of each recording, a second apart, as a table of events."""
+    rows = [(n, channel, len(recordings) * i + n, float(v)) for n, both in enumerate(recordings) for channel, vs in zip(("click", "view"), both, strict=True) for i, v in enumerate(vs)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE raw (user_id BIGINT, event_type VARCHAR, event_id BIGINT, value DOUBLE)")
+    con.executemany("INSERT INTO raw VALUES (?, ?, ?, ?)", sorted(rows, key=lambda r: r[2]))
+    con.execute(f"COPY (SELECT *, TIMESTAMP '2024-01-01' + to_seconds(event_id) AS ts FROM raw) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    return str(tmp_path)
+
+
+def total(values):
+    """Their sum, term by term; the built-in one makes up for rounding."""
+    s = 0.0
+    for v in values:
+        s += v
+    return s
+
+
+def about_mean(values):
+    m = total(values) / len(values)
+    return [float(v) - m for v in values]
+
+
+def peak_in_sums(xr, xi, most, n, digits):
+    """(lag, c) of a one-sided cross-spectrum, whitened and transformed back as the SQL writes it."""
+    size = [max(math.sqrt(r * r + i * i), 1e-12) for r, i in zip(xr, xi, strict=True)]
+    found = []
+    for lag in range(-most, most + 1):
+        c = 0.0
+        for f, (r, i, s) in enumerate(zip(xr, xi, size, strict=True)):
+            single = f == 0 or 2 * f == n
+            c += (1 if single else 2) * (r / s * math.cos(2 * math.pi * f * lag / n) - (0 if single else i / s * math.sin(2 * math.pi * f * lag / n)))
+        found.append((-round(abs(c / n), digits), lag, round(c / n, 6)))
+    return min(found)[1:]
+
+
+def test_windows_whose_spectrum_is_rounding_are_as_in_sums(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    windows = [((120.21, 148.36, 32.68, 4.53), (181.15, 51.0, 58.55, 60.23))]
+    for _ in range(60):  # first and third value add up to what the second and fourth do
+        a, b = rng.exponential(50, (2, 4)).round(2).tolist()
+        windows.append(([*a[:3], round(a[0] + a[2] - a[1], 2)], b))
+    want = {}
+    for k, (a, b) in enumerate(windows):
+        a, b = about_mean(a), about_mean(b)
+        (ar, ai), (br, bi) = (([total(v * math.cos(2 * math.pi * f * p / 8) for p, v in enumerate(x)) for f in range(5)], [-total(v * math.sin(2 * math.pi * f * p / 8) for p, v in enumerate(x)) for f in range(5)]) for x in (a, b))
+        want[k] = peak_in_sums([p * r + q * s for p, q, r, s in zip(ar, ai, br, bi, strict=True)], [p * s - q * r for p, q, r, s in zip(ar, ai, br, bi, strict=True)], 2, 8, 17)
+    assert want[0] == (-1, 0.816307)  # as the SQL gives for it at sf0.1, run by one thread
+    got = catalog.queries()["g5_delay_per_window"](spark, written_events(tmp_path, windows)).collect()
+    assert {r.rec_id: (r.lag, r.c) for r in got} == want
+
+
+def test_delays_in_order_are_those_of_fast_transforms(spark):
+    rng = np.random.default_rng(10)
+    df = spark.createDataFrame([(k, rng.normal(size=n).tolist(), rng.normal(size=n).tolist()) for k, n in enumerate([2, 3, 8, 8, 31, 1, 0])], "k int, a array<double>, b array<double>")
+    a, b = (G.delays(df, 1, ["k"], in_order=way).orderBy("k").collect() for way in (False, True))
+    assert [r.lag for r in a] == [r.lag for r in b]
+    assert [r.c for r in a[:5]] == pytest.approx([r.c for r in b[:5]])
+    assert [r.lag for r in b[5:]] == [None, None]
