@@ -213,7 +213,7 @@ def _recording_delay_sql(most: int) -> str:
 def g6(spark, sf_dir):
     ship(spark)
     a, b = (series_of(spark, sf_dir, c) for c in ("click", "view"))
-    return rounded(RE.delay(a, b, 5))
+    return rounded(RE.delay(a, b, 5, in_order=True))
 
 
 _PATH = """

@@ -217,6 +217,29 @@ def test_windows_whose_spectrum_is_rounding_are_as_in_sums(spark, tmp_path):
     assert {r.rec_id: (r.lag, r.c) for r in got} == want
 
 
+def test_recordings_shorter_than_the_lags_are_as_in_sums(spark, tmp_path):
+    rng = np.random.default_rng(11)  # their lag sums add up to 0 but for rounding
+    recordings = [tuple(rng.exponential(50, n).round(2).tolist() for n in lengths) for lengths in rng.integers(2, 7, (60, 2)).tolist()]
+    recordings.append(tuple(rng.exponential(50, n).round(2).tolist() for n in (40, 31)))
+    lags, want = range(-5, 6), {}
+    for k, (a, b) in enumerate(recordings):
+        a, b = about_mean(a), about_mean(b)
+        c = [total(a[i] * b[i + lag] for i in reversed(range(len(a))) if 0 <= i + lag < len(b)) for lag in lags]
+        real, imaginary = ([total(v * of(2 * math.pi * f * lag / 11) for v, lag in zip(c, lags, strict=True)) for f in range(6)] for of in (math.cos, math.sin))
+        want[k] = peak_in_sums(real, [-v for v in imaginary], 5, 11, 12)
+    got = catalog.queries()["g6_delay_of_recordings"](spark, written_events(tmp_path, recordings)).collect()
+    assert {r.rec_id: (r.lag, r.c) for r in got} == want
+
+
+@pytest.mark.parametrize("block", [64, 4096])
+def test_lag_sums_in_order_are_those_of_fast_transforms(spark, block):
+    rng = np.random.default_rng(12)
+    a, b = series(spark, x=rng.normal(size=150), y=[1.0, 2.0]), series(spark, x=rng.normal(size=300), y=[5.0, 3.0, 1.0])
+    one, two = ({(r.rec_id, r.lag): r.c for r in RE.lag_sums(a, b, 4, block=block, in_order=way).collect()} for way in (False, True))
+    assert one == pytest.approx(two)
+    assert len(one) == 18
+
+
 def test_delays_in_order_are_those_of_fast_transforms(spark):
     rng = np.random.default_rng(10)
     df = spark.createDataFrame([(k, rng.normal(size=n).tolist(), rng.normal(size=n).tolist()) for k, n in enumerate([2, 3, 8, 8, 31, 1, 0])], "k int, a array<double>, b array<double>")
